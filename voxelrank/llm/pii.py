@@ -56,8 +56,7 @@ def feistel(x: Column, a: Column, b: Column, key: str, label: Column) -> Column:
         even = F.struct(s["l"].alias("l"), ((s["r"] + round_value(i, s["l"])) % b).alias("r"))
         return F.when(i % 2 == 1, odd).otherwise(even)
 
-    start = F.struct((x / b).cast("long").alias("l"), (x % b).alias("r"))
-    start = F.struct(F.expr("1L").alias("l"), F.expr("1L").alias("r")) if x is None else start
+    start = F.struct(_long_div(x, b).alias("l"), (x % b).alias("r"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: s["l"] * b + s["r"])
 
 
@@ -66,7 +65,7 @@ def _day(m: Column, form: str) -> Column:
 
 
 def _long_div(x: Column, y: Column) -> Column:
-    return F.floor(x / y)
+    return F.call_function("div", x, y)
 
 
 def _parse(m: Column) -> Column:

@@ -1,6 +1,6 @@
 """Quality classifier: weak labellers, their accuracies by expectation-maximisation, a hashed linear scorer.
 
-The labellers are column expressions; only the counts of their vote patterns (at most 3 to the
+Only the counts of their vote patterns (at most 3 to the
 power of their number, whatever the corpus) reach the driver, where the accuracies are estimated
 over all documents.  The posteriors label a bounded sample that fits the scorer; every document is
 then scored.
@@ -14,60 +14,64 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelrank.llm.common import whole_text
 
 #: Documents that fit the scorer, at most; its buckets; passes of EM and of the fit.
 SAMPLE, BUCKETS, EM_ROUNDS, FIT_ROUNDS = 6000, 1 << 16, 60, 150
+#: Weight of each labeller's prior, as a share of the documents.
+PRIOR = 0.05
 #: Documents under this probability of being good are rejected.
 KEEP_FROM = 0.5
-LABELLERS = ("signs", "capitals", "repeats", "sentences", "tables", "lines", "word_length")
+LABELLERS = ("signs", "capitals", "runs", "sentences", "tables", "lines", "word_length")
 
-_SIGNS, _CAPITALS = "&%$#*!@^~=+<>{}[]\\", "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ"
+_SIGNS, _STOPS = list(b"&%$#*!@^~=+<>{}[]\\"), list(b".!?")
+_REPEATED = re.compile(r"(?:^|\s)(\S{1,30})(?: \1){7}")
 
 
-def votes(text: Column) -> list[Column]:
+def votes(text: str) -> tuple[int, ...]:
     """Votes of the labellers for a whole text: 1 good, -1 bad, 0 none."""
-    words = F.split(F.trim(text), r"\s+")
-    n, n_words = F.greatest(F.length(text), F.lit(1)), F.greatest(F.size(words), F.lit(1))
+    counts = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
+    n, n_words, lines = max(len(text), 1), len(text.split()), text.split("\n")
 
-    def share(chars: str) -> Column:
-        return (F.length(text) - F.length(F.translate(text, chars, ""))) / n
+    def vote(value: float, bad_from: float, good_to: float, enough: bool) -> int:
+        return 0 if not enough else -1 if value >= bad_from else 1 if value <= good_to else 0
 
-    def vote(value: Column, bad_from: float, good_to: float, enough: Column | None = None) -> Column:
-        v = F.when(value >= bad_from, -1).when(value <= good_to, 1).otherwise(0)
-        return (v if enough is None else F.when(enough, v).otherwise(0)).cast("int")
+    return (
+        vote(counts[_SIGNS].sum() / n, 0.03, 0.004, n_words >= 3),
+        vote(counts[65:91].sum() / n, 0.25, 0.06, n >= 150),
+        vote(bool(_REPEATED.search(text)), 1, 0, n_words >= 8),
+        vote(n_words / (1 + counts[_STOPS].sum()), 120, 25, n_words >= 60),
+        vote(counts[ord("|")] / n, 0.02, 0.002, n_words >= 3),
+        vote(1 - len(set(lines)) / len(lines), 0.5, 0.15, len(lines) >= 4),
+        vote(n / max(n_words, 1), 16, 9.5, n_words >= 40),
+    )
 
-    lines = F.split(text, "\n")
-    return [
-        vote(share(_SIGNS), 0.03, 0.004),
-        vote(share(_CAPITALS), 0.30, 0.06, n >= 30),
-        vote(1 - F.size(F.array_distinct(words)) / n_words, 0.80, 0.55, n_words >= 40),
-        vote(n_words / (1 + F.length(text) - F.length(F.translate(text, ".!?", ""))), 60, 25, n_words >= 40),
-        vote(share("|"), 0.02, 0.002),
-        vote(1 - F.size(F.array_distinct(lines)) / F.size(lines), 0.5, 0.15, F.size(lines) >= 4),
-        vote(n / n_words, 14, 8.5, n_words >= 10),
-    ]
+
+def _votes(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([list(map(int, votes(t.as_py()))) for t in b.column(0)], pa.list_(pa.int32()))], names=["votes"])
 
 
 def estimate(patterns: dict[tuple[int, ...], int], rounds: int = EM_ROUNDS) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
     """EM over counts of vote patterns: P(good) for each pattern, and table[class, labeller, vote+1].
 
-    Starts from the majority of votes; pseudo-counts keep each labeller better than chance at the start.
+    Starts from "no bad vote"; an abstention says nothing.  The prior, worth PRIOR of the documents,
+    says that labellers seldom call a good document bad, and that a bad one shows to some only.
     """
     if not patterns:
         return {}, np.full((2, len(LABELLERS), 3), 1 / 3)
     keys = sorted(patterns)
     v, n = np.array(keys) + 1, np.array([patterns[k] for k in keys], float)
-    signed = (v - 1).sum(1) - 3.0 * (v == 0).sum(1)  # one bad vote outweighs a few good ones
-    good = 1 / (1 + np.exp(-signed))
-    table = np.full((2, v.shape[1], 3), 1 / 3)
+    good = np.where((v == 0).any(1), 0.03, 0.97)
+    table = np.ones((2, v.shape[1], 3))
     for _ in range(rounds):
         for c, w in enumerate((n * (1 - good), n * good)):
             for j in range(v.shape[1]):
-                table[c, j] = (np.bincount(v[:, j], w, 3) + 1) / (w.sum() + 3)
+                hits = np.bincount(v[:, j], w, 3)[[0, 2]] + PRIOR * n.sum() * np.array([[0.4, 0.6], [0.001, 0.999]][c])
+                table[c, j, [0, 2]] = hits / hits.sum()
         prior = ((n * good).sum() + 1) / (n.sum() + 2)
         log = [np.log(p) + sum(np.log(table[c, j, v[:, j]]) for j in range(v.shape[1])) for c, p in enumerate((1 - prior, prior))]
         good = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
@@ -135,12 +139,12 @@ def fit(rows: list[tuple[str, float]], rounds: int = FIT_ROUNDS) -> tuple[np.nda
 def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float, np.ndarray]:
     """(weights, bias, vote table): votes are counted over all rows, at most ``sample`` rows fit the scorer."""
     text = whole_text(text_col)
-    voted = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.array(*votes(text)).alias("votes"))
+    voted = docs.select(text.alias("text")).mapInArrow(_votes, "votes array<int>")
     patterns = {tuple(r["votes"]): r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     good, table = estimate(patterns)
     total = sum(patterns.values())
     few = docs.filter(F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col)), F.lit(max(total, 1))) < sample * 9 // 10).limit(sample)
-    rows = [(r["text"], good[tuple(r["votes"])]) for r in few.select(text.alias("text"), F.array(*votes(text)).alias("votes")).collect()]
+    rows = [(r["text"], good[votes(r["text"])]) for r in few.select(text.alias("text")).collect()]
     return (*fit(rows), table)
 
 
