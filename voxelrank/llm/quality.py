@@ -23,6 +23,8 @@ from voxelrank.llm.common import whole_text
 SAMPLE, BUCKETS, EM_ROUNDS, FIT_ROUNDS = 6000, 1 << 16, 60, 150
 #: Weight of each labeller's prior, as a share of the documents.
 PRIOR = 0.05
+#: Most good documents that a labeller can be believed to call bad (a constraint of the M step).
+FALSE_ALARM = 0.002
 #: Documents under this probability of being good are rejected.
 KEEP_FROM = 0.5
 LABELLERS = ("signs", "capitals", "runs", "sentences", "tables", "lines", "word_length")
@@ -71,7 +73,8 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = EM_ROUNDS) -> t
         for c, w in enumerate((n * (1 - good), n * good)):
             for j in range(v.shape[1]):
                 hits = np.bincount(v[:, j], w, 3)[[0, 2]] + PRIOR * n.sum() * np.array([[0.4, 0.6], [0.001, 0.999]][c])
-                table[c, j, [0, 2]] = hits / hits.sum()
+                wrong = hits[0] / hits.sum() if c == 0 else min(hits[0] / hits.sum(), FALSE_ALARM)
+                table[c, j, [0, 2]] = wrong, 1 - wrong
         prior = ((n * good).sum() + 1) / (n.sum() + 2)
         log = [np.log(p) + sum(np.log(table[c, j, v[:, j]]) for j in range(v.shape[1])) for c, p in enumerate((1 - prior, prior))]
         good = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
