@@ -20,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ from voxelrank.llm.common import materialise, whole_text
 from voxelrank.llm.suffixes import GUARD, SENTINEL, suffix_arrays
 
 WINDOW, GRAM = 100, 24
-#: Contexts in one suffix array at most, symbols sorted in one go, bytes of a text anchored in one go.
-BLOCK, SYMBOLS, SLICE = 64, 1_500_000, 1 << 22
+#: Contexts in one suffix array at most, symbols sorted in one go, bytes anchored in one go.
+BLOCK, SYMBOLS, SLICE = 64, 1_500_000, 1 << 17
 #: Marks the end of a context inside a string of the suffix array.
 BREAK = 2
 
@@ -54,11 +55,12 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return _mix(h[:-8] * _ODD[5] + eight[16:])
 
 
-def anchors(data: np.ndarray, base: int = 0) -> tuple[np.ndarray, ...]:
-    """(anchor, context hash, first window, number of windows) of each run of windows with one anchor."""
+def anchors(data: np.ndarray, base: int, owner: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(anchor, context hash, first window, number of windows, document) of each run of windows with one anchor.
+
+    ``owner`` has the document of each window's start, ``last`` the ends of the documents.
+    """
     n = len(data)
-    if n < WINDOW:
-        return tuple(np.empty(0, np.int64) for _ in range(4))
     h = gram_hashes(data)
     span = WINDOW - GRAM + 1  # grams in a window
     # Least hash, leftmost among equals: 40 bits of the hash over 24 bits of the position.
@@ -70,35 +72,34 @@ def anchors(data: np.ndarray, base: int = 0) -> tuple[np.ndarray, ...]:
         m *= 2
     k = np.minimum(k[: n - WINDOW + 1], k[span - m : span - m + n - WINDOW + 1])
     at = (k & low).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    inside = np.arange(base + WINDOW, base + n + 1) <= last[owner]
+    turn = np.r_[True, (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])]
+    turn[1:] |= inside[1:] != inside[:-1]
+    first = np.flatnonzero(turn)
     count = np.diff(np.r_[first, len(at)])
+    ok = inside[first]
+    first, count = first[ok], count[ok]
     p, end = at[first], first + count - 1 + WINDOW
     c = (count.astype(np.uint64) << np.uint64(16)) | (p - first).astype(np.uint64)
     for step in range(4):
         c = _mix(c * _ODD[8] + h[first + GRAM * step] * _ODD[9 + step])
         c = _mix(c * _ODD[14] + h[end - GRAM * (step + 1)] * _ODD[15 + step])
-    return h[p].view(np.int64), c.view(np.int64), first + base, count
-
-
-def text_anchors(raw: bytes) -> list[tuple[np.ndarray, ...]]:
-    """Anchors of a whole text, in slices that overlap by a window less a byte."""
-    data = np.frombuffer(raw, np.uint8)
-    return [anchors(data[at : at + SLICE + WINDOW - 1], at) for at in range(0, max(len(data) - WINDOW + 1, 0), SLICE)]
+    return h[p].view(np.int64), c.view(np.int64), first + base, count, owner[first]
 
 
 def _anchor_rows(batches):
+    """Anchors of all texts of a batch, taken over slices of their concatenation; windows over a border are left out."""
     names = ["anchor", "context", "doc_id", "start", "windows"]
     for batch in batches:
-        out, ids = [[] for _ in names], batch.column(0).to_pylist()
-        for doc_id, text in zip(ids, batch.column(1)):
-            for a, c, s, w in text_anchors(text.as_py().encode()):
-                for col, x in zip(out, (a, c, np.full(len(a), doc_id, np.int64), s, w)):
-                    col.append(x)
-            if sum(map(len, out[0])) > 300_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=names)
-                out = [[] for _ in names]
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=names)
+        texts = batch.column(1).cast(pa.large_binary())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        first, last, ids = ends[:-1] - ends[0], ends[1:] - ends[0], batch.column(0).to_numpy()
+        for at in range(0, max(len(data) - WINDOW + 1, 0), SLICE):
+            part = data[at : at + SLICE + WINDOW - 1]
+            owner = np.repeat(np.arange(len(ids)), np.diff(np.r_[at, np.clip(last, at, at + len(part) - WINDOW + 1)]))
+            a, c, s, w, o = anchors(part, at, owner, last)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, c, ids[o], s - first[o], w)], names=names)
 
 
 def _pack(batches):
@@ -120,86 +121,92 @@ def _cut_contexts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], names=names)
 
 
-def repeated_windows(groups: list[list[tuple[int, int, bytes]]]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """For groups of contexts (doc, start, bytes): which windows of each context repeat an earlier one of its group.
+def repeated_windows(group: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Which windows of each context repeat an earlier one of its group.
 
-    Returns, over all windows in order of groups, contexts and places: whether it repeats, whether it
-    is the earliest of its kind, and its context's number.
+    Contexts come sorted by ``group`` (0, 1, ...), with their document, start, length and, in one
+    array, bytes.  Returns for all windows, in order: whether it repeats, whether it is the earliest
+    of its kind in the group, its context, its place in the document, and its place in ``raw``.
     """
-    parts, off, ctx_at, ctx_end = [], [0], [], []
-    at = 0
-    for group in groups:
-        parts.append(np.array([GUARD], np.int32))
-        at += 1
-        for _, _, raw in group:
-            parts += [np.frombuffer(raw, np.uint8).astype(np.int32) + 3, np.array([BREAK], np.int32)]
-            ctx_at.append(at)
-            at += len(raw) + 1
-            ctx_end.append(at - 1)
-        parts.append(np.array([SENTINEL], np.int32))
-        at += 1
-        off.append(at)
-    text, off = np.concatenate(parts), np.array(off)
+    n, groups = len(group), int(group[-1]) + 1
+    from_raw = np.cumsum(size) - size
+    # In front of context i of group g stand g + 1 guards, g sentinels and i breaks.
+    ctx_at = from_raw + 2 * group + 1 + np.arange(n)
+    text = np.full(len(raw) + n + 2 * groups, BREAK, np.int32)
+    text[np.repeat(ctx_at - from_raw, size) + np.arange(len(raw))] = raw.astype(np.int32) + 3
+    heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    off = np.r_[ctx_at[heads] - 1, len(text)]
+    text[off[:-1]], text[off[1:] - 1] = GUARD, SENTINEL
     sa = suffix_arrays(text, off)
-    ctx_at, ctx_end = np.array(ctx_at), np.array(ctx_end)
-    docs = np.array([d for g in groups for d, _, _ in g], np.int64)
-    starts = np.array([s for g in groups for _, s, _ in g], np.int64)
     owner = np.searchsorted(ctx_at, sa, "right") - 1
-    inside = (owner >= 0) & (sa + WINDOW <= ctx_end[np.maximum(owner, 0)])
+    inside = (owner >= 0) & (sa + WINDOW <= (ctx_at + size)[np.maximum(owner, 0)])
     sa, owner = sa[inside], owner[inside]  # windows only, still in suffix order
-    group_of = np.searchsorted(off, sa, "right")
-    view = np.lib.stride_tricks.sliding_window_view(text.astype(np.uint8), WINDOW)  # +3 never overflows where bytes are text
+    here = sa - ctx_at[owner]
+    view = np.lib.stride_tricks.sliding_window_view(raw, WINDOW)
+    at = from_raw[owner] + here
     same = np.zeros(len(sa), bool)
-    for lo in range(1, len(sa), 50_000):
-        hi = min(lo + 50_000, len(sa))
-        same[lo:hi] = (view[sa[lo:hi]] == view[sa[lo - 1 : hi - 1]]).all(1)
-    same[1:] &= group_of[1:] == group_of[:-1]
+    for lo in range(1, len(sa), 20_000):
+        hi = min(lo + 20_000, len(sa))
+        x, y = at[lo:hi], at[lo - 1 : hi - 1]
+        close = np.flatnonzero((raw[x] == raw[y]) & (raw[x + WINDOW // 2] == raw[y + WINDOW // 2]) & (raw[x + WINDOW - 1] == raw[y + WINDOW - 1]))
+        same[lo + close] = (view[x[close]] == view[y[close]]).all(1)
+    same[1:] &= group[owner[1:]] == group[owner[:-1]]
     kind = np.cumsum(~same) - 1
-    doc, place = docs[owner], starts[owner] + sa - ctx_at[owner]
-    order = np.lexsort((place, doc, kind))
+    place = start[owner] + here
+    order = np.lexsort((place, doc[owner], kind))
     head = np.r_[True, kind[order][1:] != kind[order][:-1]]
     earliest = np.flatnonzero(head)[np.cumsum(head) - 1]
-    d, s = doc[order], place[order]
+    d, s = doc[owner][order], place[order]
     later = (d != d[earliest]) | (s != s[earliest])
-    back = np.argsort(sa[order], kind="stable")
-    return later[back], head[back], owner[order][back]
+    back = np.argsort(at[order], kind="stable")
+    return later[back], head[back], owner[order][back], s[back], at[order][back]
+
+
+def _window_keys(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the window at each place."""
+    h = gram_hashes(raw)
+    x = np.zeros(len(at), np.uint64)
+    y = np.full(len(at), 7, np.uint64)
+    for step, shift in enumerate((0, GRAM, 2 * GRAM, 3 * GRAM, WINDOW - GRAM)):
+        x = _mix(x * _ODD[8] + h[at + shift] * _ODD[9 + step])
+        y = _mix(y * _ODD[21] + (h[at + shift] ^ x) * _ODD[14 + step])
+    return x.view(np.int64), y.view(np.int64)
 
 
 def _sort_blocks(batches):
     """Rows sorted by (anchor, block) -> intervals to remove, and the windows that must meet other blocks."""
-    names = ["doc_id", "start", "end", "hash"]
-
-    def emit(groups, crossed):
-        flat = [c for g in groups for c in g]
-        later, head, owner = repeated_windows(groups)
-        firsts = np.r_[0, np.flatnonzero(owner[1:] != owner[:-1]) + 1]
-        doc, start = (np.array([c[i] for c in flat], np.int64) for i in (0, 1))
-        place = start[owner] + np.arange(len(owner)) - np.repeat(firsts, np.diff(np.r_[firsts, len(owner)]))
-        run = later & ~np.r_[False, later[:-1] & (owner[1:] == owner[:-1])]
-        stop = later & ~np.r_[later[1:] & (owner[1:] == owner[:-1]), False]
-        cols = [doc[owner[run]], place[run], place[stop] + WINDOW]
-        yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.nulls(len(cols[0]), pa.string())], names=names)
-        marks = np.concatenate([np.full(len(g), x) for g, x in zip(groups, crossed)])
-        over = np.flatnonzero(head & marks[owner])
-        if len(over):
-            raw = [flat[owner[i]][2][place[i] - start[owner[i]] :][:WINDOW] for i in over]
-            hashes = [hashlib.blake2b(r, digest_size=16).hexdigest() for r in raw]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[owner[over]]), pa.array(place[over]), pa.array(place[over] + WINDOW), pa.array(hashes)], names=names)
-
-    groups, crossed, key, symbols = [], [], None, 0
+    names = ["doc_id", "start", "end", "key1", "key2"]
+
+    def emit(table):
+        anchor, block, blocks, doc, start = (table.column(i).to_numpy() for i in range(5))
+        size = pc.binary_length(table.column(5)).to_numpy().astype(np.int64)
+        raw = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8)
+        group = np.cumsum(np.r_[0, (anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1])])
+        later, head, owner, place, at = repeated_windows(group, doc, start, size, raw)
+        joined = np.r_[False, (owner[1:] == owner[:-1]) & later[1:] & later[:-1]]
+        run, stop = later & ~joined, later & ~np.r_[joined[1:], False]
+        none = pa.nulls(int(run.sum()), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(doc[owner[run]]), pa.array(place[run]), pa.array(place[stop] + WINDOW), none, none], names=names)
+        over = np.flatnonzero(head & (blocks > 1)[owner])
+        for lo in range(0, len(over), 200_000):
+            o = over[lo : lo + 200_000]
+            x, y = _window_keys(raw, at[o])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[owner[o]]), pa.array(place[o]), pa.array(place[o] + WINDOW), pa.array(x), pa.array(y)], names=names)
+
+    held, size = [], 0
     for b in batches:
-        for anchor, block, blocks, doc_id, start, raw in zip(*(b.column(i).to_pylist() for i in range(6))):
-            if (anchor, block) != key:
-                if symbols > SYMBOLS:
-                    yield from emit(groups, crossed)
-                    groups, crossed, symbols = [], [], 0
-                key = (anchor, block)
-                groups.append([])
-                crossed.append(blocks > 1)
-            groups[-1].append((doc_id, start, raw))
-            symbols += len(raw) + 1
-    if groups:
-        yield from emit(groups, crossed)
+        held.append(b)
+        size += b.column(5).nbytes
+        if size > SYMBOLS:
+            table = pa.Table.from_batches(held).combine_chunks()
+            anchor, block = table.column(0).to_numpy(), table.column(1).to_numpy()
+            ends = np.flatnonzero((anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1]))
+            if len(ends):  # the last group may go on
+                yield from emit(table.slice(0, ends[-1] + 1))
+                held = table.slice(ends[-1] + 1).to_batches()
+                size = sum(x.column(5).nbytes for x in held)
+    if held and (table := pa.Table.from_batches(held).combine_chunks()).num_rows:
+        yield from emit(table)
 
 
 def _apply(batches):
@@ -241,11 +248,11 @@ def repeat_intervals(docs: DataFrame) -> DataFrame:
     asked = kinds.join(many, "anchor").select("anchor", F.when(blocks == 1, 0).otherwise(F.pmod(F.xxhash64("context"), blocks)).cast("long").alias("block"), blocks.cast("long").alias("blocks"), "first.doc_id", "first.start", "windows")
     by_doc = asked.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "block", "blocks", "start", "windows")).alias("wanted"))  # bounded by the document
     contexts = docs.mapInArrow(_pack, "doc_id long, packed binary").join(by_doc, "doc_id").mapInArrow(_cut_contexts, "anchor long, block long, blocks long, doc_id long, start long, bytes binary")
-    decided = materialise(contexts.repartition("anchor", "block").sortWithinPartitions("anchor", "block").mapInArrow(_sort_blocks, "doc_id long, start long, end long, hash string"))
-    crossing = decided.filter("hash IS NOT NULL")
-    earliest = crossing.groupBy("hash").agg(F.min(place).alias("first"))
-    crossed = crossing.join(earliest, "hash").filter(place > F.col("first")).select("doc_id", "start", "end")
-    return whole.unionByName(decided.filter("hash IS NULL").select("doc_id", "start", "end")).unionByName(crossed)
+    decided = materialise(contexts.repartition("anchor", "block").sortWithinPartitions("anchor", "block").mapInArrow(_sort_blocks, "doc_id long, start long, end long, key1 long, key2 long"))
+    crossing = decided.filter("key1 IS NOT NULL")
+    earliest = crossing.groupBy("key1", "key2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    crossed = crossing.join(earliest, ["key1", "key2"]).filter(place > F.col("first")).select("doc_id", "start", "end")
+    return whole.unionByName(decided.filter("key1 IS NULL").select("doc_id", "start", "end")).unionByName(crossed)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
