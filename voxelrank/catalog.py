@@ -1,4 +1,590 @@
-"""Registered queries of the library's own operators, and their SQL."""
+"""Registered queries of the library's own operators, and their SQL.
+
+The driver's ``embeddings`` stand for vectors and manifest: queries are the ids divisible by 25
+(the query's own patch excluded), views are cyclic shifts, reversals and windows of the vector.
+"""
+
+from __future__ import annotations
+
+import math
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxelrank.functions import geometry as G
+from voxelrank.functions import numbers as N
+from voxelrank.functions import vectors as V
+from voxelrank.operators import distance, fusion, metrics, pools, rerank, targets, topk, volume
+from voxelrank.plans import generators as P
+from voxelrank.session import shared_dir
+from voxelrank.sources import tables
+from voxelrank.streaming import incremental
 
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+DIM, K_VIEW, HITS_K = 64, 64, 40
+THRESHOLDS = (0.5, 1.0, 1.5)
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark, sf, name):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _r(c, digits=6):
+    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+
+
+# ---------------------------------------------------------------- fixture
+def _vectors(spark, sf):
+    return _t(spark, sf, "embeddings").select(F.col("vec_id").alias("patch_id"), F.col("embedding").cast("array<double>").alias("emb"), "label")
+
+
+def _manifest(spark, sf):
+    i = F.col("vec_id")
+    return _t(spark, sf, "embeddings").select(
+        i.alias("patch_id"), (i % 8).alias("normal_idx"), (F.call_function("div", i, F.lit(8)) % 10).alias("depth_idx"), F.lit(0).cast("long").alias("rot_idx"),
+        F.when(i % 3 == 0, 1).when(i % 3 == 1, 2).otherwise(4).cast("long").alias("scale"), F.col("label").cast("long").alias("label"),
+    )
+
+
+def _views(spark, sf):
+    """11 views of each query: 4 shifts by 2 directions, and 3 local windows."""
+    e = F.col("emb")
+    made = [("global", V.rotate(x, s, DIM)) for s in (0, 16, 32, 48) for x in (e, F.reverse(e))] + [("local", V.window_only(e, s, 32)) for s in (0, 16, 32)]
+    every = F.array(*(F.struct(F.lit(i).alias("view_idx"), F.lit(b).alias("branch"), x.alias("emb")) for i, (b, x) in enumerate(made)))
+    return _vectors(spark, sf).filter("patch_id % 25 = 0").select(F.col("patch_id").alias("query_id"), F.explode(every).alias("v")).select("query_id", "v.*")
+
+
+def _candidates(spark, sf, k=K_VIEW):
+    near = topk.vector_topk(_views(spark, sf), _vectors(spark, sf), k)
+    return near.withColumn("branch", F.when(F.col("view_idx") < 8, "global").otherwise("local"))
+
+
+def _fused(spark, sf, w_local=0.35, local="top2_mean"):
+    return fusion.fuse(fusion.evidence(_candidates(spark, sf), local), 1.0, w_local)
+
+
+def _hits(spark, sf, k=HITS_K):
+    """Ranked hits with the stand-in distance: 1 if the labels differ, plus |query - patch| / 100."""
+    found = fusion.rank_hits(fusion.dedup_slices(fusion.with_manifest(_fused(spark, sf), _manifest(spark, sf))), k)
+    label = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").cast("long").alias("q_label"))
+    d = F.when(F.col("label") != F.col("q_label"), 1.0).otherwise(0.0) + F.abs(F.col("query_id") - F.col("patch_id")) / 100
+    return found.join(label, "query_id").withColumn("dist", d).withColumn("row_idx", F.col("query_id")).withColumn("source", F.when(F.col("query_id") % 2 == 0, "allen").otherwise("real"))
+
+
+_VEC = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 25 = 0)"
+
+
+def _shift(x, s):
+    return x if not s else f"list_concat({x}[{s + 1}:64], {x}[1:{s}])"
+
+
+_VIEWS = "views AS (" + " UNION ALL ".join(
+    [f"SELECT vec_id AS query_id, {2 * i + j} AS view_idx, 'global' AS branch, {_shift(x, s)} AS e FROM (SELECT vec_id, e, list_reverse(e) AS r FROM q)" for i, s in enumerate((0, 16, 32, 48)) for j, x in enumerate(("e", "r"))]
+    + [f"SELECT vec_id, {8 + i}, 'local', [CASE WHEN i > {s} AND i <= {s + 32} THEN e[i] ELSE 0.0 END FOR i IN range(1, 65)] FROM q" for i, s in enumerate((0, 16, 32))]
+) + ")"
+_CAND = f"cand AS (SELECT * FROM (SELECT w.query_id, w.view_idx, w.branch, p.vec_id AS patch_id, list_inner_product(w.e, p.e) AS score, row_number() OVER (PARTITION BY w.query_id, w.view_idx ORDER BY list_inner_product(w.e, p.e) DESC, p.vec_id) AS view_rank FROM views w, v p WHERE p.vec_id <> w.query_id) WHERE view_rank <= {K_VIEW})"
+
+
+def _ev(w_local=0.35, local="top2_mean"):
+    lagg = "list_avg(ls[1:2])" if local == "top2_mean" else "ls[1]"
+    return f"""{_VEC}, {_VIEWS}, {_CAND},
+ev0 AS (SELECT query_id, patch_id, max(score) FILTER (WHERE branch = 'global') AS g, list_reverse_sort(list(score) FILTER (WHERE branch = 'local')) AS ls FROM cand GROUP BY ALL),
+ev AS (SELECT query_id, patch_id, g, {lagg} AS l, ls[1] AS l_best FROM ev0),
+fused AS (SELECT query_id, patch_id, coalesce(g, 0) + coalesce({w_local} * l, 0) AS score, CASE WHEN coalesce(g >= {w_local} * l_best, g IS NOT NULL) THEN 'global' ELSE 'local' END AS branch FROM ev)"""
+
+
+_MAN = "man AS (SELECT vec_id AS patch_id, vec_id % 8 AS normal_idx, (vec_id // 8) % 10 AS depth_idx, CAST(0 AS BIGINT) AS rot_idx, CAST(CASE vec_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END AS BIGINT) AS scale, CAST(label AS BIGINT) AS label FROM embeddings)"
+_DEDUP = "dd AS (SELECT * FROM (SELECT f.*, m.* EXCLUDE (patch_id), row_number() OVER (PARTITION BY query_id, normal_idx, depth_idx, rot_idx ORDER BY score DESC, f.patch_id) AS r0 FROM fused f JOIN man m USING (patch_id)) WHERE r0 = 1)"
+
+
+def _hits_sql(k=HITS_K):
+    return f"""{_ev()}, {_MAN}, {_DEDUP},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, patch_id) AS rank FROM dd),
+hits AS (SELECT r.query_id AS row_idx, r.query_id, CASE WHEN r.query_id % 2 = 0 THEN 'allen' ELSE 'real' END AS source, r.patch_id, r.rank, r.score, r.branch, r.scale, CASE WHEN r.label <> e.label THEN 1.0 ELSE 0.0 END + abs(r.query_id - r.patch_id) / 100 AS dist FROM ranked r JOIN embeddings e ON e.vec_id = r.query_id WHERE r.rank <= {k})"""
+
+
+_HITS = "WITH " + _hits_sql()
+
+
+# ---------------------------------------------------------------- search
+@_query(f"WITH {_ev()}, {_MAN}, {_DEDUP} SELECT query_id, patch_id, rank, round(score, 6) AS score, branch, scale FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, patch_id) AS rank FROM dd) WHERE rank <= 10")
+def flagship_fused_search(spark, sf):
+    hits = fusion.rank_hits(fusion.dedup_slices(fusion.with_manifest(_fused(spark, sf), _manifest(spark, sf))), 10)
+    return hits.select("query_id", "patch_id", "rank", _r("score").alias("score"), "branch", "scale")
+
+
+_KNN = f"WITH {_VEC} SELECT query_id, patch_id, rank, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id AS patch_id, list_inner_product(q.e, v.e) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, v.e) DESC, v.vec_id) AS rank FROM q, v WHERE q.vec_id <> v.vec_id) WHERE rank <= 5"
+
+
+@_query(_KNN)
+def knn_exact(spark, sf):
+    q = _views(spark, sf).filter("view_idx = 0")
+    return topk.vector_topk(q, _vectors(spark, sf), 5).select("query_id", "patch_id", F.col("view_rank").cast("long").alias("rank"), _r("score").alias("score"))
+
+
+@_query()
+def knn_ivf(spark, sf):
+    q = _views(spark, sf).filter("view_idx = 0")
+    return topk.ivf_topk(q, _vectors(spark, sf), 5).select("query_id", "patch_id", F.col("view_rank").cast("long").alias("rank"), _r("score").alias("score"))
+
+
+@_query(f"WITH {_VEC}, {_VIEWS}, {_CAND} SELECT query_id, CAST(view_idx AS BIGINT) AS view_idx, patch_id, view_rank, round(score, 6) AS score FROM cand WHERE view_rank <= 10")
+def multiview_topk_per_view(spark, sf):
+    return _candidates(spark, sf, 10).select("query_id", F.col("view_idx").cast("long").alias("view_idx"), "patch_id", F.col("view_rank").cast("long").alias("view_rank"), _r("score").alias("score"))
+
+
+def _fused_case(name, w_local, local):
+    def f(spark, sf):
+        return _fused(spark, sf, w_local, local).select("query_id", "patch_id", _r("score").alias("score"), "branch")
+
+    f.__name__ = name
+    _query(f"WITH {_ev(w_local, local)} SELECT query_id, patch_id, round(score, 6) AS score, branch FROM fused")(f)
+
+
+_fused_case("local_max", 0.35, "max")
+_fused_case("local_top2_mean", 0.35, "top2_mean")
+_fused_case("fused_local_dominant", 1.5, "top2_mean")
+
+
+@_query(f"WITH {_ev()}, {_MAN}, d1 AS (SELECT * FROM (SELECT f.*, m.* EXCLUDE (patch_id), row_number() OVER (PARTITION BY query_id, normal_idx, depth_idx, rot_idx ORDER BY score DESC, f.patch_id) AS r0 FROM fused f JOIN man m USING (patch_id) WHERE scale IN (1, 2)) WHERE r0 = 1) SELECT * FROM (SELECT query_id, patch_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, patch_id) AS rank, round(score, 6) AS score, scale FROM d1) WHERE rank <= 10")
+def scale_postfilter(spark, sf):
+    kept = fusion.scale_filter(fusion.with_manifest(_fused(spark, sf), _manifest(spark, sf)), (1, 2))
+    return fusion.rank_hits(fusion.dedup_slices(kept), 10).select("query_id", "patch_id", "rank", _r("score").alias("score"), "scale")
+
+
+@_query(f"WITH {_VEC}, {_MAN} SELECT query_id, patch_id, rank, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id AS patch_id, list_inner_product(q.e, v.e) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, v.e) DESC, v.vec_id) AS rank FROM q, v JOIN man ON man.patch_id = v.vec_id WHERE q.vec_id <> v.vec_id AND scale IN (1, 2)) WHERE rank <= 10")
+def scale_prefilter(spark, sf):
+    few = fusion.scale_filter(_vectors(spark, sf).drop("label").join(_manifest(spark, sf), "patch_id"), (1, 2))
+    return topk.vector_topk(_views(spark, sf).filter("view_idx = 0"), few, 10).select("query_id", "patch_id", F.col("view_rank").cast("long").alias("rank"), _r("score").alias("score"))
+
+
+@_query(f"WITH {_ev()}, {_MAN}, {_DEDUP} SELECT query_id, patch_id, normal_idx, depth_idx, rot_idx, round(score, 6) AS score FROM dd")
+def slice_dedup(spark, sf):
+    return fusion.dedup_slices(fusion.with_manifest(_fused(spark, sf), _manifest(spark, sf))).select("query_id", "patch_id", *fusion.SLICE_KEY, _r("score").alias("score"))
+
+
+@_query(f"WITH {_ev()}, {_MAN} SELECT query_id, count(*) AS n_candidates, count(DISTINCT normal_idx * 100 + depth_idx) AS n_slices FROM fused JOIN man USING (patch_id) GROUP BY 1")
+def candidate_counts(spark, sf):
+    return fusion.candidate_counts(fusion.with_manifest(_fused(spark, sf), _manifest(spark, sf)))
+
+
+@_query(f"{_HITS} SELECT h.query_id, h.patch_id, h.rank, m.normal_idx, m.depth_idx, m.scale FROM hits h LEFT JOIN (SELECT * FROM man WHERE patch_id % 7 <> 0) m USING (patch_id)")
+def missing_manifest_rows(spark, sf):
+    few = _manifest(spark, sf).filter("patch_id % 7 != 0").select("patch_id", "normal_idx", "depth_idx", "scale")
+    hits = _hits(spark, sf).select("query_id", "patch_id", "rank")
+    return fusion.with_manifest(hits, few, keep_missing=True).select("query_id", "patch_id", "rank", "normal_idx", "depth_idx", "scale")
+
+
+@_query(f"WITH {_VEC}, d AS (SELECT vec_id, e FROM v UNION ALL SELECT vec_id + 100000, e FROM v WHERE vec_id % 2 = 0) SELECT * FROM (SELECT q.vec_id AS query_id, d.vec_id AS patch_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.e, d.e), 9) DESC, d.vec_id) AS rank FROM q, d WHERE q.vec_id <> d.vec_id) WHERE rank <= 6")
+def topk_ties(spark, sf):
+    v = _vectors(spark, sf).select("patch_id", "emb")
+    both = v.unionByName(v.filter("patch_id % 2 = 0").withColumn("patch_id", F.col("patch_id") + 100000))
+    near = topk.vector_topk(_views(spark, sf).filter("view_idx = 0"), both, 12).withColumn("score", F.round("score", 9))
+    return fusion.rank_hits(near, 6).select("query_id", "patch_id", "rank")
+
+
+@_query("SELECT vec_id, round(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS norm2, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), list_reverse(CAST(embedding AS DOUBLE[]))), 6) AS cos_rev FROM embeddings")
+def vector_functions(spark, sf):
+    e = F.col("emb")
+    return _vectors(spark, sf).select(F.col("patch_id").alias("vec_id"), _r(V.dot(e, e)).alias("norm2"), _r(V.cosine(V.l2_normalise(e), F.reverse(e))).alias("cos_rev"))
+
+
+# ---------------------------------------------------------------- scores
+def _norm_case(name, expr, f):
+    def g(spark, sf):
+        from pyspark.sql import Window
+
+        return _hits(spark, sf).select("query_id", "patch_id", _r(f(F.col("score"), Window.partitionBy("query_id")), 5).alias("z"))
+
+    g.__name__ = name
+    _query(f"{_HITS} SELECT query_id, patch_id, round({expr}, 5) AS z FROM hits WINDOW w AS (PARTITION BY query_id)")(g)
+
+
+_norm_case("score_zscore", "CASE WHEN stddev_pop(score) OVER w < 1e-6 THEN 0.0 ELSE (score - avg(score) OVER w) / stddev_pop(score) OVER w END", N.zscore)
+_norm_case("score_minmax", "CASE WHEN max(score) OVER w - min(score) OVER w < 1e-6 THEN 0.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END", N.minmax)
+
+
+@_query(f"""{_HITS}, c AS (SELECT *, (patch_id * 7919 % 1000) / 1000.0::DOUBLE AS raw, CASE WHEN rank <= 10 THEN 0 ELSE 1 END AS segment FROM hits),
+b AS (SELECT *, CASE WHEN segment = 0 THEN 0.4::DOUBLE * (score - avg(score) OVER w) / stddev_pop(score) OVER w + 0.6::DOUBLE * (raw - avg(raw) OVER w) / stddev_pop(raw) OVER w END AS blend FROM c WINDOW w AS (PARTITION BY query_id, segment))
+SELECT query_id, patch_id, segment::BIGINT AS segment, row_number() OVER (PARTITION BY query_id ORDER BY segment, blend DESC NULLS LAST, CASE WHEN segment = 0 THEN raw END DESC NULLS LAST, rank, patch_id) AS new_rank FROM b""")
+def rerank_segment_order(spark, sf):
+    hits = _hits(spark, sf).withColumn("raw", (F.col("patch_id") * 7919 % 1000) / 1000)
+    return rerank.rerank_order(hits, topk=10, alpha=0.6).select("query_id", "patch_id", F.col("segment").cast("long").alias("segment"), "new_rank")
+
+
+@_query()
+def mlp_rerank(spark, sf):
+    cfg = rerank.RerankerConfig(dim=DIM, hidden=(32, 16))
+    hits = _hits(spark, sf, 10)
+    views = _views(spark, sf).filter("branch = 'global'").select("query_id", "view_idx", F.col("emb").alias("q"))
+    pairs = hits.select("query_id", "patch_id").join(views, "query_id").join(_vectors(spark, sf).select("patch_id", F.col("emb").alias("c")), "patch_id")
+    raw = rerank.max_over_views(rerank.score_pairs(pairs, rerank.init_weights(cfg), ["query_id", "patch_id"]))
+    return rerank.rerank_order(hits.join(raw, ["query_id", "patch_id"]), 10).select("query_id", "patch_id", "rank", "new_rank", _r("raw").alias("raw"))
+
+
+# ---------------------------------------------------------------- metrics
+@_query(f"{_HITS} SELECT row_idx, source, " + ", ".join(f"round(min(dist) FILTER (WHERE rank <= {k}), 6) AS geom_at_{k}" for k in metrics.KS) + " FROM hits GROUP BY 1, 2")
+def geom_at_k(spark, sf):
+    return metrics.geom_at_k(_hits(spark, sf)).select("row_idx", "source", *(_r(f"geom_at_{k}").alias(f"geom_at_{k}") for k in metrics.KS))
+
+
+@_query(f"{_HITS} SELECT row_idx, source, first(rank ORDER BY dist, rank) AS rank_best FROM hits GROUP BY 1, 2")
+def rank_best_geom(spark, sf):
+    return metrics.rank_best(_hits(spark, sf))
+
+
+@_query(f"{_HITS} SELECT row_idx, source, " + ", ".join(f"max(CASE WHEN dist <= {t} AND rank <= {k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS sr_{k}_{i}" for i, t in enumerate(THRESHOLDS) for k in (10, 100)) + " FROM hits GROUP BY 1, 2")
+def success_rate(spark, sf):
+    return metrics.success(_hits(spark, sf), THRESHOLDS)
+
+
+@_query(f"{_HITS} SELECT row_idx, source, " + ", ".join(f"round(coalesce(1.0::DOUBLE / min(rank) FILTER (WHERE dist <= {t} AND rank <= 100), 0.0), 6) AS rr_{i}" for i, t in enumerate(THRESHOLDS)) + " FROM hits GROUP BY 1, 2")
+def mrr(spark, sf):
+    return metrics.reciprocal_rank(_hits(spark, sf), THRESHOLDS).select("row_idx", "source", *(_r(f"rr_{i}").alias(f"rr_{i}") for i in range(3)))
+
+
+_NDCG = f"""{_HITS}, t AS (SELECT *, greatest(quantile_cont(dist, 0.5) OVER (PARTITION BY row_idx, source), 1e-6) AS tau FROM hits),
+g AS (SELECT *, exp(-dist / tau) AS gain, row_number() OVER (PARTITION BY row_idx, source ORDER BY dist, rank) AS ideal FROM t)
+SELECT row_idx, source, """ + ", ".join(f"round(sum(gain / log2(rank + 1)) FILTER (WHERE rank <= {k}) / sum(gain / log2(ideal + 1)) FILTER (WHERE ideal <= {k}), 6) AS ndcg_{k}" for k in (10, 100)) + " FROM g GROUP BY 1, 2"
+
+
+@_query(_NDCG)
+def ndcg(spark, sf):
+    return metrics.ndcg(_hits(spark, sf)).select("row_idx", "source", *(_r(f"ndcg_{k}").alias(f"ndcg_{k}") for k in (10, 100)))
+
+
+@_query(f"{_HITS} SELECT " + ", ".join(f"round(greatest(quantile_cont(dist, {p}), 1e-6), 6) AS {n}" for p, n in ((0.25, "t25"), (0.5, "t50"), (0.75, "t75"))) + " FROM hits WHERE rank = 1")
+def thresholds_from_baseline(spark, sf):
+    return metrics.thresholds_of(_hits(spark, sf)).select(*(_r(c).alias(c) for c in ("t25", "t50", "t75")))
+
+
+def _labelled(spark, sf):
+    return _hits(spark, sf).withColumn("q_is_crop", F.col("query_id") % 50 == 0).withColumn("search_mode", F.when(F.col("query_id") % 75 == 0, "fast").otherwise("smart"))
+
+
+_PER = f"""per AS (SELECT row_idx, source, row_idx % 50 = 0 AS crop, CASE WHEN row_idx % 75 = 0 THEN 'fast' ELSE 'smart' END AS mode, min(dist) FILTER (WHERE rank <= 1) AS g1, min(dist) FILTER (WHERE rank <= 10) AS g10, max(CASE WHEN dist <= {THRESHOLDS[0]} AND rank <= 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS s10, coalesce(1.0::DOUBLE / min(rank) FILTER (WHERE dist <= {THRESHOLDS[0]} AND rank <= 100), 0.0) AS rr FROM hits GROUP BY ALL),
+lab AS (SELECT *, unnest(['ALL', CASE WHEN crop THEN 'CROP' ELSE 'FULL' END, 'SEARCH_MODE=' || mode]) AS grp FROM per), src AS (SELECT * EXCLUDE (source), unnest(['ALL', source]) AS source FROM lab),
+agg AS (SELECT grp, source, count(*) AS n, avg(g1) AS a, quantile_cont(g1, 0.5) AS b, avg(g10) AS c, quantile_cont(g10, 0.5) AS d, avg(s10) AS e, avg(rr) AS f FROM src GROUP BY ALL)"""
+_TIDY = "SELECT grp AS \"group\", source, metric, round(value, 6) AS value, n AS n_queries FROM (SELECT grp, source, n, unnest(['Geom@1 mean', 'Geom@1 median', 'Geom@10 mean', 'Geom@10 median', 'SR@10(t0) mean', 'MRR(t0) mean']) AS metric, unnest([a, b, c, d, e, f]) AS value FROM agg)"
+_SHOWN = ("Geom@1 mean", "Geom@1 median", "Geom@10 mean", "Geom@10 median", "SR@10(t0) mean", "MRR(t0) mean")
+
+
+@_query(f"{_HITS}, {_PER} {_TIDY}")
+def metrics_by_group(spark, sf):
+    tidy = metrics.report_metrics(_labelled(spark, sf), THRESHOLDS)
+    return tidy.filter(F.col("metric").isin(*_SHOWN)).select("group", "source", "metric", _r("value").alias("value"), "n_queries")
+
+
+@_query(f"{_HITS}, {_PER} SELECT grp AS \"group\", round(max(a) FILTER (WHERE source = 'ALL'), 6) AS \"ALL\", round(max(a) FILTER (WHERE source = 'allen'), 6) AS allen, round(max(a) FILTER (WHERE source = 'real'), 6) AS \"real\" FROM agg GROUP BY 1")
+def report_pivot(spark, sf):
+    tidy = metrics.report_metrics(_labelled(spark, sf), THRESHOLDS).filter("metric = 'Geom@1 mean'")
+    return tidy.groupBy("group").pivot("source", ["ALL", "allen", "real"]).agg(F.round(F.first("value"), 6))
+
+
+@_query(f"""{_HITS}, {_PER}, per2 AS (SELECT row_idx, source, min(dist) AS g1 FROM hits WHERE rank = 2 GROUP BY ALL),
+a2 AS (SELECT 'ALL' AS grp, s AS source, avg(g1) AS a FROM (SELECT g1, unnest(['ALL', source]) AS s FROM per2) GROUP BY ALL)
+SELECT coalesce(x.grp, y.grp) AS "group", coalesce(x.source, y.source) AS source, round(x.a, 6) AS base, round(y.a, 6) AS other, round(y.a - x.a, 6) AS delta_other FROM (SELECT grp, source, a FROM agg) x FULL OUTER JOIN a2 y ON x.grp = y.grp AND x.source = y.source""")
+def compare_runs(spark, sf):
+    hits = _labelled(spark, sf)
+    second = _hits(spark, sf).filter("rank = 2").withColumn("rank", F.lit(1).cast("long"))
+    runs = {"base": metrics.report_metrics(hits, THRESHOLDS), "other": metrics.report_metrics(second, THRESHOLDS)}
+    both = metrics.compare_runs({n: r.filter("metric = 'Geom@1 mean'") for n, r in runs.items()})
+    return both.select("group", "source", *(_r(c).alias(c) for c in ("base", "other", "delta_other")))
+
+
+@_query(f"{_HITS}, f AS (SELECT row_idx, avg(score) AS s, avg(dist) AS d FROM hits WHERE rank = 1 GROUP BY 1) SELECT round(avg(s), 6) AS avg_top1, round(avg(d), 6) AS avg_dist1, count(*) AS n_rows FROM f")
+def running_stats(spark, sf):
+    return metrics.running_stats(_hits(spark, sf)).select(_r("avg_top1").alias("avg_top1"), _r("avg_dist1").alias("avg_dist1"), "n_rows")
+
+
+# ---------------------------------------------------------------- targets
+def _targets_case(name, divisor, low, high):
+    def f(spark, sf):
+        got = targets.soft_targets(_hits(spark, sf), ["row_idx", "source"], divisor, low, high)
+        return got.select("row_idx", "source", "patch_id", *(_r(c).alias(c) for c in ("tau", "logit", "prob")))
+
+    f.__name__ = name
+    _query(f"""{_HITS}, t AS (SELECT *, least(greatest(greatest(quantile_cont(dist, 0.9) OVER w - quantile_cont(dist, 0.1) OVER w, 1e-6) / {divisor}, {low}), {high}) AS tau FROM hits WINDOW w AS (PARTITION BY row_idx, source)),
+e AS (SELECT *, -dist / tau AS logit, exp(-dist / tau - max(-dist / tau) OVER (PARTITION BY row_idx, source)) AS x FROM t)
+SELECT row_idx, source, patch_id, round(tau, 6) AS tau, round(logit, 6) AS logit, round(x / sum(x) OVER (PARTITION BY row_idx, source), 6) AS prob FROM e""")(f)
+
+
+_targets_case("soft_targets_eval", 3.0, 1e-3, 1e4)
+_targets_case("soft_targets_train", 4.0, 1.0, 256.0)
+
+
+@_query(f"{_HITS} SELECT row_idx, source, round(greatest((quantile_cont(dist, 0.5) - min(dist)) / ln(10), 1e-6), 6) AS tau FROM hits GROUP BY 1, 2")
+def adaptive_tau(spark, sf):
+    return targets.adaptive_tau(_hits(spark, sf), ["row_idx", "source"]).select("row_idx", "source", _r("tau").alias("tau"))
+
+
+@_query(f"{_HITS} SELECT row_idx, patch_id, round(least(greatest(dist, 0), 2.0), 6) AS clipped, round(ln(1 + least(greatest(dist, 0), 2.0)), 6) AS log1p FROM hits")
+def distance_targets(spark, sf):
+    d = F.col("dist")
+    return _hits(spark, sf).select("row_idx", "patch_id", _r(N.distance_target(d, "clipped", 2.0)).alias("clipped"), _r(N.distance_target(d, "log1p", 2.0)).alias("log1p"))
+
+
+@_query(f"{_HITS}, a AS (SELECT row_idx, list_sort(list(dist)) AS ds FROM hits GROUP BY 1) SELECT row_idx, round(list_avg(ds[1:greatest(1, CAST(floor(len(ds) * 0.9) AS BIGINT))]), 6) AS tm FROM a")
+def trimmed_mean(spark, sf):
+    return _hits(spark, sf).groupBy("row_idx").agg(F.collect_list("dist").alias("ds")).select("row_idx", _r(N.trimmed_mean(F.col("ds"), 0.1)).alias("tm"))
+
+
+# ---------------------------------------------------------------- pools
+_MIX = "((0 * 31 + {0}) % 4294967296 * 2654435761) % 4294967296"
+
+
+@_query(f"{_HITS} SELECT row_idx, source, patch_id, rank, round(dist, 6) AS dist FROM (SELECT *, count(*) OVER (PARTITION BY row_idx, source) AS n FROM hits WHERE rank <= 20 AND patch_id % 3 <> 0) WHERE n >= 12")
+def pool_build(spark, sf):
+    known = _vectors(spark, sf).filter("patch_id % 3 != 0")
+    return pools.build_pools(_hits(spark, sf), known, 20, 12).withColumn("dist", _r("dist"))
+
+
+@_query("""WITH k AS (SELECT vec_id AS row_idx, ((42 * 31 + vec_id) % 4294967296 * 2654435761) % 4294967296 AS o FROM embeddings WHERE vec_id % 5 = 0),
+p AS (SELECT row_idx, count(*) OVER () AS n, row_number() OVER (ORDER BY o, row_idx) AS i FROM k)
+SELECT row_idx, CASE WHEN i <= round_even(n * 0.8, 0) THEN 'train' WHEN i <= round_even(n * 0.8, 0) + round_even(n * 0.1, 0) THEN 'val' ELSE 'test' END AS split FROM p""")
+def split_rows(spark, sf):
+    return pools.split_rows(_t(spark, sf, "embeddings").filter("vec_id % 5 = 0").select(F.col("vec_id").alias("row_idx")))
+
+
+@_query(f"""{_HITS}, b AS (SELECT row_idx, source, patch_id, rank, CASE WHEN rank <= 4 THEN 0 WHEN rank <= 12 THEN 1 ELSE 2 END AS band, ((((0 * 31 + row_idx) % 4294967296) * 31 + patch_id) % 4294967296 * 2654435761) % 4294967296 AS o, count(*) OVER (PARTITION BY row_idx, source) AS n FROM hits),
+r AS (SELECT *, row_number() OVER (PARTITION BY row_idx, source, band ORDER BY o, patch_id) AS r FROM b), w AS (SELECT *, r > [3, 4, 4][band + 1] AS over FROM r),
+p AS (SELECT *, row_number() OVER (PARTITION BY row_idx, source ORDER BY over, CASE WHEN over THEN 0 ELSE band END, o, patch_id) AS p FROM w)
+SELECT row_idx, source, patch_id, rank, band::BIGINT AS band FROM p WHERE n <= 12 OR p <= 12""")
+def stratified_sample(spark, sf):
+    base = _hits(spark, sf).select("row_idx", "source", "patch_id", "rank")
+    return pools.stratified_sample(base, 12, (4, 12), (3, 4, 4)).withColumn("band", F.col("band").cast("long"))
+
+
+# ---------------------------------------------------------------- resume
+def _log(spark, sf):
+    """Hits in which some rows are incomplete."""
+    return _hits(spark, sf).filter("NOT (row_idx % 100 = 0 AND rank > 7)").select(F.lit("sig1").alias("eval_sig"), "row_idx", "source", "rank", "patch_id")
+
+
+_LOG = f"{_HITS}, log AS (SELECT 'sig1' AS eval_sig, row_idx, source, rank, patch_id FROM hits WHERE NOT (row_idx % 100 = 0 AND rank > 7)), cnt AS (SELECT row_idx, source, count(*) AS n FROM log GROUP BY ALL)"
+
+
+@_query(f"{_LOG} SELECT vec_id AS row_idx FROM embeddings WHERE vec_id % 5 = 0 AND vec_id NOT IN (SELECT row_idx FROM cnt WHERE n >= 20 AND source = 'allen')")
+def pending_rows(spark, sf):
+    rows = _t(spark, sf, "embeddings").filter("vec_id % 5 = 0").select(F.col("vec_id").alias("row_idx"))
+    return incremental.pending(rows, _log(spark, sf), "sig1", 20, ["allen"])
+
+
+@_query(f"{_LOG} SELECT l.row_idx, l.source, l.rank, l.patch_id FROM log l JOIN cnt USING (row_idx, source) WHERE n >= 20")
+def partial_groups_purge(spark, sf):
+    return incremental.purge_partial(_log(spark, sf), "sig1", 20).select("row_idx", "source", "rank", "patch_id")
+
+
+@_query(f"{_LOG} SELECT row_idx FROM cnt WHERE n >= 20 AND source = 'real'")
+def completed_queries(spark, sf):
+    return incremental.completed(_log(spark, sf), "sig1", 20, ["real"])
+
+
+@_query()
+def stream_append_hits(spark, sf):
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    _log(spark, sf).repartition(3).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema("eval_sig string, row_idx long, source string, rank long, patch_id long").parquet(f"{path}/in")
+    incremental.append_stream(stream, f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/out").drop("batch")
+
+
+# ---------------------------------------------------------------- generators
+@_query(f"SELECT i AS normal_idx, round(sqrt(1 - z * z) * cos(th) / n, 6) AS nx, round(sqrt(1 - z * z) * sin(th) / n, 6) AS ny, round(z / n, 6) AS nz FROM (SELECT i, z, th, sqrt((1 - z * z) * cos(th) * cos(th) + (1 - z * z) * sin(th) * sin(th) + z * z) AS n FROM (SELECT i, 1 - 2 * (i + 0.5::DOUBLE) / 64 AS z, 2 * pi() * (i + 0.5::DOUBLE) / {P.GOLDEN!r}::DOUBLE AS th FROM range(64) t(i)))")
+def fibonacci_normals(spark, sf):
+    return P.fibonacci_normals(spark, 64).select("normal_idx", *(_r(c).alias(c) for c in ("nx", "ny", "nz")))
+
+
+_FIB = f"fib AS (SELECT i AS normal_idx, sqrt(1 - z * z) * cos(th) AS nx, sqrt(1 - z * z) * sin(th) AS ny, z AS nz FROM (SELECT i, 1 - 2 * (i + 0.5::DOUBLE) / 16 AS z, 2 * pi() * (i + 0.5::DOUBLE) / {P.GOLDEN!r}::DOUBLE AS th FROM range(16) t(i))), half AS (SELECT *, abs(nx) * 10 + abs(ny) * 15 + abs(nz) * 20 AS hd FROM fib)"
+
+
+@_query(f"WITH {_FIB}, d AS (SELECT *, unnest(range(0, CAST(floor((2 * hd - 2) / 2.5::DOUBLE) AS BIGINT) + 1)) AS depth_idx FROM half) SELECT normal_idx, depth_idx, round(-hd + 1 + depth_idx * 2.5::DOUBLE, 6) AS depth FROM d")
+def depth_schedule(spark, sf):
+    return P.slice_plan(P.fibonacci_normals(spark, 16), (20, 30, 40), 2.5, 1.0).select("normal_idx", F.col("depth_idx").cast("long").alias("depth_idx"), _r("depth").alias("depth"))
+
+
+@_query(f"WITH {_FIB} SELECT normal_idx, i AS depth_idx, round(-hd + i * 2 * hd / 6, 6) AS depth FROM half, range(7) t(i)")
+def depth_linspace(spark, sf):
+    half = G.depth_bounds(G.vec(F.col("nx"), F.col("ny"), F.col("nz")), (20, 30, 40))
+    laid = P.fibonacci_normals(spark, 16).select("normal_idx", F.posexplode(P.depths_linspace(-half, half, 7)).alias("depth_idx", "depth"))
+    return laid.select("normal_idx", F.col("depth_idx").cast("long").alias("depth_idx"), _r("depth").alias("depth"))
+
+
+@_query(f"WITH {_FIB} SELECT CAST(sum((CAST(floor((2 * hd - 2) / 2.5::DOUBLE) AS BIGINT) + 1) * 3) AS BIGINT) AS n_slices FROM half")
+def slice_plan_count(spark, sf):
+    return P.slice_count(P.fibonacci_normals(spark, 16), (20, 30, 40), 2.5, 1.0, 3)
+
+
+@_query(f"WITH {_FIB}, d AS (SELECT *, unnest(range(0, CAST(floor((2 * hd - 2) / 2.5::DOUBLE) AS BIGINT) + 1)) AS depth_idx FROM half) SELECT normal_idx, depth_idx, r AS rot_idx, r * 45.0::DOUBLE AS rotation FROM d, range(3) t(r)")
+def slice_plan(spark, sf):
+    plan = P.slice_plan(P.fibonacci_normals(spark, 16), (20, 30, 40), 2.5, 1.0, (0.0, 45.0, 90.0))
+    return plan.select("normal_idx", F.col("depth_idx").cast("long").alias("depth_idx"), F.col("rot_idx").cast("long").alias("rot_idx"), "rotation")
+
+
+@_query("""WITH s AS (SELECT scale, CAST(round_even(512.0::DOUBLE / scale, 0) AS BIGINT) AS w FROM (VALUES (1), (2), (4)) t(scale)), p AS (SELECT *, greatest(1, CAST(round_even(w * 0.75::DOUBLE, 0) AS BIGINT)) AS st FROM s), n AS (SELECT *, (512 - w) // st AS n FROM p)
+SELECT CAST(scale AS BIGINT) AS scale, r AS patch_row, c AS patch_col, c * st AS x0, r * st AS y0, c * st + w AS x1, r * st + w AS y1 FROM n, range(20) a(r), range(20) b(c) WHERE r <= n AND c <= n""")
+def patch_grid(spark, sf):
+    g = P.patch_grid(spark, 512, (1, 2, 4), 0.25)
+    return g.select(*(F.col(c).cast("long").alias(c) for c in g.columns))
+
+
+_STARTS = "st AS (SELECT o_orderkey AS id, o_orderkey % 900 + 100 AS total, o_orderkey % 90 + 30 AS win FROM orders WHERE o_orderkey % 50 = 0), sp AS (SELECT *, greatest(1, CAST(round_even(win * 0.5::DOUBLE, 0) AS BIGINT)) AS step FROM st), ss AS (SELECT *, CASE WHEN total - win <= 0 THEN [0] ELSE list_sort(list_distinct(list_append(range(0, total - win + 1, step), total - win))) END AS starts FROM sp)"
+
+
+def _windows(spark, sf):
+    return _t(spark, sf, "orders").filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 900 + 100).cast("int").alias("total"), (F.col("o_orderkey") % 90 + 30).cast("int").alias("win"))
+
+
+@_query(f"WITH {_STARTS} SELECT id, unnest(starts) AS start FROM ss")
+def sliding_starts(spark, sf):
+    return _windows(spark, sf).select("id", F.explode(P.sliding_starts(F.col("total"), F.col("win"), 0.5)).alias("start")).withColumn("start", F.col("start").cast("long"))
+
+
+@_query(f"WITH {_STARTS}, a AS (SELECT id, starts, len(starts) AS n FROM ss) SELECT id, unnest(CASE WHEN n <= 4 THEN starts ELSE list_sort(list_distinct([starts[CAST(round_even(i * (n - 1) / 3.0::DOUBLE, 0) AS BIGINT) + 1] FOR i IN range(4)])) END) AS start FROM a")
+def reduce_positions(spark, sf):
+    starts = P.sliding_starts(F.col("total"), F.col("win"), 0.5)
+    return _windows(spark, sf).select("id", F.explode(P.reduce_positions(starts, 4)).alias("start")).withColumn("start", F.col("start").cast("long"))
+
+
+@_query("""WITH im AS (SELECT o_orderkey AS image_id, o_orderkey % 700 + 40 AS w, o_orderkey % 300 + 50 AS h FROM orders WHERE o_orderkey % 50 = 0), a AS (SELECT *, least(w, h) AS s, greatest(w, h) AS l FROM im WHERE least(w, h) >= 64 AND greatest(w, h) / least(w, h) >= 1.35),
+b AS (SELECT *, greatest(1, CAST(round_even(s * 0.5::DOUBLE, 0) AS BIGINT)) AS step FROM a), c AS (SELECT *, list_sort(list_distinct(list_append(range(0, l - s + 1, step), l - s))) AS st FROM b),
+d AS (SELECT *, CASE WHEN len(st) <= 3 THEN st ELSE list_sort(list_distinct([st[CAST(round_even(i * (len(st) - 1) / 2.0::DOUBLE, 0) AS BIGINT) + 1] FOR i IN range(3)])) END AS p FROM c), e AS (SELECT *, unnest(p) AS x, unnest(range(0, len(p))) AS k FROM d)
+SELECT image_id, k AS crop_id, CASE WHEN w > h THEN x ELSE 0 END AS x0, CASE WHEN w > h THEN 0 ELSE x END AS y0, CASE WHEN w > h THEN x ELSE 0 END + s AS x1, CASE WHEN w > h THEN 0 ELSE x END + s AS y1 FROM e""")
+def local_crop_boxes(spark, sf):
+    images = _t(spark, sf, "orders").filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("image_id"), (F.col("o_orderkey") % 700 + 40).cast("int").alias("width"), (F.col("o_orderkey") % 300 + 50).cast("int").alias("height"))
+    got = P.local_crops(images)
+    return got.select(*(F.col(c).cast("long").alias(c) for c in got.columns))
+
+
+@_query("SELECT i AS view_idx, (i // 4) * 90.0::DOUBLE AS angle, (i // 2) % 2 = 1 AS flip_x, i % 2 = 1 AS flip_y FROM range(16) t(i)")
+def view_expansion(spark, sf):
+    return P.view_grid(spark, flip_y=True).withColumn("view_idx", F.col("view_idx").cast("long"))
+
+
+@_query()
+def crop_sampler(spark, sf):
+    return P.random_crops(P.random_planes(spark, 50, (64, 64, 64)))
+
+
+# ---------------------------------------------------------------- geometry
+def _parts(spark, sf):
+    k = F.col("p_partkey")
+    return _t(spark, sf, "part").select(k.alias("id"), (k % 17 - 8.0).alias("x"), (k % 13 - 6.0).alias("y"), (k % 11 - 4.5).alias("z"), (k % 90 * 1.0).alias("deg"), (k % 20 - 10.0).alias("depth"))
+
+
+_PART = "pt AS (SELECT p_partkey AS id, p_partkey % 17 - 8.0::DOUBLE AS x, p_partkey % 13 - 6.0::DOUBLE AS y, p_partkey % 11 - 4.5::DOUBLE AS z, p_partkey % 90 * 1.0::DOUBLE AS deg, p_partkey % 20 - 10.0::DOUBLE AS depth FROM part), un AS (SELECT id, deg, depth, x / (l + 1e-12) AS nx, y / (l + 1e-12) AS ny, z / (l + 1e-12) AS nz FROM (SELECT *, sqrt(x * x + y * y + z * z) AS l FROM pt)), rf AS (SELECT *, CASE WHEN abs(nz) < 0.9 THEN 0.0 ELSE 1.0 END AS rx, CASE WHEN abs(nz) < 0.9 THEN 1.0 ELSE 0.0 END AS rz FROM un), gs AS (SELECT *, rx - nx * (rx * nx + rz * nz) AS ax, -ny * (rx * nx + rz * nz) AS ay, rz - nz * (rx * nx + rz * nz) AS az FROM rf), u0 AS (SELECT *, ax / (sqrt(ax * ax + ay * ay + az * az) + 1e-12) AS bx, ay / (sqrt(ax * ax + ay * ay + az * az) + 1e-12) AS by_, az / (sqrt(ax * ax + ay * ay + az * az) + 1e-12) AS bz FROM gs), uv AS (SELECT *, ny * bz - nz * by_ AS cx, nz * bx - nx * bz AS cy, nx * by_ - ny * bx AS cz, cos(radians(deg)) AS co, sin(radians(deg)) AS si FROM u0), ax AS (SELECT *, bx * co + cx * si AS ux, by_ * co + cy * si AS uy, bz * co + cz * si AS uz, -bx * si + cx * co AS vx, -by_ * si + cy * co AS vy, -bz * si + cz * co AS vz FROM uv)"
+
+
+@_query(f"WITH {_PART} SELECT id, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("ux", "uy", "uz", "vx", "vy", "vz")) + " FROM ax")
+def plane_basis(spark, sf):
+    basis = G.plane_basis(G.vec(F.col("x"), F.col("y"), F.col("z")), F.col("deg"))
+    return _parts(spark, sf).select("id", basis.alias("b")).select("id", *(_r(F.col(f"b.{n}.{c}")).alias(f"{n}{c}") for n in "uv" for c in "xyz"))
+
+
+@_query(f"WITH {_PART} SELECT id, " + ", ".join(f"round(16 + depth * n{c} + (id % 64 - 32) * 0.5 * u{c} + (id % 48 - 32) * 0.5 * v{c}, 6) AS p{c}" for c in "xyz") + " FROM ax")
+def pixel_to_voxel(spark, sf):
+    n = G.vec(F.col("x"), F.col("y"), F.col("z"))
+    posed = _parts(spark, sf).withColumn("b", G.plane_basis(n, F.col("deg")))
+    p = G.pixel_to_voxel(G.vec(16, 16, 16), n, F.col("depth"), F.col("b.u"), F.col("b.v"), F.col("id") % 64, F.col("id") % 48, 64, 0.5)
+    return posed.select("id", p.alias("p")).select("id", *(_r(F.col(f"p.{c}")).alias(f"p{c}") for c in "xyz"))
+
+
+@_query("""WITH c AS (SELECT p_partkey AS id, (p_partkey % 101) / 100.0::DOUBLE AS cx, (p_partkey % 89) / 88.0::DOUBLE AS cy, (p_partkey % 97) / 128.0::DOUBLE AS rw, (p_partkey % 83) / 64.0::DOUBLE AS rh FROM part),
+s AS (SELECT *, least(greatest(CAST(round_even(rw * 512, 0) AS BIGINT), 1), 512) AS w, least(greatest(CAST(round_even(rh * 400, 0) AS BIGINT), 1), 400) AS h FROM c),
+o AS (SELECT *, least(greatest(CAST(round_even(cx * 512, 0) AS BIGINT) - w // 2, 0), 512 - w) AS x0, least(greatest(CAST(round_even(cy * 400, 0) AS BIGINT) - h // 2, 0), 400 - h) AS y0 FROM s)
+SELECT id, x0, y0, x0 + w AS x1, y0 + h AS y1, round(CASE WHEN id % 2 = 0 THEN least(1.0, greatest(0.0, rw * rh)) ELSE 1.0 END, 6) AS area FROM o""")
+def crop_norm(spark, sf):
+    k = F.col("p_partkey")
+    c = _t(spark, sf, "part").select(k.alias("id"), (k % 101 / 100).alias("cx"), (k % 89 / 88).alias("cy"), (k % 97 / 128).alias("rw"), (k % 83 / 64).alias("rh"))
+    box = c.withColumn("b", G.crop_norm(F.col("cx"), F.col("cy"), F.col("rw"), F.col("rh"), 512, 400))
+    return box.select("id", *(F.col(f"b.{n}").cast("long").alias(n) for n in ("x0", "y0", "x1", "y1")), _r(G.crop_area(F.col("id") % 2 == 0, F.col("rw"), F.col("rh"))).alias("area"))
+
+
+@_query(f"WITH {_PART} SELECT id, round(sqrt(power(nx * depth - 2.0 * 0, 2) + power(ny * depth, 2) + power(nz * depth - 2.0 / (1.0 + 1e-12), 2)) + 16.0 * acos(least(greatest(nz * (1.0 / (1.0 + 1e-12)), -1.0), 1.0)), 3) AS dist FROM un")
+def pose_distance(spark, sf):
+    d = G.pose_distance(G.vec(F.col("x"), F.col("y"), F.col("z")), F.col("depth"), G.vec(0, 0, 1), F.lit(2.0), 16.0)
+    return _parts(spark, sf).select("id", _r(d, 3).alias("dist"))
+
+
+def _corner_sql():
+    a = [("0.0", "0.0"), ("10.0", "0.0"), ("0.0", "10.0")]
+    b = [(f"({x} + id % 7)", f"({y} + id % 5)", "(id % 3)") for x, y in a]
+    gap = lambda p, q: f"sqrt(power({p[0]} - {q[0]}, 2) + power({p[1]} - {q[1]}, 2) + power(0.0 - {q[2]}, 2))"
+    there = " + ".join("least(" + ", ".join(gap(p, q) for q in b) + ")" for p in a)
+    back = " + ".join("least(" + ", ".join(gap(p, q) for p in a) + ")" for q in b)
+    return f"SELECT id, round((({there}) / 3 + ({back}) / 3) * 25.0, 5) AS corner_um FROM (SELECT p_partkey AS id FROM part)"
+
+
+@_query(_corner_sql())
+def corner_chamfer(spark, sf):
+    i = F.col("id")
+    a = [G.vec(0, 0, 0), G.vec(10, 0, 0), G.vec(0, 10, 0)]
+    b = [G.vec(F.lit(x) + i % 7, F.lit(y) + i % 5, i % 3) for x, y in ((0.0, 0.0), (10.0, 0.0), (0.0, 10.0))]
+    return _t(spark, sf, "part").select(F.col("p_partkey").alias("id")).select("id", _r(distance.corner_chamfer(a, b, 25.0), 5).alias("corner_um"))
+
+
+def _lattice_sql(g=6):
+    pts = lambda p: f"SELECT id, k, l, {p}"
+    grid = f"range({g}) a(k), range({g}) b(l)"
+    return f"""WITH s AS (SELECT p_partkey AS id, p_partkey % 9 * 1.0::DOUBLE AS d2 FROM part WHERE p_partkey % 40 = 0),
+a AS ({pts(f"-16.0 + k * 31.0::DOUBLE / {g - 1} AS x, -16.0 + l * 31.0::DOUBLE / {g - 1} AS y, 0.0::DOUBLE AS z")} FROM s, {grid}),
+b AS ({pts(f"-8.0 + k * 15.5::DOUBLE / {g - 1} AS x, -8.0 + l * 15.5::DOUBLE / {g - 1} AS y, d2 AS z")} FROM s, {grid}),
+d AS (SELECT a.id, a.k AS ak, a.l AS al, b.k AS bk, b.l AS bl, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) AS dd FROM a JOIN b USING (id)),
+f AS (SELECT id, list_sort(list(m)) AS ms FROM (SELECT id, ak, al, min(dd) AS m FROM d GROUP BY ALL) GROUP BY 1), r AS (SELECT id, list_sort(list(m)) AS ms FROM (SELECT id, bk, bl, min(dd) AS m FROM d GROUP BY ALL) GROUP BY 1)
+SELECT f.id, round(list_avg(f.ms[1:{int(g * g * 0.9)}]) + list_avg(r.ms[1:{int(g * g * 0.9)}]), 6) AS dist FROM f JOIN r USING (id)"""
+
+
+@_query(_lattice_sql())
+def chamfer_lattice(spark, sf):
+    def pose(depth, step):
+        vals = {"nx": 0.0, "ny": 0.0, "nz": 1.0, "depth": depth, "rot": 0.0, "step": step, "size_px": 32, "x0": 0, "y0": 0, "h": 32, "w": 32}
+        return F.struct(*((v if not isinstance(v, (int, float)) else F.lit(v)).cast("double").alias(k) for k, v in vals.items()))
+
+    rows = _t(spark, sf, "part").filter("p_partkey % 40 = 0").select(F.col("p_partkey").alias("id"), pose(0.0, 1.0).alias("query_pose"), pose(F.col("p_partkey") % 9, 0.5).alias("patch_pose"))
+    return distance.with_chamfer(rows, 6, 0.1).select("id", _r("dist").alias("dist"))
+
+
+# ---------------------------------------------------------------- volumes and sources
+@_query("WITH b AS (SELECT quantile_cont(l_extendedprice, 0.005) AS lo, quantile_cont(l_extendedprice, 0.995) AS hi FROM lineitem) SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(least(greatest((l_extendedprice - lo) / (hi - lo), 0), 1), 6) AS v FROM lineitem, b")
+def percentile_normalise(spark, sf):
+    got = volume.percentile_normalise(_t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice")
+    return got.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), _r("normalised").alias("v"))
+
+
+@_query("SELECT count(*) AS n, round(count(*) FILTER (WHERE value > 50) / count(*), 6) AS fg_ratio, round(1 - count(*) FILTER (WHERE value > 50) / count(*), 6) AS bg_ratio FROM events")
+def fg_bg_ratio(spark, sf):
+    return volume.fg_bg_ratio(_t(spark, sf, "events"), F.col("value"), 50).select("n", _r("fg_ratio").alias("fg_ratio"), _r("bg_ratio").alias("bg_ratio"))
+
+
+@_query("SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1")
+def orientation_corr(spark, sf):
+    return _t(spark, sf, "lineitem").groupBy("l_returnflag").agg(_r(F.corr("l_quantity", "l_extendedprice")).alias("r"))
+
+
+@_query("SELECT o_orderkey AS row_idx, 'a' || o_orderkey AS allen_path, (o_orderkey % 5)::DOUBLE AS v0, (o_orderkey % 30)::DOUBLE / 2 AS depth, CAST(o_orderkey % 2 AS BIGINT) AS is_crop, o_orderpriority AS priority FROM orders WHERE o_orderkey % 10 = 0")
+def dataset_parse(spark, sf):
+    k = F.col("o_orderkey")
+    s = lambda c: c.cast("string")
+    raw = _t(spark, sf, "orders").filter("o_orderkey % 10 = 0").select(
+        k.alias("row_idx"), F.concat(F.lit(" a"), s(k), F.lit(" ")).alias("allen_path"), F.lit("").alias("real_path"), F.concat(F.lit("["), s(k % 5), F.lit(", 0.5, 1]")).alias("vector"), s(k % 30 / 2).alias("depth"), F.lit("90").alias("rotation"),
+        s(k % 2).alias("is_crop"), F.lit("full").alias("crop_bin"), F.lit("full").alias("crop_kind"), *(F.lit("0.5").alias(c) for c in ("crop_cx", "crop_cy", "crop_rw", "crop_rh", "crop_aspect_w", "crop_aspect_h")), F.col("o_orderpriority").alias("priority"),
+    )
+    return tables.parse_dataset(raw).select("row_idx", "allen_path", F.col("vector")[0].alias("v0"), "depth", F.col("is_crop").cast("long").alias("is_crop"), F.col("extra")["priority"].alias("priority"))
+
+
+@_query()
+def patch_index_build(spark, sf):
+    plan = P.slice_plan(P.fibonacci_normals(spark, 8), (20, 20, 20), 6.0, 2.0)
+    return volume.build_index(plan, P.patch_grid(spark, 64, (1, 2), 0.25), volume.normalise(volume.synthetic_volume())).drop("embedding")

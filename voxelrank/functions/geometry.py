@@ -37,36 +37,44 @@ def cross(a: Column, b: Column) -> Column:
     return vec(ay * bz - az * by, az * bx - ax * bz, ax * by - ay * bx)
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value evaluated once: a nested expression would repeat it at each use."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def unit(a: Column) -> Column:
-    n = length(a) + F.lit(TINY)
-    return vec(*(p / n for p in _xyz(a)))
+    return let(a, lambda v: let(F.struct(v.alias("v"), (length(v) + F.lit(TINY)).alias("n")), lambda s: vec(*(s["v"][c] / s["n"] for c in "xyz"))))
+
+
+def _turned(n: Column, degrees: Column) -> Column:
+    upright = F.abs(n["z"]) < 0.9
+    ref = vec(F.when(upright, 0.0).otherwise(1.0), F.lit(0.0), F.when(upright, 1.0).otherwise(0.0))
 
+    def turn(s):
+        u, v, c, d = s["u"], s["v"], F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
+        return F.struct(add(scale(u, c), scale(v, d)).alias("u"), add(scale(u, -d), scale(v, c)).alias("v"))
 
-def plane_basis(normal: Column, degrees: Column) -> tuple[Column, Column]:
-    """In-plane axes (u, v): a reference axis made orthogonal to the normal, then turned by ``degrees``.
+    flat = let(ref, lambda r: let(inner(r, n), lambda k: vec(*(r[c] - n[c] * k for c in "xyz"))))
+    return let(let(unit(flat), lambda u: F.struct(u.alias("u"), cross(n, u).alias("v"))), turn)
+
+
+def plane_basis(normal: Column, degrees: Column) -> Column:
+    """Struct of the in-plane axes u and v: a reference axis made orthogonal to the normal, then turned by ``degrees``.
 
     The reference is z unless |nz| is at least 0.9, then x.
     """
-    n = unit(normal)
-    upright = F.abs(n["z"]) < 0.9
-    ref = vec(F.when(upright, 0.0).otherwise(1.0), F.lit(0.0), F.when(upright, 1.0).otherwise(0.0))
-    k = inner(ref, n)
-    u0 = unit(vec(*(r - p * k for r, p in zip(_xyz(ref), _xyz(n)))))
-    v0 = cross(n, u0)
-    c, s = F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
-    return add(scale(u0, c), scale(v0, s)), add(scale(u0, -s), scale(v0, c))
+    return let(unit(normal), lambda n: _turned(n, degrees))
 
 
 def pixel_to_voxel(centre: Column, normal: Column, depth: Column, u: Column, v: Column, col: Column, row: Column, size: int, step: float) -> Column:
     """Voxel position of a pixel of a posed plane: centre + depth*n + in-plane offsets from the middle."""
     a, b = (col - F.lit(size / 2)) * F.lit(step), (row - F.lit(size / 2)) * F.lit(step)
-    return add(add(add(centre, scale(unit(normal), depth)), scale(u, a)), scale(v, b))
+    return let(unit(normal), lambda n: vec(*(centre[c] + n[c] * depth + u[c] * a + v[c] * b for c in "xyz")))
 
 
 def depth_bounds(normal: Column, dims: tuple[float, float, float]) -> Column:
     """Largest |depth| of a box around its centre along a normal: half extents on the absolute normal."""
-    n = unit(normal)
-    return sum((F.abs(p) * F.lit(d / 2) for p, d in zip(_xyz(n), dims)), F.lit(0.0))
+    return let(unit(normal), lambda n: sum((F.abs(p) * F.lit(d / 2) for p, d in zip(_xyz(n), dims)), F.lit(0.0)))
 
 
 def crop_norm(cx: Column, cy: Column, rw: Column, rh: Column, width: int, height: int) -> Column:
@@ -82,9 +90,12 @@ def crop_norm(cx: Column, cy: Column, rw: Column, rh: Column, width: int, height
 
 def pose_distance(n1: Column, d1: Column, n2: Column, d2: Column, weight: float) -> Column:
     """Distance of the planes' foot points plus ``weight`` times the angle of their normals."""
-    a, b = unit(n1), unit(n2)
-    gap = vec(*(p * d1 - q * d2 for p, q in zip(_xyz(a), _xyz(b))))
-    return length(gap) + F.lit(weight) * F.acos(F.least(F.greatest(inner(a, b), F.lit(-1.0)), F.lit(1.0)))
+    def far(s):
+        a, b = s["a"], s["b"]
+        gap = F.sqrt(sum(((a[c] * d1 - b[c] * d2) ** 2 for c in "xyz"), F.lit(0.0)))
+        return gap + F.lit(weight) * F.acos(F.least(F.greatest(inner(a, b), F.lit(-1.0)), F.lit(1.0)))
+
+    return let(F.struct(unit(n1).alias("a"), unit(n2).alias("b")), far)
 
 
 def crop_area(is_crop: Column, rw: Column, rh: Column) -> Column:

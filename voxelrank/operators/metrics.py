@@ -65,7 +65,7 @@ def thresholds_of(hits: DataFrame, least: float = 1e-6) -> DataFrame:
     """``t25, t50, t75``: quartiles of the finite distances at rank 1, at least ``least``; the defaults if there are none."""
     d = finite(F.col("dist"))
     three = hits.filter(F.col("rank") == 1).agg(F.percentile(d, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"))
-    return three.select(*(F.coalesce(F.greatest(F.get("p", F.lit(i)), F.lit(least)), F.lit(x)).alias(n) for i, (n, x) in enumerate(zip(("t25", "t50", "t75"), DEFAULT_THRESHOLDS))))
+    return three.select(*(F.when(F.col("p").isNotNull(), F.greatest(F.get("p", F.lit(i)), F.lit(least))).otherwise(F.lit(x)).alias(n) for i, (n, x) in enumerate(zip(("t25", "t50", "t75"), DEFAULT_THRESHOLDS))))
 
 
 def group_labels(columns: Sequence[str]) -> Column:

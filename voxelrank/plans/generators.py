@@ -138,8 +138,9 @@ def random_planes(spark: SparkSession, n: int, dims: tuple[float, float, float],
 
     gauss = [F.sqrt(-2 * F.log(u(f"a{c}"))) * F.cos(2 * math.pi * u(f"b{c}")) for c in "xyz"]
     n_ = G.unit(G.vec(*gauss))
-    half = G.depth_bounds(n_, dims)
-    return spark.range(n).select(F.col("id").alias("plane_id"), *(n_[c].alias(f"n{c}") for c in "xyz"), ((2 * u("depth") - 1) * half).alias("depth"), (360 * u("turn")).alias("rotation"))
+    drawn = spark.range(n).select("id", n_.alias("n"))
+    half = G.depth_bounds(F.col("n"), dims)
+    return drawn.select(F.col("id").alias("plane_id"), *(F.col(f"n.{c}").alias(f"n{c}") for c in "xyz"), ((2 * u("depth") - 1) * half).alias("depth"), (360 * u("turn")).alias("rotation"))
 
 
 def random_crops(planes: DataFrame, id_col: str = "plane_id", low: float = 0.3, high: float = 0.7, aspects: tuple[tuple[float, float], ...] = ((1, 1), (2, 1), (1, 2)), jitter: float = 0.15, seed: int = 42) -> DataFrame:
