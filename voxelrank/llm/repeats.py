@@ -236,21 +236,22 @@ def _apply(batches):
 def repeat_intervals(docs: DataFrame) -> DataFrame:
     """``doc_id, start, end``: byte intervals that repeat earlier strings; ``docs`` has doc_id and text, no nulls."""
     rows = docs.mapInArrow(_anchor_rows, "anchor long, context long, doc_id long, start long, windows long")
-    often = rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # Written tables on both sides of a join leave its exchanges to adaptive splitting of hot keys.
+    often = materialise(rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
     some = materialise(rows.join(often, "anchor"))
     place = F.struct("doc_id", "start")
     kinds = materialise(some.groupBy("anchor", "context").agg(F.min(place).alias("first"), F.min("windows").alias("windows"), F.count("*").alias("n")))
     again = some.join(kinds.filter("n > 1").select("anchor", "context", "first"), ["anchor", "context"]).filter(place > F.col("first"))
     whole = again.select("doc_id", "start", (F.col("start") + F.col("windows") - 1 + WINDOW).alias("end"))
 
-    many = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    many = materialise(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     blocks = F.ceil(F.col("kinds") / BLOCK)
     asked = kinds.join(many, "anchor").select("anchor", F.when(blocks == 1, 0).otherwise(F.pmod(F.xxhash64("context"), blocks)).cast("long").alias("block"), blocks.cast("long").alias("blocks"), "first.doc_id", "first.start", "windows")
     by_doc = asked.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "block", "blocks", "start", "windows")).alias("wanted"))  # bounded by the document
     contexts = docs.mapInArrow(_pack, "doc_id long, packed binary").join(by_doc, "doc_id").mapInArrow(_cut_contexts, "anchor long, block long, blocks long, doc_id long, start long, bytes binary")
     decided = materialise(contexts.repartition("anchor", "block").sortWithinPartitions("anchor", "block").mapInArrow(_sort_blocks, "doc_id long, start long, end long, key1 long, key2 long"))
     crossing = decided.filter("key1 IS NOT NULL")
-    earliest = crossing.groupBy("key1", "key2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    earliest = materialise(crossing.groupBy("key1", "key2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"))
     crossed = crossing.join(earliest, ["key1", "key2"]).filter(place > F.col("first")).select("doc_id", "start", "end")
     return whole.unionByName(decided.filter("key1 IS NULL").select("doc_id", "start", "end")).unionByName(crossed)
 
