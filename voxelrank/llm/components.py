@@ -14,7 +14,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = materialise(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))  # so that hot nodes can be split in the join
     tied = near.join(least, "u")
     if large:
         made = tied.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

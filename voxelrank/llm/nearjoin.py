@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     real = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = materialise(real.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands")))
     keyed = reps.select("rep", F.explode("bands").alias("key"))
-    meets = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("key", "lead")
+    meets = materialise(keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("key", "lead"))  # so that hot keys can be split in the join
     edges = keyed.join(meets, "key").filter("rep != lead").select(F.col("rep").alias("u"), F.col("lead").alias("v"))
     groups = materialise(components(edges))
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
