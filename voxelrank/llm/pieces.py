@@ -24,7 +24,7 @@ from voxelrank.llm.common import tokenizer_path, whole_text
 
 SPACE = "▁"
 #: Cached segmentations of words and verdicts on pairs; dropped when full.
-CACHE = 400_000
+CACHE = 1_000_000
 #: Positions between two looks for a common boundary.
 COMMIT_EVERY = 64
 
