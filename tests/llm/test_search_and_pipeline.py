@@ -42,6 +42,11 @@ def test_vectors_that_take_no_part(spark):
     assert run(spark, []) == {} and run(spark, [(2, None)]) == {}
 
 
+def test_repeated_rows_count_once(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0])] + [(i, [1.0, i / 10]) for i in (1, 1, 1, 1, 1, 1, 2, 3, 4, 5, 6)]
+    assert run(spark, rows) == {0: [1, 2, 3, 4, 5]}
+
+
 def test_small_blocks_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = list(enumerate(rng.standard_normal((600, 16)).tolist()))
@@ -66,7 +71,9 @@ def test_pipeline(spark):
     """The stages against plain versions of themselves on the small corpus."""
     import corpus_pipeline as cp
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.lit(1) for c in ("quality_score", "keep", "class_id", "hash", "spans", "text_sha256", "v")})
     text = {r.doc_id: r.text for r in docs.collect()}
     names, seen = docs.columns, set(text)
     for name, stage in cp.STAGES[:-1]:

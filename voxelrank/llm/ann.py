@@ -108,7 +108,8 @@ def nearest(vectors: DataFrame, is_query, k: int = K, sample: int = SAMPLE, reca
 
     Nearness is the cosine, ties to the smaller id; a query's own id is no candidate.  Vectors that
     are null, zero, or hold null or non-finite components take no part; nor do vectors whose length
-    differs from the sample's most frequent one.  An empty table gives no rows.  A list of any
+    differs from the sample's most frequent one.  Rows that repeat an id count once, with their best
+    score.  An empty table gives no rows.  A list of any
     length is dealt out in blocks of vectors and of queries, so one very common vector does not
     gather in a task.  The sample fits lists and the number of probes; all vectors are indexed.
     """
@@ -164,7 +165,8 @@ def nearest(vectors: DataFrame, is_query, k: int = K, sample: int = SAMPLE, reca
             for q, v, t in zip(right["vec_id"], right["v"], right["turned"]):
                 at = scan(t, turned, ids == q, k)
                 s = cosine(np.asarray(v), raw[at])
-                best = np.lexsort((ids[at], -s))[:k]
+                order = np.lexsort((ids[at], -s))
+                best = order[np.sort(np.unique(ids[at][order], return_index=True)[1])][:k]  # each id once
                 found["query_id"] += [q] * len(best)
                 found["vec_id"] += ids[at][best].tolist()
                 found["score"] += s[best].tolist()
@@ -173,5 +175,6 @@ def nearest(vectors: DataFrame, is_query, k: int = K, sample: int = SAMPLE, reca
     key = ["list", "vb", "qb"]
     asked = asked.toDF(*asked.columns)  # fresh column identities: both sides come from one table
     hits = rows.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score double")
+    hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -93,6 +93,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that :func:`exact_dedup` does not keep, all columns unchanged."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_sha"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.sha2(normalised(text_col), 256) == F.col("_sha"))
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__voxelrank_id"), F.col("text_sha256").alias("__voxelrank_sha"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__voxelrank_id")) & (F.sha2(normalised(text_col), 256) == F.col("__voxelrank_sha"))
     return docs.join(kept, same, "left_semi")

@@ -248,5 +248,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Documents without words and rows with a null id stay.
     """
-    gone = near_duplicates(docs).filter("class_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs).filter("class_id != doc_id").select(F.col("doc_id").alias("__voxelrank_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__voxelrank_gone"), "left_anti")

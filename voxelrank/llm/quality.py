@@ -151,24 +151,26 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     return (*fit(rows), table)
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``quality_score``: P(good) of each whole text."""
+def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text", name: str = "quality_score") -> DataFrame:
+    """``docs`` with P(good) of each whole text in a new column ``name``."""
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name!r} already")
     model = docs.sparkSession.sparkContext.broadcast((weights.tolist(), bias))
-    cols = [c for c in docs.columns if c not in ("_text", "quality_score")]
-    schema = docs.select(*cols).schema.add("quality_score", "double")
+    at = docs.columns.index(text_col)
+    schema = docs.select("*").schema.add(name, "double")
 
     def run(batches):
         w, b = model.value
         cache: dict[str, int] = {}
         for batch in batches:
             out = []
-            for t in batch.column("_text"):
-                words, stats = document_features(t.as_py(), cache)
+            for t in batch.column(at):
+                words, stats = document_features(t.as_py() or "", cache)
                 z = 4.0 * sum(map(w.__getitem__, words)) / max(len(words), 1) + sum(map(w.__getitem__, stats)) + b
                 out.append(1 / (1 + np.exp(-min(max(z, -40.0), 40.0))))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in cols] + [pa.array(out, pa.float64())], names=[*cols, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.select(*cols, whole_text(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,7 +188,10 @@ def classify(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text
 def keep_good(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``docs`` without the rows that the classifier rejects, columns unchanged."""
     w, b, _ = train(docs, sample)
-    return score(docs, w, b).filter(F.col("quality_score") >= KEEP_FROM).select(*docs.columns)
+    name = "quality_score"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, w, b, name=name).filter(F.col(name) >= KEEP_FROM).drop(name)
 
 
 def all_patterns() -> list[tuple[int, ...]]:
