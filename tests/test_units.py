@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from voxelrank.functions import geometry, numbers
 from voxelrank.operators import distance, metrics, rerank, targets, topk, volume
 from voxelrank.plans import generators as P
 from voxelrank.sources import tables
@@ -132,3 +133,24 @@ def test_plans(spark):
     boxes = np.array([[0, 0, 16, 16], [4, 4, 30, 20]])
     assert np.allclose(volume.fg_ratio_boxes(img, boxes), [(img[y0:y1, x0:x1] > 0.05).mean() for x0, y0, x1, y1 in boxes])
     assert io is not None
+
+
+def test_physical_and_mirrored_chamfer():
+    base = {"nx": 0.2, "ny": 0.5, "nz": 0.8, "depth": 1.0, "rot": 30.0, "step": 0.7, "size_px": 32, "x0": 2, "y0": 3, "w": 20, "h": 12}
+    other = {**base, "nx": -0.4, "depth": -2.0}
+    plain = distance.chamfer(base, other, 8)
+    assert abs(distance.chamfer(base, other, 8, spacing=(1, 1, 1)) - plain) < 1e-9
+    assert abs(distance.chamfer(base, other, 8, spacing=(25, 25, 25)) - 25 * plain) < 1e-6
+    upright = {**base, "nx": 0.0, "ny": 0.0, "nz": 1.0, "rot": 0.0, "x0": 0, "y0": 0, "w": 32, "h": 32}
+    assert distance.chamfer(upright, upright, 8, mirror=True) < 1e-6  # the full plane is its own mirror image
+
+
+def test_crop_outside_becomes_a_pixel(spark):
+    rows = spark.createDataFrame([(0.5, 0.5, 1.0, 1.0), (1.0, 1.0, 0.5, 0.5), (2.0, 2.0, 0.1, 0.1), (0.5, 0.5, 2.0, 2.0)], "cx double, cy double, rw double, rh double")
+    got = [tuple(r[0]) for r in rows.select(geometry.crop_norm(F.col("cx"), F.col("cy"), F.col("rw"), F.col("rh"), 11, 21)).collect()]
+    assert got[0] == (0, 0, 11, 21) and got[1] == (7, 15, 11, 21) and got[2] == (10, 20, 11, 21) and got[3] == (0, 0, 11, 21)
+
+
+def test_targets_of_missing_distances(spark):
+    row = spark.createDataFrame([(float("nan"), [])], "d double, v array<double>").select(numbers.distance_target(F.col("d"), "raw"), numbers.trimmed_mean(F.col("v"), 0.1)).first()
+    assert tuple(row) == (256.0, 0.0)

@@ -407,7 +407,7 @@ def fibonacci_normals(spark, sf):
     return P.fibonacci_normals(spark, 64).select("normal_idx", *(_r(c).alias(c) for c in ("nx", "ny", "nz")))
 
 
-_FIB = f"fib AS (SELECT i AS normal_idx, sqrt(1 - z * z) * cos(th) AS nx, sqrt(1 - z * z) * sin(th) AS ny, z AS nz FROM (SELECT i, 1 - 2 * (i + 0.5::DOUBLE) / 16 AS z, 2 * pi() * (i + 0.5::DOUBLE) / {P.GOLDEN!r}::DOUBLE AS th FROM range(16) t(i))), half AS (SELECT *, abs(nx) * 10 + abs(ny) * 15 + abs(nz) * 20 AS hd FROM fib)"
+_FIB = f"fib AS (SELECT i AS normal_idx, sqrt(1 - z * z) * cos(th) AS nx, sqrt(1 - z * z) * sin(th) AS ny, z AS nz FROM (SELECT i, 1 - 2 * (i + 0.5::DOUBLE) / 16 AS z, 2 * pi() * (i + 0.5::DOUBLE) / {P.GOLDEN!r}::DOUBLE AS th FROM range(16) t(i))), half AS (SELECT *, abs(nx) * 9.5::DOUBLE + abs(ny) * 14.5::DOUBLE + abs(nz) * 19.5::DOUBLE AS hd FROM fib)"
 
 
 @_query(f"WITH {_FIB}, d AS (SELECT *, unnest(range(0, CAST(floor((2 * hd - 2) / 2.5::DOUBLE) AS BIGINT) + 1)) AS depth_idx FROM half) SELECT normal_idx, depth_idx, round(-hd + 1 + depth_idx * 2.5::DOUBLE, 6) AS depth FROM d")
@@ -493,7 +493,7 @@ def plane_basis(spark, sf):
     return _parts(spark, sf).select("id", basis.alias("b")).select("id", *(_r(F.col(f"b.{n}.{c}")).alias(f"{n}{c}") for n in "uv" for c in "xyz"))
 
 
-@_query(f"WITH {_PART} SELECT id, " + ", ".join(f"round(16 + depth * n{c} + (id % 64 - 32) * 0.5 * u{c} + (id % 48 - 32) * 0.5 * v{c}, 6) AS p{c}" for c in "xyz") + " FROM ax")
+@_query(f"WITH {_PART} SELECT id, " + ", ".join(f"round(16 + depth * n{c} + (id % 64 - 31.5::DOUBLE) * 0.5 * u{c} + (id % 48 - 31.5::DOUBLE) * 0.5 * v{c}, 6) AS p{c}" for c in "xyz") + " FROM ax")
 def pixel_to_voxel(spark, sf):
     n = G.vec(F.col("x"), F.col("y"), F.col("z"))
     posed = _parts(spark, sf).withColumn("b", G.plane_basis(n, F.col("deg")))
@@ -502,9 +502,9 @@ def pixel_to_voxel(spark, sf):
 
 
 @_query("""WITH c AS (SELECT p_partkey AS id, (p_partkey % 101) / 100.0::DOUBLE AS cx, (p_partkey % 89) / 88.0::DOUBLE AS cy, (p_partkey % 97) / 128.0::DOUBLE AS rw, (p_partkey % 83) / 64.0::DOUBLE AS rh FROM part),
-s AS (SELECT *, least(greatest(CAST(round_even(rw * 512, 0) AS BIGINT), 1), 512) AS w, least(greatest(CAST(round_even(rh * 400, 0) AS BIGINT), 1), 400) AS h FROM c),
-o AS (SELECT *, least(greatest(CAST(round_even(cx * 512, 0) AS BIGINT) - w // 2, 0), 512 - w) AS x0, least(greatest(CAST(round_even(cy * 400, 0) AS BIGINT) - h // 2, 0), 400 - h) AS y0 FROM s)
-SELECT id, x0, y0, x0 + w AS x1, y0 + h AS y1, round(CASE WHEN id % 2 = 0 THEN least(1.0, greatest(0.0, rw * rh)) ELSE 1.0 END, 6) AS area FROM o""")
+s AS (SELECT *, greatest(CAST(round_even(rw * 512, 0) AS BIGINT), 1) AS w, greatest(CAST(round_even(rh * 400, 0) AS BIGINT), 1) AS h FROM c),
+o AS (SELECT *, CAST(round_even(cx * 511, 0) AS BIGINT) - w // 2 AS x, CAST(round_even(cy * 399, 0) AS BIGINT) - h // 2 AS y FROM s)
+SELECT id, least(greatest(x, 0), 512) AS x0, least(greatest(y, 0), 400) AS y0, least(greatest(x + w, 0), 512) AS x1, least(greatest(y + h, 0), 400) AS y1, round(CASE WHEN id % 2 = 0 THEN least(1.0, greatest(0.0, rw * rh)) ELSE 1.0 END, 6) AS area FROM o""")
 def crop_norm(spark, sf):
     k = F.col("p_partkey")
     c = _t(spark, sf, "part").select(k.alias("id"), (k % 101 / 100).alias("cx"), (k % 89 / 88).alias("cy"), (k % 97 / 128).alias("rw"), (k % 83 / 64).alias("rh"))
@@ -524,7 +524,7 @@ def _corner_sql():
     gap = lambda p, q: f"sqrt(power({p[0]} - {q[0]}, 2) + power({p[1]} - {q[1]}, 2) + power(0.0 - {q[2]}, 2))"
     there = " + ".join("least(" + ", ".join(gap(p, q) for q in b) + ")" for p in a)
     back = " + ".join("least(" + ", ".join(gap(p, q) for p in a) + ")" for q in b)
-    return f"SELECT id, round((({there}) / 3 + ({back}) / 3) * 25.0, 5) AS corner_um FROM (SELECT p_partkey AS id FROM part)"
+    return f"SELECT id, round((({there}) / 3 + ({back}) / 3) / 2 * 25.0, 5) AS corner_um FROM (SELECT p_partkey AS id FROM part)"
 
 
 @_query(_corner_sql())
@@ -539,8 +539,8 @@ def _lattice_sql(g=6):
     pts = lambda p: f"SELECT id, k, l, {p}"
     grid = f"range({g}) a(k), range({g}) b(l)"
     return f"""WITH s AS (SELECT p_partkey AS id, p_partkey % 9 * 1.0::DOUBLE AS d2 FROM part WHERE p_partkey % 40 = 0),
-a AS ({pts(f"-16.0 + k * 31.0::DOUBLE / {g - 1} AS x, -16.0 + l * 31.0::DOUBLE / {g - 1} AS y, 0.0::DOUBLE AS z")} FROM s, {grid}),
-b AS ({pts(f"-8.0 + k * 15.5::DOUBLE / {g - 1} AS x, -8.0 + l * 15.5::DOUBLE / {g - 1} AS y, d2 AS z")} FROM s, {grid}),
+a AS ({pts(f"-15.5 + k * 31.0::DOUBLE / {g - 1} AS x, -15.5 + l * 31.0::DOUBLE / {g - 1} AS y, 0.0::DOUBLE AS z")} FROM s, {grid}),
+b AS ({pts(f"-7.75 + k * 15.5::DOUBLE / {g - 1} AS x, -7.75 + l * 15.5::DOUBLE / {g - 1} AS y, d2 AS z")} FROM s, {grid}),
 d AS (SELECT a.id, a.k AS ak, a.l AS al, b.k AS bk, b.l AS bl, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) AS dd FROM a JOIN b USING (id)),
 f AS (SELECT id, list_sort(list(m)) AS ms FROM (SELECT id, ak, al, min(dd) AS m FROM d GROUP BY ALL) GROUP BY 1), r AS (SELECT id, list_sort(list(m)) AS ms FROM (SELECT id, bk, bl, min(dd) AS m FROM d GROUP BY ALL) GROUP BY 1)
 SELECT f.id, round(list_avg(f.ms[1:{int(g * g * 0.9)}]) + list_avg(r.ms[1:{int(g * g * 0.9)}]), 6) AS dist FROM f JOIN r USING (id)"""

@@ -68,24 +68,32 @@ def plane_basis(normal: Column, degrees: Column) -> Column:
 
 def pixel_to_voxel(centre: Column, normal: Column, depth: Column, u: Column, v: Column, col: Column, row: Column, size: int, step: float) -> Column:
     """Voxel position of a pixel of a posed plane: centre + depth*n + in-plane offsets from the middle."""
-    a, b = (col - F.lit(size / 2)) * F.lit(step), (row - F.lit(size / 2)) * F.lit(step)
+    a, b = (col - F.lit((size - 1) / 2)) * F.lit(step), (row - F.lit((size - 1) / 2)) * F.lit(step)
     return let(unit(normal), lambda n: vec(*(centre[c] + n[c] * depth + u[c] * a + v[c] * b for c in "xyz")))
 
 
 def depth_bounds(normal: Column, dims: tuple[float, float, float]) -> Column:
-    """Largest |depth| of a box around its centre along a normal: half extents on the absolute normal."""
-    return let(unit(normal), lambda n: sum((F.abs(p) * F.lit(d / 2) for p, d in zip(_xyz(n), dims)), F.lit(0.0)))
+    """Largest |depth| of a box of voxel centres along a normal: half extents on the absolute normal."""
+    return let(unit(normal), lambda n: sum((F.abs(p) * F.lit((d - 1) / 2) for p, d in zip(_xyz(n), dims)), F.lit(0.0)))
 
 
 def crop_norm(cx: Column, cy: Column, rw: Column, rh: Column, width: int, height: int) -> Column:
-    """Clamped pixel box of a normalised crop; sizes and centres round half to even."""
-    w = F.least(F.greatest(F.bround(rw * width).cast("int"), F.lit(1)), F.lit(width))
-    h = F.least(F.greatest(F.bround(rh * height).cast("int"), F.lit(1)), F.lit(height))
-    x0 = F.bround(cx * width).cast("int") - F.floor(w / 2).cast("int")
-    y0 = F.bround(cy * height).cast("int") - F.floor(h / 2).cast("int")
-    x0 = F.least(F.greatest(x0, F.lit(0)), F.lit(width) - w)
-    y0 = F.least(F.greatest(y0, F.lit(0)), F.lit(height) - h)
-    return F.struct(x0.alias("x0"), y0.alias("y0"), (x0 + w).alias("x1"), (y0 + h).alias("y1"))
+    """Pixel box of a normalised crop, its edges clamped to the image; sizes and centres round half to even.
+
+    A box that lies outside altogether becomes the nearest pixel.
+    """
+
+    def side(centre, share, n):
+        size = F.greatest(F.bround(share * n).cast("int"), F.lit(1))
+        start = F.bround(centre * (n - 1)).cast("int") - F.floor(size / 2).cast("int")
+        held = lambda c: F.least(F.greatest(c, F.lit(0)), F.lit(n)).cast("int")
+        return held(start), held(start + size)
+
+    (x0, x1), (y0, y1) = side(cx, rw, width), side(cy, rh, height)
+    outside = (x1 <= x0) | (y1 <= y0)
+    x, y = F.least(x0, F.lit(width - 1)), F.least(y0, F.lit(height - 1))
+    pixel = ((x0, x), (y0, y), (x1, F.least(x + 1, F.lit(width))), (y1, F.least(y + 1, F.lit(height))))
+    return F.struct(*(F.when(outside, one).otherwise(box).alias(name) for name, (box, one) in zip(("x0", "y0", "x1", "y1"), pixel)))
 
 
 def pose_distance(n1: Column, d1: Column, n2: Column, d2: Column, weight: float) -> Column:

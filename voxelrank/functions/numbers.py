@@ -36,9 +36,10 @@ def softmax(logit: Column, over: Window, least: float = 1e-12) -> Column:
 
 def distance_target(d: Column, mode: str = "log1p", clip: float = 256.0) -> Column:
     """Training target of a distance: ``raw``, ``clipped`` or ``log1p``; missing ones count as ``clip``."""
+    known = F.coalesce(finite(d), F.lit(clip))
     if mode == "raw":
-        return d
-    held = F.least(F.greatest(F.coalesce(finite(d), F.lit(clip)), F.lit(0.0)), F.lit(clip))
+        return known
+    held = F.least(F.greatest(known, F.lit(0.0)), F.lit(clip))
     if mode == "clipped":
         return held
     if mode == "log1p":
@@ -47,8 +48,8 @@ def distance_target(d: Column, mode: str = "log1p", clip: float = 256.0) -> Colu
 
 
 def trimmed_mean(values: Column, trim: float) -> Column:
-    """Mean of the smallest max(1, floor(n * (1 - trim))) values of an array; trim is held within [0, 0.49]."""
+    """Mean of the smallest max(1, floor(n * (1 - trim))) values of an array; trim is held within [0, 0.49]; 0 for none."""
     t = min(max(trim, 0.0), 0.49)
     keep = F.greatest(F.lit(1), F.floor(F.size(values) * F.lit(1 - t)).cast("int"))
     kept = F.slice(F.sort_array(values), F.lit(1), keep)
-    return F.when(F.size(values) > 0, F.aggregate(kept, F.lit(0.0), lambda s, x: s + x) / keep)
+    return F.when(F.size(values) > 0, F.aggregate(kept, F.lit(0.0), lambda s, x: s + x) / keep).otherwise(0.0)

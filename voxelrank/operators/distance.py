@@ -1,4 +1,4 @@
-"""Distances of posed planes: chamfer of point lattices in closed form, and of three corners."""
+"""Distances of posed planes: chamfer of point lattices in closed form or by points, and of three corners."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ def _axes(p):
 def lattice(p, grid: int) -> np.ndarray:
     """grid x grid points of a pose, relative to the volume's centre."""
     n, u, v = _axes(p)
-    half = p["size_px"] / 2
+    half = (p["size_px"] - 1) / 2
     a = (p["x0"] - half) * p["step"] + np.linspace(0, (p["w"] - 1) * p["step"], grid)
     b = (p["y0"] - half) * p["step"] + np.linspace(0, (p["h"] - 1) * p["step"], grid)
     return (p["depth"] * n + a[None, :, None] * u + b[:, None, None] * v).reshape(-1, 3)
@@ -33,7 +33,7 @@ def lattice(p, grid: int) -> np.ndarray:
 def _to_lattice(points: np.ndarray, p, grid: int) -> np.ndarray:
     """Distance of each point to its nearest lattice point: project on the axes, round, clamp."""
     n, u, v = _axes(p)
-    half = p["size_px"] / 2
+    half = (p["size_px"] - 1) / 2
     off2 = (points @ n - p["depth"]) ** 2
     for axis, start, extent in ((u, p["x0"], p["w"]), (v, p["y0"], p["h"])):
         at = points @ axis - (start - half) * p["step"]
@@ -48,35 +48,50 @@ def _trimmed(d: np.ndarray, trim: float) -> float:
     return float(np.partition(d, keep - 1)[:keep].mean())
 
 
-def chamfer(a, b, grid: int = 64, trim: float = 0.1) -> float:
-    """Sum of the trimmed mean nearest distances in both directions."""
-    return _trimmed(_to_lattice(lattice(a, grid), b, grid), trim) + _trimmed(_to_lattice(lattice(b, grid), a, grid), trim)
+def _nearest(points: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Distance of each point to its nearest other point, in blocks of bounded size."""
+    square = (others**2).sum(1)
+    out = [((p**2).sum(1)[:, None] + square - 2 * p @ others.T).min(1) for p in np.array_split(points, -(-len(points) // 512))]
+    return np.sqrt(np.maximum(np.concatenate(out), 0))
 
 
-def chamfer_column(a: Column, b: Column, grid: int = 64, trim: float = 0.1, physical: bool = False) -> Column:
+def chamfer(a, b, grid: int = 64, trim: float = 0.1, spacing: tuple[float, float, float] | None = None, mirror: bool = False) -> float:
+    """Sum of the trimmed mean nearest distances in both directions.
+
+    In voxels the lattices have orthogonal axes, so nearest points follow in closed form.  With a
+    ``spacing`` (x, y, z) distances are physical; unequal spacings shear the lattices, and points
+    are then compared directly.  ``mirror`` reflects ``b`` in x first, a check on laterality.
+    """
+    if spacing is None and not mirror:
+        return _trimmed(_to_lattice(lattice(a, grid), b, grid), trim) + _trimmed(_to_lattice(lattice(b, grid), a, grid), trim)
+    size = np.array(spacing or (1.0, 1.0, 1.0), float)
+    x, y = lattice(a, grid) * size, lattice(b, grid) * size * ((-1, 1, 1) if mirror else (1, 1, 1))
+    return _trimmed(_nearest(x, y), trim) + _trimmed(_nearest(y, x), trim)
+
+
+def chamfer_column(a: Column, b: Column, grid: int = 64, trim: float = 0.1, spacing: tuple[float, float, float] | None = None, mirror: bool = False) -> Column:
     """The same for two struct columns with the fields of POSE; null where a pose is null."""
-    if physical:
-        raise ValueError("distances in physical units are not supported")
 
     @F.pandas_udf("double")
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.Series:
-        out = [chamfer(p, q, grid, trim) if p["nx"] is not None and p["nx"] == p["nx"] and q["nx"] == q["nx"] else None for p, q in zip(x.to_dict("records"), y.to_dict("records"))]
+        known = x["nx"].notna() & y["nx"].notna()
+        out = [chamfer(p, q, grid, trim, spacing, mirror) if ok else None for ok, p, q in zip(known, x.to_dict("records"), y.to_dict("records"))]
         return pd.Series(out, dtype=float)
 
     return F.when(a.isNotNull() & b.isNotNull(), run(a, b))
 
 
 def corner_chamfer(a: list[Column], b: list[Column], scale: float = 1.0) -> Column:
-    """Mean nearest distance in both directions between two triples of corner structs (x, y, z)."""
+    """Mean nearest distance, averaged over both directions, between two triples of corner structs (x, y, z)."""
 
     def gap(p, q):
         return F.sqrt(sum(((p[c] - q[c]) ** 2 for c in "xyz"), F.lit(0.0)))
 
     there = [F.least(*(gap(p, q) for q in b)) for p in a]
     back = [F.least(*(gap(p, q) for p in a)) for q in b]
-    return (sum(there[1:], there[0]) / len(a) + sum(back[1:], back[0]) / len(b)) * scale
+    return (sum(there[1:], there[0]) / len(a) + sum(back[1:], back[0]) / len(b)) * (scale / 2)
 
 
-def with_chamfer(hits: DataFrame, grid: int = 64, trim: float = 0.1) -> DataFrame:
+def with_chamfer(hits: DataFrame, grid: int = 64, trim: float = 0.1, spacing: tuple[float, float, float] | None = None) -> DataFrame:
     """Adds ``dist`` from struct columns ``query_pose`` and ``patch_pose``; poses travel, points never do."""
-    return hits.withColumn("dist", chamfer_column(F.col("query_pose"), F.col("patch_pose"), grid, trim))
+    return hits.withColumn("dist", chamfer_column(F.col("query_pose"), F.col("patch_pose"), grid, trim, spacing))

@@ -31,7 +31,7 @@ def resample(volume: np.ndarray, pose: dict, order: int = 1) -> np.ndarray:
     """size x size image of a posed plane (trilinear, or nearest for labels), edges clamped."""
     n, u, v = _axes(pose)
     size, step = int(pose["size_px"]), pose["step"]
-    a = (np.arange(size) - size / 2) * step
+    a = (np.arange(size) - (size - 1) / 2) * step
     at = pose["depth"] * n + a[None, :, None] * u + a[:, None, None] * v
     zyx = at[..., ::-1] + (np.array(volume.shape) - 1) / 2
     top = np.array(volume.shape) - 1

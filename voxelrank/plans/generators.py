@@ -91,7 +91,7 @@ def sliding_starts(total: Column, window: Column, overlap: float) -> Column:
 def reduce_positions(positions: Column, most: int) -> Column:
     """At most ``most`` of the positions, evenly spread; a single one is the middle."""
     n = F.size(positions)
-    if most == 1:
+    if most <= 1:
         pick = F.array(F.element_at(positions, (F.floor(n / 2) + 1).cast("int")))
     else:
         at = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i * (n - 1) / F.lit(float(most - 1))).cast("int"))
@@ -102,13 +102,14 @@ def reduce_positions(positions: Column, most: int) -> Column:
 def local_crops(images: DataFrame, overlap: float = 0.5, most: int = 3, min_side: int = 64, aspect: float = 1.35, mode: str = "auto", scales: tuple[int, ...] = (2,), cap: int = 8) -> DataFrame:
     """``image_id, crop_id, x0, y0, x1, y1`` for rows of ``image_id, width, height``.
 
-    ``auto`` slides squares along the long axis of images of at least ``aspect``; ``force`` also
-    lays a grid for each scale over the top-left square.  Small or repeated boxes take no id.
+    ``auto`` slides at most ``most`` squares along the long axis of images of at least ``aspect``;
+    ``force`` slides up to ``cap`` and lays a grid for each scale over the top-left square.  Small or repeated boxes take no id.
     """
     if mode == "off":
         return images.select("image_id", F.lit(0).alias("crop_id"), *(F.lit(0).alias(c) for c in ("x0", "y0", "x1", "y1"))).filter("false")
     w, h = F.col("width"), F.col("height")
     side, long = F.least(w, h), F.greatest(w, h)
+    most = cap if mode == "force" else most
     starts = reduce_positions(sliding_starts(long, side, overlap), most)
     slid = F.transform(starts, lambda p: F.struct(F.when(w > h, p).otherwise(0).alias("x0"), F.when(w > h, 0).otherwise(p).alias("y0"), side.alias("side")))
     boxes = F.when(w != h, slid).otherwise(F.array().cast("array<struct<x0:int,y0:int,side:int>>"))
@@ -119,7 +120,7 @@ def local_crops(images: DataFrame, overlap: float = 0.5, most: int = 3, min_side
             win = F.greatest(F.lit(1), F.bround(side / F.lit(float(s))).cast("int"))
             grid = sliding_starts(side, win, overlap)
             boxes = F.concat(boxes, F.flatten(F.transform(grid, lambda y: F.transform(grid, lambda x: F.struct(x.alias("x0"), y.alias("y0"), win.alias("side"))))))
-    fine = F.slice(F.array_distinct(F.filter(boxes, lambda b: b["side"] >= min_side)), 1, max(cap, 1))
+    fine = F.slice(F.array_distinct(F.filter(boxes, lambda b: b["side"] >= min_side)), 1, max(most, 1))
     laid = images.filter(wanted).select("image_id", F.posexplode(fine).alias("crop_id", "b"))
     return laid.select("image_id", "crop_id", F.col("b.x0").alias("x0"), F.col("b.y0").alias("y0"), (F.col("b.x0") + F.col("b.side")).alias("x1"), (F.col("b.y0") + F.col("b.side")).alias("y1"))
 

@@ -12,8 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def signature(config: dict) -> str:
-    """First 12 hex digits of the SHA-1 of the sorted JSON of a configuration."""
-    return hashlib.sha1(json.dumps(config, sort_keys=True).encode()).hexdigest()[:12]
+    """First 12 hex digits of the SHA-1 of the compact, sorted JSON of a configuration."""
+    return hashlib.sha1(json.dumps(config, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:12]
 
 
 def group_counts(hits: DataFrame, sig: str) -> DataFrame:
