@@ -61,7 +61,7 @@ def main(argv: list[str] | None = None) -> None:
         tables.write_index(volume.build_index(plan, grid, volume.normalise(data), size=a.size, step=step), a.out)
     elif a.what == "search":
         patches, views = tables.read_manifest(spark, a.index), spark.read.parquet(a.queries)
-        near = topk.vector_topk(views, patches.select("patch_id", F.col("embedding").alias("emb")), a.k_per_view)
+        near = topk.vector_topk(views, patches.select("patch_id", F.col("embedding").alias("emb")), a.k_per_view, skip_own=False)
         found = near.join(views.select("query_id", "view_idx", "branch"), ["query_id", "view_idx"])
         hits = fusion.with_manifest(fusion.fuse(fusion.evidence(found), 1.0, a.w_local), patches.drop("embedding"))
         hits = fusion.scale_filter(hits, tuple(a.scales)) if a.scales else hits

@@ -116,6 +116,27 @@ def max_over_views(scored: DataFrame) -> DataFrame:
     return scored.groupBy("query_id", "patch_id").agg(F.max("raw").alias("raw"))
 
 
+def score_hits(hits: DataFrame, views: DataFrame, patches: DataFrame, weights: dict[str, np.ndarray], mode: str = "max_over_angles") -> DataFrame:
+    """``query_id, patch_id, raw`` for hits with ``rank`` and ``view_idx``, by the query views that ``mode`` names.
+
+    ``best_angle`` scores all hits with the view of the first, ``per_hit_angle`` each with its own,
+    ``max_over_angles`` with every global view, keeping the best.
+    """
+    q = views.select("query_id", "view_idx", F.col("emb").alias("q"), *(["branch"] if "branch" in views.columns else []))
+    slim = hits.select("query_id", "patch_id", "view_idx")
+    if mode == "max_over_angles":
+        pairs = slim.drop("view_idx").join(q.filter("branch = 'global'") if "branch" in q.columns else q, "query_id")
+    elif mode == "per_hit_angle":
+        pairs = slim.join(q, ["query_id", "view_idx"])
+    elif mode == "best_angle":
+        first = hits.groupBy("query_id").agg(F.min_by("view_idx", "rank").alias("view_idx"))
+        pairs = slim.drop("view_idx").join(q.join(first, ["query_id", "view_idx"]), "query_id")
+    else:
+        raise ValueError(f"unknown mode {mode!r}")
+    vectors = patches.select("patch_id", F.col("embedding" if "embedding" in patches.columns else "emb").cast("array<double>").alias("c"))
+    return max_over_views(score_pairs(pairs.join(vectors, "patch_id"), weights, ["query_id", "patch_id"]))
+
+
 def rerank_order(hits: DataFrame, topk: int = 100, alpha: float = 1.0, norm: str = "zscore") -> DataFrame:
     """New ranks: the first ``topk`` by the blend of normalised coarse and raw scores, the rest as before.
 

@@ -21,13 +21,13 @@ def choose_index(n: int, kind: str = "auto", flat_to: int = FLAT_TO, graph_to: i
     return "flat" if n <= flat_to else "ivf" if n <= graph_to else "ivfpq"
 
 
-def _best(q: np.ndarray, qkeys: pd.DataFrame, x: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of a block of patches for each view; own id excluded; ties to the smaller id."""
+def _best(q: np.ndarray, qkeys: pd.DataFrame, x: np.ndarray, ids: np.ndarray, k: int, skip_own: bool) -> pd.DataFrame:
+    """The k best of a block of patches for each view; ties to the smaller id."""
     out = []
     for lo in range(0, len(q), 256):
         s = q[lo : lo + 256] @ x.T
         for i, row in enumerate(s):
-            own = ids == qkeys["query_id"].iat[lo + i]
+            own = (ids == qkeys["query_id"].iat[lo + i]) & skip_own
             row[own] = -np.inf
             m = min(k, int((~own).sum()))
             if not m:
@@ -38,11 +38,11 @@ def _best(q: np.ndarray, qkeys: pd.DataFrame, x: np.ndarray, ids: np.ndarray, k:
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "view_idx": [], "patch_id": [], "score": []})
 
 
-def vector_topk(views: DataFrame, patches: DataFrame, k: int) -> DataFrame:
+def vector_topk(views: DataFrame, patches: DataFrame, k: int, skip_own: bool = True) -> DataFrame:
     """``query_id, view_idx, patch_id, score, view_rank``: the k patches of largest inner product for each view.
 
-    ``views`` has query_id, view_idx, emb; ``patches`` has patch_id, emb.  A view never meets the
-    patch of its own query id.  Views within BROADCAST_DOUBLES are broadcast and each partition of
+    ``views`` has query_id, view_idx, emb; ``patches`` has patch_id, emb.  With
+    ``skip_own`` a view never meets the patch of its own query id.  Views within BROADCAST_DOUBLES are broadcast and each partition of
     patches answers with its own k best (no patch is shuffled); more views meet the patches in a
     grid of blocks.
     """
@@ -58,7 +58,7 @@ def vector_topk(views: DataFrame, patches: DataFrame, k: int) -> DataFrame:
             q, keys = shared.value
             for b in batches:
                 if len(b) and len(q):
-                    yield _best(q, keys, np.stack(b["emb"]), b["patch_id"].to_numpy(), k)
+                    yield _best(q, keys, np.stack(b["emb"]), b["patch_id"].to_numpy(), k, skip_own)
 
         near = rows.mapInPandas(scan, out)
     else:
@@ -70,7 +70,7 @@ def vector_topk(views: DataFrame, patches: DataFrame, k: int) -> DataFrame:
         def meet(p: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
             if not len(p) or not len(v):
                 return pd.DataFrame({"query_id": [], "view_idx": [], "patch_id": [], "score": []})
-            return _best(np.stack(v["emb"]), v, np.stack(p["emb"]), p["patch_id"].to_numpy(), k)
+            return _best(np.stack(v["emb"]), v, np.stack(p["emb"]), p["patch_id"].to_numpy(), k, skip_own)
 
         near = left.groupBy("pb", "qb").cogroup(right.groupBy("pb", "qb")).applyInPandas(meet, out)
     order = Window.partitionBy("query_id", "view_idx").orderBy(F.desc("score"), "patch_id")

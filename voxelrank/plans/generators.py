@@ -99,30 +99,33 @@ def reduce_positions(positions: Column, most: int) -> Column:
     return F.when(n <= most, positions).otherwise(pick)
 
 
-def local_crops(images: DataFrame, overlap: float = 0.5, most: int = 3, min_side: int = 64, aspect: float = 1.35, mode: str = "auto", scales: tuple[int, ...] = (2,), cap: int = 8) -> DataFrame:
-    """``image_id, crop_id, x0, y0, x1, y1`` for rows of ``image_id, width, height``.
+def crop_boxes(w: Column, h: Column, overlap: float = 0.5, most: int = 3, min_side: int = 64, aspect: float = 1.35, mode: str = "auto", scales: tuple[int, ...] = (2,), cap: int = 8) -> Column:
+    """Array of local windows (x0, y0, x1, y1) of an image of width ``w`` and height ``h``.
 
     ``auto`` slides at most ``most`` squares along the long axis of images of at least ``aspect``;
-    ``force`` slides up to ``cap`` and lays a grid for each scale over the top-left square.  Small or repeated boxes take no id.
+    ``force`` slides up to ``cap`` and lays a grid for each scale over the top-left square; ``off``
+    gives none.  Small or repeated boxes take no place.
     """
-    if mode == "off":
-        return images.select("image_id", F.lit(0).alias("crop_id"), *(F.lit(0).alias(c) for c in ("x0", "y0", "x1", "y1"))).filter("false")
-    w, h = F.col("width"), F.col("height")
+    kind = "array<struct<x0:int,y0:int,side:int>>"
     side, long = F.least(w, h), F.greatest(w, h)
     most = cap if mode == "force" else most
     starts = reduce_positions(sliding_starts(long, side, overlap), most)
     slid = F.transform(starts, lambda p: F.struct(F.when(w > h, p).otherwise(0).alias("x0"), F.when(w > h, 0).otherwise(p).alias("y0"), side.alias("side")))
-    boxes = F.when(w != h, slid).otherwise(F.array().cast("array<struct<x0:int,y0:int,side:int>>"))
-    wanted = (side >= min_side) & (long / side >= aspect)
+    none = F.array().cast(kind)
+    boxes = F.when(w != h, slid).otherwise(none)
+    wanted = F.lit(mode == "force") | ((F.lit(mode) == "auto") & (long / side >= aspect))
     if mode == "force":
-        wanted = F.lit(True)
         for s in (x for x in scales if x > 1):
             win = F.greatest(F.lit(1), F.bround(side / F.lit(float(s))).cast("int"))
             grid = sliding_starts(side, win, overlap)
             boxes = F.concat(boxes, F.flatten(F.transform(grid, lambda y: F.transform(grid, lambda x: F.struct(x.alias("x0"), y.alias("y0"), win.alias("side"))))))
     fine = F.slice(F.array_distinct(F.filter(boxes, lambda b: b["side"] >= min_side)), 1, max(most, 1))
-    laid = images.filter(wanted).select("image_id", F.posexplode(fine).alias("crop_id", "b"))
-    return laid.select("image_id", "crop_id", F.col("b.x0").alias("x0"), F.col("b.y0").alias("y0"), (F.col("b.x0") + F.col("b.side")).alias("x1"), (F.col("b.y0") + F.col("b.side")).alias("y1"))
+    return F.transform(F.when(wanted, fine).otherwise(none), lambda b: F.struct(b["x0"].alias("x0"), b["y0"].alias("y0"), (b["x0"] + b["side"]).alias("x1"), (b["y0"] + b["side"]).alias("y1")))
+
+
+def local_crops(images: DataFrame, **options) -> DataFrame:
+    """``image_id, crop_id, x0, y0, x1, y1`` for rows of ``image_id, width, height``: the windows of ``crop_boxes``."""
+    return images.select("image_id", F.posexplode(crop_boxes(F.col("width"), F.col("height"), **options)).alias("crop_id", "b")).select("image_id", "crop_id", "b.*")
 
 
 def view_grid(spark: SparkSession, angles: tuple[float, ...] = (0, 90, 180, 270), flip_x: bool = True, flip_y: bool = False) -> DataFrame:
