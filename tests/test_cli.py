@@ -25,3 +25,22 @@ def test_index_search_report(spark, tmp_path):
 def test_bad_arguments(tmp_path):
     with pytest.raises(SystemExit):
         cli.main(["index", "--overlap", "1.5", "--out", str(tmp_path)])
+
+
+def test_dataset_eval_train(spark, tmp_path):
+    at = lambda n: str(tmp_path / n)
+    cli.main(["index", "--normals", "6", "--depth-step", "6", "--size", "32", "--scales", "1", "2", "--out", at("index")])
+    cli.main(["dataset", "--planes", "2", "--size", "32", "--out", at("data")])
+    shared = ["--index", at("index"), "--dataset", at("data"), "--size", "32"]
+    cli.main(["eval", *shared, "--final-k", "8", "--k-per-view", "12", "--out", at("hits"), "--limit", "6"])
+    hits = spark.read.parquet(at("hits/fast")).cache()
+    assert hits.select("row_idx").distinct().count() == 6 and hits.filter("rank = 1").count() == 6
+    cli.main(["eval", *shared, "--final-k", "8", "--k-per-view", "12", "--out", at("hits")])
+    more = spark.read.parquet(at("hits/fast"))
+    assert more.select("row_idx").distinct().count() == 20 and more.groupBy("row_idx", "source", "rank").count().filter("count > 1").count() == 0
+    assert hits.select("row_idx", "rank", "patch_id").exceptAll(more.select("row_idx", "rank", "patch_id")).count() == 0
+    cli.main(["train", *shared, "--hits", at("hits/fast"), "--epochs", "2", "--hidden", "8", "4", "--min-candidates", "3", "--out", at("model")])
+    losses = spark.read.option("header", True).csv(at("model/losses"))
+    assert {r.split for r in losses.collect()} == {"train", "val", "test"} and spark.read.option("header", True).csv(at("model/history")).count() == 2
+    cli.main(["eval", *shared, "--final-k", "8", "--k-per-view", "12", "--limit", "1", "--model", at("model/model"), "--out", at("again")])
+    assert spark.read.parquet(at("again/fast")).filter("rerank_score IS NULL").count() == 0

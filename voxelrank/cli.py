@@ -1,6 +1,9 @@
-"""Command line: build a patch index, search it, report and compare runs.
+"""Command line: build a patch index and a dataset, search, evaluate, report and compare runs, train the re-ranker.
 
     python -m voxelrank.cli index --volume brain.nii.gz --out index/
+    python -m voxelrank.cli dataset --volume brain.nii.gz --planes 100 --out dataset/
+    python -m voxelrank.cli eval --index index/ --dataset dataset/ --volumes plain=brain.nii.gz --mode all --out hits/
+    python -m voxelrank.cli train --index index/ --dataset dataset/ --volumes plain=brain.nii.gz --hits hits/smart --out model/
     python -m voxelrank.cli search --index index/ --queries views.parquet --out hits/
     python -m voxelrank.cli report --runs a.parquet b.parquet --out report/
 """
@@ -11,11 +14,14 @@ import argparse
 
 from pyspark.sql import functions as F
 
-from voxelrank.operators import fusion, metrics, topk, volume
+from voxelrank.operators import builder, evaluate, fusion, metrics, rerank, topk, training, volume
 from voxelrank.plans import generators as P
-from voxelrank.session import session
+from voxelrank.session import session, written
 from voxelrank.sources import tables
 
+#: How each evaluation mode uses local windows.
+MODES = {"fast": "off", "smart": "auto", "enhanced": "force"}
+
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="voxelrank")
@@ -39,26 +45,93 @@ def parser() -> argparse.ArgumentParser:
     report.add_argument("--runs", nargs="+", required=True)
     report.add_argument("--labels", nargs="*")
     report.add_argument("--ks", type=int, nargs="+", default=list(metrics.KS))
-    for p in (index, search, report):
+    dataset = what.add_parser("dataset", help="random valid planes of a volume with crops of each")
+    dataset.add_argument("--volume")
+    dataset.add_argument("--planes", type=int, default=100)
+    dataset.add_argument("--seed", type=int, default=42)
+    ev = what.add_parser("eval", help="search with every dataset row that has no complete hits yet, and measure what is found")
+    ev.add_argument("--mode", choices=[*MODES, "all"], default="fast")
+    ev.add_argument("--final-k", type=int, default=100)
+    ev.add_argument("--k-per-view", type=int, default=64)
+    ev.add_argument("--limit", type=int, help="only rows below this row number")
+    ev.add_argument("--model", help="re-rank with this model")
+    ev.add_argument("--rerank-mode", choices=["max_over_angles", "best_angle", "per_hit_angle"], default="max_over_angles")
+    train = what.add_parser("train", help="fit the re-ranker on evaluation hits")
+    train.add_argument("--hits", required=True)
+    train.add_argument("--epochs", type=int, default=50)
+    train.add_argument("--hidden", type=int, nargs=2, default=[512, 256])
+    train.add_argument("--min-candidates", type=int, default=8)
+    for p in (ev, train):
+        p.add_argument("--index", required=True)
+        p.add_argument("--dataset", required=True)
+        p.add_argument("--volumes", nargs="+", default=["plain="], help="name=file; an analytic volume without a file")
+    for p in (dataset, ev, train):
+        p.add_argument("--size", type=int, default=512)
+    for p in (index, search, report, dataset, ev, train):
         p.add_argument("--out", required=True)
     return top
 
 
+def _volume(spark, path: str | None):
+    """A normalised volume: a NIfTI file, or the analytic one."""
+    if not path:
+        return volume.normalise(volume.synthetic_volume())
+    raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
+    return volume.normalise(tables.parse_nifti(bytes(raw))[0])
+
+
+def _volumes(spark, named: list[str]):
+    return {name: _volume(spark, path) for name, _, path in (n.partition("=") for n in named)}
+
+
+def _eval(spark, a) -> None:
+    volumes, rows = _volumes(spark, a.volumes), tables.read_dataset(spark, a.dataset)
+    rows = rows.filter(F.col("row_idx") < a.limit) if a.limit is not None else rows
+    weights = training.load_model(spark, a.model) if a.model else None
+    step = max(max(v.shape) for v in volumes.values()) / a.size
+    for mode in MODES if a.mode == "all" else [a.mode]:
+        out = f"{a.out}/{mode}"
+        cfg = evaluate.EvalConfig(size_px=a.size, step=step, local=MODES[mode], final_k=a.final_k, k_per_view=a.k_per_view, index_version=a.index)
+        found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+        there = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+        done = tables.read_hits(spark, out) if there else None
+        hits = evaluate.evaluate(rows, volumes, tables.read_manifest(spark, a.index), volume.pooled_encoder(), cfg, done, weights, mode=a.rerank_mode)
+        if there:  # rows that were left half done are written anew
+            fresh = written(hits)
+            again = fresh.select("eval_sig", "row_idx", "source").distinct()
+            kept = written(done.join(again, ["eval_sig", "row_idx", "source"], "left_anti"))
+            kept.unionByName(fresh, allowMissingColumns=True).write.mode("overwrite").parquet(out)
+        else:
+            tables.append_hits(hits, out)
+
+
+def _train(spark, a) -> None:
+    volumes, patches = _volumes(spark, a.volumes), tables.read_manifest(spark, a.index)
+    vectors = patches.select("patch_id", F.col("embedding").alias("emb"))
+    cfg = rerank.RerankerConfig(dim=len(vectors.first()["emb"]), hidden=tuple(a.hidden), epochs=a.epochs)
+    hits = tables.read_hits(spark, a.hits).withColumnRenamed("geom_dist_vox", "dist")
+    step = max(max(v.shape) for v in volumes.values()) / a.size
+    queries = written(training.query_vectors(tables.read_dataset(spark, a.dataset), volumes, volume.pooled_encoder(), evaluate.EvalConfig(size_px=a.size, step=step)))
+    members, splits = training.prepare(hits.select("row_idx", "source", "patch_id", "rank", "dist"), vectors, cfg, least=a.min_candidates)
+    lists = written(training.training_lists(members, queries, vectors))
+    weights, history = training.fit(lists, splits, cfg)
+    training.save_model(spark, weights, f"{a.out}/model")
+    tables.write_csv(spark.createDataFrame(history).coalesce(1), f"{a.out}/history")
+    losses = training.list_losses(lists, weights, cfg).join(splits, "row_idx").groupBy("split").agg(F.avg("loss").alias("loss"), F.count("*").alias("lists"))
+    tables.write_csv(losses, f"{a.out}/losses")
+
+
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     if a.what == "index" and not (0 <= a.overlap < 1 and a.depth_step > 0 and a.margin >= 0):
         raise SystemExit("overlap must be in [0, 1), the step positive, the margin not negative")
     spark = session()
     if a.what == "index":
-        if a.volume:
-            raw = spark.read.format("binaryFile").load(a.volume).select("content").first()[0]
-            data, _ = tables.parse_nifti(bytes(raw))
-        else:
-            data = volume.synthetic_volume()
+        data = _volume(spark, a.volume)
         plan = P.slice_plan(P.fibonacci_normals(spark, a.normals), data.shape[::-1], a.depth_step, a.margin)
         grid = P.patch_grid(spark, a.size, tuple(a.scales), a.overlap)
         step = max(data.shape) / a.size
-        tables.write_index(volume.build_index(plan, grid, volume.normalise(data), size=a.size, step=step), a.out)
+        tables.write_index(volume.build_index(plan, grid, data, size=a.size, step=step), a.out)
     elif a.what == "search":
         patches, views = tables.read_manifest(spark, a.index), spark.read.parquet(a.queries)
         near = topk.vector_topk(views, patches.select("patch_id", F.col("embedding").alias("emb")), a.k_per_view, skip_own=False)
@@ -66,6 +139,15 @@ def main(argv: list[str] | None = None) -> None:
         hits = fusion.with_manifest(fusion.fuse(fusion.evidence(found), 1.0, a.w_local), patches.drop("embedding"))
         hits = fusion.scale_filter(hits, tuple(a.scales)) if a.scales else hits
         tables.write_csv(fusion.rank_hits(fusion.dedup_slices(hits), a.k), a.out)
+    elif a.what == "dataset":
+        data = _volume(spark, a.volume)
+        planes = written(builder.valid_planes(spark, a.planes, data, a.size, max(data.shape) / a.size, seed=a.seed))
+        rows = builder.build_dataset(planes, a.seed).withColumn("vector", F.array("nx", "ny", "nz"))
+        tables.write_dataset(rows, a.out)
+    elif a.what == "eval":
+        _eval(spark, a)
+    elif a.what == "train":
+        _train(spark, a)
     else:
         paths = metrics.named_runs(a.runs, a.labels)
         hits = {n: tables.read_hits(spark, p).withColumnRenamed("geom_dist_vox", "dist").withColumnRenamed("gt_tau_vox", "tau") for n, p in paths.items()}

@@ -15,6 +15,7 @@ from voxelrank.operators import distance, fusion, rerank, targets, topk
 from voxelrank.operators.images import crop_foreground, embed_views
 from voxelrank.operators.volume import resample
 from voxelrank.plans import generators as P
+from voxelrank.session import written
 from voxelrank.streaming import incremental
 
 
@@ -119,7 +120,7 @@ def evaluate(rows: DataFrame, volumes: dict[str, np.ndarray], patches: DataFrame
     sources, sig = sorted(volumes), cfg.signature()
     todo = rows if done is None else incremental.pending(rows, done, sig, cfg.final_k, sources)
     posed = posed_rows(todo, sources, cfg)
-    views = query_views(posed, volumes, encoder, cfg)
+    views = written(query_views(posed, volumes, encoder, cfg))
     near = topk.vector_topk(views, patches.select("patch_id", F.col("embedding").alias("emb")), cfg.k_per_view, skip_own=False)
     what = views.select("query_id", "view_idx", "branch", "crop_id")
     fused = fusion.fuse(fusion.evidence(near.join(what, ["query_id", "view_idx"])), 1.0, cfg.w_local)

@@ -150,6 +150,17 @@ def rerank_order(hits: DataFrame, topk: int = 100, alpha: float = 1.0, norm: str
     return cut.withColumn("blend", mixed).withColumn("new_rank", F.row_number().over(order).cast("long"))
 
 
+def list_loss(w: dict[str, np.ndarray], example, cfg: RerankerConfig, grad: bool = False):
+    """Cross-entropy of a list (query, candidates, soft targets, distance targets) plus weighted Huber; with its gradient if asked for."""
+    q, c, p, d = example
+    r, dist, kept = forward(w, features(np.repeat(q[None], len(c), 0), c))
+    ls = r - r.max()
+    ls -= np.log(np.exp(ls).sum())
+    e = dist - d
+    value = -(p * ls).sum() + cfg.distance_weight * np.where(np.abs(e) <= 1, 0.5 * e * e, np.abs(e) - 0.5).mean()
+    return (value, backward(w, kept, np.exp(ls) * p.sum() - p, cfg.distance_weight * np.clip(e, -1, 1) / len(e))) if grad else value
+
+
 def train(examples: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], cfg: RerankerConfig, held_out: list | None = None) -> tuple[dict[str, np.ndarray], list[dict]]:
     """AdamW on lists (query, candidates, soft targets, distance targets); returns the best weights and the history.
 
@@ -161,19 +172,10 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]],
     best, best_w, stale, history = math.inf, w, 0, []
     held_out = held_out or examples
 
-    def loss(w, ex, grad=False):
-        q, c, p, d = ex
-        r, dist, kept = forward(w, features(np.repeat(q[None], len(c), 0), c))
-        ls = r - r.max()
-        ls -= np.log(np.exp(ls).sum())
-        e = dist - d
-        value = -(p * ls).sum() + cfg.distance_weight * np.where(np.abs(e) <= 1, 0.5 * e * e, np.abs(e) - 0.5).mean()
-        return (value, backward(w, kept, np.exp(ls) * p.sum() - p, cfg.distance_weight * np.clip(e, -1, 1) / len(e))) if grad else value
-
     for epoch in range(cfg.epochs):
         seen = []
         for i in np.random.default_rng((cfg.seed, epoch)).permutation(len(examples)):
-            value, g = loss(w, examples[i], True)
+            value, g = list_loss(w, examples[i], cfg, True)
             seen.append(value)
             size = math.sqrt(sum((x * x).sum() for x in g.values()))
             t += 1
@@ -181,7 +183,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]],
                 gk = g[k] * min(1.0, cfg.clip / max(size, 1e-12))
                 m[k], v[k] = 0.9 * m[k] + 0.1 * gk, 0.999 * v[k] + 0.001 * gk * gk
                 w[k] = w[k] - lr * (m[k] / (1 - 0.9**t) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8) + cfg.weight_decay * w[k])
-        val = float(np.mean([loss(w, ex) for ex in held_out])) if held_out else 0.0
+        val = float(np.mean([list_loss(w, ex, cfg) for ex in held_out])) if held_out else 0.0
         history.append({"epoch": epoch, "train_loss": float(np.mean(seen)) if seen else 0.0, "val_loss": val, "lr": lr})
         if val < best - cfg.min_delta:
             best, best_w, stale = val, {k: x.copy() for k, x in w.items()}, 0

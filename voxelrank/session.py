@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, app: str = "voxelrank", **conf: str) -> SparkSession:
@@ -31,4 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="voxelrank-")
+        spark.sparkContext.setCheckpointDir(found)
     return found
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, for what is costly and used more than once."""
+    path = f"{shared_dir(df.sparkSession)}/voxelrank-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

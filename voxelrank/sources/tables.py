@@ -52,6 +52,18 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     return parse_dataset(spark.read.option("header", True).option("escape", '"').csv(path))
 
 
+def write_dataset(rows: DataFrame, path: str) -> None:
+    """Dataset CSV from typed rows; columns that are not there stay empty, ``row_idx`` is kept."""
+    have = set(rows.columns)
+    made = [(F.to_json(F.col(c)) if c == "vector" else F.col(c)).alias(c) if c in have else F.lit("").alias(c) for c in DATASET_COLUMNS]
+    rows.select("row_idx", *made).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def append_hits(hits: DataFrame, path: str) -> None:
+    """Hits added to those at ``path``; new columns are merged on reading."""
+    hits.write.mode("append").parquet(path)
+
+
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
     """Hits of a run from Parquet, or CSV with a header (file or directory)."""
     df = spark.read.option("header", True).option("inferSchema", True).csv(path) if path.endswith(".csv") else spark.read.option("mergeSchema", True).parquet(path)
