@@ -154,3 +154,15 @@ def test_crop_outside_becomes_a_pixel(spark):
 def test_targets_of_missing_distances(spark):
     row = spark.createDataFrame([(float("nan"), [])], "d double, v array<double>").select(numbers.distance_target(F.col("d"), "raw"), numbers.trimmed_mean(F.col("v"), 0.1)).first()
     assert tuple(row) == (256.0, 0.0)
+
+
+def test_rows_are_numbered_by_place(spark, tmp_path):
+    path = tmp_path / "d.csv"
+    path.write_text("a\n" + "".join(f"r{i}\n" for i in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        got = tables.with_position(spark.read.option("header", True).csv(str(path))).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.row_idx, r.a) for r in got) == [(i, f"r{i}") for i in range(3000)]

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from voxelrank.functions import geometry as G
 from voxelrank.functions import numbers as N
 from voxelrank.functions import vectors as V
-from voxelrank.operators import distance, fusion, metrics, pools, rerank, targets, topk, volume
+from voxelrank.operators import builder, distance, evaluate, fusion, images, metrics, pools, quantise, rerank, targets, topk, training, volume
 from voxelrank.plans import generators as P
-from voxelrank.session import shared_dir
+from voxelrank.session import shared_dir, written
 from voxelrank.sources import tables
 from voxelrank.streaming import incremental
 
@@ -588,3 +588,98 @@ def dataset_parse(spark, sf):
 def patch_index_build(spark, sf):
     plan = P.slice_plan(P.fibonacci_normals(spark, 8), (20, 20, 20), 6.0, 2.0)
     return volume.build_index(plan, P.patch_grid(spark, 64, (1, 2), 0.25), volume.normalise(volume.synthetic_volume())).drop("embedding")
+
+
+# ---------------------------------------------------------------- compressed index, images, evaluation, training
+@_query()
+def knn_ivfpq(spark, sf):
+    q, patches = _views(spark, sf).filter("view_idx = 0"), _vectors(spark, sf)
+    model = quantise.train_quantiser(patches, lists=16)
+    near = quantise.ivfpq_topk(q, patches, quantise.encode_patches(patches, model), model, 5, probes=8, refine=8)
+    return near.select("query_id", "patch_id", F.col("view_rank").cast("long").alias("rank"), _r("score").alias("score"))
+
+
+@_query(f"{_HITS} SELECT query_id, patch_id, round(CASE WHEN max(score) OVER w - min(score) OVER w < 1e-6 THEN 0.0 ELSE 0.7::DOUBLE * (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END + 0.3::DOUBLE * (rank - 1) / {HITS_K - 1}, 5) AS blend, round(exp(score - max(score) OVER w) / (sum(exp(score)) OVER w / exp(max(score) OVER w) + 1e-12), 6) AS p FROM hits WINDOW w AS (PARTITION BY query_id)")
+def blend_alpha(spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("query_id")
+    mixed = N.blend(N.minmax(F.col("score"), w), (F.col("rank") - 1) / (HITS_K - 1), 0.3)
+    return _hits(spark, sf).select("query_id", "patch_id", _r(mixed, 5).alias("blend"), _r(N.softmax(F.col("score"), w)).alias("p"))
+
+
+@_query(f"{_HITS} SELECT query_id, patch_id, 'patches/' || lpad(CAST(patch_id AS VARCHAR), 8, '0') || '.png' AS path, CASE WHEN patch_id % 2 = 0 THEN 'own' ELSE 'other' END AS chosen FROM hits")
+def patch_paths(spark, sf):
+    own = F.when(F.col("patch_id") % 2 == 0, F.lit(" own ")).otherwise(F.lit("  "))
+    return _hits(spark, sf).select("query_id", "patch_id", images.patch_path(F.col("patch_id")).alias("path"), images.first_path(F.lit(None).cast("string"), own, F.lit("other")).alias("chosen"))
+
+
+@_query("""WITH px AS (SELECT vec_id AS image_id, i % 8 AS x, i // 8 AS y, CAST(embedding[i + 1] AS DOUBLE) > 0.05 AS fg FROM embeddings, range(64) t(i)),
+b AS (SELECT k AS box_id, k % 3 AS x0, k // 2 AS y0, k % 3 + 4 AS x1, k // 2 + 3 AS y1 FROM range(6) t(k))
+SELECT image_id, box_id, round(avg(CASE WHEN fg THEN 1.0 ELSE 0.0 END), 6) AS fg_ratio FROM px, b WHERE x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY ALL""")
+def fg_ratio_boxes(spark, sf):
+    cells = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "value"))
+    pixels = cells.select("image_id", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), "value")
+    box = lambda k: F.struct(F.lit(k).cast("long").alias("box_id"), F.lit(k % 3).alias("x0"), F.lit(k // 2).alias("y0"), F.lit(k % 3 + 4).alias("x1"), F.lit(k // 2 + 3).alias("y1"))
+    boxes = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.explode(F.array(*map(box, range(6)))).alias("b")).select("image_id", "b.*")
+    return images.box_ratio(images.integral(pixels), boxes).withColumn("fg_ratio", _r("fg_ratio"))
+
+
+@_query(f"{_HITS} SELECT row_idx, source, count(*) AS n FROM hits WHERE rank <= 20 AND patch_id % 3 <> 0 GROUP BY ALL HAVING count(*) >= 14")
+def pool_min_candidates(spark, sf):
+    pool = pools.build_pools(_hits(spark, sf), _vectors(spark, sf).filter("patch_id % 3 != 0"), 20, 14)
+    return pools.pool_arrays(pool).select("row_idx", "source", F.size("members").cast("long").alias("n"))
+
+
+@_query("SELECT p_partkey AS id, round(abs(x) / l * 9.5 + abs(y) / l * 14.5 + abs(z) / l * 19.5, 6) AS half, 31 - p_partkey % 32 AS mirrored FROM (SELECT p_partkey, x, y, z, sqrt(x * x + y * y + z * z) + 1e-12 AS l FROM (SELECT p_partkey, p_partkey % 17 - 8.0::DOUBLE AS x, p_partkey % 13 - 6.0::DOUBLE AS y, p_partkey % 11 - 4.5::DOUBLE AS z FROM part))")
+def depth_bounds(spark, sf):
+    half = G.depth_bounds(G.vec(F.col("x"), F.col("y"), F.col("z")), (20, 30, 40))
+    return _parts(spark, sf).select("id", _r(half).alias("half"), G.mirror_x(F.col("id") % 32, 32).cast("long").alias("mirrored"))
+
+
+@_query()
+def axis_normals(spark, sf):
+    return P.axis_normals(spark, diagonals=True)
+
+
+def _volume():
+    return volume.normalise(volume.synthetic_volume())
+
+
+@_query()
+def dataset_build(spark, sf):
+    return builder.build_dataset(builder.valid_planes(spark, 3, _volume(), 32, 1.0))
+
+
+def _evaluated(spark):
+    v = _volume()
+    index = written(volume.build_index(P.slice_plan(P.fibonacci_normals(spark, 12), (32, 32, 32), 5.0, 2.0), P.patch_grid(spark, 32, (1, 2), 0.25), v, size=32, step=1.0))
+    rows = written(builder.build_dataset(builder.valid_planes(spark, 3, v, 32, 1.0)).withColumn("vector", F.array("nx", "ny", "nz")))
+    cfg = evaluate.EvalConfig(size_px=32, flip_y=False, local="auto", final_k=20, grid=8)
+    return rows, {"plain": v}, index, cfg, evaluate.evaluate(rows, {"plain": v}, index, volume.pooled_encoder(), cfg)
+
+
+@_query()
+def evaluate_hits(spark, sf):
+    return _evaluated(spark)[4]
+
+
+@_query()
+def train_reranker(spark, sf):
+    rows, volumes, index, ev, hits = _evaluated(spark)
+    cfg, vectors = rerank.RerankerConfig(dim=64, hidden=(16, 8), epochs=3), index.select("patch_id", F.col("embedding").alias("emb"))
+    members, splits = training.prepare(written(hits.withColumnRenamed("geom_dist_vox", "dist").select("row_idx", "source", "patch_id", "rank", "dist")), vectors, cfg)
+    lists = written(training.training_lists(members, training.query_vectors(rows, volumes, volume.pooled_encoder(), ev), vectors))
+    weights, _ = training.fit(lists, splits, cfg)
+    return training.list_losses(lists, weights, cfg).join(splits, "row_idx")
+
+
+@_query()
+def best_orientation(spark, sf):
+    v = volume.synthetic_volume((20, 24, 28))
+    return builder.best_orientation(spark, v, v.transpose(1, 0, 2)[::-1].copy())
+
+
+@_query()
+def row_sample(spark, sf):
+    return images.sample_rows(_t(spark, sf, "orders").select(F.col("o_orderkey").alias("row_idx"), "o_totalprice"), 25)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -90,6 +90,28 @@ def embed_views(images: DataFrame, views: DataFrame, encoder: Callable[[np.ndarr
     return images.select(*need).mapInPandas(run, "query_id long, view_idx int, branch string, crop_id int, emb array<double>")
 
 
+def integral(pixels: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """``image_id, x, y, total``: foreground pixels at or before (x, y), for rows of ``image_id, x, y, value``."""
+    along = Window.partitionBy("image_id", "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("image_id", "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
+    rows = pixels.withColumn("_row", F.sum((F.col("value") > threshold).cast("long")).over(along))
+    return rows.select("image_id", "x", "y", F.sum("_row").over(down).alias("total"))
+
+
+def box_ratio(totals: DataFrame, boxes: DataFrame) -> DataFrame:
+    """``image_id, box_id, fg_ratio`` of boxes ``image_id, box_id, x0, y0, x1, y1`` by their four corners in an integral table."""
+    signs = ((1, "x1", "y1"), (-1, "x0", "y1"), (-1, "x1", "y0"), (1, "x0", "y0"))
+    corner = F.explode(F.array(*(F.struct(F.lit(s).alias("sign"), (F.col(x) - 1).alias("x"), (F.col(y) - 1).alias("y")) for s, x, y in signs))).alias("c")
+    area = ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area")
+    met = boxes.select("image_id", "box_id", area, corner).select("image_id", "box_id", "area", "c.*").join(totals, ["image_id", "x", "y"], "left")
+    return met.groupBy("image_id", "box_id").agg((F.sum(F.col("sign") * F.coalesce("total", F.lit(0))) / F.first("area")).alias("fg_ratio"))
+
+
+def sample_rows(rows: DataFrame, n: int, key: str = "row_idx", seed: int = 42) -> DataFrame:
+    """``n`` rows in a fixed hash order of the key: the same ones for any partitioning."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+
+
 def patch_path(patch_id: Column, folder: str = "patches") -> Column:
     return F.concat(F.lit(f"{folder}/"), F.lpad(patch_id.cast("string"), 8, "0"), F.lit(".png"))
 

@@ -6,7 +6,7 @@ import gzip
 import struct
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,11 +45,26 @@ def parse_dataset(raw: DataFrame) -> DataFrame:
             out.append(need.cast(kind).alias(c))
     extra = [x for c in raw.columns if c not in DATASET_COLUMNS and c != "row_idx" for x in (F.lit(c), F.col(c))]
     made = F.create_map(*extra) if extra else F.create_map().cast("map<string,string>")
-    return raw.select(*(["row_idx"] if "row_idx" in raw.columns else []), *out, made.alias("extra"))
+    return raw.select(*([F.col("row_idx").cast("long")] if "row_idx" in raw.columns else []), *out, made.alias("extra"))
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
-    return parse_dataset(spark.read.option("header", True).option("escape", '"').csv(path))
+    """Parsed dataset rows; without a column ``row_idx`` rows are numbered by their place in the files."""
+    raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    return parse_dataset(raw if "row_idx" in raw.columns else with_position(raw))
+
+
+def with_position(raw: DataFrame) -> DataFrame:
+    """Adds ``row_idx``: the place of each row of a file scan, from 0, in the order of files and blocks.
+
+    Blocks are counted first (one row for each), rows then count from their block's first; no row is shuffled.
+    """
+    block = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    placed = raw.select("*", *block, F.monotonically_increasing_id().alias("_at"))
+    blocks = placed.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = blocks.select("_file", "_start", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return placed.join(offsets, ["_file", "_start"]).withColumn("row_idx", F.col("_before") + F.col("_at") - F.col("_first")).select("row_idx", *raw.columns)
 
 
 def write_dataset(rows: DataFrame, path: str) -> None:
