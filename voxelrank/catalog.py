@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from voxelrank.functions import geometry as G
 from voxelrank.functions import numbers as N
 from voxelrank.functions import vectors as V
-from voxelrank.operators import builder, distance, evaluate, fusion, images, metrics, pools, quantise, rerank, targets, topk, training, volume
+from voxelrank.operators import builder, distance, evaluate, fusion, images, metrics, pools, quantise, registration, rerank, targets, topk, training, volume
 from voxelrank.plans import generators as P
 from voxelrank.session import shared_dir, written
-from voxelrank.sources import tables
+from voxelrank.sources import png, tables
 from voxelrank.streaming import incremental
 
 QUERIES: dict = {}
@@ -683,3 +683,20 @@ def best_orientation(spark, sf):
 @_query()
 def row_sample(spark, sf):
     return images.sample_rows(_t(spark, sf, "orders").select(F.col("o_orderkey").alias("row_idx"), "o_totalprice"), 25)
+
+
+@_query()
+def slice_foreground(spark, sf):
+    labels = (volume.synthetic_volume() > 0).astype("int32")
+    return registration.slice_statistics(registration.slice_foreground(spark, labels, 40, 32))
+
+
+@_query("SELECT vec_id AS image_id, 8 AS height, 8 AS width, round(sum(round_even(least(greatest(v, 0), 1) * 255, 0)) / 255, 6) AS total FROM (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings) GROUP BY 1")
+def image_files(spark, sf):
+    """Embeddings as 8 x 8 images, written as PNG files and read back."""
+    rows = _t(spark, sf, "embeddings").select(F.concat(F.col("vec_id").cast("string"), F.lit(".png")).alias("name"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.col("embedding").cast("array<double>").alias("pixels"))
+    place = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    png.export_images(rows, place.removeprefix("file://").removeprefix("file:")).write.format("noop").mode("overwrite").save()
+    back = png.read_png_images(spark, place)
+    total = F.aggregate("pixels", F.lit(0.0), lambda s, x: s + x)
+    return back.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("image_id"), "height", "width", F.round(total, 6).alias("total"))

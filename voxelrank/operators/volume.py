@@ -27,8 +27,8 @@ def normalise(volume: np.ndarray, low: float = 0.5, high: float = 99.5) -> np.nd
     return np.clip((volume - lo) / max(hi - lo, 1e-12), 0, 1).astype(np.float32)
 
 
-def resample(volume: np.ndarray, pose: dict, order: int = 1) -> np.ndarray:
-    """size x size image of a posed plane (trilinear, or nearest for labels), edges clamped."""
+def resample(volume: np.ndarray, pose: dict, order: int = 1, outside: float | None = None) -> np.ndarray:
+    """size x size image of a posed plane (trilinear, or nearest for labels), edges clamped; or ``outside`` for labels off the volume."""
     n, u, v = _axes(pose)
     size, step = int(pose["size_px"]), pose["step"]
     a = (np.arange(size) - (size - 1) / 2) * step
@@ -37,7 +37,8 @@ def resample(volume: np.ndarray, pose: dict, order: int = 1) -> np.ndarray:
     top = np.array(volume.shape) - 1
     if order == 0:
         i = np.clip(np.rint(zyx), 0, top).astype(int)
-        return volume[i[..., 0], i[..., 1], i[..., 2]]
+        near = volume[i[..., 0], i[..., 1], i[..., 2]]
+        return near if outside is None else np.where(((zyx < -0.5) | (zyx > top + 0.5)).any(-1), outside, near)
     zyx = np.clip(zyx, 0, top)
     lo = np.minimum(zyx.astype(int), np.maximum(top - 1, 0))
     f = zyx - lo
