@@ -415,7 +415,7 @@ def depth_schedule(spark, sf):
     return P.slice_plan(P.fibonacci_normals(spark, 16), (20, 30, 40), 2.5, 1.0).select("normal_idx", F.col("depth_idx").cast("long").alias("depth_idx"), _r("depth").alias("depth"))
 
 
-@_query(f"WITH {_FIB} SELECT normal_idx, i AS depth_idx, round(-hd + i * 2 * hd / 6, 6) AS depth FROM half, range(7) t(i)")
+@_query(f"WITH {_FIB} SELECT normal_idx, i AS depth_idx, abs(round(-hd + i * 2 * hd / 6, 6)) * sign(round(-hd + i * 2 * hd / 6, 6)) AS depth FROM half, range(7) t(i)")
 def depth_linspace(spark, sf):
     half = G.depth_bounds(G.vec(F.col("nx"), F.col("ny"), F.col("nz")), (20, 30, 40))
     laid = P.fibonacci_normals(spark, 16).select("normal_idx", F.posexplode(P.depths_linspace(-half, half, 7)).alias("depth_idx", "depth"))
@@ -487,7 +487,7 @@ def _parts(spark, sf):
 _PART = "pt AS (SELECT p_partkey AS id, p_partkey % 17 - 8.0::DOUBLE AS x, p_partkey % 13 - 6.0::DOUBLE AS y, p_partkey % 11 - 4.5::DOUBLE AS z, p_partkey % 90 * 1.0::DOUBLE AS deg, p_partkey % 20 - 10.0::DOUBLE AS depth FROM part), un AS (SELECT id, deg, depth, x / (l + 1e-12) AS nx, y / (l + 1e-12) AS ny, z / (l + 1e-12) AS nz FROM (SELECT *, sqrt(x * x + y * y + z * z) AS l FROM pt)), rf AS (SELECT *, CASE WHEN abs(nz) < 0.9 THEN 0.0 ELSE 1.0 END AS rx, CASE WHEN abs(nz) < 0.9 THEN 1.0 ELSE 0.0 END AS rz FROM un), gs AS (SELECT *, rx - nx * (rx * nx + rz * nz) AS ax, -ny * (rx * nx + rz * nz) AS ay, rz - nz * (rx * nx + rz * nz) AS az FROM rf), u0 AS (SELECT *, ax / (sqrt(ax * ax + ay * ay + az * az) + 1e-12) AS bx, ay / (sqrt(ax * ax + ay * ay + az * az) + 1e-12) AS by_, az / (sqrt(ax * ax + ay * ay + az * az) + 1e-12) AS bz FROM gs), uv AS (SELECT *, ny * bz - nz * by_ AS cx, nz * bx - nx * bz AS cy, nx * by_ - ny * bx AS cz, cos(radians(deg)) AS co, sin(radians(deg)) AS si FROM u0), ax AS (SELECT *, bx * co + cx * si AS ux, by_ * co + cy * si AS uy, bz * co + cz * si AS uz, -bx * si + cx * co AS vx, -by_ * si + cy * co AS vy, -bz * si + cz * co AS vz FROM uv)"
 
 
-@_query(f"WITH {_PART} SELECT id, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("ux", "uy", "uz", "vx", "vy", "vz")) + " FROM ax")
+@_query(f"WITH {_PART} SELECT id, " + ", ".join(f"abs(round({c}, 6)) * sign(round({c}, 6)) AS {c}" for c in ("ux", "uy", "uz", "vx", "vy", "vz")) + " FROM ax")
 def plane_basis(spark, sf):
     basis = G.plane_basis(G.vec(F.col("x"), F.col("y"), F.col("z")), F.col("deg"))
     return _parts(spark, sf).select("id", basis.alias("b")).select("id", *(_r(F.col(f"b.{n}.{c}")).alias(f"{n}{c}") for n in "uv" for c in "xyz"))
