@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from voxelrank.functions import geometry, numbers
-from voxelrank.operators import distance, metrics, rerank, targets, topk, volume
+from voxelrank.operators import distance, metrics, pools, rerank, targets, topk, volume
 from voxelrank.plans import generators as P
 from voxelrank.sources import tables
 from voxelrank.streaming import incremental
@@ -166,3 +166,16 @@ def test_rows_are_numbered_by_place(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sorted((r.row_idx, r.a) for r in got) == [(i, f"r{i}") for i in range(3000)]
+
+
+def test_split_ranks_rows_by_ranges(spark):
+    n, ids = 6007, [7 * i - 900 for i in range(6007)]
+    got = pools.split_rows(spark.createDataFrame([(i,) for i in ids] + [(ids[0],)], "row_idx long").repartition(5))
+    mixed = lambda i: int(np.fmod(int(np.fmod(42 * 31 + i, 1 << 32)) * 2654435761, 1 << 32))
+    order = sorted(ids, key=lambda i: (mixed(i), i))
+    want = {i: "train" if at < round(n * 0.8) else "val" if at < round(n * 0.8) + round(n * 0.1) else "test" for at, i in enumerate(order)}
+    rows = got.collect()
+    assert len(rows) == n and {r.row_idx: r.split for r in rows} == want
+    # No rank over all rows: its window would be one task.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(_p#" in plan and "row_number() windowspecdefinition(_o#" not in plan

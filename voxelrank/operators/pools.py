@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelrank.session import written
+
 #: The multiplier and modulus of the order that stands for random draws.
 MULTIPLIER, MODULUS = 2654435761, 1 << 32
 
@@ -33,8 +35,11 @@ def pool_arrays(pools: DataFrame) -> DataFrame:
 def split_rows(rows: DataFrame, train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
     """``row_idx, split``: rows (with both sources) in a fixed random order, cut at banker-rounded shares."""
     keys = rows.select("row_idx").distinct().withColumn("_o", draw(F.col("row_idx"), seed=seed))
-    # Ranks of a few thousand query rows; the totals come from the same ordering.
-    placed = keys.withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(1)))).withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_o", "row_idx")))
+    # Written, as a range partitioning that ran twice could cut elsewhere. A rank is the rank in its range and the rows in the ranges before.
+    dealt = written(keys.repartitionByRange("_o", "row_idx").withColumn("_p", F.spark_partition_id()))
+    every = Window.partitionBy(F.lit(1))  # one row for each range
+    ranges = dealt.groupBy("_p").agg(F.count("*").alias("_c")).select("_p", F.sum("_c").over(every).alias("_n"), (F.sum("_c").over(every.orderBy("_p")) - F.col("_c")).alias("_before"))
+    placed = dealt.join(F.broadcast(ranges), "_p").withColumn("_i", F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy("_o", "row_idx")))
     cut1, cut2 = F.bround(F.col("_n") * F.lit(train)), F.bround(F.col("_n") * F.lit(train)) + F.bround(F.col("_n") * F.lit(val))
     return placed.select("row_idx", F.when(F.col("_i") <= cut1, "train").when(F.col("_i") <= cut2, "val").otherwise("test").alias("split"))
 
