@@ -47,6 +47,16 @@ def test_repeated_rows_count_once(spark):
     assert run(spark, rows) == {0: [1, 2, 3, 4, 5]}
 
 
+def test_repeated_ids_leave_the_limit_to_k_ids(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LISTS", 1)
+    other = [(i, [1.0, i / 10]) for i in range(2, 42)]
+    same = [(1, [1.0, 0.1])] * 9
+    apart = [(1, [1.0, 0.1 + j / 1000]) for j in range(9)]
+    for first in (same, apart, same + apart):
+        assert run(spark, [(0, [1.0, 0.0]), *first, *other]) == {0: [1, 2, 3, 4, 5]}
+    assert run(spark, [(0, [1.0, 0.0]), *same * 4, *apart * 2, (2, [1.0, 0.2])]) == {0: [1, 2]}
+
+
 def test_small_blocks_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = list(enumerate(rng.standard_normal((600, 16)).tolist()))

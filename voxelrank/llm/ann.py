@@ -62,11 +62,21 @@ def tune_probes(x: np.ndarray, centres: np.ndarray, k: int, tuners: int, target:
     return min(len(centres), int(need[min(len(need) - 1, int(np.ceil(target * len(need))))]) + 1) if len(need) else 1
 
 
-def scan(query: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int, columns: int = COLUMNS, epsilon: float = EPSILON) -> np.ndarray:
+def leaders(part: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the least ``part`` of the k ids that come first by it; fewer if there are fewer ids."""
+    first = np.argpartition(part, k - 1)[:k] if len(part) > k else np.arange(len(part))
+    if len(set(ids[first].tolist())) < min(k, len(part)):  # an id with several vectors
+        order = np.argsort(part, kind="stable")
+        first = order[np.sort(np.unique(ids[order], return_index=True)[1])[:k]]
+    return first
+
+
+def scan(query: np.ndarray, rows: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, columns: int = COLUMNS, epsilon: float = EPSILON) -> np.ndarray:
     """Positions of candidates that survive the tests; ``own`` masks the query's own rows.
 
-    ``query`` and ``rows`` are rotated unit vectors.  The k-th nearest so far starts from the first
-    candidates, taken whole, and is brought up to date from the nearest partial distances.
+    ``query`` and ``rows`` are rotated unit vectors, ``ids`` those of the rows.  The k-th nearest id so
+    far starts from the first candidates, taken whole, and is brought up to date from the nearest
+    partial distances.  Fewer than k ids set no limit.
     """
     dim = rows.shape[1]
     alive = np.flatnonzero(~own)
@@ -78,9 +88,10 @@ def scan(query: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int, columns:
         to = min(at + columns, dim)
         diff = rows[alive, at:to] - query[at:to]
         part = part + np.einsum("ij,ij->i", diff, diff)
-        first = alive[np.argpartition(part, k)[: k + 1][:k]] if len(alive) > k else alive
-        whole = rows[first] - query
-        limit = min(limit, np.sort(np.einsum("ij,ij->i", whole, whole))[min(k, len(first)) - 1] + 1e-9)
+        first = alive[leaders(part, ids[alive], k)]
+        if len(first) == k:
+            whole = rows[first] - query
+            limit = min(limit, np.einsum("ij,ij->i", whole, whole).max() + 1e-9)
         # A distance beyond the limit shows in a share to/dim of the columns, up to a factor that the test allows.
         slack = 1.0 if to == dim else (1 + epsilon / np.sqrt(to)) ** 2
         stays = part <= limit * (to / dim) * slack
@@ -116,8 +127,8 @@ def nearest(vectors: DataFrame, is_query, k: int = K, sample: int = SAMPLE, reca
     spark = vectors.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
     clean = _clean(vectors)
-    total = clean.count()
-    drawn = clean.filter(F.pmod(F.xxhash64(F.lit("lists"), "vec_id"), F.lit(max(total, 1))) < sample * 9 // 10).limit(sample).collect()
+    total = clean.select("vec_id", F.xxhash64("v")).distinct().count()  # a size only
+    drawn = clean.filter(F.pmod(F.xxhash64(F.lit("lists"), "vec_id"), F.lit(max(total, 1))) < sample * 9 // 10).dropDuplicates(["vec_id", "v"]).limit(sample).collect()
     if not drawn:
         return spark.createDataFrame([], out)
     dim = pd.Series([len(r["v"]) for r in drawn]).mode()[0]
@@ -145,7 +156,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, sample: int = SAMPLE, reca
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(raw) * int(dim) + 1, int(dim), dtype=np.int32)), pa.array((u @ turn).ravel()))
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), flat, pa.ListArray.from_arrays(pa.array(ends), pa.array(near)), b.column("is_query")], names=["vec_id", "v", "turned", "lists", "is_query"])
 
-    flagged = clean.filter(F.size("v") == int(dim)).select("vec_id", "v", is_query(F.col("vec_id")).alias("is_query"))
+    flagged = clean.filter(F.size("v") == int(dim)).dropDuplicates(["vec_id", "v"]).select("vec_id", "v", is_query(F.col("vec_id")).alias("is_query"))
     indexed = materialise(flagged.mapInArrow(assign, "vec_id long, v array<double>, turned array<double>, lists array<int>, is_query boolean"))
     home = F.element_at("lists", 1)
     # Counts of a bounded number of lists: how many blocks each is dealt into.
@@ -163,7 +174,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, sample: int = SAMPLE, reca
         if len(left) and len(right):
             ids, raw, turned = left["vec_id"].to_numpy(), np.stack(left["v"]), np.stack(left["turned"])
             for q, v, t in zip(right["vec_id"], right["v"], right["turned"]):
-                at = scan(t, turned, ids == q, k)
+                at = scan(t, turned, ids, ids == q, k)
                 s = cosine(np.asarray(v), raw[at])
                 order = np.lexsort((ids[at], -s))
                 best = order[np.sort(np.unique(ids[at][order], return_index=True)[1])][:k]  # each id once
