@@ -276,3 +276,13 @@ def test_chat(spark, monkeypatch):
             want = (len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for *_, r, x in turns).encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest())
             assert (got[conv].n_turns, got[conv].turns_sha256, got[conv].loss_chars, got[conv].loss_sha256) == want
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_every_class_is_tried_on_a_candidate():
+    rnd = random.Random(1)
+    key = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    number = "".join(rnd.choice("0123456789abcdef") for _ in range(24))
+    for text in (f"x {number}/{key} y", f"x {number.upper()}_{key} y", f"x {key}={number} y"):
+        assert secrets.redact(text) == "x [SECRET] y"
+    kinds = {k for *_, k in secrets.scan_text(f"{number}/{key}")[1]}
+    assert kinds == {"entropy_hex", "entropy_base64"} and [k for *_, k in secrets.scan_text(number)[1]] == ["entropy_hex"]

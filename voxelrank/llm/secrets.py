@@ -66,18 +66,17 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def entropy_spans(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Further spans by entropy, unless allow-listed or inside a known span."""
+    """Further spans by entropy, unless allow-listed or inside a known span or one of a class before."""
     spans = []
     for m in CANDIDATE.finditer(text):
         word = m[0]
         if any(a.match(word) for a in ALLOW) or any(s <= m.start() and m.end() <= e for s, e, _ in known):
             continue
+        found: list[tuple[int, int, str]] = []
         for kind, alphabet, bits in CLASSES:
             hot = [(m.start() + s, m.start() + e, kind) for s, e in _hot_windows(word, alphabet, bits)]
-            hot = [h for h in hot if not any(s <= h[0] and h[1] <= e for s, e, _ in known) and re.search(r"\d", text[h[0] : h[1]]) and re.search(r"[A-Za-z]", text[h[0] : h[1]])]
-            spans += hot
-            if hot:
-                break
+            found += [h for h in hot if not any(s <= h[0] and h[1] <= e for s, e, _ in known + found) and re.search(r"\d", text[h[0] : h[1]]) and re.search(r"[A-Za-z]", text[h[0] : h[1]])]
+        spans += found
     return spans
 
 
