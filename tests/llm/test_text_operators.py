@@ -286,3 +286,15 @@ def test_every_class_is_tried_on_a_candidate():
         assert secrets.redact(text) == "x [SECRET] y"
     kinds = {k for *_, k in secrets.scan_text(f"{number}/{key}")[1]}
     assert kinds == {"entropy_hex", "entropy_base64"} and [k for *_, k in secrets.scan_text(number)[1]] == ["entropy_hex"]
+
+
+def test_phone_separators(spark):
+    joined = [f"+1{a}{area}{b}123{c}4567" for a in ("", " ", ".", "-") for area in ("555", "(555)") for b in ("", " ", ".", "-") for c in ("", " ", ".", "-")]
+    other = ["555-123-4567", "555.123.4567", "(555) 123-4567", "(555)123.4567"]
+    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, [f"call {p}, now" for p in joined + other]), "key").collect()}
+    for i, p in enumerate(joined + other):
+        new = got[i].text
+        assert got[i].n_values == 1 and "123" + p[-5:] not in new and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", f"call {p}, now"), (p, new)
+    assert len({re.sub(r"\D", "", r.text)[-10:] for r in got.values()}) == 1  # one number, one pseudonym
+    left = ["+155512345678", "x1-555-123-4567", "5551234567", "555 123 4567"]
+    assert [r.n_values for r in pii.pseudonymise(frame(spark, left), "key").collect()] == [0] * 4

@@ -17,7 +17,7 @@ _L, _R = r"(?<![0-9A-Za-z.+-])", r"(?![0-9A-Za-z]|[.-][0-9])"
 
 #: Formats, in the order in which they are tried at a place.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-PHONE = r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|(?<![0-9A-Za-z.-])[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"
+PHONE = r"(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?|(?:\([0-9]{3}\) ?|(?<![0-9A-Za-z.-])[0-9]{3}[.-])[0-9]{3}[.-])[0-9]{4}(?![0-9])"
 SSN = _L + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _R
 DATE = _L + r"[0-9]{4}-[0-9]{2}-[0-9]{2}" + r"(?![0-9A-SU-Za-z]|-[0-9])"
 SLASHED = _L + r"[0-9]{2}/[0-9]{2}/[0-9]{4}" + _R
@@ -102,7 +102,7 @@ def _format(m: Column, kind: Column, y: Column, key: str) -> Column:
     ten = F.lpad(y.cast("string"), 10, "0")
     keep = F.regexp_extract(m, r"^(\+1[ .-]?)?", 0)
     rest = F.substring(m, F.length(keep) + 1, F.length(m))
-    phone = F.concat(keep, F.regexp_replace(F.regexp_replace(rest, "^([^0-9]*)[0-9]{3}", F.concat(F.lit("$1"), F.substring(ten, 1, 3))), "[0-9]{3}([.-])[0-9]{4}$", F.concat(F.substring(ten, 4, 3), F.lit("$1"), F.substring(ten, 7, 4))))
+    phone = F.concat(keep, F.regexp_replace(F.regexp_replace(rest, "^([^0-9]*)[0-9]{3}", F.concat(F.lit("$1"), F.substring(ten, 1, 3))), "[0-9]{3}([ .-]?)[0-9]{4}$", F.concat(F.substring(ten, 4, 3), F.lit("$1"), F.substring(ten, 7, 4))))
     serial, pair = y % 9999 + 1, _long_div(y, F.lit(9999))
     group, area = pair % 99 + 1, _long_div(pair, F.lit(99)) + 1
     area = area + F.when(area >= 666, 1).otherwise(0)
@@ -129,7 +129,8 @@ def _renamed(m: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_values, text``: each row's whole text with its private values permuted.
 
-    Kinds: +1 phone numbers, social security numbers, dates of 1900-2299 (year first, or month first
+    Kinds: +1 phone numbers (groups joined by a space, point, hyphen or nothing; without the prefix as
+    (ddd) ddd-dddd or by points and hyphens), social security numbers, dates of 1900-2299 (year first, or month first
     with slashes), IPv4 addresses, card numbers of 13 to 19 digits with a right check digit, and
     mail addresses (a keyed code).  Values that fail validation stay.  Null text is empty; ids may
     be null or repeat; an empty table gives no rows; other columns are ignored.
