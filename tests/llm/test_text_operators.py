@@ -298,3 +298,9 @@ def test_phone_separators(spark):
     assert len({re.sub(r"\D", "", r.text)[-10:] for r in got.values()}) == 1  # one number, one pseudonym
     left = ["+155512345678", "x1-555-123-4567", "5551234567", "555 123 4567"]
     assert [r.n_values for r in pii.pseudonymise(frame(spark, left), "key").collect()] == [0] * 4
+
+
+def test_one_row_for_each_text_stays(spark):
+    rows = [("One text", 3)] * 4 + [("one TEXT", 1), ("other", 3), ("other", 3), ("lone", 5), (None, None), ("", None)]
+    kept = exact.drop_copies(frame(spark, [t for t, _ in rows], [i for _, i in rows]).repartition(3))
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (3, "One text"), (3, "other"), (5, "lone")]

@@ -20,7 +20,7 @@ from voxelrank.llm.common import materialise, whole_text
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HEAD = 24
 
-_RUNS = "doc_id long, text_sha256 string, run_max long, run_len long, first boolean, edge boolean"
+_RUNS = "doc_id long, text_sha256 string, run_max long, run_len long, first boolean, edge boolean, row long"
 
 
 def normalised(col: str = "text"):
@@ -29,11 +29,11 @@ def normalised(col: str = "text"):
 
 
 def _runs(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_sha256", pa.string()), ("run_max", pa.int64()), ("run_len", pa.int64()), ("first", pa.bool_()), ("edge", pa.bool_())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_sha256", pa.string()), ("run_max", pa.int64()), ("run_len", pa.int64()), ("first", pa.bool_()), ("edge", pa.bool_()), ("row", pa.int64())])
     out = {n: [] for n in schema.names}
 
     def emit(runs, edge):
-        for sha, ids in runs:
+        for sha, ids, rows in runs:
             n = len(ids)
             out["doc_id"] += ids
             out["text_sha256"] += [sha] * n
@@ -41,16 +41,18 @@ def _runs(batches):
             out["run_len"] += [n] * n
             out["first"] += [True] + [False] * (n - 1)
             out["edge"] += [edge] * n
+            out["row"] += rows
 
     key = text = first_key = None
     runs: list = []
     for batch in batches:
-        heads, hashes, texts, ids = (batch.column(i) for i in range(4))
-        hashes, ids = hashes.to_pylist(), ids.to_pylist()
-        for i, (h, doc_id) in enumerate(zip(hashes, ids)):
+        heads, hashes, texts, ids, rows = (batch.column(i) for i in range(5))
+        hashes, ids, rows = hashes.to_pylist(), ids.to_pylist(), rows.to_pylist()
+        for i, (h, doc_id, row) in enumerate(zip(hashes, ids, rows)):
             now = texts[i].as_buffer()  # no copy of the text
             if runs and h == key[1] and now.equals(text):
                 runs[-1][1].append(doc_id)
+                runs[-1][2].append(row)
                 continue
             here = (heads[i].as_py(), h)
             if here != key:
@@ -60,7 +62,7 @@ def _runs(batches):
                     first_key = here
                 key, runs = here, []
             text = now
-            runs.append((hashlib.sha256(now).hexdigest(), [doc_id]))
+            runs.append((hashlib.sha256(now).hexdigest(), [doc_id], [row]))
         if len(out["doc_id"]) >= 10_000:
             yield pa.RecordBatch.from_pydict(out, schema=schema)
             out = {n: [] for n in schema.names}
@@ -76,8 +78,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts count as empty; a null id counts as smaller than any other; of rows that repeat both id
     and text one is kept; an empty table gives no rows; other columns are ignored.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("norm"))
-    keyed = base.select(F.substring("norm", 1, HEAD).alias("head"), F.xxhash64("norm").alias("hash"), "norm", "doc_id")
+    return _judged(docs, id_col, text_col, F.lit(None)).drop("row")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, row) -> DataFrame:
+    """The result of :func:`exact_dedup` with the column ``row``, a number that tells rows apart, unchanged."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(text_col).alias("norm"), row.cast("long").alias("row"))
+    keyed = base.select(F.substring("norm", 1, HEAD).alias("head"), F.xxhash64("norm").alias("hash"), "norm", "doc_id", "row")
     dealt = keyed.repartitionByRange("head", "hash", "doc_id").sortWithinPartitions("head", "hash", "norm", F.desc_nulls_last("doc_id"))
     runs = materialise(dealt.mapInArrow(_runs, _RUNS))
     # At most the runs at the two ends of each partition: its rows grow with partitions, not with documents.
@@ -88,11 +95,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.coalesce("whole_len", "run_len").alias("group_size"),
         (F.col("first") & F.col("doc_id").eqNullSafe(F.coalesce("whole_max", "run_max"))).alias("kept"),
         "text_sha256",
+        "row",
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` does not keep, all columns unchanged."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__voxelrank_id"), F.col("text_sha256").alias("__voxelrank_sha"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__voxelrank_id")) & (F.sha2(normalised(text_col), 256) == F.col("__voxelrank_sha"))
-    return docs.join(kept, same, "left_semi")
+    """``docs`` without the rows that :func:`exact_dedup` does not keep, all columns unchanged.
+
+    One row for each text stays, also where rows repeat both id and text.
+    """
+    key = "__voxelrank_row"
+    numbered = materialise(docs.withColumn(key, F.monotonically_increasing_id()))  # written, so that it stays a row's own
+    kept = _judged(numbered, id_col, text_col, F.col(key)).filter("kept").select(F.col("row").alias(key))
+    return numbered.join(kept, key, "left_semi").drop(key).select(*docs.columns)
