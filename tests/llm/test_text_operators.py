@@ -304,3 +304,14 @@ def test_one_row_for_each_text_stays(spark):
     rows = [("One text", 3)] * 4 + [("one TEXT", 1), ("other", 3), ("other", 3), ("lone", 5), (None, None), ("", None)]
     kept = exact.drop_copies(frame(spark, [t for t, _ in rows], [i for _, i in rows]).repartition(3))
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (3, "One text"), (3, "other"), (5, "lone")]
+
+
+def test_all_characters_of_a_long_word_count():
+    head, of = "plainwords" * 30, lambda t: Counter(quality.document_features(t, {})[0])
+    tails = ["".join(random.Random(s).choice("aZ9%$#{}|漢字") for _ in range(3000)) for s in (1, 2)]
+    one, two = (of(head + t) for t in tails)
+    assert one != two and one.total() == two.total() == 275 and of(head + tails[0][:-1] + "!") != one
+    rows = [("plainwordsplainwords" * 20 + " fine", 1.0)] * 20 + [("aZ9%$#{}|Q" * 40 + " fine", 0.0)] * 20
+    w, b = quality.fit(rows)
+    score = lambda t: 4.0 * sum(w[f] for f in quality.document_features(t, {})[0]) / len(quality.document_features(t, {})[0])
+    assert score(head) > score(head + "aZ9%$#{}|Q" * 400) and score("aZ9%$#{}|Q" * 30) < score("aZ9%$#{}|Q" * 30 + head * 40)

@@ -27,6 +27,8 @@ PRIOR = 0.05
 FALSE_ALARM = 0.002
 #: Documents under this probability of being good are rejected.
 KEEP_FROM = 0.5
+#: Characters of a word that make one feature; longer words make several.
+PART = 12
 LABELLERS = ("signs", "capitals", "runs", "sentences", "tables", "lines", "word_length")
 
 _SIGNS, _STOPS = list(b"&%$#*!@^~=+<>{}[]\\"), list(b".!?")
@@ -90,23 +92,23 @@ def _bucket(feature: str) -> int:
 
 
 def _word_feature(word: str) -> int:
-    """Bucket of a word: short lower-case words as such, others by their collapsed shape."""
+    """Bucket of a word of at most PART characters: short words as such, others by their collapsed shape."""
     if len(word) <= 4 and word.isalpha():
         return _bucket("w:" + word)
-    shape = "".join("a" if c.islower() else "A" if c.isupper() else c for c in word[:200].translate(_SHAPE))
-    return _bucket("s:" + _RUN.sub(r"\1", shape)[:12])
+    shape = "".join("a" if c.islower() else "A" if c.isupper() else c for c in word.translate(_SHAPE))
+    return _bucket("s:" + _RUN.sub(r"\1", shape))
 
 
 def document_features(text: str, cache: dict[str, int]) -> tuple[list[int], list[int]]:
-    """Buckets of all words, and of a few statistics of the whole text."""
-    words = text.split()
-    got = list(map(cache.get, words))
+    """Buckets of all words, longer ones cut into parts of PART characters, and of a few statistics of the whole text."""
+    words, parts = text.split(), re.findall(rf"\S{{1,{PART}}}", text)
+    got = list(map(cache.get, parts))
     if None in got:
         if len(cache) > 300_000:
             cache.clear()
         for i, f in enumerate(got):
             if f is None:
-                w = words[i]
+                w = parts[i]
                 got[i] = cache[w] = _word_feature(w)
     n, lines = max(len(words), 1), text.split("\n")
     stats = (f"repeat:{int(10 * len(set(words)) / n)}", f"length:{min(n, 1 << 20).bit_length()}", f"mean:{min(int(len(text) / n), 30)}", f"lines:{int(10 * len(set(lines)) / len(lines))}", f"pipes:{min(int(100 * text.count('|') / max(len(text), 1)), 20)}")
