@@ -15,8 +15,10 @@ from voxelrank.llm.common import whole_text
 ROUNDS = 8
 _L, _R = r"(?<![0-9A-Za-z.+-])", r"(?![0-9A-Za-z]|[.-][0-9])"
 
-#: Formats, in the order in which they are tried at a place.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: Formats, in the order in which they are tried at a place.  All take time linear in the text: an address starts only
+#: where its run of signs does (or where the last value ended), possessive repeats never go back nor
+#: recurse, and the other formats are of bounded length.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 PHONE = r"(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?|(?:\([0-9]{3}\) ?|(?<![0-9A-Za-z.-])[0-9]{3}[.-])[0-9]{3}[.-])[0-9]{4}(?![0-9])"
 SSN = _L + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _R
 DATE = _L + r"[0-9]{4}-[0-9]{2}-[0-9]{2}" + r"(?![0-9A-SU-Za-z]|-[0-9])"
@@ -28,6 +30,8 @@ ANY = "|".join((EMAIL, PHONE, SSN, DATE, SLASHED, IPV4, GROUPED, CARD))
 
 #: Days of the 400-year calendar cycle from 1900-01-01: 146097 = 189 * 773.
 _FIRST, _DAYS = "1900-01-01", (189, 773)
+#: Days of the years 1 to 1899 and 2300 to 9999, permuted among themselves: 3 * 17 * 101 * 709.  Years before 1900 come first.
+_EARLY, _OTHER = 693_595, (5_151, 709)
 
 
 def _digits(m: Column) -> Column:
@@ -78,6 +82,14 @@ def _parse(m: Column) -> Column:
     iso, us = _day(m, "yyyy-MM-dd"), _day(m, "MM/dd/yyyy")
     days = F.lit(_DAYS[0] * _DAYS[1])
 
+    def dated(day):
+        return (
+            F.when((day >= 0) & (day < days), made("date", day, *_DAYS))
+            .when((day < 0) & (day >= -_EARLY), made("date_other", day + _EARLY, *_OTHER))
+            .when(day >= days, made("date_other", day - days + _EARLY, *_OTHER))
+            .otherwise(none)
+        )
+
     def made(kind, x, a, b):
         lit = lambda v: (v if isinstance(v, Column) else F.lit(v)).cast("long")
         return F.struct(F.lit(kind).cast("string").alias("kind"), lit(x).alias("x"), lit(a).alias("a"), lit(b).alias("b"))
@@ -88,8 +100,8 @@ def _parse(m: Column) -> Column:
         F.when(m.contains("@"), made("email", 0, 1, 1))
         .when(m.rlike(f"^(?:{PHONE})$"), made("phone", F.substring(d, -10, 10), 100_000, 100_000))
         .when(m.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when((area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0), made("ssn", ((area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999)).otherwise(none))
-        .when(m.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.when((iso >= 0) & (iso < days), made("date", iso, *_DAYS)).otherwise(none))
-        .when(m.contains("/"), F.when((us >= 0) & (us < days), made("date", us, *_DAYS)).otherwise(none))
+        .when(m.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), dated(iso))
+        .when(m.contains("/"), dated(us))
         .when(m.contains("."), F.when(F.forall(octets, lambda o: o < 256), made("ipv4", F.aggregate(octets, F.lit(0).cast("long"), lambda s, o: s * 256 + o), 65536, 65536)).otherwise(none))
         .when(luhn_sum(d) % 10 == 0, made("card", F.substring(d, F.lit(1), n - 1), F.rpad(ten, F.ceil((n - 1) / 2).cast("int") + 1, "0"), F.rpad(ten, F.floor((n - 1) / 2).cast("int") + 1, "0")))
         .otherwise(none)
@@ -107,7 +119,8 @@ def _format(m: Column, kind: Column, y: Column, key: str) -> Column:
     group, area = pair % 99 + 1, _long_div(pair, F.lit(99)) + 1
     area = area + F.when(area >= 666, 1).otherwise(0)
     ssn = F.format_string("%03d-%02d-%04d", area, group, serial)
-    day = F.date_add(F.lit(_FIRST).cast("date"), y.cast("int"))
+    away = F.when(kind == "date", y).when(y < _EARLY, y - _EARLY).otherwise(y - _EARLY + _DAYS[0] * _DAYS[1])
+    day = F.date_add(F.lit(_FIRST).cast("date"), away.cast("int"))
     date = F.when(m.contains("/"), F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "yyyy-MM-dd"))
     ip = F.concat_ws(".", *(F.shiftright(y, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)))
     body = F.lpad(y.cast("string"), n - 1, "0")
@@ -117,7 +130,7 @@ def _format(m: Column, kind: Column, y: Column, key: str) -> Column:
     card = F.when(F.length(m) > n, grouped).otherwise(card)
     # An address is no number: its name becomes a keyed code, its domain a reserved one.
     email = F.concat(F.lit("user"), F.substring(F.sha2(F.concat_ws(":", F.lit(key), F.lit("email"), F.lower(m)), 256), 1, 16), F.lit("@mail.invalid"))
-    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "date", date).when(kind == "ipv4", ip).when(kind == "card", card).otherwise(m)
+    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind.startswith("date"), date).when(kind == "ipv4", ip).when(kind == "card", card).otherwise(m)
 
 
 def _renamed(m: Column, key: str) -> Column:
@@ -130,10 +143,12 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """``doc_id, n_values, text``: each row's whole text with its private values permuted.
 
     Kinds: +1 phone numbers (groups joined by a space, point, hyphen or nothing; without the prefix as
-    (ddd) ddd-dddd or by points and hyphens), social security numbers, dates of 1900-2299 (year first, or month first
-    with slashes), IPv4 addresses, card numbers of 13 to 19 digits with a right check digit, and
+    (ddd) ddd-dddd or by points and hyphens), social security numbers, dates (year first, or month first
+    with slashes; years 1900-2299 stay among themselves, as do the others), IPv4 addresses, card numbers of 13 to 19 digits with a right check digit, and
     mail addresses (a keyed code).  Values that fail validation stay.  Null text is empty; ids may
-    be null or repeat; an empty table gives no rows; other columns are ignored.
+    be null; repeated rows give repeated results; an empty table gives no rows; other columns are
+    ignored.  Texts may be of any length: the time is linear in it.  ``key`` stands in the query's
+    plan, so plans and event logs are to be kept like the key itself.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     has = F.col("text").rlike("[0-9@]")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import secrets as entropy
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelrank.llm import ann, chat, exact, nearjoin, packing, pieces, pii, quality, repeats, secrets
 from voxelrank.llm.common import table
 
-PSEUDONYM_KEY = "voxelrank-pseudonyms-1"
 PROBE_TEXT = "\\### Assistant: </turn> ok"
 
 
@@ -32,8 +35,21 @@ def op5_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@cache
+def _own_key() -> str:
+    return entropy.token_hex(32)
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    """``spark.voxelrank.pseudonymKey``, else $VOXELRANK_PSEUDONYM_KEY, else a key drawn for this process.
+
+    Values stay linked between runs only under a key that is set.
+    """
+    return spark.conf.get("spark.voxelrank.pseudonymKey", None) or os.environ.get("VOXELRANK_PSEUDONYM_KEY") or _own_key()
+
+
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), pseudonym_key(spark))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
