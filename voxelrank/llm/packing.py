@@ -22,35 +22,50 @@ from pyspark.sql import functions as F
 from voxelrank.llm.common import materialise, tokenizer_path, whole_text
 
 CAPACITY = 2048
-#: Search effort: nodes of the branch and bound, fillings kept and steps spent for each node.
+#: Search effort: nodes of the branch and bound, fillings kept and steps spent for each node.  Where it
+#: ends the search before the tree does, the packing is marked as not proven.
 NODES, WIDTH, STEPS = 6000, 4, 80
-#: Fixed value: the byte-level pre-token pattern of the vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: the pattern that a ByteLevel pre-tokenizer with ``use_regex`` stands for.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 @lru_cache(maxsize=2)
 def _encoder(path: str):
-    """The byte-level vocabulary of the tokenizers file ``path`` behind a faster merge loop.
+    """An encoder of the tokenizers file ``path``: text -> ids as an unsigned 32-bit array.
 
-    The file's own pattern, vocabulary and merge order are used (an id's order is its merge's
-    order), so the ids are those of the tokenizers library at a third of its CPU time; tests hold
-    the two against each other.
+    A plain byte-level file runs on a faster merge loop, with the file's own pattern, vocabulary,
+    merge order (an id's order is its merge's order) and added tokens, which are found in texts
+    first, as the library does: the same ids at a third of its CPU time; tests hold the two against
+    each other.  A file of any other make is run by the library itself.
     """
     import tiktoken
+    from tokenizers import Tokenizer
 
     spec = json.loads(Path(path).read_text())
+    split, model, added = spec.get("pre_tokenizer") or {}, spec["model"], spec.get("added_tokens") or []
+    plain = (
+        (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) == ("ByteLevel", False, True)
+        and model["type"] == "BPE"
+        and not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        and not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip"))
+    )
+    if not plain:
+        library = Tokenizer.from_file(path)
+        return lambda text: np.array(library.encode(text, add_special_tokens=False).ids, "<u4")
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(printable)))}
-    special = {t["content"] for t in spec["added_tokens"]}
-    ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    special = {t["content"]: t["id"] for t in added}
+    ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    fast = tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 
 
 def token_bytes(texts, path: str):
     """For each text, its ids as little-endian unsigned 32-bit bytes."""
-    encoder = _encoder(path)
+    encode = _encoder(path)
     for text in texts:
-        yield encoder.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        yield encode(text).tobytes()
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,92 +123,129 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tup
     return [(lengths, n) for bins in by_room.values() for lengths, n in bins if n]
 
 
-def _dominated(filling: tuple[int, ...], waste: int, has) -> bool:
+def _dominated(filling: tuple[int, ...], waste: int, spare) -> bool:
     """Whether one unused longer piece could stand for one or two of the filling's pieces without overflow."""
-    sums = set(filling)
-    pairs = {a + b for i, a in enumerate(filling) for b in filling[i + 1 :]} if len(filling) <= 12 else set()
-    return any(has(s + 1, s + waste) for s in sums) or any(has(s, s + waste) for s in pairs)
+    ones = sorted(set(filling))
+    twos = {a + b for i, a in enumerate(ones) for b in ones[i + 1 :]} | {2 * a for a in ones if filling.count(a) > 1}
+    return any(spare(s + 1, s + waste) for s in ones) or any(spare(s, s + waste) for s in twos)
 
 
-def _fillings(room: int, lengths: list[int], left: list[int]) -> list[tuple[int, ...]]:
-    """Up to WIDTH undominated multisets of available lengths within ``room``, least waste first."""
+def _fillings(room: int, lengths: list[int], left: list[int]) -> tuple[list[tuple[int, ...]], bool]:
+    """(undominated multisets of available lengths within ``room``, least waste first; whether these are all there are).
+
+    WIDTH and STEPS end the enumeration early; the second value then is False.
+    """
     found: list[tuple[int, tuple[int, ...]]] = []
-    steps = STEPS
+    steps, full = STEPS, 0
 
     def walk(room, below, chosen):
-        nonlocal steps
+        nonlocal steps, full
         at = bisect.bisect_right(lengths, min(room, below)) - 1
         grew = False
-        while at >= 0 and steps > 0:
+        while at >= 0:
             length = lengths[at]
             if left[length] > 0:
+                if steps <= 0 or full >= WIDTH:
+                    break
                 steps -= 1
                 grew = True
                 left[length] -= 1
                 walk(room - length, length, chosen + (length,))
                 left[length] += 1
-                if sum(w == 0 for w, _ in found) >= WIDTH:
-                    return
             at -= 1
         if not grew:
             found.append((room, chosen))
+            full += room == 0
 
     walk(room, room, ())
-
-    def has(lo, hi):
-        at = bisect.bisect_left(lengths, lo)
-        while at < len(lengths) and lengths[at] <= hi:
-            if left[lengths[at]] > 0:
-                return True
-            at += 1
-        return False
-
-    best = sorted(set(found), key=lambda f: (f[0], [-x for x in f[1]]))
-    good = [f for w, f in best if not w or not _dominated(f, w, has)]
-    return (good or [f for _, f in best[:1]])[:WIDTH]
+    whole = steps > 0 and full < WIDTH
+    good = []
+    for waste, f in sorted(set(found), key=lambda f: (f[0], [-x for x in f[1]])):
+        for x in f:
+            left[x] -= 1
+
+        def spare(lo, hi):
+            at = bisect.bisect_left(lengths, lo)
+            while at < len(lengths) and lengths[at] <= hi:
+                if left[lengths[at]] > 0:
+                    return True
+                at += 1
+            return False
+
+        if not waste or not _dominated(f, waste, spare):
+            good.append(f)
+        for x in f:
+            left[x] += 1
+    if not good:  # each of the found is dominated by one that the limits left out
+        good, whole = [min(found, key=lambda f: f[0])[1]], False
+    return good[:WIDTH], whole and len(good) <= WIDTH
+
+
+def least_bins(counts: dict[int, int], capacity: int = CAPACITY) -> int:
+    """A lower bound: for each limit, pieces that leave less room than it fill bins alone, the others share what is left."""
+    lengths = sorted(counts)
+    number, total = np.zeros(capacity + 2, np.int64), np.zeros(capacity + 2, np.int64)
+    for length in lengths:
+        number[length], total[length] = counts[length], length * counts[length]
+    n, t = np.cumsum(number), np.cumsum(total)
+    best, half = 0, capacity // 2
+    for limit in range(half + 1):
+        alone = n[capacity] - n[capacity - limit]  # longer than capacity - limit
+        over_half = n[capacity - limit] - n[half]
+        low = t[half] - (t[limit - 1] if limit else 0)  # limit .. half
+        room = over_half * capacity - (t[capacity - limit] - t[half])
+        best = max(best, int(alone + over_half + max(0, -(-(low - room) // capacity))))
+    return best
 
 
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
-    """Pack a multiset of lengths into few bins: (lengths of one bin, number of such bins).
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> tuple[list[tuple[tuple[int, ...], int]], bool]:
+    """(bins as (lengths of one bin, number of such bins), whether no packing can have fewer bins).
 
     Depth-first branch and bound.  A node fills the bin of the longest remaining piece with an
-    undominated filling, as many times as the counts allow.  It is pruned when the bins so far and
-    the total waste bound (ceil of the remaining sum over the capacity, and pieces over half)
-    reach the incumbent, which starts as best-fit decreasing.  ``nodes`` bounds the search; the
-    result is always a whole packing, and optimal when it meets the root bound.
+    undominated filling, as many times as the counts allow, and later once only, so that every mix
+    of fillings is reached.  It is pruned when the bins so far and the waste bound (ceil of the
+    remaining sum over the capacity, and pieces over half) reach the incumbent, which starts as
+    best-fit decreasing.  ``nodes`` bounds the search; the result is always a whole packing.  It is
+    proven when it meets the bound at the root, or when the tree ends with no filling left out.
     """
     best = best_fit(counts, capacity)
     if not counts:
-        return best
+        return best, True
     left = [0] * (capacity + 1)
     for length, n in counts.items():
         left[length] = n
     lengths = sorted(counts)
     total = sum(length * n for length, n in counts.items())
-    halves = sum(n for length, n in counts.items() if 2 * length > capacity)
     incumbent = sum(n for _, n in best)
-    root = max(-(-total // capacity), halves)
+    root = least_bins(counts, capacity)
     path: list[tuple[tuple[int, ...], int]] = []
-    stack: list[list] = []  # [fillings still to try, longest piece]
-    used = 0
+    stack: list[list] = []  # [(filling, times) still to try, longest piece, lengths gone before]
+    gone: list[int] = []
+    used, whole = 0, True
 
     def bound(extra_used):
         big = sum(left[x] for x in lengths[bisect.bisect_right(lengths, capacity // 2) :])
         return extra_used + max(-(-total // capacity), big)
 
     def open_node():
+        nonlocal whole
         while lengths and not left[lengths[-1]]:
             gone.append(lengths.pop())
         longest = lengths[-1]
         left[longest] -= 1
-        options = _fillings(capacity - longest, lengths, left)
+        fillings, every = _fillings(capacity - longest, lengths, left)
         left[longest] += 1
+        whole &= every
+        options = []
+        for f in fillings:
+            pattern = (longest, *f)
+            most = min(left[x] // pattern.count(x) for x in set(pattern))
+            options += [(pattern, most)] + [(pattern, 1)] * (most > 1)
         stack.append([options[::-1], longest, len(gone)])
 
-    gone: list[int] = []
     open_node()
     while stack and nodes > 0 and incumbent > root:
-        options, longest, _ = stack[-1]
+        options = stack[-1][0]
         if not options:
             stack.pop()
             if path:
@@ -206,8 +258,7 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
                     lengths.append(gone.pop())
             continue
         nodes -= 1
-        pattern = (longest, *options.pop())
-        times = min(left[x] // pattern.count(x) for x in set(pattern))
+        pattern, times = options.pop()
         for x in pattern:
             left[x] -= times
             total -= x * times
@@ -223,7 +274,7 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
         for x in pattern:
             left[x] += times
             total += x * times
-    return best
+    return best, incumbent <= root or not stack and whole
 
 
 def plan_table(bins: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,18 +294,23 @@ def plan_table(bins: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for each piece of each row.
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset, proven_fewest`` for each piece of each row.
 
     A document is its token ids and one 0; longer ones are cut, the first piece taking the rest.
-    Null text is empty (one token); ids may be null or repeat (each row is packed); an empty table
-    gives no rows.  What reaches the driver is one count for each length up to ``capacity``.
+    Added tokens of the vocabulary that stand in a text get their ids.  Null text is empty (one
+    token); ids may be null or repeat (each row is packed); a text of any length is cut in one
+    task; equal lengths go by partition and place; an empty table gives no rows; other columns are
+    ignored.  ``proven_fewest`` says whether no packing has fewer sequences; where it is false the
+    search ended at its limits.  What reaches the driver is one count for each length up to
+    ``capacity``.
     """
     t = materialise(pieces(docs, capacity, path, id_col, text_col))
     per_task = t.groupBy("length", "pid").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_task.select("length", "pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     counts = {r["length"]: r["n"] for r in t.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    keys, first, offset = plan_table(bin_completion(counts, capacity))
+    bins, proven = bin_completion(counts, capacity)
+    keys, first, offset = plan_table(bins)
     plan = docs.sparkSession.sparkContext.broadcast((keys, first, offset))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
@@ -267,4 +323,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, id_
             yield pa.RecordBatch.from_arrays([*cols, pa.array(first[at] + (rank - (keys[at] & ((1 << 40) - 1)))), pa.array(offset[at])], names=[*names, "sequence_id", "offset"])
 
     ranked = t.join(bases, ["length", "pid"]).select(*names, (F.col("base") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return placed.withColumn("proven_fewest", F.lit(proven))
