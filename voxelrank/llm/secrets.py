@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -65,17 +66,36 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+class _Cover:
+    """Answers whether [start, end) lies inside one of the given spans, in logarithmic time."""
+
+    def __init__(self, spans):
+        self.starts, self.reach = [], []
+        for start, end, _ in sorted(spans):
+            self.starts.append(start)
+            self.reach.append(max(end, self.reach[-1] if self.reach else end))
+
+    def holds(self, start: int, end: int) -> bool:
+        at = bisect.bisect_right(self.starts, start)
+        return at > 0 and self.reach[at - 1] >= end
+
+
+_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+
+
 def entropy_spans(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Further spans by entropy, unless allow-listed or inside a known span or one of a class before."""
-    spans = []
+    spans, cover = [], _Cover(known)
     for m in CANDIDATE.finditer(text):
-        word = m[0]
-        if any(a.match(word) for a in ALLOW) or any(s <= m.start() and m.end() <= e for s, e, _ in known):
+        word, at = m[0], m.start()
+        if cover.holds(at, m.end()) or any(a.match(word) for a in ALLOW):
             continue
         found: list[tuple[int, int, str]] = []
         for kind, alphabet, bits in CLASSES:
-            hot = [(m.start() + s, m.start() + e, kind) for s, e in _hot_windows(word, alphabet, bits)]
-            found += [h for h in hot if not any(s <= h[0] and h[1] <= e for s, e, _ in known + found) and re.search(r"\d", text[h[0] : h[1]]) and re.search(r"[A-Za-z]", text[h[0] : h[1]])]
+            before = _Cover(found)
+            for s, e in _hot_windows(word, alphabet, bits):
+                if not (cover.holds(at + s, at + e) or before.holds(at + s, at + e)) and _DIGIT.search(word, s, e) and _LETTER.search(word, s, e):
+                    found.append((at + s, at + e, kind))
         spans += found
     return spans
 
@@ -105,7 +125,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` for each row, over whole texts.
 
     Null text is empty; repeated rows give repeated results; ids may be null; other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows.  Spans that start together stand in the order of the
+    kinds.  A text is held by one task; time grows with its length (times the logarithm of its spans).
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(
         _scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
