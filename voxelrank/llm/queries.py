@@ -16,7 +16,7 @@ PROBE_TEXT = "\\### Assistant: </turn> ok"
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
