@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from voxelrank.llm import chat, exact, nearjoin, packing, pieces, pii, quality, repeats, secrets, suffixes, template
+from voxelrank.llm import chat, exact, nearjoin, packing, pii, quality, repeats, secrets, suffixes, template
 from voxelrank.llm.common import tokenizer_path
 from voxelrank.llm.components import components
 
@@ -127,24 +127,6 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_pieces_match_the_library():
-    import sentencepiece
-
-    path = tokenizer_path("piece_bpe_32k.model")
-    model, codec, rnd = sentencepiece.SentencePieceProcessor(model_file=path), pieces.codec(path), random.Random(2)
-    texts = ["", " ", "  a  b ", "x" * 300, "\n\té漢字 漢字🙂" * 30, "the" * 200, "https://a.bc/" + "q1w2" * 60, *(t or "" for t in awkward())]
-    texts += ["".join(rnd.choice("abcdeé nthertion\n漢=0123.,'\"") for _ in range(rnd.randint(1, 300))) for _ in range(300)]
-    for t in texts:
-        ids = np.frombuffer(codec.encode(t), "<u4").tolist()
-        assert ids == model.encode(t) and codec.decode(ids) == t
-
-
-def test_pieces_frames(spark):
-    df = frame(spark, awkward())
-    assert all(r.text == r.decoded for r in pieces.decode(pieces.encode(df)).collect())
-    assert pieces.round_trip(df).filter("round_trip").count() == df.count() and pieces.round_trip(frame(spark, [])).count() == 0
-
-
 def test_token_ids_match_the_library():
     from tokenizers import Tokenizer
 

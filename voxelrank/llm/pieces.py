@@ -1,33 +1,33 @@
 """SentencePiece encoding and decoding with a streaming Viterbi pass.
 
-The vocabulary is of the BPE kind, whose merges a sum of scores cannot reproduce.  The lattice
-therefore carries the merge order as a constraint: a piece may follow another only if merging the
-two pieces' characters gives back exactly these two.  A path of such pairs is the one that the
-merges give, and each prefix has one, so the survivors are one backpointer for each position of a
-window as long as the longest piece.  Ids are committed as soon as all survivors pass through one
-boundary.
+The pass keeps a window of backpointers, maximises the sum of the pieces' scores, and commits ids
+wherever all surviving paths go through one boundary (:class:`Stream`).  That is all a unigram
+model needs.  The public vocabulary is of the BPE kind, whose merges no sum of scores gives; there
+the lattice also forbids neighbours that the merge order would not leave side by side, and the path
+that remains is the one the merges give, so the ids are those of the library for both kinds.
+
+Ordinary text repeats its words, so each batch is cut where every path has a boundary, and the
+stream runs over the distinct parts; the texts' ids are gathered from these by array operations.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelrank.llm.common import tokenizer_path, whole_text
 
 SPACE = "▁"
-#: Cached segmentations of words and verdicts on pairs; dropped when full.
-CACHE = 1_000_000
-#: Positions between two looks for a common boundary.
-COMMIT_EVERY = 64
-
+#: Cached segmentations of words and verdicts on pairs; dropped when full.  Bytes of text in one go.
+CACHE, SLICE = 300_000, 4 << 20
+#: Classes of bytes between which a text is cut.
+_OTHER, _SIGN, _SPACE = 0, 1, 2
 
 
 class Codec:
@@ -53,32 +53,33 @@ class Codec:
         self.longest = max(map(len, self.ids))
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces that join words are not supported")
+        if len(self.byte_id) < 256:
+            raise ValueError("models without byte pieces are not supported")
+        self.constrained = not _is_unigram(model.serialized_model_proto())
+        self.unknown = min(self.score.values()) - 10.0
+        self.trie: dict = {}
+        for piece in self.ids:
+            node = self.trie
+            for ch in piece:
+                node = node.setdefault(ch, {})
+            node[""] = piece
+        self.letter_n = np.array(list(map(len, self.out)), np.int64)
+        self.letter_at, self.letters = np.cumsum(self.letter_n) - self.letter_n, np.frombuffer(b"".join(self.out), np.uint8)
         order = sorted(self.ids, key=lambda p: (-self.score[p], self.ids[p]))
         self.rank = {p: k for k, p in enumerate(order)}
         self.halves: dict[str, tuple[str, str]] = {}
         # Every path has a boundary where no piece joins the two classes: before a space mark that follows
         # another sign, between a letter and a sign apart, and after a sign apart unless it is a joiner.
-        apart = {ch for ch in {*map(chr, range(1, 127)), *"".join(self.ids)} if not ch.isalpha() and not ch.isdecimal() and ch != SPACE}
+        apart = {ch for ch in map(chr, range(1, 127)) if not ch.isalnum() and ch != " "}
         bonds = {(x, y) for p in self.ids for x, y in zip(p, p[1:]) if SPACE not in (x, y)}
         while bad := {y for x, y in bonds if y in apart and x not in apart}:
             apart -= bad
-        joins = {x for x, y in bonds if x in apart and y not in apart}
-        sign, join = ("".join(map(re.escape, sorted(x))) for x in (apart, joins & apart))
-        word = f"[^{SPACE}{sign}]+"
-        self.chunk_re = re.compile(f"{SPACE}*(?:{word}|" + (f"[{sign}]*[{join}]{word}|" if join else "") + f"[{sign}]+)|{SPACE}+")
-        self.chunks: dict[str, bytes] = {}
+        self.kind, self.joins = np.full(256, _OTHER, np.uint8), np.zeros(256, bool)
+        self.kind[[ord(c) for c in apart]], self.kind[ord(" ")] = _SIGN, _SPACE
+        self.joins[[ord(x) for x, y in bonds if x in apart and y not in apart]] = True
+        self.chunks: dict[str, np.ndarray] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-
-    def merged(self, text: str) -> list[str]:
-        """Greedy merges of best-scored neighbours, leftmost first among equals; for short strings."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.score[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.score), default=None)
-            if best is None:
-                break
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        self.widest = self.commits = 0
 
     def split(self, piece: str) -> tuple[str, str]:
         """The two parts whose merge gives ``piece``; a piece that no merge gives is its own parts."""
@@ -119,99 +120,244 @@ class Codec:
         self.pairs[a, b] = fine
         return fine
 
-    def segments(self, text: str) -> list[str]:
-        """Pieces of ``text`` in order, with a window of backpointers instead of the whole lattice."""
-        ids, pairs, follows, longest = self.ids, self.pairs, self.follows, self.longest
-        out: list[str] = []
-        base, tail, last = 0, None, [None]  # last[k]: last piece of the prefix that ends at base + k
-        for end in range(1, len(text) + 1):
-            for start in range(base if end - base < longest else end - longest, end):
-                piece = text[start:end]
-                if piece in ids or start == end - 1:
-                    before = tail if start == base else last[start - base]
-                    if before is not None:
-                        fits = pairs.get((before, piece))
-                        if not (follows(before, piece) if fits is None else fits):
-                            continue
-                    elif start:
-                        continue
-                    last.append(piece)
-                    break
-            else:
-                last.append(None)
-            if end % COMMIT_EVERY == 0 and end - base > 2 * longest:
-                common = None
-                for live in range(end - longest + 1, end + 1):
-                    if last[live - base]:
-                        path, at = set(), live
-                        while at > base:
-                            path.add(at)
-                            at -= len(last[at - base])
-                        common = path if common is None else common & path
-                if common:
-                    done, at = [], (to := max(common))
-                    while at > base:
-                        done.append(last[at - base])
-                        at -= len(last[at - base])
-                    out += reversed(done)
-                    tail, last, base = done[0], [None, *last[to - base + 1 :]], to
-        done, at = [], len(text)
-        while at > base:
-            done.append(last[at - base])
-            at -= len(last[at - base])
-        out += reversed(done)
+    def stream(self) -> Stream:
+        return Stream(self)
+
+    def pieces(self, text: str) -> list[str]:
+        """Pieces of a text in which spaces are space marks."""
+        s = self.stream()
+        return s.feed(text) + s.close()
+
+    def _coded(self, chunks: list[str]) -> list[np.ndarray]:
+        """Ids of each chunk.  Chunks end where all paths have a boundary, so the stream commits there."""
+        s, out = self.stream(), []
+        for chunk in chunks:
+            ids = []
+            for piece in s.feed(chunk) + s.close():
+                if (i := self.ids.get(piece)) is not None:
+                    ids.append(i)
+                else:
+                    ids += [self.byte_id[b] for b in piece.encode()]
+            out.append(np.array(ids, np.uint32))
+        self.widest, self.commits = max(self.widest, s.widest), self.commits + s.commits
         return out
 
-    def _chunk(self, chunk: str) -> bytes:
-        ids = []
-        for piece in self.segments(chunk):
-            if (i := self.ids.get(piece)) is not None:
-                ids.append(i)
-            else:
-                ids += [self.byte_id[b] for b in piece.encode()]
-        return array("I", ids).tobytes()
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin): every distinct chunk of the batch is segmented once."""
+        raw, ends = _bytes_of(texts)
+        starts, size = ends[:-1], np.diff(ends)
+        some = size > 0
+        raw = np.insert(raw, starts[some], ord(" "))  # the space in front of each text
+        ends = ends + np.r_[0, np.cumsum(some)]
+        kind = self.kind[raw]
+        a, b = kind[:-1], kind[1:]
+        cut = np.r_[True, (b == _SPACE) & (a != _SPACE) | (b == _SIGN) & (a == _OTHER) | (b == _OTHER) & (a == _SIGN) & ~self.joins[raw[:-1]]][: len(raw)]
+        cut[ends[:-1][some]] = True
+        at = np.r_[np.flatnonzero(cut), len(raw)].astype(np.int64)
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(raw)]).dictionary_encode()
+        kinds, known = [c.decode().replace(" ", SPACE) for c in chunks.dictionary.to_pylist()], self.chunks
+        if len(known) > CACHE:
+            known.clear()
+        new = [c for c in kinds if c not in known]
+        known.update(zip(new, self._coded(new)))
+        coded = [known[c] for c in kinds]
+        for c in new:
+            if len(c) > 64:
+                del known[c]
+        index, n = chunks.indices.to_numpy(), np.array(list(map(len, coded)), np.int64)
+        flat = np.concatenate(coded) if coded else np.empty(0, np.uint32)
+        ids = flat[_ranges((np.cumsum(n) - n)[index], n[index])]
+        before = np.r_[0, np.cumsum(n[index])]
+        return ids, before[np.searchsorted(at, ends)]
 
     def encode(self, text: str) -> bytes:
         """Ids of ``text`` as little-endian unsigned 32-bit bytes."""
-        if not text:
-            return b""
-        chunks = self.chunk_re.findall(SPACE + text.replace(" ", SPACE))
-        got = list(map(self.chunks.get, chunks))
-        if None in got:
-            if len(self.chunks) > CACHE:
-                self.chunks.clear()
-            for i, b in enumerate(got):
-                if b is None:
-                    c = chunks[i]
-                    got[i] = b = self._chunk(c)
-                    if len(c) <= 64:
-                        self.chunks[c] = b
-        return b"".join(got)
+        return self.encode_batch(pa.array([text]))[0].astype("<u4", copy=False).tobytes()
+
+    def decode_batch(self, ids: np.ndarray, begin: np.ndarray) -> list[bytes]:
+        """Bytes of the texts whose ids lie between the places ``begin``, with the space that encoding puts in front."""
+        out = []
+        for lo in range(0, len(begin) - 1, 4096):
+            part = begin[lo : lo + 4097]
+            own = ids[part[0] : part[-1]]
+            held = []
+            for at in range(0, len(own), 1 << 18):
+                i = own[at : at + (1 << 18)]
+                held.append(self.letters[_ranges(self.letter_at[i], self.letter_n[i])])
+            raw = np.concatenate(held).tobytes() if held else b""
+            where = np.r_[0, np.cumsum(self.letter_n[own])][part - part[0]].tolist()
+            out += [raw[a:b] for a, b in zip(where, where[1:])]
+        return out
 
     def decode(self, ids) -> str:
         """Text of ids; the space that encoding puts in front is taken away."""
-        text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")
+        ids = np.asarray(ids, np.int64)
+        text = self.decode_batch(ids, np.array([0, len(ids)]))[0].decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
+class Stream:
+    """Viterbi over a stream of characters, in a window of backpointers.
+
+    ``best`` and ``back`` hold, for each boundary of the window, the greatest sum of scores of the
+    pieces up to it and where the last of them begins.  A boundary at which a piece may still be under
+    way, and the newest one, are survivors: all that follows goes through one of them.  Where their
+    backpointer paths come together, the pieces before are committed and leave the window.
+    """
+
+    def __init__(self, codec: Codec):
+        self.codec, self.widest, self.commits = codec, 0, 0
+        self._reset(None)
+
+    def _reset(self, last):
+        self.text, self.best, self.back, self.last, self.open = "", [0.0], [-1], [last], []
+
+    def feed(self, text: str) -> list[str]:
+        """Pieces that are settled once ``text`` has come."""
+        c, out = self.codec, []
+        trie, score, constrained, pairs, follows, unknown = c.trie, c.score, c.constrained, c.pairs, c.follows, c.unknown
+        for ch in text:
+            end = len(self.text) + 1
+            self.text += ch
+            window, best, last = self.text, self.best, self.last
+            top, origin, chosen, under = None, -1, None, []
+            for start, node in [*self.open, (end - 1, trie)]:
+                if best[start] is None or (node := node.get(ch)) is None:
+                    continue
+                under.append((start, node))
+                if (piece := node.get("")) is not None:
+                    total = best[start] + score[piece]
+                    if top is None or total > top:
+                        if constrained and (before := last[start]) is not None:
+                            fits = pairs.get((before, piece))
+                            if not (follows(before, piece) if fits is None else fits):
+                                continue
+                        top, origin, chosen = total, start, piece
+            if best[end - 1] is not None and ch not in score:  # a character that is no piece goes by its bytes
+                total = best[end - 1] + unknown
+                if (top is None or total > top) and not (constrained and last[end - 1] is not None and not follows(last[end - 1], ch)):
+                    top, origin, chosen = total, end - 1, ch
+            best.append(top)
+            self.back.append(origin)
+            last.append(chosen)
+            self.open = under
+            self.widest = max(self.widest, len(window))
+            if top is not None and (not under or under[0][0] or len(under) == 1):
+                out += self._commit([end, *(s for s, _ in under)])
+            elif not under:
+                raise ValueError("no path through the text")
+        return out
+
+    def _commit(self, alive) -> list[str]:
+        """Pieces up to the boundary through which the paths of all survivors go."""
+        back, paths = self.back, set(alive)
+        while len(paths) > 1:
+            paths.remove(at := max(paths))
+            paths.add(back[at] if back[at] >= 0 else 0)
+        to = paths.pop()
+        if to <= 0 or self.best[to] is None:
+            return []
+        out = self._trace(to)
+        self.commits += 1
+        low = self.best[to]
+        self.text, self.last = self.text[to:], self.last[to:]
+        self.best = [None if b is None else b - low for b in self.best[to:]]
+        self.back = [b - to for b in self.back[to:]]
+        self.open = [(s - to, node) for s, node in self.open]
+        return out
+
+    def _trace(self, at: int) -> list[str]:
+        out = []
+        while at > 0:
+            out.append(self.last[at])
+            at = self.back[at]
+        return out[::-1]
+
+    def close(self) -> list[str]:
+        """The rest; the stream starts anew."""
+        if self.best[-1] is None:
+            raise ValueError("no path through the text")
+        out = self._trace(len(self.text))
+        self._reset(None)
+        return out
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places start .. start + n - 1 of each pair, one after another."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, ends) of texts whose space marks are read as spaces."""
+    texts = pc.replace_substring(texts, SPACE, " ").cast(pa.large_binary())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(texts) else np.empty(0, np.uint8)
+    return raw, ends - ends[0]
+
+
+def _is_unigram(proto: bytes) -> bool:
+    """Whether the model file's type (field 3 of its field 2) is the default, a unigram model."""
+
+    def fields(data):
+        at = 0
+
+        def number():
+            nonlocal at
+            value = shift = 0
+            while True:
+                byte = data[at]
+                at, value, shift = at + 1, value | (byte & 127) << shift, shift + 7
+                if byte < 128:
+                    return value
+
+        while at < len(data):
+            key = number()
+            if key & 7 == 0:
+                yield key >> 3, number()
+            else:
+                size = {1: 8, 5: 4}.get(key & 7) or number()
+                yield key >> 3, data[at : at + size]
+                at += size
+
+    trainer = next((v for k, v in fields(proto) if k == 2), b"")
+    return next((v for k, v in fields(trainer) if k == 3), 1) == 1
+
+
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _slices(batches):
+    """(ids, texts) of a few texts at a time; a longer text comes alone."""
+    for b in batches:
+        size, lo = np.cumsum([0, *pc.binary_length(b.column(1)).to_pylist()]), 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(size, size[lo] + SLICE, "right")) - 1)
+            yield b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo)
+            lo = hi
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+
+
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids array<int>, text`` (the text passed through); null text is empty and has no ids."""
+    """``doc_id, ids array<int>, text`` (the text passed through) for each row.
+
+    Null text is empty and has no ids; ids of rows may be null or repeat; repeated rows give repeated
+    results; an empty table gives no rows; other columns are ignored; a text of any length is held
+    by one task.
+    """
     path = path or tokenizer_path("piece_bpe_32k.model")
 
     def run(batches):
         c = codec(path)
-        for batch in batches:
-            parts = [c.encode(t.as_py()) for t in batch.column(1)]
-            ends = np.cumsum([0, *(len(p) // 4 for p in parts)])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, batch.column(1)], names=["doc_id", "ids", "text"])
+        for ids, texts in _slices(batches):
+            coded, begin = c.encode_batch(texts)
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(coded.view(np.int32))), texts], names=["doc_id", "ids", "text"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return _slim(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
@@ -222,31 +368,34 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
         c = codec(path)
         for batch in batches:
             ids = batch.column("ids")
-            values, ends = ids.values.to_numpy().tolist(), ids.offsets.to_pylist()
-            texts = [c.decode(values[a:b]) for a, b in zip(ends, ends[1:])]
+            begin = ids.offsets.to_numpy().astype(np.int64)
+            texts = [t.decode("utf-8", "replace").removeprefix(" ") for t in c.decode_batch(ids.values.to_numpy()[begin[0] : begin[-1]], begin - begin[0])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return coded.mapInArrow(run, "doc_id long, ids array<int>, text string, decoded string")
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_ids, ids_crc32, n_chars, round_trip`` for each row, through encoding and decoding.
 
-    ``round_trip`` compares with the text in which the space mark itself reads as a space, as the
-    format does not tell the two apart.
+    ``ids_crc32`` is over the ids as little-endian unsigned 32-bit numbers.  ``round_trip`` compares
+    with the text in which the space mark itself reads as a space, as the format does not tell the
+    two apart.  Null and awkward rows are as in :func:`encode`.
     """
     path = path or tokenizer_path("piece_bpe_32k.model")
+    names, kinds = ["doc_id", "n_ids", "ids_crc32", "n_chars", "round_trip"], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
 
     def run(batches):
         c = codec(path)
-        for batch in batches:
-            rows = []
-            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = t.as_py()
-                coded = c.encode(text)
-                back = c.decode(np.frombuffer(coded, "<u4").tolist())
-                rows.append((doc_id, len(coded) // 4, zlib.crc32(coded), len(text), back == text.replace(SPACE, " ")))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 5, types)], names=["doc_id", "n_ids", "ids_crc32", "n_chars", "round_trip"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, n_chars long, round_trip boolean")
+        for doc_ids, texts in _slices(batches):
+            ids, begin = c.encode_batch(texts)
+            raw, ends = _bytes_of(texts)
+            raw, place, same, crc = raw.tobytes(), begin.tolist(), [], []
+            for k, back in enumerate(c.decode_batch(ids, begin)):
+                text = raw[ends[k] : ends[k + 1]]
+                same.append(back == b" " + text if text else not back)
+                crc.append(zlib.crc32(ids[place[k] : place[k + 1]].astype("<u4", copy=False).tobytes()))
+            cols = (doc_ids, np.diff(begin), crc, pc.utf8_length(texts).cast(pa.int64()), same)
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(cols, kinds)], names=names)
+
+    return _slim(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, n_chars long, round_trip boolean")
