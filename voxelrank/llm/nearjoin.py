@@ -4,8 +4,10 @@
    member from here on (its representative is the least id), so copies never meet in pairs.
 2. MinHash bands are shuffled as single 64-bit keys.  Only the least member of a key is linked to
    the others, and connected components of these links gather the candidates.
-3. Each component's full sets are compared exactly, all against all, in matrix blocks.  A large
-   component is dealt out as a grid of blocks, so no task holds more than two blocks of sets.
+3. A component of at most BLOCK members is compared whole, in one matrix.  In a larger one, which
+   chains of loosely similar texts make, only members that share a band key meet: each key is a
+   room of its own, and a pair is counted in the first band it shares.  A key with more than BLOCK
+   members is dealt out as a grid of blocks, so no task holds more than two blocks of sets.
    Tasks return link counts and a spanning forest, never the pairs themselves.
 """
 
@@ -88,31 +90,37 @@ def signature(sets: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
-def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.string()), ("bands", pa.list_(pa.int64()))])
+def _signed(rows: DataFrame, words: int, bands: int, per_band: int) -> DataFrame:
+    """``row, doc_id, text_hash, n_shingles, set_hash, bands`` of (row, doc_id, text_hash, text)."""
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.string()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         cache: dict[str, int] = {}
         for batch in batches:
             out = []
-            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for t in batch.column(3):
                 s = shingles(t.as_py(), cache, words)
-                keys = signature(s, bands, rows).view(np.int64).tolist() if len(s) else []
-                out.append((doc_id, len(s), blake2b(s.tobytes(), digest_size=16).hexdigest(), keys))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, schema.types)], schema=schema)
+                out.append((len(s), _digest(s), signature(s, bands, per_band).view(np.int64).tolist() if len(s) else []))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, schema.types[3:]))], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_hash string, bands array<bigint>")
+    return rows.mapInArrow(run, "row long, doc_id long, text_hash long, n_shingles long, set_hash string, bands array<bigint>")
+
+
+def _digest(s: np.ndarray) -> str:
+    return blake2b(s.tobytes(), digest_size=16).hexdigest()
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """Replace the text by its shingle set; other columns stay."""
+    """Replace ``text`` by its shingle set; rows whose set is not that of ``set_hash`` go, other columns stay."""
     cols = [c for c in docs.columns if c != "text"]
     schema = docs.select(*cols).schema.add("shingles", T.ArrayType(T.LongType()))
 
     def run(batches):
         cache: dict[str, int] = {}
         for batch in batches:
-            sets = [shingles(t.as_py(), cache, words).view(np.int64) for t in batch.column("text")]
+            sets = [shingles(t.as_py(), cache, words) for t in batch.column("text")]
+            fine = [k for k, (s, h) in enumerate(zip(sets, batch.column("set_hash").to_pylist())) if _digest(s) == h]
+            batch, sets = batch.take(pa.array(fine, pa.int64())), [sets[k].view(np.int64) for k in fine]
             ends = np.cumsum([0, *map(len, sets)])
             values = np.concatenate(sets) if sets else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], names=[*cols, "shingles"])
@@ -146,19 +154,30 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def compare_block(ids: np.ndarray, sides: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+def compare_block(
+    ids: np.ndarray, sides: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], threshold: float = THRESHOLD, own: bool = True, keys: np.ndarray | None = None, band: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
     """For members of one block pair: weighted counts of links, and the least id each is linked with here.
 
-    ``sides`` is 0 for the first block and 1 for the second; if only side 0 is there, the block is
-    compared with itself.  Links are pairs whose exact Jaccard similarity reaches ``threshold``.
+    ``sides`` is 0 for the first block and 1 for the second; with ``own``, the first is compared with
+    itself.  Links are pairs whose exact Jaccard similarity reaches ``threshold``; with
+    ``keys`` (a row of band keys for each member), only pairs whose first shared band is ``band``.
     """
     a, b = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-    own = not len(b)
     b = a if own else b
+    mask = None
+    if keys is not None:
+        mask = keys[a, band][:, None] == keys[b, band][None, :]
+        for earlier in range(band):
+            mask &= keys[a, earlier][:, None] != keys[b, earlier][None, :]
+        if not mask.any():
+            return np.zeros(len(ids)), ids.copy()
     size = np.array(list(map(len, sets)), np.float64)
     shared = _shared([sets[i] for i in a], [sets[i] for i in b]).astype(np.float64)
     union = size[a][:, None] + size[b][None, :] - shared
     linked = shared >= threshold * union - 1e-9
+    if mask is not None:
+        linked &= mask
     if own:
         np.fill_diagonal(linked, False)
     links = np.zeros(len(ids))
@@ -182,71 +201,115 @@ def compare_block(ids: np.ndarray, sides: np.ndarray, weights: np.ndarray, sets:
     return links, np.array([ids[root(i)] for i in range(len(ids))])
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, class_id, n_links, copy_of, n_shingles`` for each row.
+def rooms(reps: DataFrame, groups: DataFrame) -> DataFrame:
+    """Where each candidate is compared: ``node, copies, first, set_hash, component, keys, places``.
 
-    ``class_id`` is the least id that links reach, ``n_links`` the number of other rows with Jaccard
-    similarity of at least ``threshold`` (copies counted), ``copy_of`` the least id with the same
-    shingles.  Texts without words (null, empty, signs only) are in no class but their own; shorter
-    texts are one shingle; rows with a null id come back unlinked; an empty table gives no rows.
+    ``groups`` has node and component.  A place is (room, band, blocks).  Small components share rooms
+    by hash, under band -1; in larger ones each band key that several members have is a room.
     """
-    bands, rows = bands_for(threshold, recall)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    signed = materialise(_signed(slim, words, bands, rows))
-    real = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = materialise(real.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands")))
-    keyed = reps.select("rep", F.explode("bands").alias("key"))
-    meets = materialise(keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("key", "lead"))  # so that hot keys can be split in the join
-    edges = keyed.join(meets, "key").filter("rep != lead").select(F.col("rep").alias("u"), F.col("lead").alias("v"))
-    groups = materialise(components(edges))
     sizes = groups.groupBy("component").agg(F.count("*").alias("members"))
-    small_groups = F.greatest(F.lit(1), F.ceil(F.lit(groups.count()) / BLOCK)).cast("int")
-    placed = groups.join(sizes, "component").join(reps.select(F.col("rep").alias("node"), "copies"), "node")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    small = F.col("members") <= BLOCK
-    placed = placed.select(
-        F.col("node").alias("doc_id"),
-        "copies",
-        F.when(small, F.lit(-1) - F.pmod(F.xxhash64("component"), small_groups.cast("long"))).otherwise(F.col("component")).alias("room"),
-        F.when(small, 1).otherwise(blocks).alias("blocks"),
-        F.when(small, 0).otherwise(F.pmod(F.xxhash64(F.lit("block"), "node"), blocks.cast("long"))).cast("int").alias("block"),
-        F.col("component"),
-    )
-    with_sets = _sets(slim.filter("doc_id IS NOT NULL").join(placed, "doc_id"), words)
-    # One copy of a row for each block that its own meets: block i stands first for j >= i, second for j < i.
-    dealt = with_sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "doc_id", "copies", "component", "shingles", "room", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("other") >= F.col("block"), 0).otherwise(1).alias("side")
-    )
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id")
+    placed = materialise(groups.join(sizes, "component").join(reps.select("node", "copies", "first", "set_hash", "bands"), "node"))
+    slim = ["node", "copies", "first", "set_hash", "component"]
+    place = lambda room, band, blocks: F.struct(room.cast("long").alias("room"), band.cast("int").alias("band"), blocks.cast("int").alias("blocks"))
+    small_rooms = F.lit(max(1, -(-groups.count() // BLOCK))).cast("long")
+    one = place(F.pmod(F.xxhash64("component"), small_rooms), F.lit(-1), F.lit(1))
+    whole = placed.filter(F.col("members") <= BLOCK).select(*slim, F.lit(None).cast("array<long>").alias("keys"), F.array(one).alias("places"))
+    large = placed.filter(F.col("members") > BLOCK)
+    keyed = large.select("node", F.posexplode("bands").alias("band", "room"))
+    shared = materialise(keyed.groupBy("band", "room").agg(F.count("*").alias("n")).filter("n > 1"))
+    met = keyed.join(shared, ["band", "room"]).groupBy("node").agg(F.collect_list(place(F.col("room"), F.col("band"), F.ceil(F.col("n") / BLOCK))).alias("places"))  # at most one for each band
+    return whole.unionByName(large.join(met, "node").select(*slim, F.col("bands").alias("keys"), "places"))
+
+
+def dealt(placed: DataFrame) -> DataFrame:
+    """One row for each block that a candidate's own block meets: its own stands first (side 0) if it is not the later one."""
+    keep = [c for c in placed.columns if c not in ("places", "first", "set_hash")]
+    at = placed.select(*keep, F.explode("places").alias("place")).select(*keep, "place.*")
+    block = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks").cast("long")).cast("int")
+    met = at.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.select(*keep, "room", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("other") >= F.col("block"), 0).otherwise(1).alias("side"))
+
+
+def _compare(threshold: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("node")
+        band = int(pdf["band"].iloc[0])
+        by = pdf.groupby("component", sort=False).indices if band < 0 else {0: np.arange(len(pdf))}
+        ids, sides, weights, sets = pdf["node"].to_numpy(), pdf["side"].to_numpy(), pdf["copies"].to_numpy(float), [np.asarray(s) for s in pdf["shingles"]]
+        keys = np.stack(pdf["keys"]) if band >= 0 else None
+        own = bool((pdf["i"] == pdf["j"]).iloc[0])
         out = []
-        by = pdf.groupby("component", sort=False).indices if (pdf["blocks"].iloc[0] == 1) else {0: np.arange(len(pdf))}
-        ids, sides, weights, sets = pdf["doc_id"].to_numpy(), pdf["side"].to_numpy(), pdf["copies"].to_numpy(float), [np.asarray(s) for s in pdf["shingles"]]
         for at in by.values():
-            n, low = compare_block(ids[at], sides[at], weights[at], [sets[k] for k in at], threshold)
-            out.append(pd.DataFrame({"doc_id": ids[at], "links": n.astype(np.int64), "low": low, "grid": bool(pdf["blocks"].iloc[0] > 1)}))
+            n, low = compare_block(ids[at], sides[at], weights[at], [sets[k] for k in at], threshold, own, keys, band)
+            out.append(pd.DataFrame({"node": ids[at], "links": n.astype(np.int64), "low": low, "apart": band >= 0}))
         return pd.concat(out)
 
-    seen = materialise(dealt.groupBy("room", "i", "j").applyInPandas(compare, "doc_id long, links long, low long, grid boolean"))
-    links = seen.groupBy("doc_id").agg(F.sum("links").alias("links"), F.min("low").alias("low"))
-    in_grid = seen.filter("grid AND low != doc_id").select(F.col("doc_id").alias("u"), F.col("low").alias("v"))
-    over = components(in_grid).select(F.col("node").alias("doc_id"), F.col("component").alias("over"))
-    classes = links.join(over, "doc_id", "left").select(F.col("doc_id").alias("rep"), "links", F.coalesce("over", "low").alias("class"))
-    named = reps.select("set_hash", "rep", "copies").join(classes, "rep", "left").select("set_hash", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("class", "rep").alias("class"))
-    return signed.drop("bands").join(named, "set_hash", "left").select(
+    return run
+
+
+def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one row for each distinct set: node, set_hash, copies, first, n_shingles, bands; node and component of the linked ones)."""
+    real = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    first = F.min(F.struct("doc_id", "row", "text_hash")).alias("first")
+    reps = real.groupBy("set_hash").agg(first, F.count("*").alias("copies"), F.min("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"))
+    reps = materialise(reps.withColumn("node", F.monotonically_increasing_id()))  # written, so that it stays a set's own
+    keyed = reps.select("node", F.explode("bands").alias("key"))
+    meets = materialise(keyed.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("key", "lead"))  # so that hot keys can be split in the join
+    edges = keyed.join(meets, "key").filter("node != lead").select(F.col("node").alias("u"), F.col("lead").alias("v"))
+    return reps, materialise(components(edges))
+
+
+def _classes(rows: DataFrame, words: int, threshold: float, recall: float) -> DataFrame:
+    """The result of :func:`near_duplicates` with ``row``, and whether the row is its class's ``leader``."""
+    bands, per_band = bands_for(threshold, recall)
+    rows = rows.select("row", "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    signed = materialise(_signed(rows, words, bands, per_band))
+    reps, groups = candidates(signed)
+    asked = rooms(reps, groups)
+    at = asked.select("*", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
+    texts = rows.filter("doc_id IS NOT NULL").select("doc_id", "text_hash", "text").join(at, ["doc_id", "text_hash"]).drop("doc_id", "text_hash")
+    seen = materialise(dealt(_sets(texts, words)).groupBy("room", "band", "i", "j").applyInPandas(_compare(threshold), "node long, links long, low long, apart boolean"))
+    links = seen.groupBy("node").agg(F.sum("links").alias("links"), F.min("low").alias("low"))
+    over = components(seen.filter("apart AND low != node").select(F.col("node").alias("u"), F.col("low").alias("v"))).select("node", F.col("component").alias("over"))
+    grouped = links.join(over, "node", "left").select("node", "links", F.coalesce("over", "low").alias("class"))
+    named = materialise(reps.select("node", "set_hash", "copies", "first").join(grouped, "node", "left").select("set_hash", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("class", "node").alias("class")))
+    heads = materialise(named.groupBy("class").agg(F.min("first").alias("head")))
+    told = named.join(heads, "class").select("set_hash", "links", F.col("first.doc_id").alias("copy"), F.col("head.doc_id").alias("class_id"), F.col("head.row").alias("head_row"))
+    real = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return signed.drop("bands", "text_hash").join(told, "set_hash", "left").select(
         "doc_id",
-        F.when(F.col("n_shingles") > 0, F.col("class")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("links")).otherwise(0).alias("n_links"),
-        F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("copy_of"),
+        F.when(real, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(real, F.col("links")).otherwise(0).alias("n_links"),
+        F.when(real, F.col("copy")).otherwise(F.col("doc_id")).alias("copy_of"),
         "n_shingles",
+        "row",
+        F.when(real, F.col("row") == F.col("head_row")).otherwise(True).alias("leader"),
     )
 
 
+def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, class_id, n_links, copy_of, n_shingles`` for each row.
+
+    ``class_id`` is the least id that links reach, ``n_links`` the number of other rows with Jaccard
+    similarity of at least ``threshold`` (copies counted), ``copy_of`` the least id with the same
+    shingles.  A pair at ``threshold`` is found with probability ``recall``, nearer ones more surely.
+    Texts without words (null, empty, signs only) are in no class but their own; shorter texts are
+    one shingle; each row stands for itself, also where rows repeat an id; rows with a null id come
+    back unlinked; an empty table gives no rows; other columns are ignored.  A very long text is one
+    set of 8 bytes a word in a task.  Exact link counts of texts that all share a band take work with
+    the square of their number.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    return _classes(rows, words, threshold, recall).drop("row", "leader")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class: the one with the least id; columns unchanged.
+    """``docs`` with one row of each class: the first one with the least id; columns unchanged.
 
-    Documents without words and rows with a null id stay.
+    Rows without words and rows with a null id stay.
     """
-    gone = near_duplicates(docs).filter("class_id != doc_id").select(F.col("doc_id").alias("__voxelrank_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__voxelrank_gone"), "left_anti")
+    key = "__voxelrank_row"
+    numbered = materialise(docs.withColumn(key, F.monotonically_increasing_id()))  # written, so that it stays a row's own
+    rows = numbered.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    gone = materialise(_classes(rows, WORDS, THRESHOLD, RECALL).filter("NOT leader").select(F.col("row").alias(key)))
+    return numbered.join(gone, key, "left_anti").select(*docs.columns)
