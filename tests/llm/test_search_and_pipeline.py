@@ -104,3 +104,61 @@ def test_pipeline(spark):
     for _, stage in cp.STAGES[:-1]:
         empty = stage(spark, empty, SF)
     assert cp.STAGES[-1][1](spark, empty, SF).count() == 0
+
+
+def test_every_length_has_its_own_neighbours(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(300)] + [(1000 + i, rng.standard_normal(8).tolist()) for i in range(150)] + [(2000, [1.0, 2.0]), (2001, [2.0, 1.0]), (2050, [1.0])]
+    got = run(spark, rows)
+    for low, high, dim in ((0, 300, 16), (1000, 1150, 8), (2000, 2002, 2)):
+        want = brute([(i, v) for i, v in rows if low <= i < high and len(v) == dim])
+        assert all(len(got[q]) == len(want[q]) for q in want if want[q])
+        assert sum(len(set(got[q]) & set(want[q])) for q in want if want[q]) >= 0.9 * sum(len(v) for v in want.values())
+    assert got[2000] == [2001] and 2050 not in got
+
+
+def test_lists_grow_beyond_what_the_sample_fits(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(ann, "LISTS", 6)
+    x = rng.standard_normal((3000, 24)) + 3 * rng.standard_normal((40, 24))[rng.integers(0, 40, 3000)]
+    model = ann.fit_model([*x[:1500]], 1_000_000, 5, 0.97)
+    assert len(model[24].centres) == 6 and len(model[24].parts) == 500 // 6
+    rows = list(enumerate(x.astype(np.float32).tolist()))
+    got, want = run(spark, rows), brute(rows)
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) / sum(map(len, want.values())) > 0.9
+
+
+def test_probes_widen_where_too_few_are_found(spark, monkeypatch):
+    monkeypatch.setattr(ann, "tune_probes", lambda *a: 1)
+    rng = np.random.default_rng(5)
+    far = [(i, (rng.standard_normal(8) * 0.01 + np.eye(8)[i % 8]).tolist()) for i in range(400)]
+    lone = [(5000, (-np.ones(8)).tolist())]
+    got, want = run(spark, far + lone), brute(far + lone)
+    assert len(got[5000]) == 5 and got[5000] == want[5000]
+
+
+def test_pipeline_stages_on_awkward_rows(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, clashing names: each stage's defined result."""
+    import corpus_pipeline as cp
+
+    schema = "doc_id long, text string, lang string, source string, n_chars int, `__voxelrank` string, votes string, row long, first string, head string"
+    plain = "This is a plain sentence of ordinary words. " * 12
+    long = " ".join(f"word{i} and more words follow here." for i in range(20_000))
+    texts = [(None, None), (None, ""), (1, None), (2, ""), (3, plain), (3, plain), (4, plain.upper().lower()), (4, "another text " + plain), (5, long), (6, long + " end"), (7, "key password=hunter2hunter2 stays out. " + plain[:200]), (None, plain)]
+    docs = spark.createDataFrame([(i, t, None, None, None if t is None else len(t), "x", "x", 1, "x", "x") for i, t in texts], schema)
+    stages = dict(cp.STAGES)
+    good = stages["quality"](spark, docs, SF)
+    assert good.schema == docs.schema and good.count() <= docs.count()
+    exact = stages["exact"](spark, docs, SF)
+    assert exact.schema == docs.schema
+    assert sorted((r.text or "", r.doc_id or 0) for r in exact.collect()) == sorted([("", 2), (plain.lower(), 4), ("another text " + plain, 4), (long, 5), (long + " end", 6), (texts[10][1], 7)])
+    near = stages["near"](spark, docs, SF).collect()
+    assert [r.doc_id for r in near if r.text == long] == [5] and not [r for r in near if r.doc_id == 6]
+    assert sum(r.text == plain for r in near) == 2 and sum(not r.text for r in near) == 4  # one row of the class, and the one without an id
+    clean = stages["secrets"](spark, docs, SF)
+    assert clean.schema == docs.schema
+    rows = clean.collect()
+    assert len(rows) == len(texts) and [r.text for r in rows if r.doc_id == 7][0].startswith("key [SECRET] stays") and sum(r.text is None for r in rows) == 2
+    assert all(r.n_chars == len(r.text or "") for r in rows)
+    out = stages["packing"](spark, docs, SF).collect()
+    assert sum(r.piece == 0 for r in out) == len(texts)

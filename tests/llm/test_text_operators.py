@@ -230,6 +230,7 @@ def test_feistel_is_a_permutation(spark):
 
 
 def test_quality(spark):
+    """On rows that set cut-offs; test_quality.py has the held-out ones."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality.classify(docs).join(labels, "doc_id").collect()
     good, bad = [r.keep for r in got if r.quality == 1], [r.keep for r in got if r.quality == 0]
