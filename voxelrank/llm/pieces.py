@@ -6,8 +6,10 @@ model needs.  The public vocabulary is of the BPE kind, whose merges no sum of s
 the lattice also forbids neighbours that the merge order would not leave side by side, and the path
 that remains is the one the merges give, so the ids are those of the library for both kinds.
 
-Ordinary text repeats its words, so each batch is cut where every path has a boundary, and the
-stream runs over the distinct parts; the texts' ids are gathered from these by array operations.
+Ordinary text repeats its words, so each batch is cut where every path has a boundary, and only the
+distinct parts are segmented.  These run through the same pass as arrays (:meth:`Codec.windows`): one
+walk of the trie from all characters finds the boundaries where all paths meet, and the windows
+between them advance together, one character at a step.  The texts' ids are gathered from the parts.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 from voxelrank.llm.common import tokenizer_path, whole_text
 
 SPACE = "▁"
-#: Cached segmentations of words and verdicts on pairs; dropped when full.  Bytes of text in one go.
-CACHE, SLICE = 300_000, 4 << 20
+#: Cached segmentations of words (and a quarter of the verdicts on pairs); dropped when full.  Bytes of text in one go.
+CACHE, SLICE = 500_000, 8 << 20
+#: Characters of a window in the array pass at most; chunks segmented in one go; the sign between them.
+LANE, AT_ONCE, APART = 64, 100_000, "\U0010ffff"
 #: Classes of bytes between which a text is cut.
 _OTHER, _SIGN, _SPACE = 0, 1, 2
 
@@ -77,9 +81,39 @@ class Codec:
         self.kind, self.joins = np.full(256, _OTHER, np.uint8), np.zeros(256, bool)
         self.kind[[ord(c) for c in apart]], self.kind[ord(" ")] = _SIGN, _SPACE
         self.joins[[ord(x) for x, y in bonds if x in apart and y not in apart]] = True
-        self.chunks: dict[str, np.ndarray] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.widest = self.commits = 0
+        self._tabulate()
+        self._forget()
+
+    def _tabulate(self) -> None:
+        """The trie, the scores and the merges as arrays; pieces, and characters that only stand in pieces, by number."""
+        names = [*self.ids, *sorted({ch for p in self.ids for ch in p} - self.ids.keys())]
+        self.number, self.no_piece = {p: k for k, p in enumerate(names)}, len(names)
+        self.id_of = np.array([*self.ids.values(), *[0] * (len(names) - len(self.ids) + 1)], np.uint32)
+        self.score_of = np.array([*(self.score[p] for p in self.ids), *[self.unknown] * (len(names) - len(self.ids) + 1)])
+        edges, node_piece, stack = [], [-1], [(self.trie, 0)]
+        while stack:
+            node, k = stack.pop()
+            for ch, below in node.items():
+                if ch:
+                    edges.append((k << 21 | ord(ch), len(node_piece)))
+                    stack.append((below, len(node_piece)))
+                    node_piece.append(self.number[below[""]] if "" in below else -1)
+        edges = np.array(sorted(edges), np.int64)
+        self.edge_keys, self.edge_to, self.node_piece = edges[:, 0].copy(), edges[:, 1].copy(), np.array(node_piece)
+        self.rank_of, self.half_left, self.half_right = (np.full(len(names) + 1, -1, np.int64) for _ in range(3))
+        merges = []
+        for piece in self.ids if self.constrained else ():
+            if len(piece) > 1:
+                left, right = self.split(piece)
+                if left != piece and left in self.number and right in self.number:
+                    k = self.number[piece]
+                    self.rank_of[k], self.half_left[k], self.half_right[k] = self.rank[piece], self.number[left], self.number[right]
+                merges += [(self.number[x] << 32 | self.number[y], self.rank[piece]) for x, y in ((piece[:i], piece[i:]) for i in range(1, len(piece))) if x in self.number and y in self.number]
+        merges = np.array(sorted(merges) or [(-1, 0)], np.int64)
+        self.merge_keys, self.merge_rank = merges[:, 0].copy(), merges[:, 1].copy()
+        self.verdicts: dict[int, bool] = {}
 
     def split(self, piece: str) -> tuple[str, str]:
         """The two parts whose merge gives ``piece``; a piece that no merge gives is its own parts."""
@@ -128,19 +162,131 @@ class Codec:
         s = self.stream()
         return s.feed(text) + s.close()
 
-    def _coded(self, chunks: list[str]) -> list[np.ndarray]:
-        """Ids of each chunk.  Chunks end where all paths have a boundary, so the stream commits there."""
-        s, out = self.stream(), []
-        for chunk in chunks:
-            ids = []
-            for piece in s.feed(chunk) + s.close():
-                if (i := self.ids.get(piece)) is not None:
-                    ids.append(i)
-                else:
-                    ids += [self.byte_id[b] for b in piece.encode()]
-            out.append(np.array(ids, np.uint32))
-        self.widest, self.commits = max(self.widest, s.widest), self.commits + s.commits
-        return out
+    def _side_by_side(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """:meth:`follows` for many pairs of piece numbers."""
+        rank, fine, x, y = self.rank_of, np.ones(len(a), bool), a.copy(), b.copy()
+        limit, live = np.full(len(a), 1 << 60), np.arange(len(a))
+        while len(live):
+            key = x[live] << 32 | y[live]
+            at = np.minimum(np.searchsorted(self.merge_keys, key), len(self.merge_keys) - 1)
+            bad = (self.merge_keys[at] == key) & (self.merge_rank[at] < limit[live])
+            fine[live[bad]] = False
+            live = live[~bad]
+            left, right = rank[x[live]], rank[y[live]]
+            more = (left >= 0) | (right >= 0)
+            live, left, right = live[more], left[more], right[more]
+            of_left = left > right
+            i = live[of_left]
+            limit[i], x[i] = left[of_left], self.half_right[x[i]]
+            i = live[~of_left]
+            limit[i], y[i] = right[~of_left] + 1, self.half_left[y[i]]
+        return fine
+
+    def _allowed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether pieces a may stand before pieces b; verdicts are kept."""
+        key, back = np.unique(a << 32 | b, return_inverse=True)
+        known = self.verdicts
+        got = [known.get(k) for k in key.tolist()]
+        if None in got:
+            if len(known) > 4 * CACHE:
+                known.clear()
+            new = np.array([g is None for g in got])
+            fine = self._side_by_side(key[new] >> 32, key[new] & 0xFFFFFFFF)
+            known.update(zip(key[new].tolist(), fine.tolist()))
+            out = np.array([bool(g) for g in got])
+            out[new] = fine
+            return out[back]
+        return np.array(got, bool)[back]
+
+    def _walk(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece of each length that ends at each character, or -1; how far pieces under way reach from each character)."""
+        n = len(text)
+        ends, reach = np.full((self.longest, n), -1, np.int32), np.arange(1, n + 1)
+        live, node = np.arange(n), np.zeros(n, np.int64)
+        for depth in range(1, self.longest + 1):
+            inside = live + depth <= n
+            live, node = live[inside], node[inside]
+            key = node << 21 | text[live + depth - 1]
+            at = np.minimum(np.searchsorted(self.edge_keys, key), len(self.edge_keys) - 1)
+            hit = self.edge_keys[at] == key
+            live, node = live[hit], self.edge_to[at[hit]]
+            if not len(live):
+                break
+            reach[live] = live + depth
+            piece = self.node_piece[node]
+            whole = piece >= 0
+            ends[depth - 1, live[whole] + depth - 1] = piece[whole]
+        ends[0, ends[0] < 0] = self.no_piece
+        return ends, reach
+
+    def windows(self, text: np.ndarray) -> np.ndarray:
+        """For each character, the piece of the best path that ends there, or -1.
+
+        All windows of the text advance together.  A window ends where no piece is under way: there all
+        surviving paths go through one boundary, and what lies before is settled.  Windows of more than
+        LANE characters go through a :class:`Stream` of their own, which also sees paths meet earlier.
+        """
+        n, ends_here = len(text), np.full(len(text), -1, np.int64)
+        if not n:
+            return ends_here
+        ends, reach = self._walk(text)
+        cut = np.r_[0, np.flatnonzero(np.maximum.accumulate(reach) <= np.arange(1, n + 1)) + 1]
+        size = np.diff(cut)
+        self.commits, self.widest = self.commits + len(size), max(self.widest, int(size.max(initial=0, where=size <= LANE)))
+        for k in np.flatnonzero(size > LANE):
+            stream, at = self.stream(), int(cut[k]) - 1
+            word = "".join(map(chr, text[cut[k] : cut[k + 1]].tolist()))
+            for piece in stream.feed(word) + stream.close():
+                at += len(piece)
+                ends_here[at] = self.number.get(piece, self.no_piece)
+            self.commits, self.widest = self.commits + stream.commits, max(self.widest, stream.widest)
+        short = np.flatnonzero(size <= LANE)
+        short = short[np.argsort(-size[short], kind="stable")]
+        start, size = cut[short], size[short]
+        best, last, length = np.full(n, -np.inf), np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        for e in range(1, int(size[0]) + 1 if len(size) else 1):
+            here = start[: np.searchsorted(-size, -e, "right")] + e - 1  # of the windows that are this long
+            for many in range(min(e, self.longest), 0, -1):
+                piece = ends[many - 1, here]
+                at = here[piece >= 0]
+                piece = piece[piece >= 0].astype(np.int64)
+                total = self.score_of[piece]
+                if many < e:
+                    total = total + best[at - many]
+                better = total > best[at]
+                at, piece, total = at[better], piece[better], total[better]
+                if many < e and self.constrained and len(at):
+                    before = last[at - many]
+                    plain = (before != self.no_piece) & (piece != self.no_piece)
+                    fine = np.ones(len(at), bool)
+                    fine[plain] = self._allowed(before[plain], piece[plain])
+                    at, piece, total = at[fine], piece[fine], total[fine]
+                best[at], last[at], length[at] = total, piece, many
+        at, first = start + size - 1, start
+        while len(at):
+            ends_here[at] = last[at]
+            at = at - length[at]
+            at, first = at[at >= first], first[at >= first]
+        return ends_here
+
+    def _coded(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks, how many each has).  A sign that is in no piece keeps them apart."""
+        text = np.frombuffer(APART.join(c.decode() for c in chunks).encode("utf-32-le"), np.uint32).astype(np.int64)
+        text[text == ord(" ")] = ord(SPACE)
+        size = np.array([len(c.decode()) for c in chunks], np.int64)
+        stop = np.cumsum(size + 1) - 1  # where the signs between chunks stand
+        found = self.windows(text)
+        found[stop[:-1]] = -1
+        at = np.flatnonzero(found >= 0)
+        piece = found[at]
+        owner, n = np.searchsorted(stop, at, "right"), np.ones(len(at), np.int64)
+        odd = piece == self.no_piece
+        signs = text[at[odd]]
+        raw = [chr(c).encode() for c in signs.tolist()]
+        n[odd] = list(map(len, raw))
+        ids = np.repeat(self.id_of[piece], n)
+        ids[np.repeat(odd, n)] = [self.byte_id[b] for r in raw for b in r]
+        return ids, np.bincount(owner, n, len(chunks)).astype(np.int64)
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin): every distinct chunk of the batch is segmented once."""
@@ -155,21 +301,25 @@ class Codec:
         cut[ends[:-1][some]] = True
         at = np.r_[np.flatnonzero(cut), len(raw)].astype(np.int64)
         chunks = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(raw)]).dictionary_encode()
-        kinds, known = [c.decode().replace(" ", SPACE) for c in chunks.dictionary.to_pylist()], self.chunks
-        if len(known) > CACHE:
-            known.clear()
-        new = [c for c in kinds if c not in known]
-        known.update(zip(new, self._coded(new)))
-        coded = [known[c] for c in kinds]
-        for c in new:
-            if len(c) > 64:
-                del known[c]
-        index, n = chunks.indices.to_numpy(), np.array(list(map(len, coded)), np.int64)
-        flat = np.concatenate(coded) if coded else np.empty(0, np.uint32)
-        ids = flat[_ranges((np.cumsum(n) - n)[index], n[index])]
-        before = np.r_[0, np.cumsum(n[index])]
+        kinds = chunks.dictionary.to_pylist()
+        if len(self.known) > CACHE:
+            self._forget()
+        new = [c for c in kinds if c not in self.known]
+        for lo in range(0, len(new), AT_ONCE):
+            part = new[lo : lo + AT_ONCE]
+            ids, n = self._coded(part)
+            self.known.update(zip(part, range(len(self.count), len(self.count) + len(part))))
+            self.flat, self.count = np.concatenate([self.flat, ids]), np.concatenate([self.count, n])
+        where = np.array([self.known[c] for c in kinds], np.int64)
+        index = where[chunks.indices.to_numpy()]
+        n = self.count[index]
+        ids = self.flat[_ranges((np.cumsum(self.count) - self.count)[index], n)]
+        before = np.r_[0, np.cumsum(n)]
         return ids, before[np.searchsorted(at, ends)]
 
+    def _forget(self) -> None:
+        self.known, self.flat, self.count = {}, np.empty(0, np.uint32), np.empty(0, np.int64)
+
     def encode(self, text: str) -> bytes:
         """Ids of ``text`` as little-endian unsigned 32-bit bytes."""
         return self.encode_batch(pa.array([text]))[0].astype("<u4", copy=False).tobytes()
