@@ -43,7 +43,7 @@ def test_estimates_match_planted_accuracies():
 def test_awkward_rows(spark):
     rnd = random.Random(1)
     say = lambda n: " ".join(rnd.choice(["plain", "words", "make", "lines", "here"]) + "." * (k % 9 == 8) for k in range(n))
-    rows = [(i, say(rnd.randint(1, 80))) for i in range(200)] + [(None, None), (None, ""), (7, "same"), (7, "same"), (8, "x" * 2_000_000), (9, say(200_000)), (10, "%$#& " * 100_000)]
+    rows = [(i, say(rnd.randint(1, 80))) for i in range(200)] + [(None, None), (None, ""), (700, "same"), (700, "same"), (8, "x" * 2_000_000), (9, say(200_000)), (10, "%$#& " * 100_000)]
     got = quality.classify(frame(spark, rows)).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.keep == (r.score >= quality.KEEP_FROM) for r in got)
     assert len({r.score for r in got if r.doc_id == 700}) == 1

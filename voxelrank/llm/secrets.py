@@ -153,4 +153,5 @@ def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
     done = docs.mapInArrow(run, schema)
-    return done.withColumn("n_chars", F.coalesce(F.length(text_col), F.lit(0)).cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
+    n_chars = F.when(F.col(text_col).isNotNull(), F.length(text_col)).otherwise(0)  # may be null by type, as in documents
+    return done.withColumn("n_chars", n_chars.cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
