@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -351,11 +352,11 @@ def pool_build(spark, sf):
     return pools.build_pools(_hits(spark, sf), known, 20, 12).withColumn("dist", _r("dist"))
 
 
-@_query("""WITH k AS (SELECT vec_id AS row_idx, ((42 * 31 + vec_id) % 4294967296 * 2654435761) % 4294967296 AS o FROM embeddings WHERE vec_id % 5 = 0),
+@_query("""WITH k AS (SELECT vec_id AS row_idx, ((42 * 31 + vec_id) % 4294967296 * 2654435761) % 4294967296 AS o FROM embeddings),
 p AS (SELECT row_idx, count(*) OVER () AS n, row_number() OVER (ORDER BY o, row_idx) AS i FROM k)
 SELECT row_idx, CASE WHEN i <= round_even(n * 0.8, 0) THEN 'train' WHEN i <= round_even(n * 0.8, 0) + round_even(n * 0.1, 0) THEN 'val' ELSE 'test' END AS split FROM p""")
 def split_rows(spark, sf):
-    return pools.split_rows(_t(spark, sf, "embeddings").filter("vec_id % 5 = 0").select(F.col("vec_id").alias("row_idx")))
+    return pools.split_rows(_t(spark, sf, "embeddings").select(F.col("vec_id").alias("row_idx")))
 
 
 @_query(f"""{_HITS}, b AS (SELECT row_idx, source, patch_id, rank, CASE WHEN rank <= 4 THEN 0 WHEN rank <= 12 THEN 1 ELSE 2 END AS band, ((((0 * 31 + row_idx) % 4294967296) * 31 + patch_id) % 4294967296 * 2654435761) % 4294967296 AS o, count(*) OVER (PARTITION BY row_idx, source) AS n FROM hits),
@@ -376,9 +377,9 @@ def _log(spark, sf):
 _LOG = f"{_HITS}, log AS (SELECT 'sig1' AS eval_sig, row_idx, source, rank, patch_id FROM hits WHERE NOT (row_idx % 100 = 0 AND rank > 7)), cnt AS (SELECT row_idx, source, count(*) AS n FROM log GROUP BY ALL)"
 
 
-@_query(f"{_LOG} SELECT vec_id AS row_idx FROM embeddings WHERE vec_id % 5 = 0 AND vec_id NOT IN (SELECT row_idx FROM cnt WHERE n >= 20 AND source = 'allen')")
+@_query(f"{_LOG} SELECT vec_id AS row_idx FROM embeddings WHERE vec_id NOT IN (SELECT row_idx FROM cnt WHERE n >= 20 AND source = 'allen')")
 def pending_rows(spark, sf):
-    rows = _t(spark, sf, "embeddings").filter("vec_id % 5 = 0").select(F.col("vec_id").alias("row_idx"))
+    rows = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("row_idx"))
     return incremental.pending(rows, _log(spark, sf), "sig1", 20, ["allen"])
 
 
@@ -392,7 +393,7 @@ def completed_queries(spark, sf):
     return incremental.completed(_log(spark, sf), "sig1", 20, ["real"])
 
 
-@_query()
+@_query(f"{_LOG} SELECT eval_sig, row_idx, source, rank, patch_id FROM log")
 def stream_append_hits(spark, sf):
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     _log(spark, sf).repartition(3).write.parquet(f"{path}/in")
@@ -440,11 +441,11 @@ def patch_grid(spark, sf):
     return g.select(*(F.col(c).cast("long").alias(c) for c in g.columns))
 
 
-_STARTS = "st AS (SELECT o_orderkey AS id, o_orderkey % 900 + 100 AS total, o_orderkey % 90 + 30 AS win FROM orders WHERE o_orderkey % 50 = 0), sp AS (SELECT *, greatest(1, CAST(round_even(win * 0.5::DOUBLE, 0) AS BIGINT)) AS step FROM st), ss AS (SELECT *, CASE WHEN total - win <= 0 THEN [0] ELSE list_sort(list_distinct(list_append(range(0, total - win + 1, step), total - win))) END AS starts FROM sp)"
+_STARTS = "st AS (SELECT o_orderkey AS id, o_orderkey % 900 + 100 AS total, o_orderkey % 90 + 30 AS win FROM orders), sp AS (SELECT *, greatest(1, CAST(round_even(win * 0.5::DOUBLE, 0) AS BIGINT)) AS step FROM st), ss AS (SELECT *, CASE WHEN total - win <= 0 THEN [0] ELSE list_sort(list_distinct(list_append(range(0, total - win + 1, step), total - win))) END AS starts FROM sp)"
 
 
 def _windows(spark, sf):
-    return _t(spark, sf, "orders").filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 900 + 100).cast("int").alias("total"), (F.col("o_orderkey") % 90 + 30).cast("int").alias("win"))
+    return _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 900 + 100).cast("int").alias("total"), (F.col("o_orderkey") % 90 + 30).cast("int").alias("win"))
 
 
 @_query(f"WITH {_STARTS} SELECT id, unnest(starts) AS start FROM ss")
@@ -458,12 +459,12 @@ def reduce_positions(spark, sf):
     return _windows(spark, sf).select("id", F.explode(P.reduce_positions(starts, 4)).alias("start")).withColumn("start", F.col("start").cast("long"))
 
 
-@_query("""WITH im AS (SELECT o_orderkey AS image_id, o_orderkey % 700 + 40 AS w, o_orderkey % 300 + 50 AS h FROM orders WHERE o_orderkey % 50 = 0), a AS (SELECT *, least(w, h) AS s, greatest(w, h) AS l FROM im WHERE least(w, h) >= 64 AND greatest(w, h) / least(w, h) >= 1.35),
+@_query("""WITH im AS (SELECT o_orderkey AS image_id, o_orderkey % 700 + 40 AS w, o_orderkey % 300 + 50 AS h FROM orders), a AS (SELECT *, least(w, h) AS s, greatest(w, h) AS l FROM im WHERE least(w, h) >= 64 AND greatest(w, h) / least(w, h) >= 1.35),
 b AS (SELECT *, greatest(1, CAST(round_even(s * 0.5::DOUBLE, 0) AS BIGINT)) AS step FROM a), c AS (SELECT *, list_sort(list_distinct(list_append(range(0, l - s + 1, step), l - s))) AS st FROM b),
 d AS (SELECT *, CASE WHEN len(st) <= 3 THEN st ELSE list_sort(list_distinct([st[CAST(round_even(i * (len(st) - 1) / 2.0::DOUBLE, 0) AS BIGINT) + 1] FOR i IN range(3)])) END AS p FROM c), e AS (SELECT *, unnest(p) AS x, unnest(range(0, len(p))) AS k FROM d)
 SELECT image_id, k AS crop_id, CASE WHEN w > h THEN x ELSE 0 END AS x0, CASE WHEN w > h THEN 0 ELSE x END AS y0, CASE WHEN w > h THEN x ELSE 0 END + s AS x1, CASE WHEN w > h THEN 0 ELSE x END + s AS y1 FROM e""")
 def local_crop_boxes(spark, sf):
-    images = _t(spark, sf, "orders").filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("image_id"), (F.col("o_orderkey") % 700 + 40).cast("int").alias("width"), (F.col("o_orderkey") % 300 + 50).cast("int").alias("height"))
+    images = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("image_id"), (F.col("o_orderkey") % 700 + 40).cast("int").alias("width"), (F.col("o_orderkey") % 300 + 50).cast("int").alias("height"))
     got = P.local_crops(images)
     return got.select(*(F.col(c).cast("long").alias(c) for c in got.columns))
 
@@ -538,7 +539,7 @@ def corner_chamfer(spark, sf):
 def _lattice_sql(g=6):
     pts = lambda p: f"SELECT id, k, l, {p}"
     grid = f"range({g}) a(k), range({g}) b(l)"
-    return f"""WITH s AS (SELECT p_partkey AS id, p_partkey % 9 * 1.0::DOUBLE AS d2 FROM part WHERE p_partkey % 40 = 0),
+    return f"""WITH s AS (SELECT p_partkey AS id, p_partkey % 9 * 1.0::DOUBLE AS d2 FROM part),
 a AS ({pts(f"-15.5 + k * 31.0::DOUBLE / {g - 1} AS x, -15.5 + l * 31.0::DOUBLE / {g - 1} AS y, 0.0::DOUBLE AS z")} FROM s, {grid}),
 b AS ({pts(f"-7.75 + k * 15.5::DOUBLE / {g - 1} AS x, -7.75 + l * 15.5::DOUBLE / {g - 1} AS y, d2 AS z")} FROM s, {grid}),
 d AS (SELECT a.id, a.k AS ak, a.l AS al, b.k AS bk, b.l AS bl, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) AS dd FROM a JOIN b USING (id)),
@@ -552,7 +553,7 @@ def chamfer_lattice(spark, sf):
         vals = {"nx": 0.0, "ny": 0.0, "nz": 1.0, "depth": depth, "rot": 0.0, "step": step, "size_px": 32, "x0": 0, "y0": 0, "h": 32, "w": 32}
         return F.struct(*((v if not isinstance(v, (int, float)) else F.lit(v)).cast("double").alias(k) for k, v in vals.items()))
 
-    rows = _t(spark, sf, "part").filter("p_partkey % 40 = 0").select(F.col("p_partkey").alias("id"), pose(0.0, 1.0).alias("query_pose"), pose(F.col("p_partkey") % 9, 0.5).alias("patch_pose"))
+    rows = _t(spark, sf, "part").select(F.col("p_partkey").alias("id"), pose(0.0, 1.0).alias("query_pose"), pose(F.col("p_partkey") % 9, 0.5).alias("patch_pose"))
     return distance.with_chamfer(rows, 6, 0.1).select("id", _r("dist").alias("dist"))
 
 
@@ -568,16 +569,11 @@ def fg_bg_ratio(spark, sf):
     return volume.fg_bg_ratio(_t(spark, sf, "events"), F.col("value"), 50).select("n", _r("fg_ratio").alias("fg_ratio"), _r("bg_ratio").alias("bg_ratio"))
 
 
-@_query("SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1")
-def orientation_corr(spark, sf):
-    return _t(spark, sf, "lineitem").groupBy("l_returnflag").agg(_r(F.corr("l_quantity", "l_extendedprice")).alias("r"))
-
-
-@_query("SELECT o_orderkey AS row_idx, 'a' || o_orderkey AS allen_path, (o_orderkey % 5)::DOUBLE AS v0, (o_orderkey % 30)::DOUBLE / 2 AS depth, CAST(o_orderkey % 2 AS BIGINT) AS is_crop, o_orderpriority AS priority FROM orders WHERE o_orderkey % 10 = 0")
+@_query("SELECT o_orderkey AS row_idx, 'a' || o_orderkey AS allen_path, (o_orderkey % 5)::DOUBLE AS v0, (o_orderkey % 30)::DOUBLE / 2 AS depth, CAST(o_orderkey % 2 AS BIGINT) AS is_crop, o_orderpriority AS priority FROM orders")
 def dataset_parse(spark, sf):
     k = F.col("o_orderkey")
     s = lambda c: c.cast("string")
-    raw = _t(spark, sf, "orders").filter("o_orderkey % 10 = 0").select(
+    raw = _t(spark, sf, "orders").select(
         k.alias("row_idx"), F.concat(F.lit(" a"), s(k), F.lit(" ")).alias("allen_path"), F.lit("").alias("real_path"), F.concat(F.lit("["), s(k % 5), F.lit(", 0.5, 1]")).alias("vector"), s(k % 30 / 2).alias("depth"), F.lit("90").alias("rotation"),
         s(k % 2).alias("is_crop"), F.lit("full").alias("crop_bin"), F.lit("full").alias("crop_kind"), *(F.lit("0.5").alias(c) for c in ("crop_cx", "crop_cy", "crop_rw", "crop_rh", "crop_aspect_w", "crop_aspect_h")), F.col("o_orderpriority").alias("priority"),
     )
@@ -637,9 +633,13 @@ def depth_bounds(spark, sf):
     return _parts(spark, sf).select("id", _r(half).alias("half"), G.mirror_x(F.col("id") % 32, 32).cast("long").alias("mirrored"))
 
 
-@_query()
+@_query("""WITH s AS (SELECT unnest([-1, 1]) AS s), raw AS (
+  SELECT k AS normal_idx, CASE k WHEN 0 THEN 1 ELSE 0 END AS x, CASE k WHEN 1 THEN 1 ELSE 0 END AS y, CASE k WHEN 2 THEN 1 ELSE 0 END AS z FROM range(3) t(k)
+  UNION ALL SELECT 3 + ((a.s + 1) // 2 * 2 + (b.s + 1) // 2) * 3 + k, CASE k WHEN 2 THEN 0 ELSE a.s END, CASE k WHEN 0 THEN b.s WHEN 1 THEN 0 ELSE a.s END, CASE k WHEN 0 THEN 0 ELSE b.s END FROM s a, s b, range(3) t(k)
+  UNION ALL SELECT 15 + (a.s + 1) // 2 * 4 + (b.s + 1) // 2 * 2 + (c.s + 1) // 2, a.s, b.s, c.s FROM s a, s b, s c)
+SELECT CAST(normal_idx AS BIGINT) AS normal_idx, round(x / sqrt(x * x + y * y + z * z), 6) AS nx, round(y / sqrt(x * x + y * y + z * z), 6) AS ny, round(z / sqrt(x * x + y * y + z * z), 6) AS nz FROM raw""")
 def axis_normals(spark, sf):
-    return P.axis_normals(spark, diagonals=True)
+    return P.axis_normals(spark, diagonals=True).select("normal_idx", *(_r(c).alias(c) for c in ("nx", "ny", "nz")))
 
 
 def _volume():
@@ -674,13 +674,27 @@ def train_reranker(spark, sf):
     return training.list_losses(lists, weights, cfg).join(splits, "row_idx")
 
 
-@_query()
+def _orientation_sql():
+    perms = [f"[{a}, {b}, {3 - a - b}]" for a in range(3) for b in range(3) if a != b]
+    at = lambda j: f"CASE WHEN f[{j}] = 1 THEN s{j} - 1 - i{j} ELSE i{j} END"
+    axis = lambda t: " ".join(["CASE", *(f"WHEN p[{j}] = {t} THEN {at(j)}" for j in (1, 2, 3)), "END"])
+    return f"""WITH o AS (SELECT p, [a, b, c] AS f, [9, 8, 10][p[1] + 1] AS s1, [9, 8, 10][p[2] + 1] AS s2, [9, 8, 10][p[3] + 1] AS s3 FROM (SELECT unnest([{", ".join(perms)}]) AS p), range(2) x(a), range(2) y(b), range(2) z(c)),
+c AS (SELECT *, unnest(range(0, least(8, s1), 2)) AS i1 FROM o), d AS (SELECT *, unnest(range(0, least(9, s2), 2)) AS i2 FROM c), e AS (SELECT *, unnest(range(0, least(10, s3), 2)) AS i3 FROM d),
+m AS (SELECT p, f, i1, i2, i3, {axis(0)} AS a0, {axis(1)} AS a1, {axis(2)} AS a2 FROM e),
+v AS (SELECT p, f, (i1 * i1 * 7 + i2 * 3 + i3 * i3 * i3 + i1 * i3) % 11 AS x, (a1 * a1 * 7 + (8 - a0) * 3 + a2 * a2 * a2 + a1 * a2) % 11 AS y FROM m)
+SELECT array_to_string(p, '') AS perm, array_to_string(f, '') AS flips, round(corr(x, y), 6) AS corr FROM v GROUP BY ALL"""
+
+
+@_query(_orientation_sql())
 def best_orientation(spark, sf):
-    v = volume.synthetic_volume((20, 24, 28))
-    return builder.best_orientation(spark, v, v.transpose(1, 0, 2)[::-1].copy())
+    """An 8 x 9 x 10 volume against its own transposed and mirrored copy."""
+    z, y, x = np.meshgrid(np.arange(8), np.arange(9), np.arange(10), indexing="ij")
+    v = ((z * z * 7 + y * 3 + x**3 + z * x) % 11).astype(float)
+    found = builder.best_orientation(spark, v, v.transpose(1, 0, 2)[::-1].copy(), 2)
+    return found.select(F.array_join(F.col("perm").cast("array<string>"), "").alias("perm"), F.array_join(F.transform("flips", lambda f: f.cast("int").cast("string")), "").alias("flips"), _r("corr").alias("corr"))
 
 
-@_query()
+@_query("SELECT o_orderkey AS row_idx, o_totalprice FROM orders ORDER BY ((42 * 31 + o_orderkey) % 4294967296 * 2654435761) % 4294967296, o_orderkey LIMIT 25")
 def row_sample(spark, sf):
     return images.sample_rows(_t(spark, sf, "orders").select(F.col("o_orderkey").alias("row_idx"), "o_totalprice"), 25)
 
@@ -693,10 +707,8 @@ def slice_foreground(spark, sf):
 
 @_query("SELECT vec_id AS image_id, 8 AS height, 8 AS width, round(sum(round_even(least(greatest(v, 0), 1) * 255, 0)) / 255, 6) AS total FROM (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings) GROUP BY 1")
 def image_files(spark, sf):
-    """Embeddings as 8 x 8 images, written as PNG files and read back."""
+    """Embeddings as 8 x 8 images, encoded as PNG, stored in the shared folder and read back."""
     rows = _t(spark, sf, "embeddings").select(F.concat(F.col("vec_id").cast("string"), F.lit(".png")).alias("name"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.col("embedding").cast("array<double>").alias("pixels"))
-    place = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    png.export_images(rows, place.removeprefix("file://").removeprefix("file:")).write.format("noop").mode("overwrite").save()
-    back = png.read_png_images(spark, place)
+    back = png.decode_images(written(png.encode_images(rows)))
     total = F.aggregate("pixels", F.lit(0.0), lambda s, x: s + x)
-    return back.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("image_id"), "height", "width", F.round(total, 6).alias("total"))
+    return back.select(F.regexp_extract("name", r"(\d+)\.png$", 1).cast("long").alias("image_id"), "height", "width", F.round(total, 6).alias("total"))

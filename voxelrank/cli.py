@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import argparse
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -84,6 +85,22 @@ def _volumes(spark, named: list[str]):
     return {name: _volume(spark, path) for name, _, path in (n.partition("=") for n in named)}
 
 
+def _at(spark, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _rename(spark, path: str, to: str) -> None:
+    fs, where = _at(spark, path)
+    if not fs.rename(where, _at(spark, to)[1]):
+        raise OSError(f"cannot rename {path} to {to}")
+
+
+def _remove(spark, path: str) -> None:
+    fs, where = _at(spark, path)
+    fs.delete(where, True)
+
+
 def _eval(spark, a) -> None:
     volumes, rows = _volumes(spark, a.volumes), tables.read_dataset(spark, a.dataset)
     rows = rows.filter(F.col("row_idx") < a.limit) if a.limit is not None else rows
@@ -100,7 +117,13 @@ def _eval(spark, a) -> None:
             fresh = written(hits)
             again = fresh.select("eval_sig", "row_idx", "source").distinct()
             kept = written(done.join(again, ["eval_sig", "row_idx", "source"], "left_anti"))
-            kept.unionByName(fresh, allowMissingColumns=True).write.mode("overwrite").parquet(out)
+            # Written beside, then put in place: hits are whole at any time, under one name or the other.
+            beside, old = f"{out}.new-{uuid.uuid4().hex}", f"{out}.old-{uuid.uuid4().hex}"
+            kept.unionByName(fresh, allowMissingColumns=True).write.parquet(beside)
+            _rename(spark, out, old)
+            _rename(spark, beside, out)
+            _remove(spark, old)
+            spark.catalog.refreshByPath(out)
         else:
             tables.append_hits(hits, out)
 

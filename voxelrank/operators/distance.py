@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Lattice points held at once when many poses are compared.
+POINTS = 1 << 20
 POSE = ("nx", "ny", "nz", "depth", "rot", "step", "size_px", "x0", "y0", "h", "w")
 
 
@@ -30,19 +32,52 @@ def lattice(p, grid: int) -> np.ndarray:
     return (p["depth"] * n + a[None, :, None] * u + b[:, None, None] * v).reshape(-1, 3)
 
 
-def _to_lattice(points: np.ndarray, p, grid: int) -> np.ndarray:
-    """Distance of each point to its nearest lattice point: project on the axes, round, clamp."""
-    n, u, v = _axes(p)
-    half = (p["size_px"] - 1) / 2
-    off2 = (points @ n - p["depth"]) ** 2
+def _frames(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`_axes` of many poses, given as one array for each field."""
+    unit = lambda a: a / (np.linalg.norm(a, axis=1, keepdims=True) + 1e-12)
+    n = unit(np.stack([p["nx"], p["ny"], p["nz"]], 1))
+    steep = (np.abs(n[:, 2]) >= 0.9).astype(float)
+    ref = np.stack([steep, np.zeros(len(n)), 1 - steep], 1)
+    u = unit(ref - n * (ref * n).sum(1, keepdims=True))
+    v = np.cross(n, u)
+    c, s = np.cos(np.radians(p["rot"]))[:, None], np.sin(np.radians(p["rot"]))[:, None]
+    return n, c * u + s * v, -s * u + c * v
+
+
+def _lattices(p: dict[str, np.ndarray], grid: int) -> np.ndarray:
+    """:func:`lattice` of many poses: poses x points x 3."""
+    n, u, v = _frames(p)
+    half, t = (p["size_px"] - 1) / 2, np.linspace(0, 1, grid)
+    along = lambda start, extent: ((start - half) * p["step"])[:, None] + ((extent - 1) * p["step"])[:, None] * t
+    a, b = along(p["x0"], p["w"]), along(p["y0"], p["h"])
+    points = (p["depth"][:, None] * n)[:, None, None] + a[:, None, :, None] * u[:, None, None] + b[:, :, None, None] * v[:, None, None]
+    return points.reshape(len(n), -1, 3)
+
+
+def _to_lattices(points: np.ndarray, p: dict[str, np.ndarray], grid: int) -> np.ndarray:
+    """Distance of each point to its pose's nearest lattice point: project on the axes, round, clamp."""
+    n, u, v = _frames(p)
+    half, project = (p["size_px"] - 1) / 2, lambda axis: np.einsum("mki,mi->mk", points, axis)
+    off2 = (project(n) - p["depth"][:, None]) ** 2
     for axis, start, extent in ((u, p["x0"], p["w"]), (v, p["y0"], p["h"])):
-        at = points @ axis - (start - half) * p["step"]
-        gap = (extent - 1) * p["step"] / max(grid - 1, 1)
-        k = np.clip(np.floor(at / gap + 0.5), 0, grid - 1) if gap > 0 else 0
-        off2 = off2 + (at - k * gap) ** 2
+        at = project(axis) - ((start - half) * p["step"])[:, None]
+        gap = ((extent - 1) * p["step"] / max(grid - 1, 1))[:, None]
+        k = np.where(gap > 0, np.clip(np.floor(at / np.where(gap > 0, gap, 1) + 0.5), 0, grid - 1), 0)
+        off2 += (at - k * gap) ** 2
     return np.sqrt(off2)
 
 
+def chamfers(a: dict[str, np.ndarray], b: dict[str, np.ndarray], grid: int = 64, trim: float = 0.1) -> np.ndarray:
+    """:func:`chamfer` in voxels of many pairs of poses at once, about POINTS points at a time."""
+    keep = max(1, int(np.floor(grid * grid * (1 - min(max(trim, 0), 0.49)))))
+    out, some = [], max(1, POINTS // (grid * grid))
+    for lo in range(0, len(a["nx"]), some):
+        p, q = ({k: x[lo : lo + some] for k, x in side.items()} for side in (a, b))
+        both = (_to_lattices(_lattices(p, grid), q, grid), _to_lattices(_lattices(q, grid), p, grid))
+        out.append(sum(np.partition(d, keep - 1, axis=1)[:, :keep].mean(1) for d in both))
+    return np.concatenate(out) if out else np.empty(0)
+
+
 def _trimmed(d: np.ndarray, trim: float) -> float:
     keep = max(1, int(np.floor(len(d) * (1 - min(max(trim, 0), 0.49)))))
     return float(np.partition(d, keep - 1)[:keep].mean())
@@ -63,7 +98,7 @@ def chamfer(a, b, grid: int = 64, trim: float = 0.1, spacing: tuple[float, float
     are then compared directly.  ``mirror`` reflects ``b`` in x first, a check on laterality.
     """
     if spacing is None and not mirror:
-        return _trimmed(_to_lattice(lattice(a, grid), b, grid), trim) + _trimmed(_to_lattice(lattice(b, grid), a, grid), trim)
+        return float(chamfers(*({k: np.array([p[k]], float) for k in POSE} for p in (a, b)), grid, trim)[0])
     size = np.array(spacing or (1.0, 1.0, 1.0), float)
     x, y = lattice(a, grid) * size, lattice(b, grid) * size * ((-1, 1, 1) if mirror else (1, 1, 1))
     return _trimmed(_nearest(x, y), trim) + _trimmed(_nearest(y, x), trim)
@@ -75,6 +110,10 @@ def chamfer_column(a: Column, b: Column, grid: int = 64, trim: float = 0.1, spac
     @F.pandas_udf("double")
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.Series:
         known = x["nx"].notna() & y["nx"].notna()
+        if spacing is None and not mirror:
+            out = np.full(len(x), np.nan)
+            out[known] = chamfers(*({k: s.loc[known, k].to_numpy(float) for k in POSE} for s in (x, y)), grid, trim)
+            return pd.Series(out).where(known.to_numpy(), None)
         out = [chamfer(p, q, grid, trim, spacing, mirror) if ok else None for ok, p, q in zip(known, x.to_dict("records"), y.to_dict("records"))]
         return pd.Series(out, dtype=float)
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelrank.operators.pools import draw
+
 
 def to_gray(image: np.ndarray) -> np.ndarray:
     """Channel mean, scaled to [0, 1] if any value is over 1, clipped."""
@@ -108,8 +110,8 @@ def box_ratio(totals: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def sample_rows(rows: DataFrame, n: int, key: str = "row_idx", seed: int = 42) -> DataFrame:
-    """``n`` rows in a fixed hash order of the key: the same ones for any partitioning."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    """``n`` rows in a fixed pseudo-random order of the whole-number key: the same ones for any partitioning."""
+    return rows.orderBy(draw(F.col(key), seed=seed), key).limit(n)
 
 
 def patch_path(patch_id: Column, folder: str = "patches") -> Column:

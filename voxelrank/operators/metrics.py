@@ -18,30 +18,62 @@ KS, DEEP_KS, MRR_DEPTH, LEAST_TAU = (1, 5, 10, 100), (10, 100), 100, 1e-6
 DEFAULT_THRESHOLDS = (50.0, 100.0, 200.0)
 
 
+def _distance() -> Column:
+    return finite(F.col("dist"))
+
+
+def _geom(ks: Sequence[int]) -> list[Column]:
+    return [F.min(F.when(F.col("rank") <= k, _distance())).alias(f"geom_at_{k}") for k in ks]
+
+
+def _rank_best() -> Column:
+    return F.min(F.when(_distance().isNotNull(), F.struct(_distance(), "rank")))["rank"].alias("rank_best")
+
+
+def _success(thresholds: Sequence[float], ks: Sequence[int]) -> list[Column]:
+    hit = lambda t, k: F.max(F.when((_distance() <= t) & (F.col("rank") <= k), 1.0).otherwise(0.0))
+    return [hit(t, k).alias(f"sr_{k}_{i}") for i, t in enumerate(thresholds) for k in ks]
+
+
+def _reciprocal(thresholds: Sequence[float], depth: int) -> list[Column]:
+    first = lambda t: F.min(F.when((_distance() <= t) & (F.col("rank") <= depth), F.col("rank")))
+    return [F.coalesce(1 / first(t), F.lit(0.0)).alias(f"rr_{i}") for i, t in enumerate(thresholds)]
+
+
+def _with_gain(hits: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Adds ``_gain`` and ``_ideal``, the place in the ideal order; one window partitioning that an aggregation by the key goes on to use."""
+    q, d = Window.partitionBy(*key), _distance()
+    given = F.min(F.when(F.col("tau").isNotNull(), F.struct("rank", "tau"))).over(q)["tau"] if "tau" in hits.columns else F.lit(None).cast("double")
+    tau = F.greatest(F.coalesce(given, F.percentile(d, F.lit(0.5)).over(q)), F.lit(LEAST_TAU))
+    based = hits.withColumn("_tau", tau).withColumn("_d", d)
+    ideal = F.row_number().over(q.orderBy(F.asc_nulls_last("_d"), "rank"))
+    return based.withColumn("_gain", F.when(F.col("_d").isNotNull(), F.exp(-F.col("_d") / F.col("_tau"))).otherwise(0.0)).withColumn("_ideal", ideal)
+
+
+def _ndcg(ks: Sequence[int]) -> list[Column]:
+    at = lambda where, k: F.sum(F.when(F.col(where) <= k, F.col("_gain") / F.log2(F.col(where) + 1)))
+    one = lambda k: F.when(F.max(F.when(F.col("rank") <= k, F.col("_d"))).isNull(), F.lit(None)).when(at("_ideal", k) <= 0, 0.0).otherwise(at("rank", k) / at("_ideal", k))
+    return [one(k).cast("double").alias(f"ndcg_{k}") for k in ks]
+
+
 def geom_at_k(hits: DataFrame, ks: Sequence[int] = KS, key: Sequence[str] = KEY) -> DataFrame:
     """Per query: least finite distance among the first K ranks (null if none), one column for each K."""
-    d = finite(F.col("dist"))
-    return hits.groupBy(*key).agg(*(F.min(F.when(F.col("rank") <= k, d)).alias(f"geom_at_{k}") for k in ks))
+    return hits.groupBy(*key).agg(*_geom(ks))
 
 
 def rank_best(hits: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Per query: rank of the least finite distance, the first on ties."""
-    d = finite(F.col("dist"))
-    return hits.groupBy(*key).agg(F.min(F.when(d.isNotNull(), F.struct(d, "rank")))["rank"].alias("rank_best"))
+    return hits.groupBy(*key).agg(_rank_best())
 
 
 def success(hits: DataFrame, thresholds: Sequence[float], ks: Sequence[int] = DEEP_KS, key: Sequence[str] = KEY) -> DataFrame:
     """Per query: 1.0 if a hit among the first K is within a threshold, else 0.0."""
-    d = finite(F.col("dist"))
-    hit = lambda t, k: F.max(F.when((d <= t) & (F.col("rank") <= k), 1.0).otherwise(0.0))
-    return hits.groupBy(*key).agg(*(hit(t, k).alias(f"sr_{k}_{i}") for i, t in enumerate(thresholds) for k in ks))
+    return hits.groupBy(*key).agg(*_success(thresholds, ks))
 
 
 def reciprocal_rank(hits: DataFrame, thresholds: Sequence[float], depth: int = MRR_DEPTH, key: Sequence[str] = KEY) -> DataFrame:
     """Per query: 1 / first rank within a threshold, 0 if there is none down to ``depth``."""
-    d = finite(F.col("dist"))
-    first = lambda t: F.min(F.when((d <= t) & (F.col("rank") <= depth), F.col("rank")))
-    return hits.groupBy(*key).agg(*(F.coalesce(1 / first(t), F.lit(0.0)).alias(f"rr_{i}") for i, t in enumerate(thresholds)))
+    return hits.groupBy(*key).agg(*_reciprocal(thresholds, depth))
 
 
 def ndcg(hits: DataFrame, ks: Sequence[int] = DEEP_KS, key: Sequence[str] = KEY) -> DataFrame:
@@ -50,15 +82,7 @@ def ndcg(hits: DataFrame, ks: Sequence[int] = DEEP_KS, key: Sequence[str] = KEY)
     tau is the query's first, else its median finite distance, at least LEAST_TAU.  Null where no
     hit among the first K, or none at all, has a finite distance; 0 where the ideal gain is 0.
     """
-    q, d = Window.partitionBy(*key), finite(F.col("dist"))
-    given = F.min(F.when(F.col("tau").isNotNull(), F.struct("rank", "tau"))).over(q)["tau"] if "tau" in hits.columns else F.lit(None).cast("double")
-    based = hits.select(*key, "rank", d.alias("d"), F.greatest(F.coalesce(given, F.percentile(d, F.lit(0.5)).over(q)), F.lit(LEAST_TAU)).alias("t"))
-    gain = F.when(F.col("d").isNotNull(), F.exp(-F.col("d") / F.col("t"))).otherwise(0.0)
-    ideal = F.row_number().over(q.orderBy(F.asc_nulls_last("d"), "rank"))
-    rows = based.select(*key, "rank", "d", gain.alias("gain"), ideal.alias("ideal"))
-    at = lambda where, k: F.sum(F.when(F.col(where) <= k, F.col("gain") / F.log2(F.col(where) + 1)))
-    one = lambda k: F.when(F.max(F.when(F.col("rank") <= k, F.col("d"))).isNull(), F.lit(None)).when(at("ideal", k) <= 0, 0.0).otherwise(at("rank", k) / at("ideal", k))
-    return rows.groupBy(*key).agg(*(one(k).cast("double").alias(f"ndcg_{k}") for k in ks))
+    return _with_gain(hits, key).groupBy(*key).agg(*_ndcg(ks))
 
 
 def thresholds_of(hits: DataFrame, least: float = 1e-6) -> DataFrame:
@@ -83,15 +107,15 @@ def group_labels(columns: Sequence[str]) -> Column:
 
 
 def report_metrics(hits: DataFrame, thresholds: Sequence[float] = DEFAULT_THRESHOLDS, ks: Sequence[int] = KS, deep: Sequence[int] = DEEP_KS, key: Sequence[str] = KEY) -> DataFrame:
-    """Tidy rows ``group, source, metric, value, n_queries`` for all label groups and sources (and ALL)."""
+    """Tidy rows ``group, source, metric, value, n_queries`` for all label groups and sources (and ALL).
+
+    ``hits`` is shuffled once, by the query key; window and aggregation share that partitioning.
+    """
     labels = [c for c in ("q_is_crop", "q_crop_kind", "search_mode") if c in hits.columns]
     extra = [c for c in ("eval_sig",) if c in hits.columns and c not in key]
     key = [*key, *extra]
-    per = geom_at_k(hits, ks, key)
-    for other in (rank_best(hits, key), success(hits, thresholds, deep, key), reciprocal_rank(hits, thresholds, MRR_DEPTH, key), ndcg(hits, deep, key)):
-        per = per.join(other, list(key))
-    if labels:
-        per = per.join(hits.groupBy(*key).agg(*(F.min_by(c, "rank").alias(c) for c in labels)), list(key))
+    firsts = [F.min_by(c, "rank").alias(c) for c in labels]
+    per = _with_gain(hits, key).groupBy(*key).agg(*_geom(ks), _rank_best(), *_success(thresholds, deep), *_reciprocal(thresholds, MRR_DEPTH), *_ndcg(deep), *firsts)
     values = [*((f"Geom@{k}", f"geom_at_{k}") for k in ks), ("RankBestGeom", "rank_best"), *((f"SR@{k}(t{i})", f"sr_{k}_{i}") for i in range(len(thresholds)) for k in deep), *((f"MRR(t{i})", f"rr_{i}") for i in range(len(thresholds))), *((f"NDCG@{k}", f"ndcg_{k}") for k in deep)]
     groups = per.withColumn("group", F.explode(group_labels(per.columns)))
     groups = groups.withColumn("source", F.explode(F.array(F.lit("ALL"), F.col("source")))) if "source" in key else groups.withColumn("source", F.lit("ALL"))

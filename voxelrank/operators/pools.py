@@ -16,7 +16,8 @@ def draw(*ids: Column, seed: int = 0) -> Column:
     total = F.lit(seed).cast("long")
     for i in ids:
         total = (total * 31 + i.cast("long")) % MODULUS
-    return (total * MULTIPLIER) % MODULUS
+    high, low = F.shiftright(total, 16), total % 65536  # by halves, as the whole product can exceed a long
+    return (high * MULTIPLIER % MODULUS * 65536 + low * MULTIPLIER) % MODULUS
 
 
 def build_pools(hits: DataFrame, vectors: DataFrame, top: int = 100, least: int = 8) -> DataFrame:
@@ -44,6 +45,12 @@ def split_rows(rows: DataFrame, train: float = 0.8, val: float = 0.1, seed: int
     return placed.select("row_idx", F.when(F.col("_i") <= cut1, "train").when(F.col("_i") <= cut2, "val").otherwise("test").alias("split"))
 
 
+def uniform_sample(pools: DataFrame, target: int = 64, seed: int = 0) -> DataFrame:
+    """``target`` members of each pool, all ranks alike; smaller pools are taken whole.  Another ``seed`` (an epoch's) draws anew."""
+    order = Window.partitionBy("row_idx", "source").orderBy(draw(F.col("row_idx"), F.col("patch_id"), seed=seed), "patch_id")
+    return pools.withColumn("_p", F.row_number().over(order)).filter(F.col("_p") <= target).drop("_p")
+
+
 def stratified_sample(pools: DataFrame, target: int = 64, bands: tuple[int, int] = (10, 40), wants: tuple[int, int, int] = (16, 24, 24), seed: int = 0) -> DataFrame:
     """Pool members drawn by rank band, back-filled from the rest; pools within ``target`` are taken whole.
 

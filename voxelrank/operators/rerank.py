@@ -27,16 +27,43 @@ class RerankerConfig:
     patience: int = 6
     min_delta: float = 1e-3
     seed: int = 42
+    normalise: bool = True
+    query_scale: int = 128  # hidden units of the scale that a query gives its scores; 0 for none
+    dropout: float = 0.15
+    train_topk: int = 100
+    sampling: str = "stratified"
+    wants: tuple[int, int, int] = (16, 24, 24)
+    distance_loss: str = "huber"
+    distance_target: str = "log1p"
+    plateau_patience: int = 2
+    plateau_factor: float = 0.5
+    least_lr: float = 1e-6
 
     def __post_init__(self):
-        if self.dim < 1 or min(self.hidden) < 1 or self.list_k < 1 or self.epochs < 1:
-            raise ValueError("sizes must be positive")
-        if self.lr <= 0 or self.weight_decay < 0 or self.distance_weight < 0 or self.patience < 1:
-            raise ValueError("rates must not be negative")
-
-
-def features(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """[q, c, |q-c|, q*c, cos, |q|, |c|] by row."""
+        checks = {
+            "dim, hidden and epochs must be positive": self.dim >= 1 and min(self.hidden) >= 1 and self.epochs >= 1,
+            "list_k must be positive": self.list_k >= 1,
+            "train_topk must be positive": self.train_topk >= 1,
+            "sampling is stratified or uniform": self.sampling in ("stratified", "uniform"),
+            "distance_loss is huber or mse": self.distance_loss in ("huber", "mse"),
+            "distance_target is raw, clipped or log1p": self.distance_target in ("raw", "clipped", "log1p"),
+            "patience must be at least 1": self.patience >= 1,
+            "min_delta must not be negative": self.min_delta >= 0,
+            "plateau_patience must not be negative": self.plateau_patience >= 0,
+            "plateau_factor lies between 0 and 1": 0 < self.plateau_factor < 1,
+            "least_lr must not be negative": self.least_lr >= 0,
+            "wants of stratified sampling must add up to list_k": self.sampling != "stratified" or sum(self.wants) == self.list_k,
+            "lr must be positive, other rates not negative": self.lr > 0 and self.weight_decay >= 0 and self.distance_weight >= 0 and self.query_scale >= 0,
+            "dropout lies in [0, 1)": 0 <= self.dropout < 1,
+        }
+        if broken := [message for message, fine in checks.items() if not fine]:
+            raise ValueError("; ".join(broken))
+
+
+def features(q: np.ndarray, c: np.ndarray, unit: bool = False) -> np.ndarray:
+    """[q, c, |q-c|, q*c, cos, |q|, |c|] by row; of unit vectors if asked for."""
+    if unit:
+        q, c = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) for x in (q, c))
     nq, nc = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
     cos = (q * c).sum(1) / np.maximum(nq * nc, 1e-12)
     return np.concatenate([q, c, np.abs(q - c), q * c, cos[:, None], nq[:, None], nc[:, None]], 1)
@@ -47,6 +74,9 @@ def init_weights(cfg: RerankerConfig) -> dict[str, np.ndarray]:
     for i, h in enumerate(cfg.hidden):
         w |= {f"w{i}": rng.standard_normal((size, h)) / math.sqrt(size), f"b{i}": np.zeros(h), f"g{i}": np.ones(h), f"s{i}": np.zeros(h)}
         size = h
+    if cfg.query_scale:
+        w |= {"wq0": rng.standard_normal((cfg.dim, cfg.query_scale)) / math.sqrt(cfg.dim), "bq0": np.zeros(cfg.query_scale), "wq1": rng.standard_normal(cfg.query_scale) / math.sqrt(cfg.query_scale), "bq1": np.zeros(1)}
+    w["unit"] = np.array([float(cfg.normalise)])  # travels with the weights, never trained
     return w | {"wr": rng.standard_normal(size) / math.sqrt(size), "br": np.zeros(1), "wd": rng.standard_normal(size) / math.sqrt(size), "bd": np.zeros(1)}
 
 
@@ -61,26 +91,50 @@ def _gelu_slope(x):
     return 0.5 * (1 + _erf(x / math.sqrt(2))) + x * np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
 
 
-def forward(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-    """(rank scores, distance predictions, what the backward pass needs)."""
+def forward(w: dict[str, np.ndarray], x: np.ndarray, q: np.ndarray | None = None, drop: tuple[float, np.random.Generator] | None = None) -> tuple[np.ndarray, np.ndarray, list]:
+    """(rank scores, distance predictions, what the backward pass needs).
+
+    With the query rows ``q`` the scale head, if there is one, multiplies the scores of a query;
+    ``drop`` (a rate and a generator) drops hidden units while training.
+    """
     kept = []
     for i in (0, 1):
         z = x @ w[f"w{i}"] + w[f"b{i}"]
         sd = np.sqrt(z.var(1, keepdims=True) + 1e-5)
         n = (z - z.mean(1, keepdims=True)) / sd
         a = n * w[f"g{i}"] + w[f"s{i}"]
-        kept.append((x, n, sd, a))
-        x = _gelu(a)
-    return x @ w["wr"] + w["br"][0], x @ w["wd"] + w["bd"][0], [*kept, x]
+        mask = (drop[1].random(a.shape) >= drop[0]) / (1 - drop[0]) if drop and drop[0] else 1.0
+        kept.append((x, n, sd, a, mask))
+        x = _gelu(a) * mask
+    raw, scale = x @ w["wr"] + w["br"][0], None
+    if q is not None and "wq0" in w:
+        a = q @ w["wq0"] + w["bq0"]
+        h = _gelu(a)
+        s = h @ w["wq1"] + w["bq1"][0]
+        scale = (q, a, h, raw, np.exp(np.clip(s, -5, 5)), np.abs(s) < 5)
+    return raw if scale is None else raw * scale[4], x @ w["wd"] + w["bd"][0], [*kept, x, scale]
+
+
+def score(w: dict[str, np.ndarray], q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Rank scores of pairs of rows."""
+    if 4 * q.shape[1] + 3 != len(w["w0"]) or q.shape != c.shape:
+        raise ValueError(f"vectors of {q.shape[1]} and {c.shape[1]} components, but the model takes {(len(w['w0']) - 3) // 4}")
+    return forward(w, features(q, c, bool(w.get("unit", [0])[0])), q)[0]
 
 
 def backward(w, kept, dr: np.ndarray, dd: np.ndarray) -> dict[str, np.ndarray]:
-    x = kept[2]
-    g = {"wr": x.T @ dr, "br": dr.sum(keepdims=True), "wd": x.T @ dd, "bd": dd.sum(keepdims=True)}
+    x, scale, g = kept[2], kept[3], {k: np.zeros_like(v) for k, v in w.items()}
+    if scale is not None:
+        q, a, h, raw, factor, inside = scale
+        ds = dr * raw * factor * inside
+        da = np.outer(ds, w["wq1"]) * _gelu_slope(a)
+        g |= {"wq1": h.T @ ds, "bq1": ds.sum(keepdims=True), "wq0": q.T @ da, "bq0": da.sum(0)}
+        dr = dr * factor
+    g |= {"wr": x.T @ dr, "br": dr.sum(keepdims=True), "wd": x.T @ dd, "bd": dd.sum(keepdims=True)}
     dx = np.outer(dr, w["wr"]) + np.outer(dd, w["wd"])
     for i in (1, 0):
-        xin, n, sd, a = kept[i]
-        da = dx * _gelu_slope(a)
+        xin, n, sd, a, mask = kept[i]
+        da = dx * mask * _gelu_slope(a)
         g[f"g{i}"], g[f"s{i}"] = (da * n).sum(0), da.sum(0)
         dn = da * w[f"g{i}"]
         dz = (dn - dn.mean(1, keepdims=True) - n * (dn * n).mean(1, keepdims=True)) / sd
@@ -106,7 +160,7 @@ def score_pairs(pairs: DataFrame, weights: dict[str, np.ndarray], keep: list[str
 
     @F.pandas_udf("double")
     def run(q: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series(forward(shared.value, features(np.stack(q), np.stack(c)))[0] if len(q) else [])
+        return pd.Series(score(shared.value, np.stack(q), np.stack(c)) if len(q) else [], dtype=float)
 
     return pairs.select(*keep, run("q", "c").alias("raw"))
 
@@ -150,22 +204,37 @@ def rerank_order(hits: DataFrame, topk: int = 100, alpha: float = 1.0, norm: str
     return cut.withColumn("blend", mixed).withColumn("new_rank", F.row_number().over(order).cast("long"))
 
 
-def list_loss(w: dict[str, np.ndarray], example, cfg: RerankerConfig, grad: bool = False):
-    """Cross-entropy of a list (query, candidates, soft targets, distance targets) plus weighted Huber; with its gradient if asked for."""
+def list_parts(w: dict[str, np.ndarray], example, cfg: RerankerConfig, drop: tuple[float, np.random.Generator] | None = None, grad: bool = False):
+    """(cross-entropy, distance loss, gradient of their weighted sum or None) of a list (query, candidates, soft targets, distance targets).
+
+    The distance loss is Huber's or the mean square; candidates without a finite distance target are left out of it.
+    """
     q, c, p, d = example
-    r, dist, kept = forward(w, features(np.repeat(q[None], len(c), 0), c))
+    rows = np.repeat(q[None], len(c), 0)
+    r, dist, kept = forward(w, features(rows, c, bool(w.get("unit", [0])[0])), rows, drop)
     ls = r - r.max()
     ls -= np.log(np.exp(ls).sum())
-    e = dist - d
-    value = -(p * ls).sum() + cfg.distance_weight * np.where(np.abs(e) <= 1, 0.5 * e * e, np.abs(e) - 0.5).mean()
-    return (value, backward(w, kept, np.exp(ls) * p.sum() - p, cfg.distance_weight * np.clip(e, -1, 1) / len(e))) if grad else value
+    known = np.isfinite(d)
+    e, n = np.where(known, dist - np.where(known, d, 0), 0), max(int(known.sum()), 1)
+    if cfg.distance_loss == "mse":
+        far, slope = (e * e).sum() / n, 2 * e / n
+    else:
+        far, slope = np.where(np.abs(e) <= 1, 0.5 * e * e, np.abs(e) - 0.5).sum() / n, np.clip(e, -1, 1) / n
+    return -(p * ls).sum(), far, backward(w, kept, np.exp(ls) * p.sum() - p, cfg.distance_weight * slope) if grad else None
+
+
+def list_loss(w: dict[str, np.ndarray], example, cfg: RerankerConfig) -> float:
+    """Cross-entropy of a list plus the weighted distance loss."""
+    rank, far, _ = list_parts(w, example, cfg)
+    return rank + cfg.distance_weight * far
 
 
 def train(examples: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], cfg: RerankerConfig, held_out: list | None = None) -> tuple[dict[str, np.ndarray], list[dict]]:
     """AdamW on lists (query, candidates, soft targets, distance targets); returns the best weights and the history.
 
-    Listwise cross-entropy plus ``distance_weight`` times Huber; the learning rate halves on a
-    plateau of two epochs; stops after ``patience`` epochs without ``min_delta`` of progress.
+    Listwise cross-entropy plus ``distance_weight`` times the distance loss, with dropout; the
+    learning rate falls by ``plateau_factor`` after each ``plateau_patience`` epochs without
+    ``min_delta`` of progress, of which ``patience`` end the training.
     """
     w = init_weights(cfg)
     m, v, t, lr = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0, cfg.lr
@@ -173,23 +242,27 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]],
     held_out = held_out or examples
 
     for epoch in range(cfg.epochs):
-        seen = []
-        for i in np.random.default_rng((cfg.seed, epoch)).permutation(len(examples)):
-            value, g = list_loss(w, examples[i], cfg, True)
+        seen, rng = [], np.random.default_rng((cfg.seed, epoch))
+        for i in rng.permutation(len(examples)):
+            *value, g = list_parts(w, examples[i], cfg, (cfg.dropout, rng), True)
             seen.append(value)
             size = math.sqrt(sum((x * x).sum() for x in g.values()))
             t += 1
-            for k in w:
+            for k in w.keys() - {"unit"}:
                 gk = g[k] * min(1.0, cfg.clip / max(size, 1e-12))
                 m[k], v[k] = 0.9 * m[k] + 0.1 * gk, 0.999 * v[k] + 0.001 * gk * gk
                 w[k] = w[k] - lr * (m[k] / (1 - 0.9**t) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8) + cfg.weight_decay * w[k])
-        val = float(np.mean([list_loss(w, ex, cfg) for ex in held_out])) if held_out else 0.0
-        history.append({"epoch": epoch, "train_loss": float(np.mean(seen)) if seen else 0.0, "val_loss": val, "lr": lr})
+        row = {"epoch": epoch, "lr": lr}
+        for name, parts in (("train", seen), ("val", [list_parts(w, ex, cfg)[:2] for ex in held_out])):
+            rank, far = np.mean(parts, 0).tolist() if parts else (0.0, 0.0)
+            row |= {f"{name}_rank_loss": rank, f"{name}_dist_loss": far, f"{name}_loss": rank + cfg.distance_weight * far}
+        val = row["val_loss"]
+        history.append(row)
         if val < best - cfg.min_delta:
             best, best_w, stale = val, {k: x.copy() for k, x in w.items()}, 0
         else:
             stale += 1
-            lr = max(lr * 0.5, 1e-6) if stale % 2 == 0 else lr
+            lr = max(lr * cfg.plateau_factor, cfg.least_lr) if stale % max(cfg.plateau_patience, 1) == 0 else lr
             if stale >= cfg.patience:
                 break
     return best_w, history

@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Doubles of query views that may be broadcast (128 MB); more are dealt out in a grid.
-BROADCAST_DOUBLES = 16_000_000
+from voxelrank.session import written
+
+#: Doubles of query views that may be broadcast (128 MB), and views; more are dealt out in a grid.
+BROADCAST_DOUBLES, BROADCAST_VIEWS = 16_000_000, 50_000
 #: Rows of a block of patches or views in the grid.
 BLOCK = 4096
 FLAT_TO, GRAPH_TO = 200_000, 2_000_000
@@ -21,47 +23,61 @@ def choose_index(n: int, kind: str = "auto", flat_to: int = FLAT_TO, graph_to: i
     return "flat" if n <= flat_to else "ivf" if n <= graph_to else "ivfpq"
 
 
-def _best(q: np.ndarray, qkeys: pd.DataFrame, x: np.ndarray, ids: np.ndarray, k: int, skip_own: bool) -> pd.DataFrame:
-    """The k best of a block of patches for each view; ties to the smaller id."""
-    out = []
+def _cut(view: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (view, id, score) of each view; ties to the smaller id."""
+    order = np.lexsort((ids, -score, view))
+    place = np.arange(len(order)) - np.searchsorted(view[order], view[order])
+    order = order[place < k]
+    return view[order], ids[order], score[order]
+
+
+def _block(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, skip_own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`_cut` of a block of patches for all views, 256 views at a time."""
+    m, out = min(k, len(ids)), []
     for lo in range(0, len(q), 256):
         s = q[lo : lo + 256] @ x.T
-        for i, row in enumerate(s):
-            own = (ids == qkeys["query_id"].iat[lo + i]) & skip_own
-            row[own] = -np.inf
-            m = min(k, int((~own).sum()))
-            if not m:
-                continue
-            part = np.flatnonzero(row >= np.partition(row, len(row) - m)[len(row) - m]) if m < len(row) else np.arange(len(row))
-            best = part[np.lexsort((ids[part], -row[part]))][:m]
-            out.append(pd.DataFrame({"query_id": qkeys["query_id"].iat[lo + i], "view_idx": qkeys["view_idx"].iat[lo + i], "patch_id": ids[best], "score": row[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "view_idx": [], "patch_id": [], "score": []})
+        if skip_own:
+            s[own[lo : lo + 256, None] == ids] = -np.inf
+        row, col = np.nonzero((s >= np.partition(s, len(ids) - m, axis=1)[:, [len(ids) - m]]) & (s > -np.inf))
+        out.append(_cut(row + lo, ids[col], s[row, col], k))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _named(found: tuple[np.ndarray, np.ndarray, np.ndarray], keys: pd.DataFrame) -> pd.DataFrame:
+    view, ids, score = found
+    return pd.DataFrame({"query_id": keys["query_id"].to_numpy()[view], "view_idx": keys["view_idx"].to_numpy()[view], "patch_id": ids, "score": score})
 
 
 def vector_topk(views: DataFrame, patches: DataFrame, k: int, skip_own: bool = True) -> DataFrame:
     """``query_id, view_idx, patch_id, score, view_rank``: the k patches of largest inner product for each view.
 
-    ``views`` has query_id, view_idx, emb; ``patches`` has patch_id, emb.  With
-    ``skip_own`` a view never meets the patch of its own query id.  Views within BROADCAST_DOUBLES are broadcast and each partition of
-    patches answers with its own k best (no patch is shuffled); more views meet the patches in a
-    grid of blocks.
+    ``views`` has query_id, view_idx, emb; ``patches`` has patch_id, emb.  With ``skip_own`` a view
+    never meets the patch of its own query id.  Views are broadcast if they, and the k best that a
+    task holds for each, are within BROADCAST_DOUBLES; then a partition of patches keeps its running
+    k best over all of its batches and answers once, and no patch is shuffled.  More views meet the
+    patches in a grid of blocks.
     """
     spark, out = views.sparkSession, "query_id long, view_idx int, patch_id long, score double"
     slim = views.select(F.col("query_id").cast("long"), F.col("view_idx").cast("int"), F.col("emb").cast("array<double>"))
     rows = patches.select(F.col("patch_id").cast("long"), F.col("emb").cast("array<double>"))
-    size = slim.agg(F.sum(F.size("emb").cast("long"))).first()[0] or 0
-    if size <= BROADCAST_DOUBLES:
-        held = slim.toPandas()
+    most = min(BROADCAST_VIEWS, BROADCAST_DOUBLES // (3 * k))
+    held = slim.limit(most + 1).toPandas()  # one more than may be broadcast tells whether there are more
+    if len(held) <= most and held["emb"].map(len).sum() <= BROADCAST_DOUBLES:
         shared = spark.sparkContext.broadcast((np.stack(held["emb"]) if len(held) else np.empty((0, 1)), held[["query_id", "view_idx"]]))
 
         def scan(batches):
             q, keys = shared.value
+            best = None
             for b in batches:
                 if len(b) and len(q):
-                    yield _best(q, keys, np.stack(b["emb"]), b["patch_id"].to_numpy(), k, skip_own)
+                    new = _block(q, keys["query_id"].to_numpy(), np.stack(b["emb"]), b["patch_id"].to_numpy(), k, skip_own)
+                    best = new if best is None else _cut(*map(np.concatenate, zip(best, new)), k)
+            if best is not None:
+                yield _named(best, keys)
 
         near = rows.mapInPandas(scan, out)
     else:
+        slim, rows = written(slim), written(rows)  # counted and dealt out: evaluated once
         salt = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
         pb, qb = (max(1, -(-df.count() // BLOCK)) for df in (rows, slim))
         left = rows.withColumn("pb", salt("patch_id", pb)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
@@ -70,7 +86,7 @@ def vector_topk(views: DataFrame, patches: DataFrame, k: int, skip_own: bool = T
         def meet(p: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
             if not len(p) or not len(v):
                 return pd.DataFrame({"query_id": [], "view_idx": [], "patch_id": [], "score": []})
-            return _best(np.stack(v["emb"]), v, np.stack(p["emb"]), p["patch_id"].to_numpy(), k, skip_own)
+            return _named(_block(np.stack(v["emb"]), v["query_id"].to_numpy(), np.stack(p["emb"]), p["patch_id"].to_numpy(), k, skip_own), v)
 
         near = left.groupBy("pb", "qb").cogroup(right.groupBy("pb", "qb")).applyInPandas(meet, out)
     order = Window.partitionBy("query_id", "view_idx").orderBy(F.desc("score"), "patch_id")

@@ -68,10 +68,14 @@ def list_losses(lists: DataFrame, weights: dict[str, np.ndarray], cfg: rerank.Re
     return lists.select("row_idx", "source", "q", "members").mapInPandas(run, "row_idx long, source string, n int, loss double")
 
 
-def prepare(hits: DataFrame, vectors: DataFrame, cfg: rerank.RerankerConfig, top: int = 100, least: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(sampled pool rows, row splits) of evaluation hits with ``dist``."""
-    pool = pools.build_pools(hits, vectors, top, least)
-    return pools.stratified_sample(pool, cfg.list_k, seed=cfg.seed), pools.split_rows(pool.select("row_idx"), seed=cfg.seed)
+def prepare(hits: DataFrame, vectors: DataFrame, cfg: rerank.RerankerConfig, least: int = 8, epoch: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(sampled pool rows, row splits) of evaluation hits with ``dist``; each ``epoch`` draws its own sample, the splits stay."""
+    pool = pools.build_pools(hits, vectors, cfg.train_topk, least)
+    if cfg.sampling == "uniform":
+        drawn = pools.uniform_sample(pool, cfg.list_k, seed=cfg.seed + epoch)
+    else:
+        drawn = pools.stratified_sample(pool, cfg.list_k, wants=cfg.wants, seed=cfg.seed + epoch)
+    return drawn, pools.split_rows(pool.select("row_idx"), seed=cfg.seed)
 
 
 def save_model(spark, weights: dict[str, np.ndarray], path: str) -> None:

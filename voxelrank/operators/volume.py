@@ -85,6 +85,12 @@ def build_index(poses: DataFrame, grid: DataFrame, volume: np.ndarray, encoder=N
     shared = poses.sparkSession.sparkContext.broadcast((volume, cells))
     encode = encoder or pooled_encoder()
 
+    def centre(p, x0, y0, x1, y1, shape):
+        """Voxel (x, y, z) of the middle pixel of a patch."""
+        n, u, v = _axes({**p, "rot": p["rotation"]})
+        a, b = (((lo + hi - 1) / 2 - (size - 1) / 2) * step for lo, hi in ((x0, x1), (y0, y1)))
+        return (p["depth"] * n + a * u + b * v + (np.array(shape[::-1]) - 1) / 2).tolist()
+
     def run(batches):
         vol, cells = shared.value
         boxes = np.array([c[3:] for c in cells])
@@ -97,14 +103,32 @@ def build_index(poses: DataFrame, grid: DataFrame, volume: np.ndarray, encoder=N
                 for k in np.flatnonzero(fg_ratio_boxes(image, boxes) >= min_fg):
                     s, r, c, x0, y0, x1, y1 = cells[k]
                     pid = ((p["normal_idx"] * 4096 + p["depth_idx"]) * 64 + p["rot_idx"]) * 4096 + int(k)
-                    rows.append((pid, p["normal_idx"], p["depth_idx"], p["rot_idx"], p["nx"], p["ny"], p["nz"], p["depth"], p["rotation"], s, r, c, x0, y0, x1, y1, encode(image[y0:y1, x0:x1]).tolist()))
+                    rows.append((pid, p["normal_idx"], p["depth_idx"], p["rot_idx"], p["nx"], p["ny"], p["nz"], p["depth"], p["rotation"], s, r, c, x0, y0, x1, y1, y1 - y0, x1 - x0, size, *centre(p, x0, y0, x1, y1, vol.shape), encode(image[y0:y1, x0:x1]).tolist()))
             yield pd.DataFrame(rows, columns=names)
 
-    names = ["patch_id", "normal_idx", "depth_idx", "rot_idx", "normal_x", "normal_y", "normal_z", "depth_vox", "rotation_deg", "scale", "patch_row", "patch_col", "x0", "y0", "x1", "y1", "embedding"]
-    kinds = ["long"] * 1 + ["int"] * 3 + ["double"] * 5 + ["int"] * 7 + ["array<double>"]
+    names = ["patch_id", "normal_idx", "depth_idx", "rot_idx", "normal_x", "normal_y", "normal_z", "depth_vox", "rotation_deg", "scale", "patch_row", "patch_col", "x0", "y0", "x1", "y1", "patch_h", "patch_w", "slice_size_px", "center_x_vox", "center_y_vox", "center_z_vox", "embedding"]
+    kinds = ["long"] * 1 + ["int"] * 3 + ["double"] * 5 + ["int"] * 10 + ["double"] * 3 + ["array<double>"]
     return poses.mapInPandas(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
 
 
+def label_counts(poses: DataFrame, labels: np.ndarray, size: int = 64, step: float = 0.5) -> DataFrame:
+    """``normal_idx, depth_idx, rot_idx, label, n``: pixels of each label on every posed slice, 0 off the volume.
+
+    The annotation volume is broadcast; a task samples its own poses at the nearest voxels.
+    """
+    shared = poses.sparkSession.sparkContext.broadcast(labels)
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for p in b.to_dict("records"):
+                found, n = np.unique(resample(shared.value, {**p, "rot": p["rotation"], "size_px": size, "step": step}, 0, 0), return_counts=True)
+                rows += [(p["normal_idx"], p["depth_idx"], p["rot_idx"], int(k), int(c)) for k, c in zip(found, n)]
+            yield pd.DataFrame(rows, columns=["normal_idx", "depth_idx", "rot_idx", "label", "n"])
+
+    return poses.mapInPandas(run, "normal_idx long, depth_idx long, rot_idx long, label long, n long")
+
+
 def percentile_normalise(df: DataFrame, value: str, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """Adds ``normalised``: the value between two percentiles of the table, clipped to [0, 1]."""
     bounds = df.agg(F.percentile(F.col(value), F.array(F.lit(low), F.lit(high))).alias("_p"))

@@ -80,6 +80,12 @@ def patch_grid(spark: SparkSession, size: int, scales: tuple[int, ...], overlap:
     return laid.select("scale", "patch_row", "patch_col", x.alias("x0"), y.alias("y0"), (x + F.col("w")).alias("x1"), (y + F.col("w")).alias("y1")).filter(f"x1 <= {size} AND y1 <= {size}")
 
 
+def patch_count(slices: DataFrame, grid: DataFrame) -> DataFrame:
+    """``scale, per_slice, n_patches``: patches that the slices counted by ``slice_count`` hold before any filter."""
+    per = grid.groupBy("scale").agg(F.count("*").alias("per_slice"))
+    return per.crossJoin(F.broadcast(slices)).select("scale", "per_slice", (F.col("per_slice") * F.col("n_slices")).alias("n_patches"))  # one row of slices
+
+
 def sliding_starts(total: Column, window: Column, overlap: float) -> Column:
     """Array of window starts; the last window is flush with the end."""
     o = min(max(overlap, 0.0), 0.95)

@@ -91,8 +91,29 @@ def encode_images(images: DataFrame, name_col: str = "name") -> DataFrame:
     return images.select(name_col, "height", "width", "pixels").mapInPandas(run, "name string, content binary")
 
 
+def decode_images(files: DataFrame) -> DataFrame:
+    """``name, height, width, pixels`` of rows of ``name, content``, the other way of :func:`encode_images`.
+
+    As a table, images live on any file system that Spark writes.
+    """
+
+    def run(batches):
+        for b in batches:
+            images = [decode_png(raw) for raw in b["content"]]
+            yield pd.DataFrame({"name": b["name"], "height": [i.shape[0] for i in images], "width": [i.shape[1] for i in images], "pixels": [i.ravel() for i in images]})
+
+    return files.select("name", "content").mapInPandas(run, "name string, height int, width int, pixels array<double>")
+
+
 def export_images(images: DataFrame, folder: str, name_col: str = "name") -> DataFrame:
-    """Writes each image to ``folder``, which all executors must share, and returns the names; a repeated task rewrites the same file."""
+    """Writes each image to its own file in ``folder``, and returns the names; a repeated task rewrites the same file.
+
+    Executors write with the operating system's calls, so ``folder`` must be mounted on all of them;
+    for other file systems write the table of :func:`encode_images`.
+    """
+    folder = folder.removeprefix("file://").removeprefix("file:")
+    if "://" in folder:
+        raise ValueError("single files go to a mounted folder only; write the table of encode_images to other file systems")
 
     def run(batches):
         import os

@@ -6,9 +6,19 @@ import hashlib
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+
+#: What tells one hit from another.
+HIT_KEY = ("eval_sig", "row_idx", "source", "rank")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def signature(config: dict) -> str:
@@ -40,12 +50,17 @@ def pending(rows: DataFrame, hits: DataFrame, sig: str, final_k: int, expected:
 def append_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream of hits to Parquet, each (eval_sig, row_idx, source, rank) once, with all that has arrived.
 
-    A repeated batch overwrites its own partition, so restarts leave no copies.
+    A repeated batch overwrites its own partition, so restarts leave no copies.  A key that an
+    earlier batch has written is left out; for that the keys of earlier batches are read, no other column.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        once = Window.partitionBy("eval_sig", "row_idx", "source", "rank").orderBy("patch_id")
-        kept = batch.withColumn("_r", F.row_number().over(once)).filter("_r = 1").drop("_r").withColumn("batch", F.lit(number))
+        once = Window.partitionBy(*HIT_KEY).orderBy("patch_id")
+        kept = batch.withColumn("_r", F.row_number().over(once)).filter("_r = 1").drop("_r")
+        if _exists(batch.sparkSession, path):
+            earlier = batch.sparkSession.read.schema(StructType([*batch.schema.fields, StructField("batch", IntegerType())])).parquet(path).filter(F.col("batch") < number)
+            kept = kept.join(earlier.select(*HIT_KEY), list(HIT_KEY), "left_anti").select(*batch.columns)
+        kept = kept.withColumn("batch", F.lit(number))
         kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
