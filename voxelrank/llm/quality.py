@@ -173,8 +173,9 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     good, table = estimate(patterns)
     total = sum(patterns.values())
     placed = docs.select(F.xxhash64(F.lit("fit"), F.monotonically_increasing_id()).alias("place"), text)
-    few = materialise(placed.filter(F.pmod("place", F.lit(max(total, 1))) < sample * 9 // 10).limit(sample).mapInArrow(_sampled, "place long, votes array<int>, buckets array<int>, weights array<float>"))
-    sizes = sorted((r["place"], r["n"]) for r in few.select("place", F.size("buckets").alias("n")).collect())
+    # The hash lets through 9/10 of the sample, give or take little; the features are made where the rows are.
+    few = materialise(placed.filter(F.pmod("place", F.lit(max(total, 1))) < sample * 9 // 10).mapInArrow(_sampled, "place long, votes array<int>, buckets array<int>, weights array<float>"))
+    sizes = [(r["place"], r["n"]) for r in few.select("place", F.size("buckets").alias("n")).orderBy("place").limit(sample).collect()]
     room = np.searchsorted(np.cumsum([n for _, n in sizes]), features, "right")
     last = sizes[room - 1][0] if room else 0
     taken = few.filter(F.col("place") <= last).orderBy("place").collect() if room else []
