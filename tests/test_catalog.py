@@ -3,8 +3,9 @@
 import duckdb
 import pytest
 
-from voxelrank import catalog
+from voxelrank import catalog, catalog_parts
 
+QUERIES, SQL = {**catalog.QUERIES, **catalog_parts.QUERIES}, {**catalog.SQL, **catalog_parts.SQL}
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -21,10 +22,10 @@ def _rows(values):
     return sorted(tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in values)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, duck, name):
-    got = catalog.QUERIES[name](spark, SF)
-    want = duck.execute(catalog.SQL[name])
+    got = QUERIES[name](spark, SF)
+    want = duck.execute(SQL[name])
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(got.columns)
     order = sorted(names)
@@ -37,6 +38,6 @@ def test_matches_sql(spark, duck, name):
         assert all(x == y or (isinstance(x, float) and abs(x - y) < 2e-5) for x, y in zip(a, b)), (a, b)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() > 0
+    assert QUERIES[name](spark, SF).count() > 0

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxelrank import catalog
 from voxelrank.operators import builder, distance, pools, rerank, topk, volume
 from voxelrank.plans import generators as P
 from voxelrank.sources import png
@@ -153,3 +154,11 @@ def test_image_table(spark, tmp_path):
     assert png.export_images(rows, str(tmp_path)).count() == 1 and png.read_png_images(spark, str(tmp_path / "a.png")).count() == 1
     with pytest.raises(ValueError):
         png.export_images(rows, "viewfs://somewhere/else")
+
+
+@pytest.mark.parametrize("name", ["knn_ivf", "knn_ivfpq"])
+def test_recall_of_the_lists(spark, name):
+    sf = "/root/testdata/sf0.01"
+    near = lambda n: {(r.query_id, r.patch_id) for r in catalog.QUERIES[n](spark, sf).collect()}
+    want = near("knn_exact")
+    assert len(near(name) & want) >= 0.9 * len(want)

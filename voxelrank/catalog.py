@@ -138,7 +138,7 @@ def knn_exact(spark, sf):
 @_query()
 def knn_ivf(spark, sf):
     q = _views(spark, sf).filter("view_idx = 0")
-    return topk.ivf_topk(q, _vectors(spark, sf), 5).select("query_id", "patch_id", F.col("view_rank").cast("long").alias("rank"), _r("score").alias("score"))
+    return topk.ivf_topk(q, _vectors(spark, sf), 5, probes=13).select("query_id", "patch_id", F.col("view_rank").cast("long").alias("rank"), _r("score").alias("score"))
 
 
 @_query(f"WITH {_VEC}, {_VIEWS}, {_CAND} SELECT query_id, CAST(view_idx AS BIGINT) AS view_idx, patch_id, view_rank, round(score, 6) AS score FROM cand WHERE view_rank <= 10")
@@ -591,7 +591,7 @@ def patch_index_build(spark, sf):
 def knn_ivfpq(spark, sf):
     q, patches = _views(spark, sf).filter("view_idx = 0"), _vectors(spark, sf)
     model = quantise.train_quantiser(patches, lists=16)
-    near = quantise.ivfpq_topk(q, patches, quantise.encode_patches(patches, model), model, 5, probes=8, refine=8)
+    near = quantise.ivfpq_topk(q, patches, quantise.encode_patches(patches, model), model, 5, probes=13, refine=8)
     return near.select("query_id", "patch_id", F.col("view_rank").cast("long").alias("rank"), _r("score").alias("score"))
 
 
