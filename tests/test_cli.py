@@ -1,7 +1,10 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from voxelrank import cli
+from voxelrank.operators import images, volume
+from voxelrank.sources import png
 
 
 def test_index_search_report(spark, tmp_path):
@@ -22,6 +25,39 @@ def test_index_search_report(spark, tmp_path):
     assert "delta_run_2" in report.columns and report.filter("metric = 'Geom@1 mean' AND `group` = 'ALL'").count() == 2
 
 
+def test_search_with_images(spark, tmp_path):
+    at = lambda n: str(tmp_path / n)
+    cli.main(["index", "--normals", "6", "--depth-step", "6", "--size", "48", "--scales", "1", "--out", at("index")])
+    data = volume.normalise(volume.synthetic_volume())
+    whole = spark.read.parquet(at("index")).orderBy("patch_id").collect()
+    (tmp_path / "png").mkdir()
+    for i, r in enumerate(whole):  # the very slices that were indexed, as files
+        pose = {"nx": r.normal_x, "ny": r.normal_y, "nz": r.normal_z, "depth": r.depth_vox, "rot": r.rotation_deg, "size_px": 48, "step": 32 / 48}
+        (tmp_path / "png" / f"{i:03d}.png").write_bytes(png.encode_png(volume.resample(data, pose)))
+    read = lambda n: spark.read.option("header", True).option("inferSchema", True).csv(at(n)).collect()
+    search = ["search", "--index", at("index"), "--images", at("png"), "--k", "3"]
+    cli.main([*search, "--out", at("cropped")])
+    cli.main([*search, "--no-auto-crop", "--out", at("whole")])
+    stored, ids, encode = np.array([r.embedding for r in whole]), np.array([r.patch_id for r in whole]), volume.pooled_encoder()
+    for name, crop in (("cropped", images.crop_foreground), ("whole", lambda image: image)):
+        hits = read(name)
+        assert {h.query_id for h in hits} == set(range(-len(whole), 0))
+        found = {(h.path.rsplit("/", 1)[1], h["rank"]): h for h in hits}
+        assert len(found) == len(hits) == 3 * len(whole)
+        for i in range(len(whole)):  # brute force over all views and patches
+            image = images.pad_square(crop(png.decode_png((tmp_path / "png" / f"{i:03d}.png").read_bytes())))
+            views = np.array([encode(images.turn(image, angle, x, y)) for angle in (0, 90, 180, 270) for x in (False, True) for y in (False, True)])
+            best = np.sort((views @ stored.T).max(0))[::-1][:3]
+            for rank in (1, 2, 3):
+                hit = found[f"{i:03d}.png", rank]
+                assert abs(hit.score - best[rank - 1]) < 1e-9
+                assert abs((views @ stored[ids == hit.patch_id][0]).max() - hit.score) < 1e-9
+            if name == "whole":  # a slice as it was indexed, but for 8 bits, finds itself or its equal
+                assert found[f"{i:03d}.png", 1].score > 0.9999
+    with pytest.raises(SystemExit):
+        cli.main(["search", "--index", at("index"), "--out", at("none")])
+
+
 def test_bad_arguments(tmp_path):
     with pytest.raises(SystemExit):
         cli.main(["index", "--overlap", "1.5", "--out", str(tmp_path)])

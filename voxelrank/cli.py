@@ -5,6 +5,7 @@
     python -m voxelrank.cli eval --index index/ --dataset dataset/ --volumes plain=brain.nii.gz --mode all --out hits/
     python -m voxelrank.cli train --index index/ --dataset dataset/ --volumes plain=brain.nii.gz --hits hits/smart --out model/
     python -m voxelrank.cli search --index index/ --queries views.parquet --out hits/
+    python -m voxelrank.cli search --index index/ --images slices/ --mode smart --model model/model --out hits/
     python -m voxelrank.cli report --runs a.parquet b.parquet --out report/
 """
 
@@ -13,12 +14,13 @@ from __future__ import annotations
 import argparse
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from voxelrank.operators import builder, evaluate, fusion, metrics, rerank, topk, training, volume
+from voxelrank.operators import builder, evaluate, images, metrics, rerank, training, volume
 from voxelrank.plans import generators as P
 from voxelrank.session import session, written
-from voxelrank.sources import tables
+from voxelrank.sources import png, tables
 
 #: How each evaluation mode uses local windows.
 MODES = {"fast": "off", "smart": "auto", "enhanced": "force"}
@@ -35,9 +37,15 @@ def parser() -> argparse.ArgumentParser:
     index.add_argument("--size", type=int, default=512)
     index.add_argument("--scales", type=int, nargs="+", default=[1, 2, 4])
     index.add_argument("--overlap", type=float, default=0.25)
-    search = what.add_parser("search", help="fused top-k of query views (query_id, view_idx, branch, emb)")
+    search = what.add_parser("search", help="fused top-k of query images, or of ready views of them")
     search.add_argument("--index", required=True)
-    search.add_argument("--queries", required=True)
+    asked = search.add_mutually_exclusive_group(required=True)
+    asked.add_argument("--images", help="PNG file, folder or pattern")
+    asked.add_argument("--queries", help="Parquet of query_id, view_idx, branch, emb")
+    search.add_argument("--mode", choices=[*MODES], default="fast", help="local windows of --images")
+    search.add_argument("--no-auto-crop", action="store_true", help="keep the background around --images")
+    search.add_argument("--model", help="re-rank with this model")
+    search.add_argument("--rerank-mode", choices=["max_over_angles", "best_angle", "per_hit_angle"], default="max_over_angles")
     search.add_argument("--k", type=int, default=10)
     search.add_argument("--k-per-view", type=int, default=64)
     search.add_argument("--scales", type=int, nargs="*", default=[])
@@ -128,6 +136,22 @@ def _eval(spark, a) -> None:
             tables.append_hits(hits, out)
 
 
+def _search(spark, a) -> None:
+    patches = tables.read_manifest(spark, a.index)
+    weights = training.load_model(spark, a.model) if a.model else None
+    if a.images:
+        cfg = evaluate.EvalConfig()
+        read = png.read_png_images(spark, a.images)
+        # Queries are numbered -1, -2 .. by path; only paths meet in one task.
+        ids = written(spark.read.format("binaryFile").load(a.images).select("path").withColumn("query_id", -F.row_number().over(Window.orderBy("path")).cast("long")))
+        cut = images.prepared(read, not a.no_auto_crop).withColumn("crops", P.crop_boxes(F.col("width"), F.col("height"), mode=MODES[a.mode]))
+        views = written(images.embed_views(cut.join(ids, "path"), P.view_grid(spark, cfg.angles, cfg.flip_x, cfg.flip_y), volume.pooled_encoder(), auto_crop=False))
+    else:
+        views = spark.read.parquet(a.queries)
+    hits = evaluate.search(views, patches, a.k_per_view, a.k, a.w_local, tuple(a.scales), weights, mode=a.rerank_mode)
+    tables.write_csv(hits.join(ids, "query_id") if a.images else hits, a.out)
+
+
 def _train(spark, a) -> None:
     volumes, patches = _volumes(spark, a.volumes), tables.read_manifest(spark, a.index)
     vectors = patches.select("patch_id", F.col("embedding").alias("emb"))
@@ -156,12 +180,7 @@ def main(argv: list[str] | None = None) -> None:
         step = max(data.shape) / a.size
         tables.write_index(volume.build_index(plan, grid, data, size=a.size, step=step), a.out)
     elif a.what == "search":
-        patches, views = tables.read_manifest(spark, a.index), spark.read.parquet(a.queries)
-        near = topk.vector_topk(views, patches.select("patch_id", F.col("embedding").alias("emb")), a.k_per_view, skip_own=False)
-        found = near.join(views.select("query_id", "view_idx", "branch"), ["query_id", "view_idx"])
-        hits = fusion.with_manifest(fusion.fuse(fusion.evidence(found), 1.0, a.w_local), patches.drop("embedding"))
-        hits = fusion.scale_filter(hits, tuple(a.scales)) if a.scales else hits
-        tables.write_csv(fusion.rank_hits(fusion.dedup_slices(hits), a.k), a.out)
+        _search(spark, a)
     elif a.what == "dataset":
         data = _volume(spark, a.volume)
         planes = written(builder.valid_planes(spark, a.planes, data, a.size, max(data.shape) / a.size, seed=a.seed))

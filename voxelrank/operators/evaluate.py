@@ -110,6 +110,23 @@ def measure(hits: DataFrame, cfg: EvalConfig) -> DataFrame:
     return targets.soft_targets(far.withColumn("corner_chamfer_3pt_um", corner).drop("_q", "_p"), ["row_idx", "source"], cfg.tau_divisor, cfg.tau_low, cfg.tau_high)
 
 
+def search(views: DataFrame, patches: DataFrame, k_per_view: int = 64, final_k: int = 100, w_local: float = 0.35, scales: tuple[int, ...] = (), weights: dict[str, np.ndarray] | None = None, rerank_topk: int = 100, mode: str = "max_over_angles") -> DataFrame:
+    """Ranked slices for query views (query_id, view_idx, branch, emb): ``query_id, patch_id, score, rank, rerank_score`` and the manifest.
+
+    ``scales`` is an allow-list, empty for all.  With ``weights`` the first ``rerank_topk`` hits of each
+    query are re-ranked; else ``rerank_score`` is null.  Views are read several times: write them first.
+    """
+    near = topk.vector_topk(views, patches.select("patch_id", F.col("embedding").alias("emb")), k_per_view, skip_own=False)
+    found = near.join(views.select("query_id", "view_idx", "branch"), ["query_id", "view_idx"])
+    hits = fusion.with_manifest(fusion.fuse(fusion.evidence(found), 1.0, w_local), patches.drop("embedding"))
+    ranked = fusion.rank_hits(fusion.dedup_slices(fusion.scale_filter(hits, scales) if scales else hits), final_k)
+    if weights is None:
+        return ranked.withColumn("rerank_score", F.lit(None).cast("double"))
+    raw = rerank.score_hits(ranked.filter(F.col("rank") <= rerank_topk), views, patches, weights, mode)
+    order = rerank.rerank_order(ranked.join(raw, ["query_id", "patch_id"], "left"), rerank_topk)
+    return order.withColumn("rank", F.col("new_rank")).withColumnRenamed("raw", "rerank_score").drop("new_rank", "segment", "blend")
+
+
 def evaluate(rows: DataFrame, volumes: dict[str, np.ndarray], patches: DataFrame, encoder: Callable[[np.ndarray], np.ndarray], cfg: EvalConfig = EvalConfig(), done: DataFrame | None = None, weights: dict[str, np.ndarray] | None = None, rerank_topk: int = 100, mode: str = "max_over_angles") -> DataFrame:
     """Ranked and measured hits of all dataset rows that ``done`` (earlier hits) has not complete.
 
@@ -121,16 +138,7 @@ def evaluate(rows: DataFrame, volumes: dict[str, np.ndarray], patches: DataFrame
     todo = rows if done is None else incremental.pending(rows, done, sig, cfg.final_k, sources)
     posed = posed_rows(todo, sources, cfg)
     views = written(query_views(posed, volumes, encoder, cfg))
-    near = topk.vector_topk(views, patches.select("patch_id", F.col("embedding").alias("emb")), cfg.k_per_view, skip_own=False)
-    what = views.select("query_id", "view_idx", "branch", "crop_id")
-    fused = fusion.fuse(fusion.evidence(near.join(what, ["query_id", "view_idx"])), 1.0, cfg.w_local)
-    ranked = fusion.rank_hits(fusion.dedup_slices(fusion.with_manifest(fused, patches.drop("embedding"))), cfg.final_k)
-    if weights is not None:
-        raw = rerank.score_hits(ranked.filter(F.col("rank") <= rerank_topk), views, patches, weights, mode)
-        order = rerank.rerank_order(ranked.join(raw, ["query_id", "patch_id"], "left"), rerank_topk)
-        ranked = order.withColumn("rank", F.col("new_rank")).withColumnRenamed("raw", "rerank_score").drop("new_rank", "segment", "blend")
-    else:
-        ranked = ranked.withColumn("rerank_score", F.lit(None).cast("double"))
+    ranked = search(views, patches, cfg.k_per_view, cfg.final_k, cfg.w_local, (), weights, rerank_topk, mode)
     keep = [c for c in ("is_crop", "crop_kind", "crop_bin") if c in posed.columns]
     area = G.crop_area(F.col("is_crop") == 1, F.col("crop_rw"), F.col("crop_rh")).alias("q_crop_area_frac")
     about = posed.select("query_id", "row_idx", "source", "query_pose", *(F.col(c).alias(f"q_{c}") for c in keep), area)

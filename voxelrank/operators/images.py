@@ -62,6 +62,18 @@ def to_uint8(image: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(np.asarray(image) * 255), 0, 255).astype(np.uint8)
 
 
+def prepared(images: DataFrame, auto_crop: bool = True) -> DataFrame:
+    """Rows of ``path, height, width, pixels`` in gray, cropped to their foreground if asked for."""
+
+    def run(batches):
+        for b in batches:
+            gray = [to_gray(np.asarray(p).reshape(h, w)) for p, h, w in zip(b["pixels"], b["height"], b["width"])]
+            cut = [crop_foreground(g) for g in gray] if auto_crop else gray
+            yield pd.DataFrame({"path": b["path"], "height": [i.shape[0] for i in cut], "width": [i.shape[1] for i in cut], "pixels": [i.ravel() for i in cut]})
+
+    return images.mapInPandas(run, "path string, height int, width int, pixels array<double>")
+
+
 def embed_views(images: DataFrame, views: DataFrame, encoder: Callable[[np.ndarray], np.ndarray], auto_crop: bool = True, pad: bool = True) -> DataFrame:
     """``query_id, view_idx, branch, crop_id, emb`` for rows of ``query_id, height, width, pixels``.
 
