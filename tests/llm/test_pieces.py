@@ -119,3 +119,54 @@ def test_models_that_are_not_supported(tmp_path):
     path.write_bytes(cut + field(2, b"\x18\x01") + field(3, field(1, b"identity")))
     with pytest.raises(ValueError, match="byte pieces"):
         pieces.Codec(str(path))
+
+
+def repeated_signs(codec):
+    """Signs of which some piece holds two or more in a row."""
+    return sorted({a for p in codec.ids for a, b in zip(p, p[1:]) if a == b})
+
+
+def test_runs_of_every_repeated_sign_are_the_librarys():
+    model, codec = sentencepiece.SentencePieceProcessor(model_file=PATH), pieces.Codec(PATH)
+    signs = [" " if s == "▁" else s for s in repeated_signs(codec)]
+    assert " " in signs and len(signs) > 20
+    for sign in signs:
+        lengths = range(1, 301) if sign == " " else [*range(1, 40), 63, 64, 65, 100, 129, 299, 300]
+        texts = [form.format(sign * n) for n in lengths for form in ("{}", "a{}b", "if x:\n{}return x\n", "b{}")]
+        ids, begin = codec.encode_batch(pa.array(texts))
+        for k, t in enumerate(texts):
+            assert ids[begin[k] : begin[k + 1]].tolist() == model.encode(t), (sign, t[:80])
+
+
+def test_mixed_runs_and_indented_code_are_the_librarys():
+    model, codec, rnd = sentencepiece.SentencePieceProcessor(model_file=PATH), pieces.Codec(PATH), random.Random(5)
+    signs = [" ", *(s for s in repeated_signs(codec) if s != "▁")]
+    texts = ["".join(rnd.choice([" ", " ", rnd.choice(signs), "x", "\n", "\t"]) * rnd.randint(1, 40) for _ in range(12)) for _ in range(400)]
+    texts += ["".join(" " * rnd.choice([0, 2, 4, 8, 12, 16, 20, 24]) + rnd.choice(["return x", "if y:", "else:", "pass  # no", "a = [1,  2]"]) + "\n" for _ in range(30)) for _ in range(50)]
+    ids, begin = codec.encode_batch(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert ids[begin[k] : begin[k + 1]].tolist() == model.encode(t)
+
+
+def test_long_runs_end_and_round_trip(spark):
+    texts = [c * 200_000 for c in (" ", "=", "\n", "a", "\t", "é", "\u3000", "0", "-")] + ["x" + " " * 300_000 + "y", " \n" * 100_000, "".join(f"{' ' * (k % 60)}line {k}\n" for k in range(5000))]
+    rows = pieces.round_trip(frame(spark, texts)).collect()
+    assert len(rows) == len(texts) and all(r.round_trip for r in rows)
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    ids = {r.doc_id: (r.n_ids, r.ids_crc32) for r in rows}
+    for k, t in enumerate(texts):
+        want = np.array(model.encode(t), "<u4")
+        assert ids[k] == (len(want), zlib.crc32(want.tobytes()))
+
+
+def test_no_text_can_loop():
+    codec = pieces.Codec(PATH)
+    codec._allowed = lambda a, b: np.zeros(len(a), bool)  # a model that lets no two pieces stand side by side
+    with pytest.raises(ValueError, match="no path"):
+        codec.encode_batch(pa.array(["unthinkably understandable"]))
+
+
+def test_decode_of_awkward_rows(spark):
+    rows = [(1, [], "", 0), (2, None, "x", 0), (None, pieces.codec(PATH).encode_batch(pa.array(["a  b"]))[0].tolist(), "a  b", 0)]
+    got = {r.doc_id: r.decoded for r in pieces.decode(spark.createDataFrame(rows * 2, "doc_id long, ids array<int>, text string, decoded int")).collect()}
+    assert got == {1: "", 2: None, None: "a  b"}

@@ -69,8 +69,9 @@ class Codec:
             node[""] = piece
         self.letter_n = np.array(list(map(len, self.out)), np.int64)
         self.letter_at, self.letters = np.cumsum(self.letter_n) - self.letter_n, np.frombuffer(b"".join(self.out), np.uint8)
-        order = sorted(self.ids, key=lambda p: (-self.score[p], self.ids[p]))
-        self.rank = {p: k for k, p in enumerate(order)}
+        # Merges of equal score (runs of space marks) share a rank: of two such, the one further left comes first.
+        place = {s: k for k, s in enumerate(sorted(set(self.score.values()), reverse=True))}
+        self.rank = {p: place[s] for p, s in self.score.items()}
         self.halves: dict[str, tuple[str, str]] = {}
         # Every path has a boundary where no piece joins the two classes: before a space mark that follows
         # another sign, between a letter and a sign apart, and after a sign apart unless it is a joiner.
@@ -132,7 +133,9 @@ class Codec:
         """Whether merging the characters of ``a + b`` stops at exactly these two pieces.
 
         Walks back through the last merges of either side: the later one of the two is undone first,
-        and a merge over the boundary that would have come before it forbids the pair.
+        and a merge over the boundary that would have come before it forbids the pair.  Of merges of
+        equal rank the left one comes first: it is undone last, a merge over the boundary comes before
+        one of the right side and after one of the left side.
         """
         found = self.pairs.get((a, b))
         if found is not None:
@@ -264,6 +267,8 @@ class Codec:
                 best[at], last[at], length[at] = total, piece, many
         at, first = start + size - 1, start
         while len(at):
+            if not length[at].all():
+                raise ValueError("no path through the text")
             ends_here[at] = last[at]
             at = at - length[at]
             at, first = at[at >= first], first[at >= first]
@@ -511,18 +516,23 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, ids, text, decoded``: the ids turned back into text."""
+    """``doc_id, ids, text, decoded``: the ids of each row turned back into text, as :func:`encode` returns them.
+
+    No ids give empty text, null ids null; rows may repeat and ids of rows be null; bytes that are no
+    UTF-8 become replacement signs; an empty table gives no rows; other columns are ignored.
+    """
     path = path or tokenizer_path("piece_bpe_32k.model")
 
     def run(batches):
         c = codec(path)
         for batch in batches:
             ids = batch.column("ids")
-            begin = ids.offsets.to_numpy().astype(np.int64)
-            texts = [t.decode("utf-8", "replace").removeprefix(" ") for t in c.decode_batch(ids.values.to_numpy()[begin[0] : begin[-1]], begin - begin[0])]
+            begin = np.r_[0, np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))].astype(np.int64)
+            texts = [t.decode("utf-8", "replace").removeprefix(" ") for t in c.decode_batch(ids.flatten().to_numpy(zero_copy_only=False), begin)]
+            texts = [t if known else None for t, known in zip(texts, ids.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return coded.mapInArrow(run, "doc_id long, ids array<int>, text string, decoded string")
+    return coded.select("doc_id", "ids", "text").mapInArrow(run, "doc_id long, ids array<int>, text string, decoded string")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
