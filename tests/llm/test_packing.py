@@ -106,3 +106,27 @@ def test_the_search_improves_on_best_fit_at_full_capacity():
         assert n <= first and Counter(x for lengths, m in bins for x in lengths * m) == Counter(items)
         better += n < first and proven and n == 8
     assert better >= 5
+
+
+@pytest.mark.parametrize("n", [99_999, 100_001, 900_000, 1_000_000, 2_500_000])
+def test_ids_of_long_white_space_are_the_librarys(n):
+    path = tokenizer_path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = [f"a{' ' * n}b", " " * n, "\n" * n + "x"] if n < 2_000_000 else [f"a{' ' * n}b"]
+    for text, ids in zip(texts, packing.token_bytes(texts, path)):
+        assert ids == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_mixed_white_space_between_words_is_the_librarys():
+    path, rnd = tokenizer_path("byte_bpe_50k.json"), random.Random(3)
+    library = Tokenizer.from_file(path)
+    texts = ["".join(rnd.choice([*" \t\n\r\u3000\xa0\x85\x1f", "w", "."]) * rnd.choice([1, 2, 30, 40_000]) for _ in range(20)) for _ in range(20)]
+    for text, ids in zip(texts, packing.token_bytes(texts, path)):
+        assert ids == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_packs_texts_of_white_space(spark):
+    rows = [(1, f"a{' ' * 1_200_000}b"), (2, " \n" * 700_000), (3, "x")]
+    got = packing.pack(frame(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    check(got)
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == plain_pieces(rows)
