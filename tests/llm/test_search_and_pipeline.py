@@ -162,3 +162,15 @@ def test_pipeline_stages_on_awkward_rows(spark):
     assert all(r.n_chars == len(r.text or "") for r in rows)
     out = stages["packing"](spark, docs, SF).collect()
     assert sum(r.piece == 0 for r in out) == len(texts)
+
+
+def test_cosines_of_very_long_and_very_short_vectors(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((60, 8))
+    rows = [(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(x, [1e200, 1e-200, 1.0] * 20))]
+    df = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, lambda i: i % 50 == 0).collect()
+    assert len(got) == 10
+    for r in got:
+        a, b = x[r.query_id], x[r.vec_id]
+        assert abs(r.score - a @ b / np.sqrt((a @ a) * (b @ b))) < 1e-12

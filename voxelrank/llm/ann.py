@@ -175,7 +175,11 @@ def scan(query: np.ndarray, rows: np.ndarray, ids: np.ndarray, own: np.ndarray,
 
 
 def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Cosines in double precision of one vector with the rows of ``x``."""
+    """Cosines in double precision of one vector with the rows of ``x``, whatever their lengths.
+
+    Rows are scaled by powers of two first, which leaves their digits as they are.
+    """
+    q, x = (np.ldexp(v, -np.frexp(np.abs(v).max(axis=-1, keepdims=True))[1]) for v in (q, x))
     return (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum()))
 
 
@@ -251,7 +255,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, sample: int = SAMPLE, reca
     """``query_id, rank, vec_id, score``: the k nearest rows found for each row where ``is_query``.
 
     Nearness is the cosine, ties to the smaller id; a query's own id is no candidate.  Vectors that
-    are null, zero, or hold null or non-finite components take no part.  A cosine needs vectors of
+    are null, zero, or hold null or non-finite components take no part, nor do rows without an id.  A cosine needs vectors of
     one length, so a query's candidates are those as long as itself; each length has lists of its
     own.  Rows that repeat an id count once, with their best score.  An empty table gives no rows;
     other columns are ignored.  A list of any
