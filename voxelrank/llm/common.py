@@ -30,14 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, rows_of_file: int = 0) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, lost executors don't matter.
 
-    The files stay until the driver process ends, as later reads need them.
+    ``rows_of_file`` bounds the rows of a file, for rows that are large.  The files stay until the driver process ends, as later reads need them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/voxelrank-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_of_file).parquet(path)
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))

@@ -31,7 +31,9 @@ TOP = 10
 #: Postings of a term in the first tier at most, and how many times as many in each further one.
 DEPTH, GROWTH = 1000, 8
 #: Documents and bytes of text of a shard; bytes of a text that are split in one go; (item, term) pairs searched in one go; cells of a dense array.
-SHARD, SHARD_BYTES, CHUNK, PAIRS, CELLS = 4096, 16 << 20, 1 << 20, 1_000_000, 1 << 21
+SHARD, SHARD_BYTES, CHUNK, PAIRS, CELLS = 2048, 8 << 20, 1 << 20, 1_000_000, 1 << 20
+#: Shards in one file of the index at most, as a reader takes a file's rows together.
+TOGETHER = 4
 #: Width of the classes of shares that the histogram counts, as a power of two; shares are under 10^6.
 CLASS = 14
 #: The weights of length and repeats in the score.
@@ -310,14 +312,14 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP, depth: int = DEPTH
         if part.isEmpty():
             continue
         asked = _asked(part)
-        packed = materialise(shards(docs, spark.sparkContext.broadcast(asked.words)))
+        packed = materialise(shards(docs, spark.sparkContext.broadcast(asked.words)), TOGETHER)
         size = packed.agg(F.sum(F.size("docs").cast("long")).alias("docs"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("terms")).first()
         if not size.docs:
             continue
         limits = bounds(histogram(packed, size.docs, size.terms), len(asked.words), size.docs, depth, growth)
         known = spark.sparkContext.broadcast((None, limits))
         levels = len(limits.cut)
-        index = materialise(tiered(packed, known, size.docs, size.terms, levels))
+        index = materialise(tiered(packed, known, size.docs, size.terms, levels), TOGETHER)
         for level in range(levels):
             tenth = tenths(index, level, known, spark.sparkContext.broadcast(asked), top)
             room = np.zeros(len(asked.items), np.int64)
