@@ -23,7 +23,7 @@ def test_recall_and_exact_scores(spark, patches, monkeypatch, block):
     model = quantise.train_quantiser(patches, lists=16, parts=4)
     codes = quantise.encode_patches(patches, model)
     assert codes.count() == 1500 and len(codes.first().code) == 4
-    got = {(r.query_id, r.patch_id): r.score for r in quantise.ivfpq_topk(views, patches, codes, model, 10, 8, 8).collect()}
+    got = {(r.query_id, r.patch_id): r.score for r in quantise.ivfpq_topk(views, codes, model, 10, 8, 8).collect()}
     want = {(r.query_id, r.patch_id): r.score for r in topk.vector_topk(views, patches, 10).collect()}
     assert len(got) == 300 and all(q != p for q, p in got)
     both = got.keys() & want.keys()

@@ -7,7 +7,6 @@ The driver's ``embeddings`` stand for vectors and manifest: queries are the ids
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +15,11 @@ from pyspark.sql import functions as F
 from voxelrank.functions import geometry as G
 from voxelrank.functions import numbers as N
 from voxelrank.functions import vectors as V
-from voxelrank.operators import builder, distance, evaluate, fusion, images, metrics, pools, quantise, registration, rerank, targets, topk, training, volume
+from voxelrank.operators import builder, distance, evaluate, fusion, images, metrics, pools, registration, rerank, targets, topk, training, vector_index, volume
 from voxelrank.plans import generators as P
-from voxelrank.session import shared_dir, written
+from voxelrank.session import scratch, written
 from voxelrank.sources import png, tables
-from voxelrank.streaming import incremental
+from voxelrank.streaming import averages, incremental
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -135,10 +134,38 @@ def knn_exact(spark, sf):
     return topk.vector_topk(q, _vectors(spark, sf), 5).select("query_id", "patch_id", F.col("view_rank").cast("long").alias("rank"), _r("score").alias("score"))
 
 
+def _asked(spark, sf):
+    return _views(spark, sf).filter("view_idx = 0")
+
+
+def _found(near):
+    return near.select("query_id", "patch_id", F.col("view_rank").cast("long").alias("rank"), _r("score").alias("score"))
+
+
 @_query()
 def knn_ivf(spark, sf):
-    q = _views(spark, sf).filter("view_idx = 0")
-    return topk.ivf_topk(q, _vectors(spark, sf), 5, probes=13).select("query_id", "patch_id", F.col("view_rank").cast("long").alias("rank"), _r("score").alias("score"))
+    """An inverted-list index, built, kept and opened again; three in sixteen of its cells are probed."""
+    path = scratch(spark)
+    vector_index.build_index(_vectors(spark, sf), path, "ivf")
+    return _found(vector_index.search_index(vector_index.open_index(spark, path), _asked(spark, sf), 5))
+
+
+@_query()
+def knn_graph(spark, sf):
+    """A neighbour graph, built and kept, searched with a beam."""
+    index = vector_index.build_index(_vectors(spark, sf), scratch(spark), "graph")
+    return _found(vector_index.search_index(index, _asked(spark, sf), 5))
+
+
+@_query(f"WITH {_VEC}, r AS (SELECT q.vec_id AS query_id, v.vec_id AS patch_id, list_inner_product(q.e, v.e) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, v.e) DESC, v.vec_id) AS rank FROM q JOIN v ON v.vec_id <> q.vec_id) SELECT query_id, patch_id, rank, round(score, 6) AS score FROM r WHERE rank <= 5")
+def index_append(spark, sf):
+    """A kept index of half the vectors takes in the other half, then all of them again, which adds none; the planner chooses its kind."""
+    vectors, path = _vectors(spark, sf), scratch(spark)
+    half = F.pmod(F.xxhash64("patch_id"), F.lit(2)) == 0
+    vector_index.build_index(vectors.filter(half), path)
+    vector_index.append_vectors(vector_index.open_index(spark, path), vectors.filter(~half))
+    vector_index.append_vectors(vector_index.open_index(spark, path), vectors)
+    return _found(vector_index.search_index(vector_index.open_index(spark, path), _asked(spark, sf), 5))
 
 
 @_query(f"WITH {_VEC}, {_VIEWS}, {_CAND} SELECT query_id, CAST(view_idx AS BIGINT) AS view_idx, patch_id, view_rank, round(score, 6) AS score FROM cand WHERE view_rank <= 10")
@@ -395,12 +422,65 @@ def completed_queries(spark, sf):
 
 @_query(f"{_LOG} SELECT eval_sig, row_idx, source, rank, patch_id FROM log")
 def stream_append_hits(spark, sf):
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     _log(spark, sf).repartition(3).write.parquet(f"{path}/in")
     stream = spark.readStream.schema("eval_sig string, row_idx long, source string, rank long, patch_id long").parquet(f"{path}/in")
     incremental.append_stream(stream, f"{path}/out", f"{path}/state").awaitTermination()
     return spark.read.parquet(f"{path}/out").drop("batch")
 
+@_query(f"{_LOG} SELECT vec_id AS row_idx FROM embeddings WHERE vec_id NOT IN (SELECT row_idx FROM cnt WHERE source = 'allen') AND NOT (vec_id % 10 = 1)")
+def pending_marked(spark, sf):
+    """What is left to do after a run that was marked, short lists and rows without hits included, and one that broke before its markers."""
+    path, hits = scratch(spark), _log(spark, sf)
+    rows = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("row_idx"))
+    asked = hits.filter("source = 'allen'").select("row_idx", "source").unionByName(rows.filter("row_idx % 10 = 1").withColumn("source", F.lit("allen")))
+    incremental.append_marked(hits.filter("source = 'allen'"), asked, path, "sig1")
+    hits.filter("source = 'real'").withColumn("run", F.lit("broken")).write.mode("append").partitionBy("run").parquet(path)
+    return incremental.pending_marked(rows, incremental.read_markers(spark, path), "sig1", ["allen"])
+
+
+@_query(f"{_LOG} SELECT row_idx, source, rank, patch_id FROM log WHERE source = 'allen'")
+def visible_hits(spark, sf):
+    """Hits of marked runs; those of a run that broke are not seen."""
+    path, hits = scratch(spark), _log(spark, sf)
+    allen = hits.filter("source = 'allen'")
+    incremental.append_marked(allen, allen, path, "sig1")
+    hits.withColumn("run", F.lit("broken")).write.mode("append").partitionBy("run").parquet(path)
+    return incremental.visible(spark.read.parquet(path), incremental.read_markers(spark, path)).select("row_idx", "source", "rank", "patch_id")
+
+
+def _first_hits(spark, sf):
+    row = F.call_function("div", F.col("query_id"), F.lit(50))
+    return _hits(spark, sf).filter("rank = 1").select(
+        row.alias("row_idx"), "source", "score", F.when(F.col("patch_id") % 5 > 0, F.col("dist")).alias("dist"), F.when(F.col("patch_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("dist") * 25).alias("corner"),
+        ((F.col("patch_id") % 97) / 100).alias("latency_s"), ((row % 13) / 10).alias("row_latency_s"),
+    )
+
+
+_FIRST = f"""{_HITS}, f AS (SELECT query_id // 50 AS row_idx, source, score, CASE WHEN patch_id % 5 > 0 THEN dist END AS d, CASE WHEN patch_id % 3 <> 0 THEN dist * 25 END AS c, (patch_id % 97)::DOUBLE / 100 AS l, (query_id // 50 % 13)::DOUBLE / 10 AS rl FROM hits WHERE rank = 1),
+r AS (SELECT row_idx, max(rl) AS rl, count(*) AS q, sum(l) AS l, avg(score) AS s, avg(d) AS d, avg(c) AS c FROM f GROUP BY row_idx)
+SELECT count(*) AS n_rows, CAST(sum(q) AS BIGINT) AS n_queries, round(avg(s), 6) AS avg_top1, round(1000 * avg(rl), 6) AS avg_row_latency_ms, round(1000 * sum(l) / sum(q), 6) AS avg_query_latency_ms, round(avg(d), 6) AS avg_dist1, round(avg(c), 6) AS avg_corner1 FROM r"""
+
+
+def _rounded(found):
+    return found.select("n_rows", "n_queries", *(_r(c).alias(c) for c in ("avg_top1", "avg_row_latency_ms", "avg_query_latency_ms", "avg_dist1", "avg_corner1")))
+
+
+@_query(_FIRST)
+def batch_averages(spark, sf):
+    return _rounded(averages.averages(_first_hits(spark, sf)))
+
+
+@_query(_FIRST)
+def stream_averages(spark, sf):
+    """The same averages kept over a stream whose rows come apart over batches, some twice, with a restart."""
+    path, first = scratch(spark), _first_hits(spark, sf)
+    for source in ("allen", "real", "allen"):
+        first.filter(F.col("source") == source).coalesce(2).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(averages.FIRST).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        averages.average_stream(stream, f"{path}/out", f"{path}/state").awaitTermination()
+    return _rounded(averages.read_averages(spark.read.parquet(f"{path}/out")))
+
 
 # ---------------------------------------------------------------- generators
 @_query(f"SELECT i AS normal_idx, round(sqrt(1 - z * z) * cos(th) / n, 6) AS nx, round(sqrt(1 - z * z) * sin(th) / n, 6) AS ny, round(z / n, 6) AS nz FROM (SELECT i, z, th, sqrt((1 - z * z) * cos(th) * cos(th) + (1 - z * z) * sin(th) * sin(th) + z * z) AS n FROM (SELECT i, 1 - 2 * (i + 0.5::DOUBLE) / 64 AS z, 2 * pi() * (i + 0.5::DOUBLE) / {P.GOLDEN!r}::DOUBLE AS th FROM range(64) t(i)))")
@@ -589,10 +669,8 @@ def patch_index_build(spark, sf):
 # ---------------------------------------------------------------- compressed index, images, evaluation, training
 @_query()
 def knn_ivfpq(spark, sf):
-    q, patches = _views(spark, sf).filter("view_idx = 0"), _vectors(spark, sf)
-    model = quantise.train_quantiser(patches, lists=16)
-    near = quantise.ivfpq_topk(q, patches, quantise.encode_patches(patches, model), model, 5, probes=13, refine=8)
-    return near.select("query_id", "patch_id", F.col("view_rank").cast("long").alias("rank"), _r("score").alias("score"))
+    index = vector_index.build_index(_vectors(spark, sf), scratch(spark), "ivfpq")
+    return _found(vector_index.search_index(index, _asked(spark, sf), 5, refine=8))
 
 
 @_query(f"{_HITS} SELECT query_id, patch_id, round(CASE WHEN max(score) OVER w - min(score) OVER w < 1e-6 THEN 0.0 ELSE 0.7::DOUBLE * (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END + 0.3::DOUBLE * (rank - 1) / {HITS_K - 1}, 5) AS blend, round(exp(score - max(score) OVER w) / (sum(exp(score)) OVER w / exp(max(score) OVER w) + 1e-12), 6) AS p FROM hits WINDOW w AS (PARTITION BY query_id)")

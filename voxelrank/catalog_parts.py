@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from voxelrank.catalog import _FIB, _HITS, DIM, THRESHOLDS, _hits, _labelled, _m
 from voxelrank.functions import vectors as V
 from voxelrank.operators import fusion, images, metrics, pools, volume
 from voxelrank.plans import generators as P
-from voxelrank.session import shared_dir
+from voxelrank.session import scratch
 from voxelrank.sources import tables
 
 QUERIES: dict = {}
@@ -150,7 +148,7 @@ def label_slices(spark, sf):
 @_query("SELECT vec_id AS patch_id, vec_id % 8 AS normal_idx, CAST(CASE vec_id % 3 WHEN 0 THEN 1 ELSE 2 END AS BIGINT) AS scale, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings WHERE vec_id % 3 < 2")
 def index_files(spark, sf):
     """Manifest and vectors written by scale, read again for two of the three scales."""
-    place = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    place = scratch(spark)
     tables.write_index(_manifest(spark, sf).join(_vectors(spark, sf).drop("label"), "patch_id"), place)
     few = fusion.scale_filter(tables.read_manifest(spark, place), (1, 2))
     total = F.aggregate("emb", F.lit(0.0), lambda s, x: s + x)
@@ -160,7 +158,7 @@ def index_files(spark, sf):
 @_query(f"{_HITS} SELECT row_idx, source, rank, round(dist, 6) AS dist, CASE WHEN source = 'real' THEN 'late' END AS note FROM hits")
 def hit_files(spark, sf):
     """Hits appended in two goes, the second with a column more, read with the merged header."""
-    place = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    place = scratch(spark)
     hits = _hits(spark, sf).select("row_idx", "source", "rank", F.col("dist").alias("geom_dist_vox"))
     tables.append_hits(hits.filter("source = 'allen'"), place)
     tables.append_hits(hits.filter("source = 'real'").withColumn("note", F.lit("late")), place)
@@ -170,7 +168,7 @@ def hit_files(spark, sf):
 @_query("SELECT o_orderkey AS row_idx, 'a' || o_orderkey AS allen_path, round(o_orderkey % 7 / 8.0::DOUBLE, 6) AS v1, (o_orderkey % 30)::DOUBLE / 2 AS depth, CASE WHEN o_orderkey % 2 = 0 THEN 'wide, \"1\"' END AS crop_kind FROM orders")
 def dataset_files(spark, sf):
     """Dataset rows written as CSV and parsed again: vectors, quotes and commas, empty fields."""
-    place, k = f"{shared_dir(spark)}/{uuid.uuid4().hex}", F.col("o_orderkey")
+    place, k = scratch(spark), F.col("o_orderkey")
     numbers = {"rotation": 90.0, "is_crop": 1, **{c: 0.5 for c in ("crop_cx", "crop_cy", "crop_rw", "crop_rh", "crop_aspect_w", "crop_aspect_h")}}
     rows = _t(spark, sf, "orders").select(
         k.alias("row_idx"), F.concat(F.lit("a"), k.cast("string")).alias("allen_path"), F.array(F.lit(0.5), k % 7 / 8, F.lit(1.0)).alias("vector"), (k % 30 / 2).alias("depth"),

@@ -12,7 +12,6 @@
 from __future__ import annotations
 
 import argparse
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -21,6 +20,7 @@ from voxelrank.operators import builder, evaluate, images, metrics, rerank, trai
 from voxelrank.plans import generators as P
 from voxelrank.session import session, written
 from voxelrank.sources import png, tables
+from voxelrank.streaming import incremental
 
 #: How each evaluation mode uses local windows.
 MODES = {"fast": "off", "smart": "auto", "enhanced": "force"}
@@ -58,6 +58,7 @@ def parser() -> argparse.ArgumentParser:
     dataset.add_argument("--volume")
     dataset.add_argument("--planes", type=int, default=100)
     dataset.add_argument("--seed", type=int, default=42)
+    dataset.add_argument("--aspects", nargs="+", default=[f"{k}={w:g}:{h:g}" for k, (w, h) in builder.ASPECTS.items()], metavar="KIND=W:H")
     ev = what.add_parser("eval", help="search with every dataset row that has no complete hits yet, and measure what is found")
     ev.add_argument("--mode", choices=[*MODES, "all"], default="fast")
     ev.add_argument("--final-k", type=int, default=100)
@@ -93,22 +94,6 @@ def _volumes(spark, named: list[str]):
     return {name: _volume(spark, path) for name, _, path in (n.partition("=") for n in named)}
 
 
-def _at(spark, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def _rename(spark, path: str, to: str) -> None:
-    fs, where = _at(spark, path)
-    if not fs.rename(where, _at(spark, to)[1]):
-        raise OSError(f"cannot rename {path} to {to}")
-
-
-def _remove(spark, path: str) -> None:
-    fs, where = _at(spark, path)
-    fs.delete(where, True)
-
-
 def _eval(spark, a) -> None:
     volumes, rows = _volumes(spark, a.volumes), tables.read_dataset(spark, a.dataset)
     rows = rows.filter(F.col("row_idx") < a.limit) if a.limit is not None else rows
@@ -117,23 +102,11 @@ def _eval(spark, a) -> None:
     for mode in MODES if a.mode == "all" else [a.mode]:
         out = f"{a.out}/{mode}"
         cfg = evaluate.EvalConfig(size_px=a.size, step=step, local=MODES[mode], final_k=a.final_k, k_per_view=a.k_per_view, index_version=a.index)
-        found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-        there = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
-        done = tables.read_hits(spark, out) if there else None
-        hits = evaluate.evaluate(rows, volumes, tables.read_manifest(spark, a.index), volume.pooled_encoder(), cfg, done, weights, mode=a.rerank_mode)
-        if there:  # rows that were left half done are written anew
-            fresh = written(hits)
-            again = fresh.select("eval_sig", "row_idx", "source").distinct()
-            kept = written(done.join(again, ["eval_sig", "row_idx", "source"], "left_anti"))
-            # Written beside, then put in place: hits are whole at any time, under one name or the other.
-            beside, old = f"{out}.new-{uuid.uuid4().hex}", f"{out}.old-{uuid.uuid4().hex}"
-            kept.unionByName(fresh, allowMissingColumns=True).write.parquet(beside)
-            _rename(spark, out, old)
-            _rename(spark, beside, out)
-            _remove(spark, old)
-            spark.catalog.refreshByPath(out)
-        else:
-            tables.append_hits(hits, out)
+        markers, sources, sig = incremental.read_markers(spark, out), sorted(volumes), cfg.signature()
+        todo = written(incremental.pending_marked(rows, markers, sig, sources))
+        if not todo.isEmpty():
+            hits = evaluate.evaluate(todo, volumes, tables.read_manifest(spark, a.index), volume.pooled_encoder(), cfg, weights=weights, mode=a.rerank_mode)
+            incremental.append_marked(hits, todo.select("row_idx", F.explode(F.array(*map(F.lit, sources))).alias("source")), out, sig)
 
 
 def _search(spark, a) -> None:
@@ -184,7 +157,8 @@ def main(argv: list[str] | None = None) -> None:
     elif a.what == "dataset":
         data = _volume(spark, a.volume)
         planes = written(builder.valid_planes(spark, a.planes, data, a.size, max(data.shape) / a.size, seed=a.seed))
-        rows = builder.build_dataset(planes, a.seed).withColumn("vector", F.array("nx", "ny", "nz"))
+        aspects = {kind: tuple(map(float, pair.split(":"))) for kind, pair in (x.split("=") for x in a.aspects)}
+        rows = builder.build_dataset(planes, a.seed, aspects).withColumn("vector", F.array("nx", "ny", "nz"))
         tables.write_dataset(rows, a.out)
     elif a.what == "eval":
         _eval(spark, a)

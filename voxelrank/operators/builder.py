@@ -34,16 +34,23 @@ def valid_planes(spark: SparkSession, n: int, volume: np.ndarray, size: int = 64
     return slots.withColumn("plane_id", sure)
 
 
-def build_dataset(planes: DataFrame, seed: int = 42) -> DataFrame:
+#: The kinds of crops and their aspects.
+ASPECTS = {"square": (1.0, 1.0), "wide": (2.0, 1.0), "tall": (1.0, 2.0)}
+
+
+def build_dataset(planes: DataFrame, seed: int = 42, aspects: dict[str, tuple[float, float]] = ASPECTS) -> DataFrame:
     """n * (1 + 3 * aspects) rows: each plane whole, and its crops; ``row_idx`` follows plane, bin, aspect."""
-    crops = random_crops(planes, "slot", seed=seed)
-    kind = F.when(F.col("aspect_w") > F.col("aspect_h"), "wide").when(F.col("aspect_w") < F.col("aspect_h"), "tall").otherwise("square")
-    named = crops.select(*planes.columns, F.lit(1).alias("is_crop"), F.element_at(F.array(*map(F.lit, ("large", "medium", "small"))), F.col("crop_bin") + 1).alias("crop_bin"), kind.alias("crop_kind"), "crop_cx", "crop_cy", "crop_rw", "crop_rh")
-    whole = planes.select("*", F.lit(0).alias("is_crop"), F.lit("full").alias("crop_bin"), F.lit("full").alias("crop_kind"), *(F.lit(v).alias(c) for c, v in (("crop_cx", 0.5), ("crop_cy", 0.5), ("crop_rw", 1.0), ("crop_rh", 1.0))))
-    order = F.concat_ws("/", F.element_at(F.create_map(*(x for i, b in enumerate(("full", "large", "medium", "small")) for x in (F.lit(b), F.lit(str(i))))), F.col("crop_bin")), "crop_kind")
-    place = F.row_number().over(Window.partitionBy("slot").orderBy(order))
-    rows = whole.unionByName(named).withColumn("_k", place)
-    return rows.withColumn("row_idx", F.col("slot") * 10 + F.col("_k") - 1).drop("_k")
+    if not aspects or any(w <= 0 or h <= 0 for w, h in aspects.values()):
+        raise ValueError("aspects must be pairs of positive numbers")
+    crops = random_crops(planes, "slot", seed=seed, aspects=tuple(aspects.values()))
+    bins = F.array(*map(F.lit, ("large", "medium", "small")))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(i + 1).alias("place"), F.lit(float(w)).alias("w"), F.lit(float(h)).alias("h")) for i, (k, (w, h)) in enumerate(aspects.items())))
+    own = F.filter(kinds, lambda k: (k["w"] == F.col("aspect_w")) & (k["h"] == F.col("aspect_h")))[0]
+    numbers = ("crop_cx", "crop_cy", "crop_rw", "crop_rh", "crop_aspect_w", "crop_aspect_h")
+    named = crops.withColumns({"crop_aspect_w": F.col("aspect_w"), "crop_aspect_h": F.col("aspect_h"), "_k": F.col("crop_bin") * len(aspects) + own["place"]})
+    named = named.select(*planes.columns, F.lit(1).alias("is_crop"), F.element_at(bins, F.col("crop_bin") + 1).alias("crop_bin"), own["kind"].alias("crop_kind"), *numbers, F.col("_k").cast("long").alias("_k"))
+    whole = planes.select("*", F.lit(0).alias("is_crop"), F.lit("full").alias("crop_bin"), F.lit("full").alias("crop_kind"), *(F.lit(v).alias(c) for c, v in zip(numbers, (0.5, 0.5, 1.0, 1.0, 1.0, 1.0))), F.lit(0).cast("long").alias("_k"))
+    return whole.unionByName(named).withColumn("row_idx", F.col("slot") * (1 + 3 * len(aspects)) + F.col("_k")).drop("_k")
 
 
 def orientations() -> list[tuple[tuple[int, int, int], tuple[bool, bool, bool]]]:

@@ -127,8 +127,8 @@ def search(views: DataFrame, patches: DataFrame, k_per_view: int = 64, final_k:
     return order.withColumn("rank", F.col("new_rank")).withColumnRenamed("raw", "rerank_score").drop("new_rank", "segment", "blend")
 
 
-def evaluate(rows: DataFrame, volumes: dict[str, np.ndarray], patches: DataFrame, encoder: Callable[[np.ndarray], np.ndarray], cfg: EvalConfig = EvalConfig(), done: DataFrame | None = None, weights: dict[str, np.ndarray] | None = None, rerank_topk: int = 100, mode: str = "max_over_angles") -> DataFrame:
-    """Ranked and measured hits of all dataset rows that ``done`` (earlier hits) has not complete.
+def evaluate(rows: DataFrame, volumes: dict[str, np.ndarray], patches: DataFrame, encoder: Callable[[np.ndarray], np.ndarray], cfg: EvalConfig = EvalConfig(), done: DataFrame | None = None, weights: dict[str, np.ndarray] | None = None, rerank_topk: int = 100, mode: str = "max_over_angles", markers: DataFrame | None = None) -> DataFrame:
+    """Ranked and measured hits of all dataset rows that are not done: complete in ``done`` (earlier hits), or marked in ``markers``.
 
     ``rows`` are parsed dataset rows with row_idx; ``patches`` an index with manifest columns and
     ``embedding``.  With ``weights`` the first ``rerank_topk`` hits are re-ranked, and
@@ -136,6 +136,7 @@ def evaluate(rows: DataFrame, volumes: dict[str, np.ndarray], patches: DataFrame
     """
     sources, sig = sorted(volumes), cfg.signature()
     todo = rows if done is None else incremental.pending(rows, done, sig, cfg.final_k, sources)
+    todo = incremental.pending_marked(todo, markers, sig, sources)
     posed = posed_rows(todo, sources, cfg)
     views = written(query_views(posed, volumes, encoder, cfg))
     ranked = search(views, patches, cfg.k_per_view, cfg.final_k, cfg.w_local, (), weights, rerank_topk, mode)

@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelrank.functions.vectors import dot
-from voxelrank.operators.topk import train_cells
+from voxelrank.operators.cells import fit_cells, nearest_cells
+from voxelrank.operators.topk import ranked
 
 #: Codes, and views, that meet in one task at most (in expectation); longer lists are dealt out.
 BLOCK = 8192
+#: Vectors that fit the codebooks at most.
+SAMPLE = 50_000
 
 
 def list_count(n_train: int) -> int:
@@ -56,58 +59,59 @@ def _means(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
     return c
 
 
-def train_quantiser(patches: DataFrame, lists: int | None = None, parts: int = 16, bits: int = 8, sample: int = 20_000, rounds: int = 8, seed: int = 42) -> Quantiser:
-    """Fitted on at most ``sample`` vectors of ``patch_id, emb``; all are indexed later."""
-    total = max(patches.count(), 1)
-    few = patches.filter(F.pmod(F.xxhash64(F.lit(seed), "patch_id"), F.lit(total)) < sample).limit(sample).select(F.col("emb").cast("array<double>")).collect()
+def fit_books(vectors: DataFrame, centres: np.ndarray, parts: int = 16, bits: int = 8, sample: int = SAMPLE, rounds: int = 8, seed: int = 42) -> np.ndarray:
+    """Codebooks of the residuals of ``patch_id, emb``, fitted on at most ``sample`` vectors; all are coded later."""
+    total = max(vectors.count(), 1)
+    few = vectors.filter(F.pmod(F.xxhash64(F.lit(seed), "patch_id"), F.lit(total)) < sample).limit(sample).select(F.col("emb").cast("array<double>")).collect()
     x = np.array([r[0] for r in few], float)
     if not len(x):
         raise ValueError("no vectors to train on")
     if x.shape[1] % parts or not 1 <= bits <= 8:
         raise ValueError("parts must divide the dimension, bits lie within 1 to 8")
-    centres = train_cells(patches, lists or list_count(len(x)), sample, rounds, seed)
-    near = (x @ centres.T - 0.5 * (centres**2).sum(1)).argmax(1)
+    near = np.concatenate([(part @ centres.T - 0.5 * (centres**2).sum(1)).argmax(1) for part in np.array_split(x, -(-len(x) // 4096))])
     left = (x - centres[near]).reshape(len(x), parts, -1)
     rng = np.random.default_rng(seed)
-    books = [_means(left[:, m], 1 << bits, rounds, rng) for m in range(parts)]
-    return Quantiser(centres, np.stack(books))
+    return np.stack([_means(left[:, m], 1 << bits, rounds, rng) for m in range(parts)])
 
 
-def encode_patches(patches: DataFrame, model: Quantiser) -> DataFrame:
-    """``patch_id, cell, code``: one byte for each part; no shuffle."""
-    shared = patches.sparkSession.sparkContext.broadcast(model)
+def train_quantiser(patches: DataFrame, lists: int | None = None, parts: int = 16, bits: int = 8, sample: int = SAMPLE, seed: int = 42) -> Quantiser:
+    """Lists and codebooks for ``patch_id, emb``."""
+    centres = fit_cells(patches, lists or list_count(patches.count()), seed=seed)
+    return Quantiser(centres, fit_books(patches, centres, parts, bits, sample, seed=seed))
 
-    def run(batches):
-        for b in batches:
-            if len(b):
-                x = np.stack(b["emb"]).astype(float)
-                cell = shared.value.nearest(x)[:, 0]
-                yield pd.DataFrame({"patch_id": b["patch_id"], "cell": cell, "code": [c.tobytes() for c in shared.value.encode(x, cell)]})
 
-    return patches.select(F.col("patch_id").cast("long"), "emb").mapInPandas(run, "patch_id long, cell int, code binary")
+def with_codes(rows: DataFrame, model: Quantiser) -> DataFrame:
+    """Adds ``code``, one byte for each part, to rows with ``emb`` and ``cell``; no shuffle."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
+    @F.pandas_udf("binary")
+    def code(emb: pd.Series, cell: pd.Series) -> pd.Series:
+        return pd.Series([c.tobytes() for c in shared.value.encode(np.stack(emb), cell.to_numpy())] if len(emb) else [], dtype=object)
 
-def ivfpq_topk(views: DataFrame, patches: DataFrame, codes: DataFrame, model: Quantiser, k: int, probes: int = 8, refine: int = 4) -> DataFrame:
-    """``query_id, view_idx, patch_id, score, view_rank``: approximate top-k with exact scores.
+    return rows.withColumn("code", code(F.col("emb").cast("array<double>"), "cell"))
+
+
+def encode_patches(patches: DataFrame, model: Quantiser) -> DataFrame:
+    """``patch_id, emb, cell, code`` of each patch in its nearest list."""
+    near = nearest_cells(patches.select(F.col("patch_id").cast("long").alias("patch_id"), F.col("emb").cast("array<double>").alias("emb")), model.centres, 1)
+    return with_codes(near.select("patch_id", "emb", F.element_at("near", 1).alias("cell")), model)
 
-    Codes of the probed lists give the ``refine * k`` best of each view by lookup tables; these are
-    scored on their vectors.  A long list meets its views in a grid of blocks, so no task holds a
-    whole one.  A view never meets the patch of its own query id.
-    """
-    shared = views.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<int>")
-    def lists(emb: pd.Series) -> pd.Series:
-        return pd.Series(list(shared.value.nearest(np.stack(emb), probes).astype(np.int32)))
+def ivfpq_search(asked: DataFrame, rows: DataFrame, model: Quantiser, k: int, refine: int = 4, skip_own: bool = True) -> DataFrame:
+    """``query_id, view_idx, patch_id, score, view_rank``: approximate top-k with exact scores.
 
-    keyed = views.select(F.col("query_id").cast("long"), F.col("view_idx").cast("int"), F.col("emb").cast("array<double>"))
-    probed = keyed.withColumn("cell", F.explode(lists("emb")))
+    ``asked`` has the lists that each view looks into (query_id, view_idx, emb, cell), ``rows`` the
+    coded vectors (patch_id, emb, cell, code).  Codes give the ``refine * k`` best of each view by lookup
+    tables; these are scored on their vectors.  A long list meets its views in a grid of blocks, so no
+    task holds a whole one; a patch that several lists hold counts once.
+    """
+    shared = asked.sparkSession.sparkContext.broadcast(model)
     blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    sizes = F.broadcast(blocks(codes, "cb").join(blocks(probed, "vb"), "cell"))  # at most one row a list, 65536 lists
+    sizes = F.broadcast(blocks(rows, "cb").join(blocks(asked, "vb"), "cell"))  # at most one row a list, 65536 lists
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     part = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
-    left = codes.join(sizes, "cell").select("cell", part("cb", "patch_id").alias("ci"), every("vb").alias("vi"), "patch_id", "code")
-    right = probed.join(sizes, "cell").select("cell", every("cb").alias("ci"), part("vb", "query_id", "view_idx").alias("vi"), "query_id", "view_idx", "emb")
+    left = rows.join(sizes, "cell").select("cell", part("cb", "patch_id").alias("ci"), every("vb").alias("vi"), "patch_id", "code")
+    right = asked.join(sizes, "cell").select("cell", every("cb").alias("ci"), part("vb", "query_id", "view_idx").alias("vi"), "query_id", "view_idx", "emb")
     want = refine * k
 
     def meet(key, c: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
@@ -117,7 +121,8 @@ def ivfpq_topk(views: DataFrame, patches: DataFrame, codes: DataFrame, model: Qu
             for lo in range(0, len(v), 64):
                 some = v.iloc[lo : lo + 64]
                 s = shared.value.scores(np.stack(some["emb"]), key[0], raw)
-                s[some["query_id"].to_numpy()[:, None] == ids[None]] = -np.inf
+                if skip_own:
+                    s[some["query_id"].to_numpy()[:, None] == ids[None]] = -np.inf
                 for row, q, w in zip(s, some["query_id"], some["view_idx"]):
                     best = np.argsort(-row, kind="stable")[:want]
                     best = best[row[best] > -np.inf]
@@ -127,7 +132,15 @@ def ivfpq_topk(views: DataFrame, patches: DataFrame, codes: DataFrame, model: Qu
     keys = ("cell", "ci", "vi")
     near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, view_idx int, patch_id long, near double")
     view = Window.partitionBy("query_id", "view_idx")
-    kept = near.withColumn("_r", F.row_number().over(view.orderBy(F.desc("near"), "patch_id"))).filter(F.col("_r") <= want).select("query_id", "view_idx", "patch_id")
-    exact = kept.join(patches.select("patch_id", F.col("emb").cast("array<double>").alias("p")), "patch_id").join(keyed.withColumnRenamed("emb", "q"), ["query_id", "view_idx"])
-    scored = exact.select("query_id", "view_idx", "patch_id", dot(F.col("q"), F.col("p")).alias("score"))
-    return scored.withColumn("view_rank", F.row_number().over(view.orderBy(F.desc("score"), "patch_id"))).filter(F.col("view_rank") <= k)
+    once = near.groupBy("query_id", "view_idx", "patch_id").agg(F.max("near").alias("near"))
+    kept = once.withColumn("_r", F.row_number().over(view.orderBy(F.desc("near"), "patch_id"))).filter(F.col("_r") <= want).select("query_id", "view_idx", "patch_id")
+    vectors = rows.select("patch_id", F.col("emb").cast("array<double>").alias("p"))
+    exact = kept.join(vectors, "patch_id").join(asked.groupBy("query_id", "view_idx").agg(F.any_value("emb").alias("q")), ["query_id", "view_idx"])
+    return ranked(exact.select("query_id", "view_idx", "patch_id", dot(F.col("q"), F.col("p")).alias("score")), k)
+
+
+def ivfpq_topk(views: DataFrame, codes: DataFrame, model: Quantiser, k: int, probes: int = 8, refine: int = 4) -> DataFrame:
+    """:func:`ivfpq_search` of views (query_id, view_idx, emb) in their ``probes`` nearest lists; none meets the patch of its own query id."""
+    near = nearest_cells(views, model.centres, min(probes, len(model.centres)))
+    asked = near.select(F.col("query_id").cast("long").alias("query_id"), F.col("view_idx").cast("int").alias("view_idx"), F.col("emb").cast("array<double>").alias("emb"), F.explode("near").alias("cell"))
+    return ivfpq_search(asked, codes, model, k, refine)

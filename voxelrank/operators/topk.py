@@ -1,4 +1,4 @@
-"""Exact and approximate vector top-k joins of query views with patches."""
+"""Vector top-k joins of query views with patches, over all of them or within cells."""
 
 from __future__ import annotations
 
@@ -14,13 +14,16 @@ BROADCAST_DOUBLES, BROADCAST_VIEWS = 16_000_000, 50_000
 #: Rows of a block of patches or views in the grid.
 BLOCK = 4096
 FLAT_TO, GRAPH_TO = 200_000, 2_000_000
+KINDS = ("auto", "flat", "graph", "ivf", "ivfpq")
 
 
 def choose_index(n: int, kind: str = "auto", flat_to: int = FLAT_TO, graph_to: int = GRAPH_TO) -> str:
-    """Index by size; the graph regime is served by inverted lists, the nearest thing Spark has."""
+    """The kind of index for ``n`` vectors: searched whole, a neighbour graph, or inverted lists of codes; ``kind`` if it is one."""
+    if kind not in KINDS:
+        raise ValueError(f"kind must be one of {KINDS}")
     if kind != "auto":
         return kind
-    return "flat" if n <= flat_to else "ivf" if n <= graph_to else "ivfpq"
+    return "flat" if n <= flat_to else "graph" if n <= graph_to else "ivfpq"
 
 
 def _cut(view: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,8 +64,9 @@ def vector_topk(views: DataFrame, patches: DataFrame, k: int, skip_own: bool = T
     slim = views.select(F.col("query_id").cast("long"), F.col("view_idx").cast("int"), F.col("emb").cast("array<double>"))
     rows = patches.select(F.col("patch_id").cast("long"), F.col("emb").cast("array<double>"))
     most = min(BROADCAST_VIEWS, BROADCAST_DOUBLES // (3 * k))
-    held = slim.limit(most + 1).toPandas()  # one more than may be broadcast tells whether there are more
-    if len(held) <= most and held["emb"].map(len).sum() <= BROADCAST_DOUBLES:
+    size = slim.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("emb")), F.lit(0)).alias("doubles")).first()
+    if size.n <= most and size.doubles <= BROADCAST_DOUBLES:
+        held = slim.toPandas()
         shared = spark.sparkContext.broadcast((np.stack(held["emb"]) if len(held) else np.empty((0, 1)), held[["query_id", "view_idx"]]))
 
         def scan(batches):
@@ -93,37 +97,29 @@ def vector_topk(views: DataFrame, patches: DataFrame, k: int, skip_own: bool = T
     return near.withColumn("view_rank", F.row_number().over(order)).filter(F.col("view_rank") <= k)
 
 
-def train_cells(vectors: DataFrame, cells: int, sample: int = 20_000, rounds: int = 10, seed: int = 42) -> np.ndarray:
-    """Centres of k-means over at most ``sample`` vectors (the same ones for any partitioning)."""
-    total = max(vectors.count(), 1)
-    few = vectors.filter(F.pmod(F.xxhash64(F.lit(seed), "patch_id"), F.lit(total)) < sample).limit(sample).select(F.col("emb").cast("array<double>")).collect()
-    x = np.array([r[0] for r in few], float)
-    rng = np.random.default_rng(seed)
-    centres = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
-    for _ in range(rounds):
-        near = (x @ centres.T - 0.5 * (centres**2).sum(1)).argmax(1)
-        for c in range(len(centres)):
-            if (near == c).any():
-                centres[c] = x[near == c].mean(0)
-    return centres
-
-
-def ivf_topk(views: DataFrame, patches: DataFrame, k: int, cells: int = 16, probes: int = 8) -> DataFrame:
-    """Approximate top-k: views meet only the patches of their ``probes`` nearest cells, by an equi-join on the cell."""
-    centres = train_cells(patches, cells)
-    shared = views.sparkSession.sparkContext.broadcast(centres)
-
-    @F.pandas_udf("array<int>")
-    def nearest_cells(emb: pd.Series) -> pd.Series:
-        c = shared.value
-        s = np.stack(emb) @ c.T - 0.5 * (c**2).sum(1)
-        return pd.Series(list(np.argsort(-s, axis=1, kind="stable").astype(np.int32)))
-
-    emb = F.col("emb").cast("array<double>")
-    left = views.select("query_id", "view_idx", emb.alias("q"), F.explode(F.slice(nearest_cells(emb), 1, probes)).alias("cell"))
-    right = patches.select("patch_id", emb.alias("p"), F.element_at(nearest_cells(emb), 1).alias("cell"))
-    from voxelrank.functions.vectors import dot
-
-    near = left.join(right, "cell").filter("query_id != patch_id").select("query_id", "view_idx", "patch_id", dot(F.col("q"), F.col("p")).alias("score"))
+def list_topk(asked: DataFrame, rows: DataFrame, k: int, skip_own: bool = True) -> DataFrame:
+    """``query_id, view_idx, patch_id, score``: the k best of each view in each block of the cells it asks for.
+
+    Views and vectors of a cell meet in blocks of at most BLOCK each, as products of matrices.
+    """
+    blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = blocks(rows, "cb").join(blocks(asked, "vb"), "cell")
+    part = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.join(sizes, "cell").select("cell", part("cb", "patch_id").alias("ci"), every("vb").alias("vi"), "patch_id", "emb")
+    right = asked.join(sizes, "cell").select("cell", every("cb").alias("ci"), part("vb", "query_id", "view_idx").alias("vi"), "query_id", "view_idx", "emb")
+    keys = ("cell", "ci", "vi")
+
+    def meet(p: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(v):
+            return pd.DataFrame({"query_id": [], "view_idx": [], "patch_id": [], "score": []})
+        return _named(_block(np.stack(v["emb"]), v["query_id"].to_numpy(), np.stack(p["emb"]), p["patch_id"].to_numpy(), k, skip_own), v)
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, view_idx int, patch_id long, score double")
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of what lists have found; a patch that several lists hold counts once."""
+    once = found.groupBy("query_id", "view_idx", "patch_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id", "view_idx").orderBy(F.desc("score"), "patch_id")
-    return near.withColumn("view_rank", F.row_number().over(order)).filter(F.col("view_rank") <= k)
+    return once.withColumn("view_rank", F.row_number().over(order)).filter(F.col("view_rank") <= k)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: list[tuple[SparkSession, str]] = []
+
 
 def session(master: str | None = None, app: str = "voxelrank", **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution and Arrow; ``conf`` adds or overrides settings."""
@@ -36,8 +39,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the driver process ends."""
+    path = f"{shared_dir(spark)}/voxelrank-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(_clean)
+    _scratch.append((spark, path))
+    return path
+
+
+def _clean() -> None:
+    while _scratch:
+        spark, path = _scratch.pop()
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session may be gone already
+            return
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, for what is costly and used more than once."""
-    path = f"{shared_dir(df.sparkSession)}/voxelrank-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

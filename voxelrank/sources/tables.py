@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxelrank.streaming.incremental import read_markers, visible
+
 DATASET_COLUMNS = {
     "allen_path": "string", "real_path": "string", "vector": "string", "depth": "double", "rotation": "double", "is_crop": "int", "crop_bin": "string", "crop_kind": "string",
     "crop_cx": "double", "crop_cy": "double", "crop_rw": "double", "crop_rh": "double", "crop_aspect_w": "double", "crop_aspect_h": "double",
@@ -80,12 +82,13 @@ def append_hits(hits: DataFrame, path: str) -> None:
 
 
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
-    """Hits of a run from Parquet, or CSV with a header (file or directory)."""
+    """Hits of a run from Parquet, or CSV with a header (file or directory); where markers lie beside, those of committed runs."""
     df = spark.read.option("header", True).option("inferSchema", True).csv(path) if path.endswith(".csv") else spark.read.option("mergeSchema", True).parquet(path)
     missing = [c for c in HIT_REQUIRED if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    return df
+    markers = read_markers(spark, path) if "run" in df.columns else None
+    return df if markers is None else visible(df, markers)
 
 
 def write_index(patches: DataFrame, path: str) -> None:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 #: What tells one hit from another.
@@ -47,20 +48,66 @@ def pending(rows: DataFrame, hits: DataFrame, sig: str, final_k: int, expected:
     return rows.join(completed(hits, sig, final_k, expected), "row_idx", "left_anti")
 
 
+def markers_of(hits: DataFrame, asked: DataFrame, sig: str, run: str) -> DataFrame:
+    """``eval_sig, row_idx, source, run, n_hits``: that a row and source of ``asked`` is done, with however few hits, none included."""
+    n = hits.filter(F.col("eval_sig") == sig).groupBy("row_idx", "source").agg(F.count("*").alias("n"))
+    return asked.select("row_idx", "source").distinct().join(n, ["row_idx", "source"], "left").select(F.lit(sig).alias("eval_sig"), "row_idx", "source", F.lit(run).alias("run"), F.coalesce("n", F.lit(0)).alias("n_hits"))
+
+
+def append_marked(hits: DataFrame, asked: DataFrame, path: str, sig: str, run: str | None = None) -> str:
+    """Hits of ``asked`` rows and sources appended as a run of their own, and then, in ``path.done``, that they are done.
+
+    A run that broke between the two has no markers: its hits are not seen (:func:`visible`), and its
+    rows are pending still.  Nothing that was written before is read, moved or changed.
+    """
+    run = run or uuid.uuid4().hex
+    hits.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(path)
+    spark = hits.sparkSession
+    fresh = spark.read.option("basePath", path).parquet(f"{path}/run={run}") if _exists(spark, f"{path}/run={run}") else hits.limit(0)
+    markers_of(fresh, asked, sig, run).coalesce(1).write.mode("append").parquet(f"{path}.done")
+    return run
+
+
+def read_markers(spark: SparkSession, path: str) -> DataFrame | None:
+    """The markers beside the hits at ``path``; None where there are none."""
+    return spark.read.parquet(f"{path}.done") if _exists(spark, f"{path}.done") else None
+
+
+def visible(hits: DataFrame, markers: DataFrame) -> DataFrame:
+    """``hits`` of the runs that were committed; of runs that did a row twice, the first by name counts."""
+    first = markers.groupBy("eval_sig", "row_idx", "source").agg(F.min("run").alias("run"))
+    return hits.join(first, ["eval_sig", "row_idx", "source", "run"], "left_semi")
+
+
+def completed_marked(markers: DataFrame, sig: str, expected: Sequence[str]) -> DataFrame:
+    """``row_idx`` of rows whose expected sources all have a marker."""
+    done = markers.filter((F.col("eval_sig") == sig) & F.col("source").isin(*expected)).groupBy("row_idx").agg(F.count_distinct("source").alias("n"))
+    return done.filter(F.col("n") == len(set(expected))).select("row_idx")
+
+
+def pending_marked(rows: DataFrame, markers: DataFrame | None, sig: str, expected: Sequence[str]) -> DataFrame:
+    """Rows without a marker for some expected source."""
+    return rows if markers is None else rows.join(completed_marked(markers, sig, expected), "row_idx", "left_anti")
+
+
 def append_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream of hits to Parquet, each (eval_sig, row_idx, source, rank) once, with all that has arrived.
 
-    A repeated batch overwrites its own partition, so restarts leave no copies.  A key that an
-    earlier batch has written is left out; for that the keys of earlier batches are read, no other column.
+    The ranks that a row and source have are kept in the state store, so what was written before is
+    never read again; of hits of one key in a batch the one with the least patch_id stays.  A repeated
+    batch overwrites its own partition, so restarts leave no copies.
     """
+    columns = stream.columns
+
+    def new_ranks(key, parts, state):
+        known = set(state.get[0]) if state.exists else set()
+        came = pd.concat(list(parts)).sort_values(["rank", "patch_id"]).drop_duplicates("rank")
+        kept = came[~came["rank"].isin(known)]
+        state.update((sorted(known | set(kept["rank"].tolist())),))
+        yield kept[columns]
 
     def write(batch: DataFrame, number: int) -> None:
-        once = Window.partitionBy(*HIT_KEY).orderBy("patch_id")
-        kept = batch.withColumn("_r", F.row_number().over(once)).filter("_r = 1").drop("_r")
-        if _exists(batch.sparkSession, path):
-            earlier = batch.sparkSession.read.schema(StructType([*batch.schema.fields, StructField("batch", IntegerType())])).parquet(path).filter(F.col("batch") < number)
-            kept = kept.join(earlier.select(*HIT_KEY), list(HIT_KEY), "left_anti").select(*batch.columns)
-        kept = kept.withColumn("batch", F.lit(number))
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    once = stream.groupBy(*HIT_KEY[:3]).applyInPandasWithState(new_ranks, stream.schema, "ranks array<long>", "append", "NoTimeout")
+    return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
