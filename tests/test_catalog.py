@@ -3,9 +3,9 @@
 import duckdb
 import pytest
 
-from voxelrank import catalog, catalog_parts
+from voxelrank import catalog, catalog_parts, catalog_sources
 
-QUERIES, SQL = {**catalog.QUERIES, **catalog_parts.QUERIES}, {**catalog.SQL, **catalog_parts.SQL}
+QUERIES, SQL = {**catalog.QUERIES, **catalog_parts.QUERIES, **catalog_sources.QUERIES}, {**catalog.SQL, **catalog_parts.SQL, **catalog_sources.SQL}
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -75,6 +75,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--index", required=True)
         p.add_argument("--dataset", required=True)
         p.add_argument("--volumes", nargs="+", default=["plain="], help="name=file; an analytic volume without a file")
+    for p in (index, dataset, ev, train):
+        p.add_argument("--axes", choices=["ijk", "kji"], default="ijk", help="order of a volume file's axes: as stored, or turned")
     for p in (dataset, ev, train):
         p.add_argument("--size", type=int, default=512)
     for p in (index, search, report, dataset, ev, train):
@@ -82,20 +84,19 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def _volume(spark, path: str | None):
-    """A normalised volume: a NIfTI file, or the analytic one."""
+def _volume(spark, path: str | None, axes: str = "ijk"):
+    """A normalised volume: a NIfTI file that tasks open, or the analytic one."""
     if not path:
         return volume.normalise(volume.synthetic_volume())
-    raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    return volume.normalise(tables.parse_nifti(bytes(raw))[0])
+    return volume.normalised_file(spark, path, axes)
 
 
-def _volumes(spark, named: list[str]):
-    return {name: _volume(spark, path) for name, _, path in (n.partition("=") for n in named)}
+def _volumes(spark, named: list[str], axes: str = "ijk"):
+    return {name: _volume(spark, path, axes) for name, _, path in (n.partition("=") for n in named)}
 
 
 def _eval(spark, a) -> None:
-    volumes, rows = _volumes(spark, a.volumes), tables.read_dataset(spark, a.dataset)
+    volumes, rows = _volumes(spark, a.volumes, a.axes), tables.read_dataset(spark, a.dataset)
     rows = rows.filter(F.col("row_idx") < a.limit) if a.limit is not None else rows
     weights = training.load_model(spark, a.model) if a.model else None
     step = max(max(v.shape) for v in volumes.values()) / a.size
@@ -126,7 +127,7 @@ def _search(spark, a) -> None:
 
 
 def _train(spark, a) -> None:
-    volumes, patches = _volumes(spark, a.volumes), tables.read_manifest(spark, a.index)
+    volumes, patches = _volumes(spark, a.volumes, a.axes), tables.read_manifest(spark, a.index)
     vectors = patches.select("patch_id", F.col("embedding").alias("emb"))
     cfg = rerank.RerankerConfig(dim=len(vectors.first()["emb"]), hidden=tuple(a.hidden), epochs=a.epochs)
     hits = tables.read_hits(spark, a.hits).withColumnRenamed("geom_dist_vox", "dist")
@@ -147,7 +148,7 @@ def main(argv: list[str] | None = None) -> None:
         raise SystemExit("overlap must be in [0, 1), the step positive, the margin not negative")
     spark = session()
     if a.what == "index":
-        data = _volume(spark, a.volume)
+        data = _volume(spark, a.volume, a.axes)
         plan = P.slice_plan(P.fibonacci_normals(spark, a.normals), data.shape[::-1], a.depth_step, a.margin)
         grid = P.patch_grid(spark, a.size, tuple(a.scales), a.overlap)
         step = max(data.shape) / a.size
@@ -155,7 +156,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.what == "search":
         _search(spark, a)
     elif a.what == "dataset":
-        data = _volume(spark, a.volume)
+        data = _volume(spark, a.volume, a.axes)
         planes = written(builder.valid_planes(spark, a.planes, data, a.size, max(data.shape) / a.size, seed=a.seed))
         aspects = {kind: tuple(map(float, pair.split(":"))) for kind, pair in (x.split("=") for x in a.aspects)}
         rows = builder.build_dataset(planes, a.seed, aspects).withColumn("vector", F.array("nx", "ny", "nz"))

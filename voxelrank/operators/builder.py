@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxelrank.operators.volume import is_valid, resample
+from voxelrank.operators.volume import is_valid, opened, resample
 from voxelrank.plans.generators import random_crops, random_planes
 
 
@@ -24,7 +24,7 @@ def valid_planes(spark: SparkSession, n: int, volume: np.ndarray, size: int = 64
 
     def test(batches):
         for b in batches:
-            ok = [is_valid(resample(shared.value, {"nx": p["nx"], "ny": p["ny"], "nz": p["nz"], "depth": p["depth"], "rot": p["rotation"], "size_px": size, "step": step})) for p in b.to_dict("records")]
+            ok = [is_valid(resample(opened(shared.value), {"nx": p["nx"], "ny": p["ny"], "nz": p["nz"], "depth": p["depth"], "rot": p["rotation"], "size_px": size, "step": step})) for p in b.to_dict("records")]
             yield b[np.array(ok, bool)]
 
     fine = drawn.mapInPandas(test, drawn.schema).withColumn("slot", F.call_function("div", F.col("plane_id"), F.lit(attempts)))

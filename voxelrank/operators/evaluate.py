@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from voxelrank.functions import geometry as G
 from voxelrank.operators import distance, fusion, rerank, targets, topk
 from voxelrank.operators.images import crop_foreground, embed_views
-from voxelrank.operators.volume import resample
+from voxelrank.operators.volume import opened, resample
 from voxelrank.plans import generators as P
 from voxelrank.session import written
 from voxelrank.streaming import incremental
@@ -67,7 +67,7 @@ def render(posed: DataFrame, volumes: dict[str, np.ndarray], cfg: EvalConfig) ->
         for b in batches:
             for q, source, p in zip(b["query_id"], b["source"], b["query_pose"]):
                 x0, y0, w, h = (int(p[k]) for k in ("x0", "y0", "w", "h"))
-                image = resample(shared.value[source], p)[y0 : y0 + h, x0 : x0 + w]
+                image = resample(opened(shared.value[source]), p)[y0 : y0 + h, x0 : x0 + w]
                 image = crop_foreground(image) if cfg.auto_crop else image
                 yield pd.DataFrame({"query_id": [q], "height": [image.shape[0]], "width": [image.shape[1]], "pixels": [image.astype(np.float32).ravel()]})
 

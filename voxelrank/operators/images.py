@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelrank.operators.encoders import BATCH, encode_all
 from voxelrank.operators.pools import draw
 
 
@@ -86,7 +87,7 @@ def embed_views(images: DataFrame, views: DataFrame, encoder: Callable[[np.ndarr
 
     def run(batches):
         for b in batches:
-            rows = []
+            rows, seen = [], []
             for r in b.to_dict("records"):
                 whole = to_gray(np.asarray(r["pixels"]).reshape(r["height"], r["width"]))
                 parts = [("global", -1, crop_foreground(whole) if auto_crop else whole)]
@@ -96,9 +97,16 @@ def embed_views(images: DataFrame, views: DataFrame, encoder: Callable[[np.ndarr
                 for branch, crop, image in parts:
                     for angle, fx, fy in grid:
                         view = turn(pad_square(image) if pad else image, angle, fx, fy)
-                        rows.append((r["query_id"], at, branch, crop, encoder(view).tolist()))
+                        rows.append((r["query_id"], at, branch, crop))
+                        seen.append(view)
                         at += 1
-            yield pd.DataFrame(rows, columns=["query_id", "view_idx", "branch", "crop_id", "emb"])
+                if len(seen) >= 4 * BATCH:
+                    yield coded(rows, seen)
+                    rows, seen = [], []
+            yield coded(rows, seen)
+
+    def coded(rows, seen):
+        return pd.DataFrame(rows, columns=["query_id", "view_idx", "branch", "crop_id"]).assign(emb=pd.Series(encode_all(encoder, seen), dtype=object))
 
     need = ["query_id", "height", "width", "pixels", *(["crops"] if local else [])]
     return images.select(*need).mapInPandas(run, "query_id long, view_idx int, branch string, crop_id int, emb array<double>")

@@ -10,9 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelrank.operators.distance import _axes
+from voxelrank.operators.encoders import encode_all
+from voxelrank.operators.quantiles import percentiles
+from voxelrank.sources.files import VolumeFile, read_volume, voxels
 
 #: A slice counts if more than this share of it lies above this share of the intensity range.
 VALID_SHARE, VALID_LEVEL = 0.25, 0.10
+#: Patches that wait for the encoder at most.
+BUFFER = 256
 
 
 def synthetic_volume(shape: tuple[int, int, int] = (32, 32, 32)) -> np.ndarray:
@@ -22,6 +27,17 @@ def synthetic_volume(shape: tuple[int, int, int] = (32, 32, 32)) -> np.ndarray:
     return np.where(r2 < 0.8, 0.6 + 0.4 * np.sin(5 * x) * np.cos(4 * y + z), 0.0).astype(np.float32)
 
 
+def opened(volume: np.ndarray | VolumeFile) -> np.ndarray:
+    """The array of a volume; a file is opened where this is called, once for each worker."""
+    return volume.array() if isinstance(volume, VolumeFile) else volume
+
+
+def normalised_file(spark, path: str, axes: str = "ijk", low: float = 0.005, high: float = 0.995) -> VolumeFile:
+    """A volume file whose tasks see it between two of its percentiles, clipped to [0, 1]; executors read its slabs for them."""
+    lo, hi = percentiles(voxels(read_volume(spark, path, axes)), "value", (low, high))
+    return VolumeFile(path, axes, lo, hi)
+
+
 def normalise(volume: np.ndarray, low: float = 0.5, high: float = 99.5) -> np.ndarray:
     lo, hi = np.percentile(volume, [low, high])
     return np.clip((volume - lo) / max(hi - lo, 1e-12), 0, 1).astype(np.float32)
@@ -93,9 +109,10 @@ def build_index(poses: DataFrame, grid: DataFrame, volume: np.ndarray, encoder=N
 
     def run(batches):
         vol, cells = shared.value
+        vol = opened(vol)
         boxes = np.array([c[3:] for c in cells])
         for b in batches:
-            rows = []
+            rows, cuts = [], []
             for p in b.to_dict("records"):
                 image = resample(vol, {**p, "rot": p["rotation"], "size_px": size, "step": step})
                 if not is_valid(image):
@@ -103,8 +120,16 @@ def build_index(poses: DataFrame, grid: DataFrame, volume: np.ndarray, encoder=N
                 for k in np.flatnonzero(fg_ratio_boxes(image, boxes) >= min_fg):
                     s, r, c, x0, y0, x1, y1 = cells[k]
                     pid = ((p["normal_idx"] * 4096 + p["depth_idx"]) * 64 + p["rot_idx"]) * 4096 + int(k)
-                    rows.append((pid, p["normal_idx"], p["depth_idx"], p["rot_idx"], p["nx"], p["ny"], p["nz"], p["depth"], p["rotation"], s, r, c, x0, y0, x1, y1, y1 - y0, x1 - x0, size, *centre(p, x0, y0, x1, y1, vol.shape), encode(image[y0:y1, x0:x1]).tolist()))
-            yield pd.DataFrame(rows, columns=names)
+                    rows.append((pid, p["normal_idx"], p["depth_idx"], p["rot_idx"], p["nx"], p["ny"], p["nz"], p["depth"], p["rotation"], s, r, c, x0, y0, x1, y1, y1 - y0, x1 - x0, size, *centre(p, x0, y0, x1, y1, vol.shape)))
+                    cuts.append(image[y0:y1, x0:x1])
+                if len(cuts) >= BUFFER:
+                    yield coded(rows, cuts)
+                    rows, cuts = [], []
+            yield coded(rows, cuts)
+
+    def coded(rows, cuts):
+        found = pd.DataFrame(rows, columns=names[:-1])
+        return found.assign(embedding=pd.Series(encode_all(encode, cuts), dtype=object))
 
     names = ["patch_id", "normal_idx", "depth_idx", "rot_idx", "normal_x", "normal_y", "normal_z", "depth_vox", "rotation_deg", "scale", "patch_row", "patch_col", "x0", "y0", "x1", "y1", "patch_h", "patch_w", "slice_size_px", "center_x_vox", "center_y_vox", "center_z_vox", "embedding"]
     kinds = ["long"] * 1 + ["int"] * 3 + ["double"] * 5 + ["int"] * 10 + ["double"] * 3 + ["array<double>"]
@@ -122,7 +147,7 @@ def label_counts(poses: DataFrame, labels: np.ndarray, size: int = 64, step: flo
         for b in batches:
             rows = []
             for p in b.to_dict("records"):
-                found, n = np.unique(resample(shared.value, {**p, "rot": p["rotation"], "size_px": size, "step": step}, 0, 0), return_counts=True)
+                found, n = np.unique(resample(opened(shared.value), {**p, "rot": p["rotation"], "size_px": size, "step": step}, 0, 0), return_counts=True)
                 rows += [(p["normal_idx"], p["depth_idx"], p["rot_idx"], int(k), int(c)) for k, c in zip(found, n)]
             yield pd.DataFrame(rows, columns=["normal_idx", "depth_idx", "rot_idx", "label", "n"])
 
@@ -131,9 +156,11 @@ def label_counts(poses: DataFrame, labels: np.ndarray, size: int = 64, step: flo
 
 def percentile_normalise(df: DataFrame, value: str, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """Adds ``normalised``: the value between two percentiles of the table, clipped to [0, 1]."""
-    bounds = df.agg(F.percentile(F.col(value), F.array(F.lit(low), F.lit(high))).alias("_p"))
-    scaled = (F.col(value) - F.col("_p")[0]) / F.greatest(F.col("_p")[1] - F.col("_p")[0], F.lit(1e-12))
-    return df.crossJoin(F.broadcast(bounds)).withColumn("normalised", F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0))).drop("_p")  # one row of bounds
+    lo, hi = percentiles(df, value, (low, high))
+    if lo is None:
+        return df.withColumn("normalised", F.lit(None).cast("double"))
+    scaled = (F.col(value) - F.lit(lo)) / F.lit(max(hi - lo, 1e-12))
+    return df.withColumn("normalised", F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)))
 
 
 def fg_bg_ratio(voxels: DataFrame, value: Column, threshold: float) -> DataFrame:
