@@ -77,6 +77,6 @@ def test_dataset_eval_train(spark, tmp_path):
     assert hits.select("row_idx", "rank", "patch_id").exceptAll(more.select("row_idx", "rank", "patch_id")).count() == 0
     cli.main(["train", *shared, "--hits", at("hits/fast"), "--epochs", "2", "--hidden", "8", "4", "--min-candidates", "3", "--out", at("model")])
     losses = spark.read.option("header", True).csv(at("model/losses"))
-    assert {r.split for r in losses.collect()} == {"train", "val", "test"} and spark.read.option("header", True).csv(at("model/history")).count() == 2
+    assert {r.split for r in losses.collect()} == {"train", "val", "test"} and spark.read.option("header", True).csv(at("model/history")).count() == 3
     cli.main(["eval", *shared, "--final-k", "8", "--k-per-view", "12", "--limit", "1", "--model", at("model/model"), "--out", at("again")])
     assert spark.read.parquet(at("again/fast")).filter("rerank_score IS NULL").count() == 0

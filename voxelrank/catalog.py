@@ -748,7 +748,7 @@ def train_reranker(spark, sf):
     cfg, vectors = rerank.RerankerConfig(dim=64, hidden=(16, 8), epochs=3), index.select("patch_id", F.col("embedding").alias("emb"))
     members, splits = training.prepare(written(hits.withColumnRenamed("geom_dist_vox", "dist").select("row_idx", "source", "patch_id", "rank", "dist")), vectors, cfg)
     lists = written(training.training_lists(members, training.query_vectors(rows, volumes, volume.pooled_encoder(), ev), vectors))
-    weights, _ = training.fit(lists, splits, cfg)
+    weights, _ = training.fit(lambda epoch: lists, splits, cfg)
     return training.list_losses(lists, weights, cfg).join(splits, "row_idx")
 
 

@@ -132,12 +132,14 @@ def _train(spark, a) -> None:
     cfg = rerank.RerankerConfig(dim=len(vectors.first()["emb"]), hidden=tuple(a.hidden), epochs=a.epochs)
     hits = tables.read_hits(spark, a.hits).withColumnRenamed("geom_dist_vox", "dist")
     step = max(max(v.shape) for v in volumes.values()) / a.size
-    queries = written(training.query_vectors(tables.read_dataset(spark, a.dataset), volumes, volume.pooled_encoder(), evaluate.EvalConfig(size_px=a.size, step=step)))
-    members, splits = training.prepare(hits.select("row_idx", "source", "patch_id", "rank", "dist"), vectors, cfg, least=a.min_candidates)
-    lists = written(training.training_lists(members, queries, vectors))
-    weights, history = training.fit(lists, splits, cfg)
+    queries = training.kept_query_vectors(f"{a.out}/vectors", tables.read_dataset(spark, a.dataset), volumes, volume.pooled_encoder(), evaluate.EvalConfig(size_px=a.size, step=step), "pooled-16-64-7")
+    pool = written(hits.select("row_idx", "source", "patch_id", "rank", "dist"))
+    splits = written(training.prepare(pool, vectors, cfg, least=a.min_candidates)[1])
+    draw = lambda epoch: training.training_lists(training.prepare(pool, vectors, cfg, a.min_candidates, epoch)[0], queries, vectors)
+    weights, history = training.fit(draw, splits, cfg)
     training.save_model(spark, weights, f"{a.out}/model")
-    tables.write_csv(spark.createDataFrame(history).coalesce(1), f"{a.out}/history")
+    tables.write_csv(spark.createDataFrame(history, training.HISTORY).coalesce(1), f"{a.out}/history")
+    lists = draw(0)
     losses = training.list_losses(lists, weights, cfg).join(splits, "row_idx").groupBy("split").agg(F.avg("loss").alias("loss"), F.count("*").alias("lists"))
     tables.write_csv(losses, f"{a.out}/losses")
 

@@ -229,40 +229,53 @@ def list_loss(w: dict[str, np.ndarray], example, cfg: RerankerConfig) -> float:
     return rank + cfg.distance_weight * far
 
 
-def train(examples: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], cfg: RerankerConfig, held_out: list | None = None) -> tuple[dict[str, np.ndarray], list[dict]]:
-    """AdamW on lists (query, candidates, soft targets, distance targets); returns the best weights and the history.
-
-    Listwise cross-entropy plus ``distance_weight`` times the distance loss, with dropout; the
-    learning rate falls by ``plateau_factor`` after each ``plateau_patience`` epochs without
-    ``min_delta`` of progress, of which ``patience`` end the training.
+class Descent:
+    """AdamW with a schedule: the rate falls by ``plateau_factor`` after each ``plateau_patience`` epochs without ``min_delta`` of
+    progress, of which ``patience`` end the training; the best weights and the history are kept."""
+
+    def __init__(self, cfg: RerankerConfig):
+        self.cfg, self.w, self.lr, self.t = cfg, init_weights(cfg), cfg.lr, 0
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
+        self.best, self.best_w, self.best_epoch, self.stale, self.history = math.inf, self.w, 0, 0, []
+
+    def step(self, g: dict[str, np.ndarray]) -> None:
+        """One step along a gradient, which is clipped to its greatest length."""
+        size = math.sqrt(sum((x * x).sum() for x in g.values()))
+        self.t += 1
+        for k in self.w.keys() - {"unit"}:
+            gk = g[k] * min(1.0, self.cfg.clip / max(size, 1e-12))
+            self.m[k], self.v[k] = 0.9 * self.m[k] + 0.1 * gk, 0.999 * self.v[k] + 0.001 * gk * gk
+            self.w[k] = self.w[k] - self.lr * (self.m[k] / (1 - 0.9**self.t) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8) + self.cfg.weight_decay * self.w[k])
+
+    def close_epoch(self, epoch: int, parts: dict[str, tuple[float, float]]) -> bool:
+        """Notes the mean losses (cross-entropy, distance) of train and val; False where training is over."""
+        row = {"epoch": epoch, "lr": self.lr}
+        for name, (rank, far) in parts.items():
+            row |= {f"{name}_rank_loss": rank, f"{name}_dist_loss": far, f"{name}_loss": rank + self.cfg.distance_weight * far}
+        self.history.append(row)
+        if row["val_loss"] < self.best - self.cfg.min_delta:
+            self.best, self.best_w, self.best_epoch, self.stale = row["val_loss"], {k: x.copy() for k, x in self.w.items()}, epoch, 0
+            return True
+        self.stale += 1
+        if self.stale % max(self.cfg.plateau_patience, 1) == 0:
+            self.lr = max(self.lr * self.cfg.plateau_factor, self.cfg.least_lr)
+        return self.stale < self.cfg.patience
+
+
+def train(examples: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], cfg: RerankerConfig, held_out: list | None = None, groups=None) -> tuple[dict[str, np.ndarray], list[dict]]:
+    """Training of lists (query, candidates, soft targets, distance targets) that are here; the best weights and the history.
+
+    Listwise cross-entropy plus ``distance_weight`` times the distance loss, with dropout.  ``groups`` gives the
+    mini-batches (places of lists) of an epoch, whose gradients are averaged; each list is one where not given.
     """
-    w = init_weights(cfg)
-    m, v, t, lr = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0, cfg.lr
-    best, best_w, stale, history = math.inf, w, 0, []
-    held_out = held_out or examples
-
+    run, held_out = Descent(cfg), held_out or examples
+    mean = lambda parts: tuple(np.mean(parts, 0).tolist()) if parts else (0.0, 0.0)
     for epoch in range(cfg.epochs):
         seen, rng = [], np.random.default_rng((cfg.seed, epoch))
-        for i in rng.permutation(len(examples)):
-            *value, g = list_parts(w, examples[i], cfg, (cfg.dropout, rng), True)
-            seen.append(value)
-            size = math.sqrt(sum((x * x).sum() for x in g.values()))
-            t += 1
-            for k in w.keys() - {"unit"}:
-                gk = g[k] * min(1.0, cfg.clip / max(size, 1e-12))
-                m[k], v[k] = 0.9 * m[k] + 0.1 * gk, 0.999 * v[k] + 0.001 * gk * gk
-                w[k] = w[k] - lr * (m[k] / (1 - 0.9**t) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8) + cfg.weight_decay * w[k])
-        row = {"epoch": epoch, "lr": lr}
-        for name, parts in (("train", seen), ("val", [list_parts(w, ex, cfg)[:2] for ex in held_out])):
-            rank, far = np.mean(parts, 0).tolist() if parts else (0.0, 0.0)
-            row |= {f"{name}_rank_loss": rank, f"{name}_dist_loss": far, f"{name}_loss": rank + cfg.distance_weight * far}
-        val = row["val_loss"]
-        history.append(row)
-        if val < best - cfg.min_delta:
-            best, best_w, stale = val, {k: x.copy() for k, x in w.items()}, 0
-        else:
-            stale += 1
-            lr = max(lr * cfg.plateau_factor, cfg.least_lr) if stale % max(cfg.plateau_patience, 1) == 0 else lr
-            if stale >= cfg.patience:
-                break
-    return best_w, history
+        for group in groups(epoch) if groups else rng.permutation(len(examples))[:, None]:
+            found = [list_parts(run.w, examples[i], cfg, (cfg.dropout, rng), True) for i in group]
+            seen += [f[:2] for f in found]
+            run.step({k: sum(f[2][k] for f in found) / len(found) for k in found[0][2]})
+        if not run.close_epoch(epoch, {"train": mean(seen), "val": mean([list_parts(run.w, ex, cfg)[:2] for ex in held_out])}):
+            break
+    return run.best_w, run.history

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -9,12 +10,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from voxelrank.functions.numbers import distance_target
 from voxelrank.operators import evaluate, pools, rerank, targets
+from voxelrank.session import scratch, written
+from voxelrank.sources.files import VolumeFile
+from voxelrank.streaming import incremental
 
 #: Temperature of the training targets: divisor and bounds.
 TAU = (4.0, 1.0, 256.0)
+#: Lists of a mini-batch, about.
+BATCH = 512
+HISTORY = "epoch long, lr double, " + ", ".join(f"{s}_{p}loss double" for s in ("train", "val", "test") for p in ("rank_", "dist_", ""))
 
 
 def query_vectors(rows: DataFrame, volumes: dict[str, np.ndarray], encoder: Callable[[np.ndarray], np.ndarray], cfg: evaluate.EvalConfig) -> DataFrame:
@@ -25,6 +33,26 @@ def query_vectors(rows: DataFrame, volumes: dict[str, np.ndarray], encoder: Call
     return posed.select("query_id", "row_idx", "source").join(views.select("query_id", "emb"), "query_id").drop("query_id")
 
 
+def kept_query_vectors(path: str, rows: DataFrame, volumes: dict, encoder: Callable[[np.ndarray], np.ndarray], cfg: evaluate.EvalConfig, encoder_name: str) -> DataFrame:
+    """:func:`query_vectors`, kept below ``path`` and read again while nothing has changed.
+
+    A table is named by a signature of the dataset rows (any order), the volumes, the encoder's name and the configuration;
+    it counts only if it was written to its end and has a vector of one length for each row and source.
+    """
+    spark = rows.sparkSession
+    seen = rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64(F.to_json(F.struct(*sorted(rows.columns)))).cast("decimal(38,0)")).alias("h")).first()
+    marks = {n: repr(v) if isinstance(v, VolumeFile) else [list(v.shape), zlib.crc32(np.ascontiguousarray(v).tobytes())] for n, v in volumes.items()}
+    sig = incremental.signature({"rows": [seen.n, str(seen.h)], "volumes": marks, "encoder": encoder_name, "config": cfg.signature()})
+    place = f"{path}/{sig}"
+    if incremental.exists(spark, f"{place}/_SUCCESS"):
+        kept = spark.read.parquet(place)
+        about = kept.agg(F.count("*").alias("n"), F.count_distinct(F.size("emb")).alias("sizes"), F.count_distinct("row_idx", "source").alias("keys")).first()
+        if about.n == about.keys == seen.n * len(volumes) and about.sizes <= 1:
+            return kept
+    query_vectors(rows, volumes, encoder, cfg).write.mode("overwrite").parquet(place)
+    return spark.read.parquet(place)
+
+
 def training_lists(members: DataFrame, queries: DataFrame, vectors: DataFrame, mode: str = "log1p", clip: float = 256.0) -> DataFrame:
     """``row_idx, source, q, members`` with members (rank, patch_id, c, prob, target) by rank.
 
@@ -41,19 +69,65 @@ def _example(q, members) -> tuple[np.ndarray, ...]:
     return np.asarray(q, float), np.array([m["c"] for m in members], float), np.array([m["prob"] for m in members], float), np.array([m["target"] for m in members], float)
 
 
-def examples(lists: DataFrame, cfg: rerank.RerankerConfig, budget_bytes: int = 256 << 20) -> list[tuple[np.ndarray, ...]]:
-    """Lists for the driver's loop: as many as ``budget_bytes`` of float32 vectors hold, chosen by a fixed hash order."""
-    most = max(1, budget_bytes // (4 * cfg.dim * cfg.list_k))
-    return [_example(r["q"], r["members"]) for r in lists.orderBy(F.xxhash64(F.lit(cfg.seed), "row_idx", "source")).limit(most).collect()]
-
+def _sums(lists: DataFrame, weights: dict[str, np.ndarray], cfg: rerank.RerankerConfig, epoch: int = 0, grad: bool = False) -> tuple[int, tuple[float, float], dict[str, np.ndarray]]:
+    """(lists, sums of both losses, sum of gradients): every partition sums its own lists, and sums meet part by part."""
+    shared = lists.sparkSession.sparkContext.broadcast(weights)
 
-def fit(lists: DataFrame, splits: DataFrame, cfg: rerank.RerankerConfig, budget_bytes: int = 256 << 20) -> tuple[dict[str, np.ndarray], list[dict]]:
-    """Weights of the best epoch and the history, from the lists of ``train`` and ``val`` (see ``examples`` for the bound)."""
-    placed = lists.join(splits, "row_idx")
-    parts = [examples(placed.filter(F.col("split") == s), cfg, budget_bytes) for s in ("train", "val")]
-    if not parts[0]:
-        raise ValueError("no training lists")
-    return rerank.train(parts[0], cfg, parts[1])
+    def run(batches):
+        n, losses, total = 0, np.zeros(2), None
+        for b in batches:
+            for i, s, q, m in zip(b["row_idx"], b["source"], b["q"], b["members"]):
+                rng = np.random.default_rng((cfg.seed, epoch, int(i) & 0xFFFFFFFF, zlib.crc32(s.encode())))
+                *value, g = rerank.list_parts(shared.value, _example(q, m), cfg, (cfg.dropout, rng) if grad else None, grad)
+                n, losses = n + 1, losses + value
+                total = g if total is None else {k: total[k] + g[k] for k in g} if grad else None
+        parts = {"": np.r_[n, losses], **(total or {})}
+        yield pd.DataFrame({"part": list(parts), "v": [np.ravel(x) for x in parts.values()]})
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": group["part"].iloc[:1], "v": [np.sum(np.stack(group["v"]), 0)]})
+
+    rows = lists.select("row_idx", "source", "q", "members").mapInPandas(run, "part string, v array<double>").groupBy("part").applyInPandas(meet, "part string, v array<double>").collect()
+    shared.unpersist()
+    found = {r.part: np.array(r.v) for r in rows}
+    n, *losses = found.pop("", np.zeros(3))
+    return int(n), tuple(losses), {k: v.reshape(weights[k].shape) for k, v in found.items()}
+
+
+def fit(draw: Callable[[int], DataFrame], splits: DataFrame, cfg: rerank.RerankerConfig, batch: int = BATCH) -> tuple[dict[str, np.ndarray], list[dict]]:
+    """Weights of the best epoch and the history, with the losses of ``test`` in its last row.
+
+    ``draw(epoch)`` gives an epoch's training lists, so that each can sample anew; those of epoch 0 serve
+    ``val`` and ``test``.  Lists never reach the driver: a step is a job whose tasks sum the gradients of a mini-batch
+    of about ``batch`` lists, each of which is a folder of the epoch's table.
+    """
+    spark, mean = splits.sparkSession, lambda n, losses: tuple(float(x) / max(n, 1) for x in losses)
+    held = written(draw(0).join(splits.filter("split <> 'train'"), "row_idx"))
+    val, test = held.filter("split = 'val'"), held.filter("split = 'test'")
+    run = rerank.Descent(cfg)
+    for epoch in range(cfg.epochs):
+        drawn = draw(epoch).join(splits.filter("split = 'train'"), "row_idx")
+        many = max(1, -(-drawn.count() // batch))
+        path = scratch(spark)
+        drawn.withColumn("batch", F.pmod(F.xxhash64(F.lit(cfg.seed), F.lit(epoch), "row_idx", "source"), F.lit(many)).cast("int")).write.partitionBy("batch").parquet(path)
+        table, seen, losses = spark.read.schema(StructType([*drawn.schema.fields, StructField("batch", IntegerType())])).parquet(path), 0, np.zeros(2)
+        for k in np.random.default_rng((cfg.seed, epoch)).permutation(many).tolist():
+            n, part, g = _sums(table.filter(F.col("batch") == k), run.w, cfg, epoch, True)
+            if n:
+                run.step({name: x / n for name, x in g.items()})
+                seen, losses = seen + n, losses + part
+        if not seen:
+            raise ValueError("no training lists")
+        n, part, _ = _sums(val, run.w, cfg)
+        means = {"train": mean(seen, losses), "val": mean(n, part) if n else mean(seen, losses)}
+        if not run.close_epoch(epoch, means):
+            break
+    n, part, _ = _sums(test, run.best_w, cfg)
+    rank, far = mean(n, part)
+    tested = {"test_rank_loss": rank, "test_dist_loss": far, "test_loss": rank + cfg.distance_weight * far} if n else {}
+    blank = dict.fromkeys(("test_rank_loss", "test_dist_loss", "test_loss"))
+    last = {**dict.fromkeys(run.history[0]), "epoch": run.best_epoch, **blank, **tested}
+    return run.best_w, [{**row, **blank} for row in run.history] + [last]
 
 
 def list_losses(lists: DataFrame, weights: dict[str, np.ndarray], cfg: rerank.RerankerConfig) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 HIT_KEY = ("eval_sig", "row_idx", "source", "rank")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
@@ -63,14 +63,14 @@ def append_marked(hits: DataFrame, asked: DataFrame, path: str, sig: str, run: s
     run = run or uuid.uuid4().hex
     hits.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(path)
     spark = hits.sparkSession
-    fresh = spark.read.option("basePath", path).parquet(f"{path}/run={run}") if _exists(spark, f"{path}/run={run}") else hits.limit(0)
+    fresh = spark.read.option("basePath", path).parquet(f"{path}/run={run}") if exists(spark, f"{path}/run={run}") else hits.limit(0)
     markers_of(fresh, asked, sig, run).coalesce(1).write.mode("append").parquet(f"{path}.done")
     return run
 
 
 def read_markers(spark: SparkSession, path: str) -> DataFrame | None:
     """The markers beside the hits at ``path``; None where there are none."""
-    return spark.read.parquet(f"{path}.done") if _exists(spark, f"{path}.done") else None
+    return spark.read.parquet(f"{path}.done") if exists(spark, f"{path}.done") else None
 
 
 def visible(hits: DataFrame, markers: DataFrame) -> DataFrame:
