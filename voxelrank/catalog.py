@@ -41,6 +41,11 @@ def _t(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _many(spark, sf):
+    """As many directions as there are embeddings."""
+    return _t(spark, sf, "embeddings").count()
+
+
 def _r(c, digits=6):
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
@@ -483,42 +488,46 @@ def stream_averages(spark, sf):
 
 
 # ---------------------------------------------------------------- generators
-@_query(f"SELECT i AS normal_idx, round(sqrt(1 - z * z) * cos(th) / n, 6) AS nx, round(sqrt(1 - z * z) * sin(th) / n, 6) AS ny, round(z / n, 6) AS nz FROM (SELECT i, z, th, sqrt((1 - z * z) * cos(th) * cos(th) + (1 - z * z) * sin(th) * sin(th) + z * z) AS n FROM (SELECT i, 1 - 2 * (i + 0.5::DOUBLE) / 64 AS z, 2 * pi() * (i + 0.5::DOUBLE) / {P.GOLDEN!r}::DOUBLE AS th FROM range(64) t(i)))")
+@_query(f"SELECT i AS normal_idx, round(sqrt(1 - z * z) * cos(th) / n, 6) AS nx, round(sqrt(1 - z * z) * sin(th) / n, 6) AS ny, round(z / n, 6) AS nz FROM (SELECT i, z, th, sqrt((1 - z * z) * cos(th) * cos(th) + (1 - z * z) * sin(th) * sin(th) + z * z) AS n FROM (SELECT i, 1 - 2 * (i + 0.5::DOUBLE) / (SELECT count(*) FROM embeddings) AS z, 2 * pi() * (i + 0.5::DOUBLE) / {P.GOLDEN!r}::DOUBLE AS th FROM range((SELECT count(*) FROM embeddings)) t(i)))")
 def fibonacci_normals(spark, sf):
-    return P.fibonacci_normals(spark, 64).select("normal_idx", *(_r(c).alias(c) for c in ("nx", "ny", "nz")))
+    return P.fibonacci_normals(spark, _many(spark, sf)).select("normal_idx", *(_r(c).alias(c) for c in ("nx", "ny", "nz")))
 
 
-_FIB = f"fib AS (SELECT i AS normal_idx, sqrt(1 - z * z) * cos(th) AS nx, sqrt(1 - z * z) * sin(th) AS ny, z AS nz FROM (SELECT i, 1 - 2 * (i + 0.5::DOUBLE) / 16 AS z, 2 * pi() * (i + 0.5::DOUBLE) / {P.GOLDEN!r}::DOUBLE AS th FROM range(16) t(i))), half AS (SELECT *, abs(nx) * 9.5::DOUBLE + abs(ny) * 14.5::DOUBLE + abs(nz) * 19.5::DOUBLE AS hd FROM fib)"
+_FIB = f"fib AS (SELECT i AS normal_idx, sqrt(1 - z * z) * cos(th) AS nx, sqrt(1 - z * z) * sin(th) AS ny, z AS nz FROM (SELECT i, 1 - 2 * (i + 0.5::DOUBLE) / (SELECT count(*) FROM embeddings) AS z, 2 * pi() * (i + 0.5::DOUBLE) / {P.GOLDEN!r}::DOUBLE AS th FROM range((SELECT count(*) FROM embeddings)) t(i))), half AS (SELECT *, abs(nx) * 9.5::DOUBLE + abs(ny) * 14.5::DOUBLE + abs(nz) * 19.5::DOUBLE AS hd FROM fib)"
 
 
 @_query(f"WITH {_FIB}, d AS (SELECT *, unnest(range(0, CAST(floor((2 * hd - 2) / 2.5::DOUBLE) AS BIGINT) + 1)) AS depth_idx FROM half) SELECT normal_idx, depth_idx, round(-hd + 1 + depth_idx * 2.5::DOUBLE, 6) AS depth FROM d")
 def depth_schedule(spark, sf):
-    return P.slice_plan(P.fibonacci_normals(spark, 16), (20, 30, 40), 2.5, 1.0).select("normal_idx", F.col("depth_idx").cast("long").alias("depth_idx"), _r("depth").alias("depth"))
+    return P.slice_plan(P.fibonacci_normals(spark, _many(spark, sf)), (20, 30, 40), 2.5, 1.0).select("normal_idx", F.col("depth_idx").cast("long").alias("depth_idx"), _r("depth").alias("depth"))
 
 
 @_query(f"WITH {_FIB} SELECT normal_idx, i AS depth_idx, abs(round(-hd + i * 2 * hd / 6, 6)) * sign(round(-hd + i * 2 * hd / 6, 6)) AS depth FROM half, range(7) t(i)")
 def depth_linspace(spark, sf):
     half = G.depth_bounds(G.vec(F.col("nx"), F.col("ny"), F.col("nz")), (20, 30, 40))
-    laid = P.fibonacci_normals(spark, 16).select("normal_idx", F.posexplode(P.depths_linspace(-half, half, 7)).alias("depth_idx", "depth"))
+    laid = P.fibonacci_normals(spark, _many(spark, sf)).select("normal_idx", F.posexplode(P.depths_linspace(-half, half, 7)).alias("depth_idx", "depth"))
     return laid.select("normal_idx", F.col("depth_idx").cast("long").alias("depth_idx"), _r("depth").alias("depth"))
 
 
 @_query(f"WITH {_FIB} SELECT CAST(sum((CAST(floor((2 * hd - 2) / 2.5::DOUBLE) AS BIGINT) + 1) * 3) AS BIGINT) AS n_slices FROM half")
 def slice_plan_count(spark, sf):
-    return P.slice_count(P.fibonacci_normals(spark, 16), (20, 30, 40), 2.5, 1.0, 3)
+    return P.slice_count(P.fibonacci_normals(spark, _many(spark, sf)), (20, 30, 40), 2.5, 1.0, 3)
 
 
 @_query(f"WITH {_FIB}, d AS (SELECT *, unnest(range(0, CAST(floor((2 * hd - 2) / 2.5::DOUBLE) AS BIGINT) + 1)) AS depth_idx FROM half) SELECT normal_idx, depth_idx, r AS rot_idx, r * 45.0::DOUBLE AS rotation FROM d, range(3) t(r)")
 def slice_plan(spark, sf):
-    plan = P.slice_plan(P.fibonacci_normals(spark, 16), (20, 30, 40), 2.5, 1.0, (0.0, 45.0, 90.0))
+    plan = P.slice_plan(P.fibonacci_normals(spark, _many(spark, sf)), (20, 30, 40), 2.5, 1.0, (0.0, 45.0, 90.0))
     return plan.select("normal_idx", F.col("depth_idx").cast("long").alias("depth_idx"), F.col("rot_idx").cast("long").alias("rot_idx"), "rotation")
 
 
-@_query("""WITH s AS (SELECT scale, CAST(round_even(512.0::DOUBLE / scale, 0) AS BIGINT) AS w FROM (VALUES (1), (2), (4)) t(scale)), p AS (SELECT *, greatest(1, CAST(round_even(w * 0.75::DOUBLE, 0) AS BIGINT)) AS st FROM s), n AS (SELECT *, (512 - w) // st AS n FROM p)
-SELECT CAST(scale AS BIGINT) AS scale, r AS patch_row, c AS patch_col, c * st AS x0, r * st AS y0, c * st + w AS x1, r * st + w AS y1 FROM n, range(20) a(r), range(20) b(c) WHERE r <= n AND c <= n""")
+@_query("""WITH s AS (SELECT scale, CAST(round_even(512.0::DOUBLE / scale, 0) AS BIGINT) AS w FROM (VALUES (1), (2), (4)) t(scale)), p AS (SELECT *, greatest(1, CAST(round_even(w * 0.75::DOUBLE, 0) AS BIGINT)) AS st FROM s), n AS (SELECT *, (512 - w) // st AS n FROM p),
+g AS (SELECT scale, r AS patch_row, c AS patch_col, c * st AS x0, r * st AS y0, c * st + w AS x1, r * st + w AS y1 FROM n, range(20) a(r), range(20) b(c) WHERE r <= n AND c <= n)
+SELECT o_orderkey, CAST(scale AS BIGINT) AS scale, patch_row, patch_col, x0, y0, x1, y1 FROM orders JOIN g ON o_orderkey * 7 % 512 >= x0 AND o_orderkey * 7 % 512 < x1 AND o_custkey * 13 % 512 >= y0 AND o_custkey * 13 % 512 < y1""")
 def patch_grid(spark, sf):
+    """Orders as points of a slice, and the patches that hold each."""
     g = P.patch_grid(spark, 512, (1, 2, 4), 0.25)
-    return g.select(*(F.col(c).cast("long").alias(c) for c in g.columns))
+    g = g.select(*(F.col(c).cast("long").alias(c) for c in g.columns))
+    points = _t(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") * 7 % 512).alias("x"), (F.col("o_custkey") * 13 % 512).alias("y"))
+    return points.join(F.broadcast(g), F.col("x").between(F.col("x0"), F.col("x1") - 1) & F.col("y").between(F.col("y0"), F.col("y1") - 1)).drop("x", "y")
 
 
 _STARTS = "st AS (SELECT o_orderkey AS id, o_orderkey % 900 + 100 AS total, o_orderkey % 90 + 30 AS win FROM orders), sp AS (SELECT *, greatest(1, CAST(round_even(win * 0.5::DOUBLE, 0) AS BIGINT)) AS step FROM st), ss AS (SELECT *, CASE WHEN total - win <= 0 THEN [0] ELSE list_sort(list_distinct(list_append(range(0, total - win + 1, step), total - win))) END AS starts FROM sp)"
@@ -549,14 +558,17 @@ def local_crop_boxes(spark, sf):
     return got.select(*(F.col(c).cast("long").alias(c) for c in got.columns))
 
 
-@_query("SELECT i AS view_idx, (i // 4) * 90.0::DOUBLE AS angle, (i // 2) % 2 = 1 AS flip_x, i % 2 = 1 AS flip_y FROM range(16) t(i)")
+@_query("SELECT vec_id, i AS view_idx, (i // 4) * 90.0::DOUBLE AS angle, (i // 2) % 2 = 1 AS flip_x, i % 2 = 1 AS flip_y FROM embeddings, range(16) t(i)")
 def view_expansion(spark, sf):
-    return P.view_grid(spark, flip_y=True).withColumn("view_idx", F.col("view_idx").cast("long"))
+    grid = P.view_grid(spark, flip_y=True).withColumn("view_idx", F.col("view_idx").cast("long"))
+    asked = _t(spark, sf, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("view_idx"))
+    return asked.join(F.broadcast(grid), "view_idx")
 
 
 @_query()
 def crop_sampler(spark, sf):
-    return P.random_crops(P.random_planes(spark, 50, (64, 64, 64)))
+    """Nine crops of each image; an embedding stands for one."""
+    return P.random_crops(_t(spark, sf, "embeddings").select(F.col("vec_id").alias("plane_id")))
 
 
 # ---------------------------------------------------------------- geometry
@@ -663,7 +675,7 @@ def dataset_parse(spark, sf):
 @_query()
 def patch_index_build(spark, sf):
     plan = P.slice_plan(P.fibonacci_normals(spark, 8), (20, 20, 20), 6.0, 2.0)
-    return volume.build_index(plan, P.patch_grid(spark, 64, (1, 2), 0.25), volume.normalise(volume.synthetic_volume())).drop("embedding")
+    return volume.build_index(plan, P.patch_grid(spark, 64, (1, 2), 0.25), _volume(spark, sf)).drop("embedding")
 
 
 # ---------------------------------------------------------------- compressed index, images, evaluation, training
@@ -715,22 +727,35 @@ def depth_bounds(spark, sf):
   SELECT k AS normal_idx, CASE k WHEN 0 THEN 1 ELSE 0 END AS x, CASE k WHEN 1 THEN 1 ELSE 0 END AS y, CASE k WHEN 2 THEN 1 ELSE 0 END AS z FROM range(3) t(k)
   UNION ALL SELECT 3 + ((a.s + 1) // 2 * 2 + (b.s + 1) // 2) * 3 + k, CASE k WHEN 2 THEN 0 ELSE a.s END, CASE k WHEN 0 THEN b.s WHEN 1 THEN 0 ELSE a.s END, CASE k WHEN 0 THEN 0 ELSE b.s END FROM s a, s b, range(3) t(k)
   UNION ALL SELECT 15 + (a.s + 1) // 2 * 4 + (b.s + 1) // 2 * 2 + (c.s + 1) // 2, a.s, b.s, c.s FROM s a, s b, s c)
-SELECT CAST(normal_idx AS BIGINT) AS normal_idx, round(x / sqrt(x * x + y * y + z * z), 6) AS nx, round(y / sqrt(x * x + y * y + z * z), 6) AS ny, round(z / sqrt(x * x + y * y + z * z), 6) AS nz FROM raw""")
+SELECT s_suppkey, CAST(normal_idx AS BIGINT) AS normal_idx, round(x / sqrt(x * x + y * y + z * z), 6) AS nx, round(y / sqrt(x * x + y * y + z * z), 6) AS ny, round(z / sqrt(x * x + y * y + z * z), 6) AS nz FROM supplier JOIN raw ON normal_idx = s_suppkey % 23""")
 def axis_normals(spark, sf):
-    return P.axis_normals(spark, diagonals=True).select("normal_idx", *(_r(c).alias(c) for c in ("nx", "ny", "nz")))
+    """Each supplier's of the 23 directions."""
+    every = P.axis_normals(spark, diagonals=True).withColumn("normal_idx", F.col("normal_idx").cast("long"))
+    own = _t(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 23).alias("normal_idx"))
+    return own.join(F.broadcast(every), "normal_idx").select("s_suppkey", "normal_idx", *(_r(c).alias(c) for c in ("nx", "ny", "nz")))
+
+
+def _counted(spark, sf):
+    """How many line items fall into each of 16 x 16 x 16 cells by their keys; 4096 counts reach the driver."""
+    cell = sum(F.pmod(F.col(c), F.lit(16)) * w for c, w in (("l_orderkey", 256), ("l_partkey", 16), ("l_suppkey", 1)))
+    found = np.zeros(4096)
+    for r in _t(spark, sf, "lineitem").groupBy(cell.cast("int").alias("cell")).agg(F.count("*").alias("n")).collect():
+        found[r.cell] = r.n
+    return found.reshape(16, 16, 16)
 
 
-def _volume():
-    return volume.normalise(volume.synthetic_volume())
+def _volume(spark, sf):
+    """The counts as a volume of 32 x 32 x 32 voxels."""
+    return volume.normalise(np.kron(_counted(spark, sf), np.ones((2, 2, 2))))
 
 
 @_query()
 def dataset_build(spark, sf):
-    return builder.build_dataset(builder.valid_planes(spark, 3, _volume(), 32, 1.0))
+    return builder.build_dataset(builder.valid_planes(spark, 3, _volume(spark, sf), 32, 1.0))
 
 
-def _evaluated(spark):
-    v = _volume()
+def _evaluated(spark, sf):
+    v = _volume(spark, sf)
     index = written(volume.build_index(P.slice_plan(P.fibonacci_normals(spark, 12), (32, 32, 32), 5.0, 2.0), P.patch_grid(spark, 32, (1, 2), 0.25), v, size=32, step=1.0))
     rows = written(builder.build_dataset(builder.valid_planes(spark, 3, v, 32, 1.0)).withColumn("vector", F.array("nx", "ny", "nz")))
     cfg = evaluate.EvalConfig(size_px=32, flip_y=False, local="auto", final_k=20, grid=8)
@@ -739,17 +764,19 @@ def _evaluated(spark):
 
 @_query()
 def evaluate_hits(spark, sf):
-    return _evaluated(spark)[4]
+    return _evaluated(spark, sf)[4]
 
 
 @_query()
 def train_reranker(spark, sf):
-    rows, volumes, index, ev, hits = _evaluated(spark)
-    cfg, vectors = rerank.RerankerConfig(dim=64, hidden=(16, 8), epochs=3), index.select("patch_id", F.col("embedding").alias("emb"))
-    members, splits = training.prepare(written(hits.withColumnRenamed("geom_dist_vox", "dist").select("row_idx", "source", "patch_id", "rank", "dist")), vectors, cfg)
-    lists = written(training.training_lists(members, training.query_vectors(rows, volumes, volume.pooled_encoder(), ev), vectors))
-    weights, _ = training.fit(lambda epoch: lists, splits, cfg)
-    return training.list_losses(lists, weights, cfg).join(splits, "row_idx")
+    """The re-ranker fitted on the hits of the fused search, over the embeddings; losses of all lists."""
+    cfg, vectors = rerank.RerankerConfig(dim=DIM, hidden=(16, 8), epochs=3), _vectors(spark, sf).select("patch_id", "emb")
+    hits = written(_hits(spark, sf).select("row_idx", "source", "patch_id", "rank", "dist"))
+    queries = hits.select("row_idx", "source").distinct().join(vectors.withColumnRenamed("patch_id", "row_idx"), "row_idx")
+    splits = written(training.prepare(hits, vectors, cfg)[1])
+    draw = lambda epoch: training.training_lists(training.prepare(hits, vectors, cfg, epoch=epoch)[0], queries, vectors)
+    weights, _ = training.fit(draw, splits, cfg)
+    return training.list_losses(draw(0), weights, cfg).join(splits, "row_idx")
 
 
 def _orientation_sql():
@@ -779,7 +806,8 @@ def row_sample(spark, sf):
 
 @_query()
 def slice_foreground(spark, sf):
-    labels = (volume.synthetic_volume() > 0).astype("int32")
+    counts = np.kron(_counted(spark, sf), np.ones((2, 2, 2)))
+    labels = (counts > np.median(counts)).astype("int32")
     return registration.slice_statistics(registration.slice_foreground(spark, labels, 40, 32))
 
 

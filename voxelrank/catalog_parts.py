@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from voxelrank.catalog import _FIB, _HITS, DIM, THRESHOLDS, _hits, _labelled, _manifest, _r, _t, _vectors
+from voxelrank.catalog import _FIB, _HITS, DIM, THRESHOLDS, _hits, _labelled, _manifest, _many, _r, _t, _vectors
 from voxelrank.functions import vectors as V
 from voxelrank.operators import fusion, images, metrics, pools, volume
 from voxelrank.plans import generators as P
@@ -26,11 +26,11 @@ def _query(sql: str):
 
 
 # ---------------------------------------------------------------- plans
-@_query(f"""WITH t AS (SELECT i, 1 - 2 * (i + 0.5::DOUBLE) / 33 AS z, 2 * pi() * (i + 0.5::DOUBLE) / {P.GOLDEN!r}::DOUBLE AS th FROM range(33) r(i))
+@_query(f"""WITH t AS (SELECT i, 1 - 2 * (i + 0.5::DOUBLE) / (SELECT count(*) FROM embeddings) AS z, 2 * pi() * (i + 0.5::DOUBLE) / {P.GOLDEN!r}::DOUBLE AS th FROM range((SELECT count(*) FROM embeddings)) r(i))
 SELECT i AS normal_idx, round(sqrt(1 - z * z) * cos(th), 6) AS nx, round(sqrt(1 - z * z) * sin(th), 6) AS ny, round(z, 6) + 0.0 AS nz FROM t""")
 def all_normals(spark, sf):
     """Directions without the removal of equal ones."""
-    return P.fibonacci_normals(spark, 33, distinct=False).select("normal_idx", *((_r(c) + F.lit(0.0)).alias(c) for c in ("nx", "ny", "nz")))
+    return P.fibonacci_normals(spark, _many(spark, sf), distinct=False).select("normal_idx", *((_r(c) + F.lit(0.0)).alias(c) for c in ("nx", "ny", "nz")))
 
 
 @_query(f"""WITH {_FIB}, s AS (SELECT CAST(sum((CAST(floor((2 * hd - 2) / 2.5::DOUBLE) AS BIGINT) + 1) * 3) AS BIGINT) AS n FROM half),
@@ -38,7 +38,7 @@ g AS (SELECT scale, CAST(round_even(512.0::DOUBLE / scale, 0) AS BIGINT) AS w FR
 h AS (SELECT scale, (512 - w) // greatest(1, CAST(round_even(w * 0.75::DOUBLE, 0) AS BIGINT)) + 1 AS k FROM g)
 SELECT CAST(scale AS BIGINT) AS scale, CAST(k * k AS BIGINT) AS per_slice, CAST(k * k * n AS BIGINT) AS n_patches FROM h, s""")
 def patch_count(spark, sf):
-    slices = P.slice_count(P.fibonacci_normals(spark, 16), (20, 30, 40), 2.5, 1.0, 3)
+    slices = P.slice_count(P.fibonacci_normals(spark, _many(spark, sf)), (20, 30, 40), 2.5, 1.0, 3)
     return P.patch_count(slices, P.patch_grid(spark, 512, (1, 2, 4), 0.25)).withColumn("scale", F.col("scale").cast("long"))
 
 
