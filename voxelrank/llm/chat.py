@@ -30,9 +30,11 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFram
     """``conv_id, chunk, text, loss``: the output of each conversation in consecutive chunks.
 
     ``loss`` holds [start, end) in code points of the whole output under generation markers.  Rows
-    come by turn (null first), ties by role and text; null roles and texts are empty; rows of a null
-    id make one conversation; an empty table gives no rows.  A conversation's rows stream through
-    one task in sorted order, holding one chunk at a time, so its length is not bounded by memory.
+    come by turn (null first), ties by role and text; null roles and texts are empty; rows that repeat
+    are turns each; rows of a null id make one conversation; an empty table gives no rows; other
+    columns, of any name, are ignored.  A conversation's rows stream through one task in sorted order,
+    holding one chunk at a time, so its length is not bounded by memory; a turn that is longer than
+    CHUNK is one row of output as it is, as turns are not cut.
     """
 
     def run(batches):

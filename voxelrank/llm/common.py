@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[object, str]] = []
+from voxelrank.session import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,41 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only in local mode where unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    found = "file://" + tempfile.mkdtemp(prefix="voxelrank-")
-    spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def materialise(df: DataFrame, rows_of_file: int = 0) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, lost executors don't matter.
 
-    ``rows_of_file`` bounds the rows of a file, for rows that are large.  The files stay until the driver process ends, as later reads need them.
+    ``rows_of_file`` bounds the rows of a file, for rows that are large.  The files stay until the driver
+    process ends, as later reads need them.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/voxelrank-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.option("maxRecordsPerFile", rows_of_file).parquet(path)
-    if not _written:
-        atexit.register(_clean)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _clean() -> None:
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session may be gone already
-            return
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def whole_text(col: str = "text"):
