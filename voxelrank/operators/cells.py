@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from voxelrank.session import written
 
 #: Cells at most; vectors for each cell that fit them at most; rounds of fitting at most.
-CELLS, FITTED, ROUNDS = 65_536, 64, 12
+CELLS, FITTED, ROUNDS = 65_536, 64, 8
 
 
 def cell_count(n: int) -> int:
@@ -45,10 +45,16 @@ def fit_cells(vectors: DataFrame, cells: int, fitted: int = FITTED, rounds: int
             some = np.flatnonzero(n)
             yield pd.DataFrame({"cell": some, "n": n[some], "total": list(total[some])})
 
-        def meet(part: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"cell": part["cell"].iloc[:1], "centre": [np.stack(part["total"]).sum(0) / part["n"].sum()]})
+        def meet(batches):
+            parts = [b for b in batches if len(b)]
+            if parts:  # all sums of a cell are here: as many rows as partitions, for each of this task's cells
+                part = pd.concat(parts)
+                cell, at = np.unique(part["cell"].to_numpy(), return_inverse=True)
+                total, n = np.zeros((len(cell), len(part["total"].iloc[0]))), np.bincount(at, part["n"])
+                np.add.at(total, at, np.stack(part["total"]))
+                yield pd.DataFrame({"cell": cell, "centre": list(total / n[:, None])})
 
-        moved = sample.select("emb").mapInPandas(sums, "cell int, n long, total array<double>").groupBy("cell").applyInPandas(meet, "cell int, centre array<double>").collect()
+        moved = sample.select("emb").mapInPandas(sums, "cell int, n long, total array<double>").repartition("cell").mapInPandas(meet, "cell int, centre array<double>").collect()
         new = centres.copy()
         for r in moved:
             new[r.cell] = r.centre

@@ -22,8 +22,8 @@ from voxelrank.operators.cells import cell_count, fit_cells, nearest_cells
 from voxelrank.operators.topk import choose_index, list_topk, ranked, vector_topk
 from voxelrank.session import written
 
-#: Folders of cells at most; cells that hold a vector; share of the cells that a search probes.
-SHARDS, COPIES, PROBED = 4096, 2, 3 / 16
+#: Folders of cells at least (if there are so many cells) and at most, vectors for each of more; cells that hold a vector; share of the cells that a search probes.
+FEW_SHARDS, SHARDS, SHARD, COPIES, PROBED = 64, 4096, 20_000, 2, 3 / 16
 
 
 @dataclass(frozen=True)
@@ -40,6 +40,8 @@ class Index:
 
     def vectors(self, spark: SparkSession) -> DataFrame:
         """``patch_id, emb, cell, first, shard``; ``first`` marks one of a vector's copies."""
+        if not self.n:  # nothing was written
+            return spark.createDataFrame([], "patch_id long, emb array<double>, cell int, first boolean, shard int")
         return spark.read.parquet(f"{self.path}/vectors").filter(F.col("batch").isin(*self.batches)).drop("batch")
 
     def outgrown(self) -> bool:
@@ -82,7 +84,7 @@ def _write(index: Index, vectors: DataFrame, centres: np.ndarray | None, batch:
     if index.kind == "ivfpq":
         laid = quantise.with_codes(laid, _quantiser(vectors.sparkSession, index))
     if centres is not None:
-        laid = laid.repartition("shard", F.pmod(F.xxhash64("patch_id"), F.lit(8))).sortWithinPartitions("shard", "cell")  # a file holds few shards; a large one is several files
+        laid = laid.hint("rebalance", "shard").sortWithinPartitions("shard", "cell")  # few shards in a file, a large shard in several
     laid.write.mode("append").partitionBy("batch", "shard").parquet(f"{index.path}/vectors")
 
 
@@ -103,11 +105,12 @@ def build_index(vectors: DataFrame, path: str, kind: str = "auto", cells: int |
         raise FileExistsError(f"an index is at {path} already")
     first = vectors.select(F.count("*").alias("n"), F.max(F.size("emb")).alias("dim")).first()
     kind, batch = choose_index(first.n, kind), uuid.uuid4().hex
+    kind = kind if first.n else "flat"  # no vectors, no cells or links
     split = kind in ("ivf", "ivfpq")
     many = (cells or cell_count(first.n)) if split else 1
     centres = fit_cells(vectors, many) if split else None
     many = len(centres) if split else 1
-    index = Index(path, 1, kind, first.n, first.dim or 0, many, -(-many // SHARDS), copies if split else 1, (batch,))
+    index = Index(path, 1, kind, first.n, first.dim or 0, many, -(-many // min(SHARDS, max(FEW_SHARDS, first.n // SHARD))), copies if split else 1, (batch,))
     if split:
         spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.parquet(f"{path}/cells")
     if kind == "ivfpq":
