@@ -30,6 +30,8 @@ def fit_cells(vectors: DataFrame, cells: int, fitted: int = FITTED, rounds: int
     share = cells * fitted / max(vectors.count(), 1)
     sample = written(slim if share >= 1 else slim.filter(F.pmod(F.col("h"), F.lit(1_000_000)) < int(share * 1_000_000)))
     centres = np.array([r.emb for r in sample.orderBy("h").limit(cells).select("emb").collect()], float)
+    if not len(centres):
+        raise ValueError("no vectors to fit cells on")
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(centres)
 
@@ -43,7 +45,8 @@ def fit_cells(vectors: DataFrame, cells: int, fitted: int = FITTED, rounds: int
                     np.add.at(total, near, x)
                     n += np.bincount(near, minlength=len(c))
             some = np.flatnonzero(n)
-            yield pd.DataFrame({"cell": some, "n": n[some], "total": list(total[some])})
+            if len(some):
+                yield pd.DataFrame({"cell": some, "n": n[some], "total": list(total[some])})
 
         def meet(batches):
             parts = [b for b in batches if len(b)]
