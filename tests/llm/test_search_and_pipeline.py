@@ -68,7 +68,7 @@ def test_small_blocks_give_the_same(spark, monkeypatch):
 
 def test_sql(spark):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in queries.SQL.items():
         want = con.execute(sql)
