@@ -22,8 +22,8 @@ def test_views_of_images(spark):
     got = images.embed_views(df, view_grid(spark), volume.pooled_encoder(8)).orderBy("view_idx").collect()
     assert [(r.view_idx, r.branch) for r in got] == [(i, "global" if i < 8 else "local") for i in range(16)]
     assert all(abs(sum(x * x for x in r.emb) - 1) < 1e-9 for r in got)
-    paths = spark.range(1).select(images.patch_path(F.lit(12)).alias("p"), images.first_path(F.lit(None).cast("string"), F.lit(" "), F.lit("x")).alias("q")).first()
-    assert paths.p == "patches/00000012.png" and paths.q == "x"
+    paths = spark.range(1).select(images.patch_path(F.lit(12)).alias("p"), images.patch_path(F.lit(2148007937)).alias("long"), images.first_path(F.lit(None).cast("string"), F.lit(" "), F.lit("x")).alias("q")).first()
+    assert paths.p == "patches/00000012.png" and paths.long == "patches/2148007937.png" and paths.q == "x"
 
 
 def test_dataset_builder(spark):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from voxelrank.functions import geometry as G
 from voxelrank.functions import numbers as N
 from voxelrank.functions import vectors as V
-from voxelrank.operators import builder, distance, evaluate, fusion, images, metrics, pools, registration, rerank, targets, topk, training, vector_index, volume
+from voxelrank.operators import builder, distance, evaluate, fusion, grids, images, metrics, pools, registration, rerank, targets, topk, training, vector_index, volume
 from voxelrank.plans import generators as P
 from voxelrank.session import scratch, written
 from voxelrank.sources import png, tables
@@ -568,7 +568,7 @@ def view_expansion(spark, sf):
 @_query()
 def crop_sampler(spark, sf):
     """Nine crops of each image; an embedding stands for one."""
-    return P.random_crops(_t(spark, sf, "embeddings").select(F.col("vec_id").alias("plane_id")))
+    return P.random_crops(_t(spark, sf, "embeddings").select(F.col("vec_id").alias("plane_id"))).drop("attempt")
 
 
 # ---------------------------------------------------------------- geometry
@@ -781,22 +781,23 @@ def train_reranker(spark, sf):
 
 def _orientation_sql():
     perms = [f"[{a}, {b}, {3 - a - b}]" for a in range(3) for b in range(3) if a != b]
-    at = lambda j: f"CASE WHEN f[{j}] = 1 THEN s{j} - 1 - i{j} ELSE i{j} END"
-    axis = lambda t: " ".join(["CASE", *(f"WHEN p[{j}] = {t} THEN {at(j)}" for j in (1, 2, 3)), "END"])
-    return f"""WITH o AS (SELECT p, [a, b, c] AS f, [9, 8, 10][p[1] + 1] AS s1, [9, 8, 10][p[2] + 1] AS s2, [9, 8, 10][p[3] + 1] AS s3 FROM (SELECT unnest([{", ".join(perms)}]) AS p), range(2) x(a), range(2) y(b), range(2) z(c)),
-c AS (SELECT *, unnest(range(0, least(8, s1), 2)) AS i1 FROM o), d AS (SELECT *, unnest(range(0, least(9, s2), 2)) AS i2 FROM c), e AS (SELECT *, unnest(range(0, least(10, s3), 2)) AS i3 FROM d),
-m AS (SELECT p, f, i1, i2, i3, {axis(0)} AS a0, {axis(1)} AS a1, {axis(2)} AS a2 FROM e),
-v AS (SELECT p, f, (i1 * i1 * 7 + i2 * 3 + i3 * i3 * i3 + i1 * i3) % 11 AS x, (a1 * a1 * 7 + (8 - a0) * 3 + a2 * a2 * a2 + a1 * a2) % 11 AS y FROM m)
-SELECT array_to_string(p, '') AS perm, array_to_string(f, '') AS flips, round(corr(x, y), 6) AS corr FROM v GROUP BY ALL"""
+    at = lambda j: f"CASE WHEN f[{j}] = 1 THEN s[p[{j}] + 1] - 1 - a[p[{j}] + 1] ELSE a[p[{j}] + 1] END"
+    return f"""WITH v AS (SELECT vec_id AS z, (i - 1) // 8 AS y, (i - 1) % 8 AS x, CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, range(1, 65) r(i)),
+o AS (SELECT p, [a, b, c] AS f FROM (SELECT unnest([{", ".join(perms)}]) AS p), range(2) x(a), range(2) y(b), range(2) z(c)),
+m AS (SELECT [7 - y, z, x] AS a, [8, (SELECT max(vec_id) + 1 FROM embeddings), 8] AS s, value FROM v),
+t AS (SELECT p, f, {at(1)} AS z, {at(2)} AS y, {at(3)} AS x, m.value AS b FROM m, o)
+SELECT array_to_string(p, '') AS perm, array_to_string(f, '') AS flips, round(corr(v.value, b), 6) AS corr, count(*) AS n FROM t JOIN v USING (z, y, x) WHERE z % 2 = 0 AND y % 2 = 0 AND x % 2 = 0 GROUP BY ALL"""
 
 
 @_query(_orientation_sql())
 def best_orientation(spark, sf):
-    """An 8 x 9 x 10 volume against its own transposed and mirrored copy."""
-    z, y, x = np.meshgrid(np.arange(8), np.arange(9), np.arange(10), indexing="ij")
-    v = ((z * z * 7 + y * 3 + x**3 + z * x) % 11).astype(float)
-    found = builder.best_orientation(spark, v, v.transpose(1, 0, 2)[::-1].copy(), 2)
-    return found.select(F.array_join(F.col("perm").cast("array<string>"), "").alias("perm"), F.array_join(F.transform("flips", lambda f: f.cast("int").cast("string")), "").alias("flips"), _r("corr").alias("corr"))
+    """The embeddings as a volume of a plane of 8 x 8 voxels each, against its own transposed and mirrored copy."""
+    rows = _t(spark, sf, "embeddings")
+    many = rows.agg(F.max("vec_id") + 1).first()[0]
+    cells = rows.select(F.col("vec_id").alias("z"), F.posexplode("embedding").alias("i", "value")).select("z", F.floor(F.col("i") / 8).alias("y"), (F.col("i") % 8).alias("x"), "value")
+    moved = grids.oriented(cells, (many, 8, 8), (1, 0, 2), (True, False, False))
+    found = grids.orientation_scores(cells, moved, (many, 8, 8), (8, many, 8), 2)
+    return found.select(F.array_join(F.col("perm").cast("array<string>"), "").alias("perm"), F.array_join(F.transform("flips", lambda f: f.cast("int").cast("string")), "").alias("flips"), _r("corr").alias("corr"), "n")
 
 
 @_query("SELECT o_orderkey AS row_idx, o_totalprice FROM orders ORDER BY ((42 * 31 + o_orderkey) % 4294967296 * 2654435761) % 4294967296, o_orderkey LIMIT 25")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from voxelrank.catalog import _r, _t
-from voxelrank.operators import encoders
+from voxelrank.operators import encoders, grids
 from voxelrank.session import scratch
 from voxelrank.sources import files, png
 
@@ -121,3 +121,36 @@ def image_export(spark, sf):
     found = png.read_png_images(spark, f"{path}/*/*.png")
     total = F.aggregate(F.transform("pixels", lambda p: F.round(p * 255).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b)
     return found.select(F.regexp_extract("path", r"(\d+)\.png", 1).cast("long").alias("vec_id"), F.col("height").cast("long").alias("height"), F.col("width").cast("long").alias("width"), total.alias("total"))
+
+
+def _block(spark, sf):
+    """Vectors as planes of a volume of 8 x 8 voxels across, with single-precision values, and its depth."""
+    cells = _rows(spark, sf).select(F.col("vec_id").alias("z"), F.posexplode("embedding").alias("i", "value"))
+    depth = _rows(spark, sf).agg(F.max("vec_id") + 1).first()[0]
+    return cells.select(F.col("z").cast("int").alias("z"), F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), "value"), depth
+
+
+@_query("""WITH v AS (SELECT vec_id AS z, (i - 1) // 8 AS y, (i - 1) % 8 AS x, CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, range(1, 65) r(i)),
+n AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
+gz AS (SELECT t, least(t * 2.5::DOUBLE, n - 1) AS pos, t * 2.5::DOUBLE <= n - 0.5::DOUBLE AS ok FROM n, LATERAL (SELECT unnest(range(CAST(round_even(n * 0.4::DOUBLE, 0) AS BIGINT))) AS t)),
+gy AS (SELECT t, least(t * 0.75::DOUBLE, 7) AS pos, t * 0.75::DOUBLE <= 7.5 AS ok FROM range(11) r(t)),
+a AS (SELECT t AS z, y, x, sum(CASE WHEN NOT ok THEN 0 WHEN z = floor(pos) THEN value * (1 - (pos - floor(pos))) ELSE value * (pos - floor(pos)) END) AS value FROM gz JOIN v ON z = floor(pos) OR (z = floor(pos) + 1 AND pos > floor(pos)) GROUP BY ALL),
+b AS (SELECT z, t AS y, x, sum(CASE WHEN NOT ok THEN 0 WHEN y = floor(pos) THEN value * (1 - (pos - floor(pos))) ELSE value * (pos - floor(pos)) END) AS value FROM gy JOIN a ON y = floor(pos) OR (y = floor(pos) + 1 AND pos > floor(pos)) GROUP BY ALL)
+SELECT CAST(z AS BIGINT) AS z, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round(value, 5) + 0.0 AS value FROM b""")
+def regridded_volume(spark, sf):
+    """Vectors as planes of a volume, on a grid that is 2.5 times as coarse across the planes and finer along one axis of them."""
+    cells, depth = _block(spark, sf)
+    found = grids.regridded(cells, (depth, 8, 8), (10.0, 10.0, 10.0), (25.0, 7.5, 10.0))
+    return found.select(*(F.col(c).cast("long").alias(c) for c in "zyx"), (_r("value", 5) + F.lit(0.0)).alias("value"))
+
+
+@_query("""SELECT CAST((i - 1) % 8 AS BIGINT) AS z, (SELECT max(vec_id) FROM embeddings) - vec_id AS y, CAST(7 - (i - 1) // 8 AS BIGINT) AS x, round(CAST(embedding[i] AS DOUBLE), 6) AS value, 3.0::DOUBLE AS dz, 1.0::DOUBLE AS dy, 2.0::DOUBLE AS dx FROM embeddings, range(1, 65) r(i)""")
+def turned_volume_file(spark, sf):
+    """Vectors as planes of a volume, turned, written as one volume file with the spacing of its axes, and read back."""
+    cells, depth = _block(spark, sf)
+    perm, path = (2, 0, 1), f"{scratch(spark)}/turned.nii"
+    shape, spacing = (tuple(of[p] for p in perm) for of in ((depth, 8, 8), (1.0, 2.0, 3.0)))
+    files.write_volume(grids.planes(grids.oriented(cells, (depth, 8, 8), perm, (False, True, True))), path, shape, spacing)
+    sides = zip(("dz", "dy", "dx"), files.VolumeFile(path, "kji").spacing)
+    found = files.voxels(files.read_volume(spark, path, "kji"))
+    return found.select(*(F.col(c).cast("long").alias(c) for c in "zyx"), _r(F.col("value").cast("double")).alias("value"), *(F.lit(s).alias(c) for c, s in sides))

@@ -1,4 +1,4 @@
-"""Command line: build a patch index and a dataset, search, evaluate, report and compare runs, train the re-ranker.
+"""Command line: build a patch index and a dataset, search, evaluate, report and compare runs, train the re-ranker, turn and resample volumes.
 
     python -m voxelrank.cli index --volume brain.nii.gz --out index/
     python -m voxelrank.cli dataset --volume brain.nii.gz --planes 100 --out dataset/
@@ -7,6 +7,9 @@
     python -m voxelrank.cli search --index index/ --queries views.parquet --out hits/
     python -m voxelrank.cli search --index index/ --images slices/ --mode smart --model model/model --out hits/
     python -m voxelrank.cli report --runs a.parquet b.parquet --out report/
+    python -m voxelrank.cli register --fixed atlas.nii.gz --moving scan.nii.gz --out scan_turned.nii.gz
+    python -m voxelrank.cli resample --volume scan_10um.nii.gz --spacing 25 25 25 --out scan_25um.nii.gz
+    python -m voxelrank.cli foreground --labels atlas_labels.nii.gz --slices 1000 --out shares/
 """
 
 from __future__ import annotations
@@ -16,10 +19,10 @@ import argparse
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from voxelrank.operators import builder, evaluate, images, metrics, rerank, training, volume
+from voxelrank.operators import builder, evaluate, grids, images, metrics, registration, rerank, training, volume
 from voxelrank.plans import generators as P
 from voxelrank.session import session, written
-from voxelrank.sources import png, tables
+from voxelrank.sources import files, png, tables
 from voxelrank.streaming import incremental
 
 #: How each evaluation mode uses local windows.
@@ -37,6 +40,8 @@ def parser() -> argparse.ArgumentParser:
     index.add_argument("--size", type=int, default=512)
     index.add_argument("--scales", type=int, nargs="+", default=[1, 2, 4])
     index.add_argument("--overlap", type=float, default=0.25)
+    index.add_argument("--rotations", type=float, nargs="+", default=[0.0], help="turns of each slice in its plane, in degrees")
+    index.add_argument("--images", metavar="FOLDER", help="also write each patch as an image file into this folder")
     search = what.add_parser("search", help="fused top-k of query images, or of ready views of them")
     search.add_argument("--index", required=True)
     asked = search.add_mutually_exclusive_group(required=True)
@@ -56,6 +61,9 @@ def parser() -> argparse.ArgumentParser:
     report.add_argument("--ks", type=int, nargs="+", default=list(metrics.KS))
     dataset = what.add_parser("dataset", help="random valid planes of a volume with crops of each")
     dataset.add_argument("--volume")
+    dataset.add_argument("--real", help="a second volume on the same grid, for the images of the rows")
+    dataset.add_argument("--images", metavar="FOLDER", help="also write an image file of each row and volume into this folder")
+    dataset.add_argument("--crop-attempts", type=int, default=50, help="draws for each crop until one is valid")
     dataset.add_argument("--planes", type=int, default=100)
     dataset.add_argument("--seed", type=int, default=42)
     dataset.add_argument("--aspects", nargs="+", default=[f"{k}={w:g}:{h:g}" for k, (w, h) in builder.ASPECTS.items()], metavar="KIND=W:H")
@@ -71,6 +79,20 @@ def parser() -> argparse.ArgumentParser:
     train.add_argument("--epochs", type=int, default=50)
     train.add_argument("--hidden", type=int, nargs=2, default=[512, 256])
     train.add_argument("--min-candidates", type=int, default=8)
+    register = what.add_parser("register", help="turn a volume into the orientation that correlates best with another one")
+    register.add_argument("--fixed", required=True)
+    register.add_argument("--moving", required=True)
+    register.add_argument("--stride", type=int, default=4, help="compare every so many voxels of each axis")
+    register.add_argument("--scores", metavar="FOLDER", help="also write the correlation of all 48 orientations")
+    regrid = what.add_parser("resample", help="a volume on a grid of another spacing")
+    regrid.add_argument("--volume", required=True)
+    regrid.add_argument("--spacing", type=float, nargs=3, required=True, metavar=("Z", "Y", "X"), help="in the unit of the file")
+    ground = what.add_parser("foreground", help="shares of labelled voxels, of a volume and of random slices")
+    ground.add_argument("--labels", required=True)
+    ground.add_argument("--slices", type=int, default=1000)
+    ground.add_argument("--size", type=int, default=512)
+    ground.add_argument("--least", type=float, default=0.0, help="leave out slices with a smaller share")
+    ground.add_argument("--seed", type=int, default=42)
     for p in (ev, train):
         p.add_argument("--index", required=True)
         p.add_argument("--dataset", required=True)
@@ -79,7 +101,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--axes", choices=["ijk", "kji"], default="ijk", help="order of a volume file's axes: as stored, or turned")
     for p in (dataset, ev, train):
         p.add_argument("--size", type=int, default=512)
-    for p in (index, search, report, dataset, ev, train):
+    for p in (index, search, report, dataset, ev, train, register, regrid, ground):
         p.add_argument("--out", required=True)
     return top
 
@@ -95,6 +117,63 @@ def _volumes(spark, named: list[str], axes: str = "ijk"):
     return {name: _volume(spark, path, axes) for name, _, path in (n.partition("=") for n in named)}
 
 
+def _index(spark, a) -> None:
+    data = _volume(spark, a.volume, a.axes)
+    plan = P.slice_plan(P.fibonacci_normals(spark, a.normals), data.shape[::-1], a.depth_step, a.margin, tuple(a.rotations))
+    grid = P.patch_grid(spark, a.size, tuple(a.scales), a.overlap)
+    made = volume.build_index(plan, grid, data, size=a.size, step=max(data.shape) / a.size, images=bool(a.images))
+    if a.images:  # once for the manifest and once for the files, so patches are not encoded twice
+        made = written(made.withColumn("image_relpath", images.patch_path(F.col("patch_id"))))
+        files.write_files(made.select(F.col("image_relpath").alias("name"), "content"), a.images)
+        made = made.drop("content").withColumn("image_name", F.element_at(F.split("image_relpath", "/"), -1))
+    tables.write_index(made, a.out)
+
+
+def _dataset(spark, a) -> None:
+    data = _volume(spark, a.volume, a.axes)
+    step = max(data.shape) / a.size
+    other = _volume(spark, a.real, a.axes) if a.real else data
+    if other.shape != data.shape:
+        raise SystemExit("both volumes must have the same grid")
+    planes = written(builder.valid_planes(spark, a.planes, data, a.size, step, seed=a.seed))
+    aspects = {kind: tuple(map(float, pair.split(":"))) for kind, pair in (x.split("=") for x in a.aspects)}
+    rows = builder.build_dataset(planes, a.seed, aspects, data, a.size, step, a.crop_attempts).withColumn("vector", F.array("nx", "ny", "nz"))
+    if a.images:
+        rows = written(builder.image_names(rows, a.images))
+        files.write_files(builder.dataset_images(rows, {"allen": data, "real": other}, a.size, step), a.images)
+    tables.write_dataset(rows, a.out)
+
+
+def _register(spark, a) -> None:
+    fixed, moving = (files.VolumeFile(path, "kji") for path in (a.fixed, a.moving))
+    read = lambda v: files.voxels(files.read_volume(spark, v.path, "kji"))
+    scores = written(grids.orientation_scores(read(fixed), read(moving), fixed.shape, moving.shape, a.stride))
+    if a.scores:
+        columns = (F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("perm", "flips"))
+        tables.write_csv(scores.select(*columns, "corr", "n").orderBy(F.desc("corr"), "perm", "flips"), a.scores)
+    best = scores.orderBy(F.desc("corr"), "perm", "flips").first()
+    if best is None:
+        raise SystemExit("the volumes share no voxel")
+    shape, spacing = (tuple(of[p] for p in best["perm"]) for of in (moving.shape, moving.spacing))
+    turned = grids.oriented(read(moving), moving.shape, tuple(best["perm"]), tuple(best["flips"]))
+    files.write_volume(grids.planes(turned), a.out, shape, spacing, moving.kind)
+
+
+def _resample(spark, a) -> None:
+    data = files.VolumeFile(a.volume, "kji")
+    laid = grids.regridded(files.voxels(files.read_volume(spark, a.volume, "kji")), data.shape, data.spacing, tuple(a.spacing))
+    files.write_volume(grids.planes(laid), a.out, registration.regrid_shape(data.shape, data.spacing, tuple(a.spacing)), tuple(a.spacing), data.kind)
+
+
+def _foreground(spark, a) -> None:
+    labels = files.VolumeFile(a.labels, "kji", labels=True)
+    step = max(labels.shape) / a.size
+    shares = volume.fg_bg_ratio(files.voxels(files.read_volume(spark, a.labels, "kji", labels=True)), F.col("value"), 0)
+    tables.write_csv(shares.coalesce(1), f"{a.out}/voxels")
+    slices = registration.slice_foreground(spark, labels, a.slices, a.size, step, a.least, a.seed)
+    tables.write_csv(registration.slice_statistics(slices).coalesce(1), f"{a.out}/slices")
+
+
 def _eval(spark, a) -> None:
     volumes, rows = _volumes(spark, a.volumes, a.axes), tables.read_dataset(spark, a.dataset)
     rows = rows.filter(F.col("row_idx") < a.limit) if a.limit is not None else rows
@@ -150,19 +229,17 @@ def main(argv: list[str] | None = None) -> None:
         raise SystemExit("overlap must be in [0, 1), the step positive, the margin not negative")
     spark = session()
     if a.what == "index":
-        data = _volume(spark, a.volume, a.axes)
-        plan = P.slice_plan(P.fibonacci_normals(spark, a.normals), data.shape[::-1], a.depth_step, a.margin)
-        grid = P.patch_grid(spark, a.size, tuple(a.scales), a.overlap)
-        step = max(data.shape) / a.size
-        tables.write_index(volume.build_index(plan, grid, data, size=a.size, step=step), a.out)
+        _index(spark, a)
     elif a.what == "search":
         _search(spark, a)
     elif a.what == "dataset":
-        data = _volume(spark, a.volume, a.axes)
-        planes = written(builder.valid_planes(spark, a.planes, data, a.size, max(data.shape) / a.size, seed=a.seed))
-        aspects = {kind: tuple(map(float, pair.split(":"))) for kind, pair in (x.split("=") for x in a.aspects)}
-        rows = builder.build_dataset(planes, a.seed, aspects).withColumn("vector", F.array("nx", "ny", "nz"))
-        tables.write_dataset(rows, a.out)
+        _dataset(spark, a)
+    elif a.what == "register":
+        _register(spark, a)
+    elif a.what == "resample":
+        _resample(spark, a)
+    elif a.what == "foreground":
+        _foreground(spark, a)
     elif a.what == "eval":
         _eval(spark, a)
     elif a.what == "train":

@@ -135,7 +135,8 @@ def sample_rows(rows: DataFrame, n: int, key: str = "row_idx", seed: int = 42) -
 
 
 def patch_path(patch_id: Column, folder: str = "patches") -> Column:
-    return F.concat(F.lit(f"{folder}/"), F.lpad(patch_id.cast("string"), 8, "0"), F.lit(".png"))
+    """Ids have eight digits or more; padding never cuts a longer one."""
+    return F.when(patch_id.isNotNull(), F.concat(F.lit(f"{folder}/"), F.format_string("%08d", patch_id), F.lit(".png")))
 
 
 def first_path(*columns: Column) -> Column:

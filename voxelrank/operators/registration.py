@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelrank.operators.volume import resample
+from voxelrank.operators.volume import opened, resample
 from voxelrank.plans.generators import random_planes
 
 
@@ -60,7 +60,7 @@ def slice_foreground(spark: SparkSession, labels: np.ndarray, n: int, size: int
 
     def run(batches):
         for b in batches:
-            share = [float((resample(shared.value, {"nx": p["nx"], "ny": p["ny"], "nz": p["nz"], "depth": p["depth"], "rot": p["rotation"], "size_px": size, "step": step}, 0, 0) > 0).mean()) for p in b.to_dict("records")]
+            share = [float((resample(opened(shared.value), {"nx": p["nx"], "ny": p["ny"], "nz": p["nz"], "depth": p["depth"], "rot": p["rotation"], "size_px": size, "step": step}, 0, 0) > 0).mean()) for p in b.to_dict("records")]
             yield pd.DataFrame({"plane_id": b["plane_id"], "fg_ratio": share})
 
     return drawn.mapInPandas(run, "plane_id long, fg_ratio double").filter(F.col("fg_ratio") >= least)

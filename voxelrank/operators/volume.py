@@ -13,6 +13,7 @@ from voxelrank.operators.distance import _axes
 from voxelrank.operators.encoders import encode_all
 from voxelrank.operators.quantiles import percentiles
 from voxelrank.sources.files import VolumeFile, read_volume, voxels
+from voxelrank.sources.png import encode_png
 
 #: A slice counts if more than this share of it lies above this share of the intensity range.
 VALID_SHARE, VALID_LEVEL = 0.25, 0.10
@@ -91,8 +92,8 @@ def pooled_encoder(dim: int = 64, seed: int = 7) -> Callable[[np.ndarray], np.nd
     return encode
 
 
-def build_index(poses: DataFrame, grid: DataFrame, volume: np.ndarray, encoder=None, size: int = 64, step: float = 0.5, min_fg: float = 0.05) -> DataFrame:
-    """Patch manifest with embeddings: resample each pose, keep valid slices and patches, encode.
+def build_index(poses: DataFrame, grid: DataFrame, volume: np.ndarray, encoder=None, size: int = 64, step: float = 0.5, min_fg: float = 0.05, images: bool = False) -> DataFrame:
+    """Patch manifest with embeddings: resample each pose, keep valid slices and patches, encode; with ``images`` each patch also as a PNG in ``content``.
 
     ``poses`` is a slice plan; the patch grid (a few rows) and the volume are broadcast, a task
     works on its own poses.  ``patch_id`` follows from the indices, so it needs no global numbering.
@@ -128,12 +129,13 @@ def build_index(poses: DataFrame, grid: DataFrame, volume: np.ndarray, encoder=N
             yield coded(rows, cuts)
 
     def coded(rows, cuts):
-        found = pd.DataFrame(rows, columns=names[:-1])
-        return found.assign(embedding=pd.Series(encode_all(encode, cuts), dtype=object))
+        found = pd.DataFrame(rows, columns=names).assign(embedding=pd.Series(encode_all(encode, cuts), dtype=object))
+        return found.assign(content=pd.Series([encode_png(c) for c in cuts], dtype=object)) if images else found
 
-    names = ["patch_id", "normal_idx", "depth_idx", "rot_idx", "normal_x", "normal_y", "normal_z", "depth_vox", "rotation_deg", "scale", "patch_row", "patch_col", "x0", "y0", "x1", "y1", "patch_h", "patch_w", "slice_size_px", "center_x_vox", "center_y_vox", "center_z_vox", "embedding"]
-    kinds = ["long"] * 1 + ["int"] * 3 + ["double"] * 5 + ["int"] * 10 + ["double"] * 3 + ["array<double>"]
-    return poses.mapInPandas(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+    names = ["patch_id", "normal_idx", "depth_idx", "rot_idx", "normal_x", "normal_y", "normal_z", "depth_vox", "rotation_deg", "scale", "patch_row", "patch_col", "x0", "y0", "x1", "y1", "patch_h", "patch_w", "slice_size_px", "center_x_vox", "center_y_vox", "center_z_vox"]
+    kinds = ["long"] * 1 + ["int"] * 3 + ["double"] * 5 + ["int"] * 10 + ["double"] * 3
+    held = ["embedding array<double>"] + ["content binary"] * images
+    return poses.mapInPandas(run, ", ".join([*(f"{n} {k}" for n, k in zip(names, kinds)), *held]))
 
 
 def label_counts(poses: DataFrame, labels: np.ndarray, size: int = 64, step: float = 0.5) -> DataFrame:

@@ -153,19 +153,24 @@ def random_planes(spark: SparkSession, n: int, dims: tuple[float, float, float],
     return drawn.select(F.col("id").alias("plane_id"), *(F.col(f"n.{c}").alias(f"n{c}") for c in "xyz"), ((2 * u("depth") - 1) * half).alias("depth"), (360 * u("turn")).alias("rotation"))
 
 
-def random_crops(planes: DataFrame, id_col: str = "plane_id", low: float = 0.3, high: float = 0.7, aspects: tuple[tuple[float, float], ...] = ((1, 1), (2, 1), (1, 2)), jitter: float = 0.15, seed: int = 42) -> DataFrame:
-    """Three size bins (0 is the largest) by each aspect for every plane: ``crop_bin, aspect_w, aspect_h, crop_cx, crop_cy, crop_rw, crop_rh``."""
+def random_crops(planes: DataFrame, id_col: str = "plane_id", low: float = 0.3, high: float = 0.7, aspects: tuple[tuple[float, float], ...] = ((1, 1), (2, 1), (1, 2)), jitter: float = 0.15, seed: int = 42, attempts: int = 1) -> DataFrame:
+    """Three size bins (0 is the largest) by each aspect for every plane: ``crop_bin, aspect_w, aspect_h, attempt, crop_cx, crop_cy, crop_rw, crop_rh``.
+
+    All ``attempts`` of a plane follow each other, bin by bin and aspect by aspect, in one partition.
+    """
+    if not 1 <= attempts <= 1000:
+        raise ValueError("attempts must be from 1 to 1000")
     edges = [low + (high - low) * i / 3 for i in range(4)]
     bins = F.array(*(F.struct(F.lit(b).alias("bin"), F.lit(edges[2 - b]).alias("lo"), F.lit(edges[3 - b]).alias("hi")) for b in range(3)))
     shapes = F.array(*(F.struct(F.lit(float(w)).alias("w"), F.lit(float(h)).alias("h")) for w, h in aspects))
-    laid = planes.select("*", F.explode(bins).alias("b")).select("*", F.explode(shapes).alias("a"))
+    laid = planes.select("*", F.explode(bins).alias("b")).select("*", F.explode(shapes).alias("a")).select("*", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
 
     def u(what):
-        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(what), F.col(id_col), F.col("b.bin"), F.col("a.w"), F.col("a.h")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        return (F.pmod(F.xxhash64(F.lit(seed) + F.col("attempt") * 1_000_003, F.lit(what), F.col(id_col), F.col("b.bin"), F.col("a.w"), F.col("a.h")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
     middle = (F.col("b.lo") + F.col("b.hi")) / 2
     lo, hi = F.greatest(F.col("b.lo"), middle * (1 - jitter)), F.least(F.col("b.hi"), middle * (1 + jitter))
     size = lo + (hi - lo) * u("size")
     rw, rh = size * F.sqrt(F.col("a.w") / F.col("a.h")), size / F.sqrt(F.col("a.w") / F.col("a.h"))
     over = F.greatest(F.lit(1.0), rw, rh)
-    return laid.select(*planes.columns, F.col("b.bin").alias("crop_bin"), F.col("a.w").alias("aspect_w"), F.col("a.h").alias("aspect_h"), u("cx").alias("crop_cx"), u("cy").alias("crop_cy"), (rw / over).alias("crop_rw"), (rh / over).alias("crop_rh"))
+    return laid.select(*planes.columns, F.col("b.bin").alias("crop_bin"), F.col("a.w").alias("aspect_w"), F.col("a.h").alias("aspect_h"), "attempt", u("cx").alias("crop_cx"), u("cy").alias("crop_cy"), (rw / over).alias("crop_rw"), (rh / over).alias("crop_rh"))

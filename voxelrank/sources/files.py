@@ -273,6 +273,18 @@ class VolumeFile:
         shape = _head(self.path).shape
         return shape if self.axes == "ijk" else shape[::-1]
 
+    @property
+    def spacing(self) -> tuple[float, float, float]:
+        """Of the axes of :attr:`shape`."""
+        found = _head(self.path).spacing
+        return found if self.axes == "ijk" else found[::-1]
+
+    @property
+    def kind(self) -> str:
+        """Type of the values that a copy needs: the stored one, or single precision where values are scaled."""
+        h = _head(self.path)
+        return "f4" if h.slope and (h.slope, h.inter) != (1.0, 0.0) else h.kind[1:]
+
     def array(self) -> np.ndarray:
         return _opened(self)
 
@@ -293,17 +305,22 @@ def _opened(volume: VolumeFile) -> np.ndarray:
     return np.clip((data - volume.low) / max(volume.high - volume.low, 1e-12), 0, 1).astype(np.float32)
 
 
-def nifti_bytes(data: np.ndarray, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> bytes:
-    """An array as a NIfTI-1 file, stored as it is indexed (the first axis fastest), with the spacing of its axes."""
+def nifti_head(shape: tuple[int, int, int], kind: np.dtype, spacing: tuple[float, float, float]) -> bytes:
+    """The 352 bytes before the values; shape and spacing of the stored axes, the fastest first."""
     codes = {np.dtype(v).str[1:]: k for k, v in NIFTI_KINDS.items()}
     head = bytearray(352)
     struct.pack_into("<i", head, 0, 348)
-    struct.pack_into("<8h", head, 40, 3, *data.shape, 1, 1, 1, 1)
-    struct.pack_into("<hh", head, 70, codes[data.dtype.str[1:]], data.dtype.itemsize * 8)
+    struct.pack_into("<8h", head, 40, 3, *shape, 1, 1, 1, 1)
+    struct.pack_into("<hh", head, 70, codes[kind.str[1:]], kind.itemsize * 8)
     struct.pack_into("<8f", head, 76, 1.0, *spacing, 0, 0, 0, 0)
     struct.pack_into("<3f", head, 108, 352.0, 0.0, 0.0)
     head[344:348] = b"n+1\0"
-    return bytes(head) + data.astype(data.dtype.newbyteorder("<")).tobytes(order="F")
+    return bytes(head)
+
+
+def nifti_bytes(data: np.ndarray, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> bytes:
+    """An array as a NIfTI-1 file, stored as it is indexed (the first axis fastest), with the spacing of its axes."""
+    return nifti_head(data.shape, data.dtype, spacing) + data.astype(data.dtype.newbyteorder("<")).tobytes(order="F")
 
 
 def npy_bytes(data: np.ndarray) -> bytes:
@@ -370,3 +387,65 @@ def write_files(rows: DataFrame, path: str) -> None:
     """Each row of ``name, content`` as a file below ``path``."""
     rows.sparkSession.dataSource.register(FilesSink)
     rows.select("name", "content").write.format("single_files").mode("append").save(path)
+
+
+# ---------------------------------------------------------------- volumes, written
+class _VolumeWriter(DataSourceWriter):
+    def __init__(self, options):
+        self.path, self.kind = options["path"], np.dtype(options["kind"])
+        self.shape = tuple(int(n) for n in options["shape"].split(","))
+        self.spacing = tuple(float(s) for s in options["spacing"].split(","))
+
+    def write(self, rows):
+        files, at = file_system(self.path)
+        folder, last = at.rsplit("/", 1)
+        files.create_dir(folder, recursive=True)
+        beside, n = f"{folder}/.{last}.{uuid.uuid4().hex}", 0
+        try:
+            with files.open_output_stream(beside, compression="gzip" if last.endswith(".gz") else None) as f:
+                f.write(nifti_head(self.shape[::-1], self.kind, self.spacing[::-1]))
+                for row in rows:
+                    if row["plane"] != n or len(row["values"]) != self.shape[1] * self.shape[2]:
+                        raise ValueError(f"plane {n} of {self.path} is missing, repeated or of another size")
+                    x = np.asarray(row["values"], np.float64)
+                    f.write((np.rint(x) if self.kind.kind in "iu" else x).astype(self.kind.newbyteorder("<")).tobytes())
+                    n += 1
+            if n == self.shape[0]:
+                files.move(beside, at)
+            elif n:
+                raise ValueError(f"{self.path} has {n} planes, not {self.shape[0]}")
+        finally:
+            if files.get_file_info(beside).type == afs.FileType.File:
+                files.delete_file(beside)
+        return _Written(n)
+
+    def commit(self, messages):
+        if sum(m.n for m in messages if m) != self.shape[0]:
+            raise ValueError(f"{self.path} was not written: it needs {self.shape[0]} planes")
+
+
+class VolumeSink(DataSource):
+    """Writes rows of ``plane, values`` (cuts of z, row by row) as one NIfTI file, compressed if it ends with .gz."""
+
+    @classmethod
+    def name(cls):
+        return "volume_file"
+
+    def schema(self):
+        return "plane int, values array<double>"
+
+    def writer(self, schema, overwrite):
+        return _VolumeWriter(self.options)
+
+
+def write_volume(planes: DataFrame, path: str, shape: tuple[int, int, int], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), kind: str = "f4") -> None:
+    """One NIfTI file of the planes of a volume, whose shape and spacing are given in the order z, y, x.
+
+    A file is written from its beginning to its end, so one task writes it; the sort before it spills, and the task holds a
+    plane at a time.  The file appears whole, by renaming; missing or repeated planes are an error and leave none.
+    Read it back with the axes ``kji``.
+    """
+    planes.sparkSession.dataSource.register(VolumeSink)
+    laid = planes.select(F.col("plane").cast("int").alias("plane"), F.col("values").cast("array<double>").alias("values"))
+    one = laid.repartition(1).sortWithinPartitions("plane")
+    one.write.format("volume_file").options(shape=",".join(map(str, shape)), spacing=",".join(map(repr, map(float, spacing))), kind=kind).mode("append").save(path)
