@@ -75,3 +75,13 @@ def test_query_vectors_are_kept_until_something_changes(spark, tmp_path, monkeyp
     for f in (tmp_path / "v").rglob("_SUCCESS"):
         f.unlink()
     assert sorted(get()) == sorted(first) and len(made) == 6
+
+
+def test_a_list_without_a_dataset_row_is_an_error(spark):
+    pool = spark.createDataFrame([(i, "a", p, p + 1, float(p)) for i in (0, 1) for p in range(4)], "row_idx long, source string, patch_id long, rank int, dist double")
+    vectors = spark.createDataFrame([(p, [float(p), 1.0]) for p in range(4)], "patch_id long, emb array<double>")
+    queries = lambda *keys: spark.createDataFrame([(i, s, [1.0, 0.0]) for i, s in keys], "row_idx long, source string, emb array<double>")
+    assert training.training_lists(pool, queries((0, "a"), (1, "a"), (2, "a")), vectors).count() == 2
+    for known in (queries((0, "a")), queries((0, "a"), (1, "b"))):
+        with pytest.raises(Exception, match="no dataset row or vector for row_idx 1 of source a"):
+            training.training_lists(pool, known, vectors).collect()

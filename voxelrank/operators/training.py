@@ -57,12 +57,15 @@ def training_lists(members: DataFrame, queries: DataFrame, vectors: DataFrame, m
     """``row_idx, source, q, members`` with members (rank, patch_id, c, prob, target) by rank.
 
     ``members`` are pool rows (row_idx, source, patch_id, rank, dist), sampled or whole: a list is
-    bounded by its pool.  Targets are taken over the rows that are there.
+    bounded by its pool.  Targets are taken over the rows that are there.  A list whose row and source have no
+    query vector (a row number beyond the dataset, or hits of another one) is an error.
     """
     aimed = targets.soft_targets(members, ["row_idx", "source"], *TAU).withColumn("target", distance_target(F.col("dist"), mode, clip))
     full = aimed.join(vectors.select("patch_id", F.col("emb").cast("array<float>").alias("c")), "patch_id")
     lists = full.groupBy("row_idx", "source").agg(F.array_sort(F.collect_list(F.struct("rank", "patch_id", "c", "prob", "target"))).alias("members"))
-    return lists.join(queries.select("row_idx", "source", F.col("emb").cast("array<float>").alias("q")), ["row_idx", "source"])
+    met = lists.join(queries.select("row_idx", "source", F.col("emb").cast("array<float>").alias("q")), ["row_idx", "source"], "left")
+    lost = F.raise_error(F.concat_ws(" ", F.lit("no dataset row or vector for row_idx"), F.col("row_idx").cast("string"), F.lit("of source"), F.col("source"))).cast("array<float>")
+    return met.withColumn("q", F.when(F.col("q").isNull(), lost).otherwise(F.col("q"))).select("row_idx", "source", "q", "members")
 
 
 def _example(q, members) -> tuple[np.ndarray, ...]:
