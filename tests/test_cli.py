@@ -80,3 +80,26 @@ def test_dataset_eval_train(spark, tmp_path):
     assert {r.split for r in losses.collect()} == {"train", "val", "test"} and spark.read.option("header", True).csv(at("model/history")).count() == 3
     cli.main(["eval", *shared, "--final-k", "8", "--k-per-view", "12", "--limit", "1", "--model", at("model/model"), "--out", at("again")])
     assert spark.read.parquet(at("again/fast")).filter("rerank_score IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["auto", "graph", "ivf"])
+def test_search_and_eval_with_a_kept_index(spark, tmp_path, kind):
+    at = lambda n: str(tmp_path / n)
+    make = ["index", "--normals", "6", "--depth-step", "6", "--size", "32", "--scales", "1", "2", "--vectors", at("vectors"), "--strategy", kind, "--out"]
+    cli.main([*make, at("index")])
+    with pytest.raises(FileExistsError):
+        cli.main([*make, at("other")])
+    spark.read.parquet(at("index")).filter("patch_id % 5 = 0").select((F.col("patch_id") + 10**12).alias("query_id"), F.lit(0).alias("view_idx"), F.lit("global").alias("branch"), F.col("embedding").alias("emb")).write.parquet(at("views"))
+    found = {}
+    for name, more in (("all", []), ("kept", ["--vectors", at("vectors")])):
+        cli.main(["search", "--index", at("index"), "--queries", at("views"), "--k", "5", *more, "--out", at(name)])
+        found[name] = {(r.query_id, r.patch_id) for r in spark.read.option("header", True).csv(at(name)).collect()}
+    assert len(found["all"] & found["kept"]) >= (1 if kind == "auto" else 0.8) * len(found["all"])
+    if kind == "auto":
+        shared = ["--index", at("index"), "--dataset", at("data"), "--size", "32", "--final-k", "8", "--k-per-view", "12", "--limit", "2", "--out", at("hits")]
+        cli.main(["dataset", "--planes", "1", "--size", "32", "--out", at("data")])
+        cli.main(["eval", *shared])
+        cli.main(["eval", *shared, "--vectors", at("vectors")])  # results of another index are kept apart
+        hits = spark.read.parquet(at("hits/fast"))
+        same = hits.groupBy("row_idx", "rank", "patch_id").agg(F.count_distinct("eval_sig").alias("n"))
+        assert hits.select("eval_sig").distinct().count() == 2 and same.filter("n <> 2").count() == 0

@@ -19,7 +19,7 @@ import argparse
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from voxelrank.operators import builder, evaluate, grids, images, metrics, registration, rerank, training, volume
+from voxelrank.operators import builder, evaluate, grids, images, metrics, registration, rerank, training, vector_index, volume
 from voxelrank.plans import generators as P
 from voxelrank.session import session, written
 from voxelrank.sources import files, png, tables
@@ -40,6 +40,8 @@ def parser() -> argparse.ArgumentParser:
     index.add_argument("--size", type=int, default=512)
     index.add_argument("--scales", type=int, nargs="+", default=[1, 2, 4])
     index.add_argument("--overlap", type=float, default=0.25)
+    index.add_argument("--vectors", metavar="FOLDER", help="also keep a vector index here, which search and eval can open")
+    index.add_argument("--strategy", choices=["auto", "flat", "graph", "ivf", "ivfpq"], default="auto", help="kind of the vector index; auto goes by its size")
     index.add_argument("--rotations", type=float, nargs="+", default=[0.0], help="turns of each slice in its plane, in degrees")
     index.add_argument("--images", metavar="FOLDER", help="also write each patch as an image file into this folder")
     search = what.add_parser("search", help="fused top-k of query images, or of ready views of them")
@@ -97,6 +99,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--index", required=True)
         p.add_argument("--dataset", required=True)
         p.add_argument("--volumes", nargs="+", default=["plain="], help="name=file; an analytic volume without a file")
+    for p in (search, ev):
+        p.add_argument("--vectors", metavar="FOLDER", help="find neighbours in this vector index, made with --index; all patches are compared without one")
     for p in (index, dataset, ev, train):
         p.add_argument("--axes", choices=["ijk", "kji"], default="ijk", help="order of a volume file's axes: as stored, or turned")
     for p in (dataset, ev, train):
@@ -118,6 +122,8 @@ def _volumes(spark, named: list[str], axes: str = "ijk"):
 
 
 def _index(spark, a) -> None:
+    if a.vectors and vector_index.exists(spark, a.vectors):  # before anything is written
+        raise FileExistsError(f"an index is at {a.vectors} already")
     data = _volume(spark, a.volume, a.axes)
     plan = P.slice_plan(P.fibonacci_normals(spark, a.normals), data.shape[::-1], a.depth_step, a.margin, tuple(a.rotations))
     grid = P.patch_grid(spark, a.size, tuple(a.scales), a.overlap)
@@ -127,6 +133,12 @@ def _index(spark, a) -> None:
         files.write_files(made.select(F.col("image_relpath").alias("name"), "content"), a.images)
         made = made.drop("content").withColumn("image_name", F.element_at(F.split("image_relpath", "/"), -1))
     tables.write_index(made, a.out)
+    if a.vectors:
+        vector_index.build_index(tables.read_manifest(spark, a.out).select("patch_id", F.col("embedding").alias("emb")), a.vectors, a.strategy)
+
+
+def _kept(spark, a) -> vector_index.Index | None:
+    return vector_index.open_index(spark, a.vectors) if a.vectors else None
 
 
 def _dataset(spark, a) -> None:
@@ -178,14 +190,15 @@ def _eval(spark, a) -> None:
     volumes, rows = _volumes(spark, a.volumes, a.axes), tables.read_dataset(spark, a.dataset)
     rows = rows.filter(F.col("row_idx") < a.limit) if a.limit is not None else rows
     weights = training.load_model(spark, a.model) if a.model else None
-    step = max(max(v.shape) for v in volumes.values()) / a.size
+    step, kept = max(max(v.shape) for v in volumes.values()) / a.size, _kept(spark, a)
+    made_with = f"{a.index} {kept.path} {kept.version}" if kept else a.index
     for mode in MODES if a.mode == "all" else [a.mode]:
         out = f"{a.out}/{mode}"
-        cfg = evaluate.EvalConfig(size_px=a.size, step=step, local=MODES[mode], final_k=a.final_k, k_per_view=a.k_per_view, index_version=a.index)
+        cfg = evaluate.EvalConfig(size_px=a.size, step=step, local=MODES[mode], final_k=a.final_k, k_per_view=a.k_per_view, index_version=made_with)
         markers, sources, sig = incremental.read_markers(spark, out), sorted(volumes), cfg.signature()
         todo = written(incremental.pending_marked(rows, markers, sig, sources))
         if not todo.isEmpty():
-            hits = evaluate.evaluate(todo, volumes, tables.read_manifest(spark, a.index), volume.pooled_encoder(), cfg, weights=weights, mode=a.rerank_mode)
+            hits = evaluate.evaluate(todo, volumes, tables.read_manifest(spark, a.index), volume.pooled_encoder(), cfg, weights=weights, mode=a.rerank_mode, index=kept)
             incremental.append_marked(hits, todo.select("row_idx", F.explode(F.array(*map(F.lit, sources))).alias("source")), out, sig)
 
 
@@ -201,7 +214,7 @@ def _search(spark, a) -> None:
         views = written(images.embed_views(cut.join(ids, "path"), P.view_grid(spark, cfg.angles, cfg.flip_x, cfg.flip_y), volume.pooled_encoder(), auto_crop=False))
     else:
         views = spark.read.parquet(a.queries)
-    hits = evaluate.search(views, patches, a.k_per_view, a.k, a.w_local, tuple(a.scales), weights, mode=a.rerank_mode)
+    hits = evaluate.search(views, patches, a.k_per_view, a.k, a.w_local, tuple(a.scales), weights, mode=a.rerank_mode, index=_kept(spark, a))
     tables.write_csv(hits.join(ids, "query_id") if a.images else hits, a.out)
 
 

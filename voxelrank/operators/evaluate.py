@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelrank.functions import geometry as G
-from voxelrank.operators import distance, fusion, rerank, targets, topk
+from voxelrank.operators import distance, fusion, rerank, targets, topk, vector_index
 from voxelrank.operators.images import crop_foreground, embed_views
 from voxelrank.operators.volume import opened, resample
 from voxelrank.plans import generators as P
@@ -110,13 +110,17 @@ def measure(hits: DataFrame, cfg: EvalConfig) -> DataFrame:
     return targets.soft_targets(far.withColumn("corner_chamfer_3pt_um", corner).drop("_q", "_p"), ["row_idx", "source"], cfg.tau_divisor, cfg.tau_low, cfg.tau_high)
 
 
-def search(views: DataFrame, patches: DataFrame, k_per_view: int = 64, final_k: int = 100, w_local: float = 0.35, scales: tuple[int, ...] = (), weights: dict[str, np.ndarray] | None = None, rerank_topk: int = 100, mode: str = "max_over_angles") -> DataFrame:
+def search(views: DataFrame, patches: DataFrame, k_per_view: int = 64, final_k: int = 100, w_local: float = 0.35, scales: tuple[int, ...] = (), weights: dict[str, np.ndarray] | None = None, rerank_topk: int = 100, mode: str = "max_over_angles", index: vector_index.Index | None = None) -> DataFrame:
     """Ranked slices for query views (query_id, view_idx, branch, emb): ``query_id, patch_id, score, rank, rerank_score`` and the manifest.
 
     ``scales`` is an allow-list, empty for all.  With ``weights`` the first ``rerank_topk`` hits of each
     query are re-ranked; else ``rerank_score`` is null.  Views are read several times: write them first.
+    Neighbours come from the kept ``index`` of the same patches where one is given, else from all patches.
     """
-    near = topk.vector_topk(views, patches.select("patch_id", F.col("embedding").alias("emb")), k_per_view, skip_own=False)
+    if index is None:
+        near = topk.vector_topk(views, patches.select("patch_id", F.col("embedding").alias("emb")), k_per_view, skip_own=False)
+    else:
+        near = vector_index.search_index(index, views, k_per_view, skip_own=False)
     found = near.join(views.select("query_id", "view_idx", "branch"), ["query_id", "view_idx"])
     hits = fusion.with_manifest(fusion.fuse(fusion.evidence(found), 1.0, w_local), patches.drop("embedding"))
     ranked = fusion.rank_hits(fusion.dedup_slices(fusion.scale_filter(hits, scales) if scales else hits), final_k)
@@ -127,7 +131,7 @@ def search(views: DataFrame, patches: DataFrame, k_per_view: int = 64, final_k:
     return order.withColumn("rank", F.col("new_rank")).withColumnRenamed("raw", "rerank_score").drop("new_rank", "segment", "blend")
 
 
-def evaluate(rows: DataFrame, volumes: dict[str, np.ndarray], patches: DataFrame, encoder: Callable[[np.ndarray], np.ndarray], cfg: EvalConfig = EvalConfig(), done: DataFrame | None = None, weights: dict[str, np.ndarray] | None = None, rerank_topk: int = 100, mode: str = "max_over_angles", markers: DataFrame | None = None) -> DataFrame:
+def evaluate(rows: DataFrame, volumes: dict[str, np.ndarray], patches: DataFrame, encoder: Callable[[np.ndarray], np.ndarray], cfg: EvalConfig = EvalConfig(), done: DataFrame | None = None, weights: dict[str, np.ndarray] | None = None, rerank_topk: int = 100, mode: str = "max_over_angles", markers: DataFrame | None = None, index: vector_index.Index | None = None) -> DataFrame:
     """Ranked and measured hits of all dataset rows that are not done: complete in ``done`` (earlier hits), or marked in ``markers``.
 
     ``rows`` are parsed dataset rows with row_idx; ``patches`` an index with manifest columns and
@@ -139,7 +143,7 @@ def evaluate(rows: DataFrame, volumes: dict[str, np.ndarray], patches: DataFrame
     todo = incremental.pending_marked(todo, markers, sig, sources)
     posed = posed_rows(todo, sources, cfg)
     views = written(query_views(posed, volumes, encoder, cfg))
-    ranked = search(views, patches, cfg.k_per_view, cfg.final_k, cfg.w_local, (), weights, rerank_topk, mode)
+    ranked = search(views, patches, cfg.k_per_view, cfg.final_k, cfg.w_local, (), weights, rerank_topk, mode, index)
     keep = [c for c in ("is_crop", "crop_kind", "crop_bin") if c in posed.columns]
     area = G.crop_area(F.col("is_crop") == 1, F.col("crop_rw"), F.col("crop_rh")).alias("q_crop_area_frac")
     about = posed.select("query_id", "row_idx", "source", "query_pose", *(F.col(c).alias(f"q_{c}") for c in keep), area)

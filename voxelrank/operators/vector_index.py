@@ -58,6 +58,10 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(name) for name in names if name.isdigit() and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/versions/{name}/_SUCCESS")))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    return bool(_versions(spark, path))
+
+
 def _commit(spark: SparkSession, index: Index) -> Index:
     """The version becomes visible; two writers cannot commit the same one."""
     spark.createDataFrame([(json.dumps(asdict(index)),)], "value string").coalesce(1).write.text(f"{index.path}/versions/{index.version}")
@@ -101,7 +105,7 @@ def _quantiser(spark: SparkSession, index: Index) -> quantise.Quantiser:
 def build_index(vectors: DataFrame, path: str, kind: str = "auto", cells: int | None = None, copies: int = COPIES, parts: int = 16, degree: int = graph.DEGREE) -> Index:
     """Index of ``patch_id, emb`` at ``path``, of the kind that the planner chooses by size: flat, graph or ivfpq, or ``ivf`` if asked for."""
     spark = vectors.sparkSession
-    if _versions(spark, path):
+    if exists(spark, path):
         raise FileExistsError(f"an index is at {path} already")
     first = vectors.select(F.count("*").alias("n"), F.max(F.size("emb")).alias("dim")).first()
     kind, batch = choose_index(first.n, kind), uuid.uuid4().hex
