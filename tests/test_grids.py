@@ -76,6 +76,19 @@ def test_broken_volumes_leave_no_file(spark, tmp_path):
     assert not [p for p in (tmp_path / "out").iterdir() if not p.name.endswith(".crc")]
 
 
+def test_many_volumes_and_the_longest_side(spark, tmp_path):
+    v = {f"{k}/v.nii": np.random.default_rng(k).random((k + 1, 3, 2)) for k in range(5)}
+    rows = [(n, z, list(x.shape), x[z].ravel().tolist()) for n, x in v.items() for z in range(len(x))]
+    schema = "name string, plane int, shape array<int>, values array<double>"
+    files.write_volumes(spark.createDataFrame(rows, schema).repartition(4), str(tmp_path / "all"), kind="f8")
+    assert all((files.VolumeFile(str(tmp_path / "all" / n), "kji").array() == x.astype("f4")).all() for n, x in v.items())
+    for bad in (("a.nii", 0, [1, 1, 32768], [0.0] * 32768), ("../a.nii", 0, [1, 1, 1], [0.0])):
+        with pytest.raises(Exception):
+            files.write_volumes(spark.createDataFrame([bad], schema), str(tmp_path / "bad"))
+    assert not list(tmp_path.rglob("a.nii"))
+    files.write_volumes(spark.createDataFrame([], schema), str(tmp_path / "none"))
+
+
 def test_register_resample_foreground(spark, tmp_path):
     at = lambda n: str(tmp_path / n)
     rng = np.random.default_rng(4)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voxelrank.catalog import _r, _t
@@ -144,13 +145,16 @@ def regridded_volume(spark, sf):
     return found.select(*(F.col(c).cast("long").alias(c) for c in "zyx"), (_r("value", 5) + F.lit(0.0)).alias("value"))
 
 
-@_query("""SELECT CAST((i - 1) % 8 AS BIGINT) AS z, (SELECT max(vec_id) FROM embeddings) - vec_id AS y, CAST(7 - (i - 1) // 8 AS BIGINT) AS x, round(CAST(embedding[i] AS DOUBLE), 6) AS value, 3.0::DOUBLE AS dz, 1.0::DOUBLE AS dy, 2.0::DOUBLE AS dx FROM embeddings, range(1, 65) r(i)""")
-def turned_volume_file(spark, sf):
-    """Vectors as planes of a volume, turned, written as one volume file with the spacing of its axes, and read back."""
-    cells, depth = _block(spark, sf)
-    perm, path = (2, 0, 1), f"{scratch(spark)}/turned.nii"
-    shape, spacing = (tuple(of[p] for p in perm) for of in ((depth, 8, 8), (1.0, 2.0, 3.0)))
-    files.write_volume(grids.planes(grids.oriented(cells, (depth, 8, 8), perm, (False, True, True))), path, shape, spacing)
-    sides = zip(("dz", "dy", "dx"), files.VolumeFile(path, "kji").spacing)
-    found = files.voxels(files.read_volume(spark, path, "kji"))
-    return found.select(*(F.col(c).cast("long").alias(c) for c in "zyx"), _r(F.col("value").cast("double")).alias("value"), *(F.lit(s).alias(c) for c, s in sides))
+@_query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY vec_id // 200 ORDER BY vec_id) - 1 AS place FROM embeddings)
+SELECT CAST(vec_id // 200 AS BIGINT) AS volume, CAST((i - 1) % 8 AS BIGINT) AS z, place AS y, CAST(7 - (i - 1) // 8 AS BIGINT) AS x, round(CAST(embedding[i] AS DOUBLE), 6) AS value, 3.0::DOUBLE AS dz, 1.0::DOUBLE AS dy, 2.0::DOUBLE AS dx FROM n, range(1, 65) r(i)""")
+def turned_volume_files(spark, sf):
+    """Vectors as planes of volumes of up to 200 ids, turned, written as volume files with the spacing of their axes, and read back in slabs."""
+    run, folder = F.call_function("div", F.col("vec_id"), F.lit(200)), scratch(spark)
+    placed = _rows(spark, sf).withColumn("run", run).withColumn("at", F.row_number().over(Window.partitionBy("run").orderBy("vec_id")) - 1).withColumn("depth", F.count("*").over(Window.partitionBy("run")))
+    about = (F.format_string("%08d.nii", "run").alias("name"), F.array(F.lit(8), F.col("depth").cast("int"), F.lit(8)).alias("shape"))
+    cells = placed.select(*about, F.col("at").alias("z"), F.posexplode("embedding").alias("i", "value")).select("name", "shape", "z", F.floor(F.col("i") / 8).alias("y"), (F.col("i") % 8).alias("x"), "value")
+    turned = grids.oriented(cells, (0, 8, 8), (2, 0, 1), (False, False, True))
+    files.write_volumes(grids.planes(turned, ("name", "shape")), folder, (3.0, 1.0, 2.0))
+    found = files.voxels(files.read_volume(spark, folder, "kji", part_bytes=8 * 200 * 4 * 3), ("spacing",))
+    sides = (F.round(F.col("spacing")[i], 6).alias(c) for i, c in enumerate(("dz", "dy", "dx")))
+    return found.select(F.regexp_extract("path", r"(\d+)\.nii", 1).cast("long").alias("volume"), *(F.col(c).cast("long").alias(c) for c in "zyx"), _r(F.col("value").cast("double")).alias("value"), *sides)

@@ -20,8 +20,12 @@ def _turned(shape: tuple[int, ...], perm: tuple[int, ...], flips: tuple[bool, ..
 
 
 def oriented(voxels: DataFrame, shape: tuple[int, int, int], perm: tuple[int, int, int], flips: tuple[bool, bool, bool]) -> DataFrame:
-    """The voxels of a volume of ``shape`` in one of the 48 orientations; its new shape is ``shape`` in the order of ``perm``."""
-    return voxels.select(*(c.cast("int").alias(a) for a, c in zip(AXES, _turned(shape, perm, flips))), "value")
+    """The voxels of a volume of ``shape`` in one of the 48 orientations; its new shape is ``shape`` in the order of ``perm``.
+
+    Other columns stay.  The length of an axis matters only where it is reversed.
+    """
+    others = [c for c in voxels.columns if c not in (*AXES, "value")]
+    return voxels.select(*others, *(c.cast("int").alias(a) for a, c in zip(AXES, _turned(shape, perm, flips))), "value")
 
 
 def orientation_scores(fixed: DataFrame, moving: DataFrame, fixed_shape: tuple[int, int, int], moving_shape: tuple[int, int, int], stride: int = 4) -> DataFrame:
@@ -78,7 +82,7 @@ def regridded(voxels: DataFrame, shape: tuple[int, int, int], spacing: tuple[flo
     return out.select(*(F.col(f"to_{a}").alias(a) for a in AXES), "value")
 
 
-def planes(voxels: DataFrame) -> DataFrame:
-    """``plane, values``: the voxels of each z, row by row; one shuffle, a plane is one row."""
-    packed = voxels.groupBy(F.col("z").cast("int").alias("plane")).agg(F.array_sort(F.collect_list(F.struct("y", "x", F.col("value").cast("double").alias("value")))).alias("v"))
-    return packed.select("plane", F.col("v.value").alias("values"))
+def planes(voxels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``plane, values``: the voxels of each z, row by row, for each volume that ``keys`` tell apart; one shuffle, a plane is one row."""
+    packed = voxels.groupBy(*keys, F.col("z").cast("int").alias("plane")).agg(F.array_sort(F.collect_list(F.struct("y", "x", F.col("value").cast("double").alias("value")))).alias("v"))
+    return packed.select(*keys, "plane", F.col("v.value").alias("values"))

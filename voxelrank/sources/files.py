@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -246,13 +247,13 @@ def read_volume(spark: SparkSession, path: str, axes: str = "ijk", labels: bool
     return _source(spark, NiftiSource, path, axes=axes, labels=str(labels).lower(), partBytes=part_bytes)
 
 
-def voxels(planes: DataFrame) -> DataFrame:
-    """``path, z, y, x, value`` of planes; no shuffle."""
+def voxels(planes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``path, z, y, x, value`` of planes, and the columns of ``keep``; no shuffle."""
     a, b = F.when(F.col("axis") == 0, F.col("shape")[2]).otherwise(F.col("shape")[1]), F.col("at")
     row, col = F.call_function("div", b, a).cast("int"), (b % a).cast("int")
-    flat = planes.select("path", "plane", "axis", "shape", F.posexplode("values").alias("at", "value"))
+    flat = planes.select("path", *keep, "plane", "axis", "shape", F.posexplode("values").alias("at", "value"))
     first = F.col("axis") == 0
-    return flat.select("path", F.when(first, F.col("plane")).otherwise(row).alias("z"), F.when(first, row).otherwise(col).alias("y"), F.when(first, col).otherwise(F.col("plane")).alias("x"), "value")
+    return flat.select("path", *keep, F.when(first, F.col("plane")).otherwise(row).alias("z"), F.when(first, row).otherwise(col).alias("y"), F.when(first, col).otherwise(F.col("plane")).alias("x"), "value")
 
 
 @dataclass(frozen=True)
@@ -390,62 +391,84 @@ def write_files(rows: DataFrame, path: str) -> None:
 
 
 # ---------------------------------------------------------------- volumes, written
-class _VolumeWriter(DataSourceWriter):
+#: Fixed value of the format: voxels along an axis at most.
+LONGEST = 32767
+
+
+class _VolumesWriter(DataSourceWriter):
     def __init__(self, options):
-        self.path, self.kind = options["path"], np.dtype(options["kind"])
-        self.shape = tuple(int(n) for n in options["shape"].split(","))
+        self.path, self.kind, self.least = options["path"], np.dtype(options["kind"]), int(options["least"])
         self.spacing = tuple(float(s) for s in options["spacing"].split(","))
 
     def write(self, rows):
-        files, at = file_system(self.path)
+        n = 0
+        for name, planes in groupby(rows, lambda row: row["name"]):
+            self._one(name, planes)
+            n += 1
+        return _Written(n)
+
+    def _one(self, name, planes):
+        if name.startswith("/") or ".." in name.split("/"):
+            raise ValueError(f"{name} leads out of the folder")
+        files, base = file_system(self.path)
+        at = f"{base}/{name}"
         folder, last = at.rsplit("/", 1)
         files.create_dir(folder, recursive=True)
-        beside, n = f"{folder}/.{last}.{uuid.uuid4().hex}", 0
+        beside, n, shape = f"{folder}/.{last}.{uuid.uuid4().hex}", 0, None
         try:
             with files.open_output_stream(beside, compression="gzip" if last.endswith(".gz") else None) as f:
-                f.write(nifti_head(self.shape[::-1], self.kind, self.spacing[::-1]))
-                for row in rows:
-                    if row["plane"] != n or len(row["values"]) != self.shape[1] * self.shape[2]:
-                        raise ValueError(f"plane {n} of {self.path} is missing, repeated or of another size")
+                for row in planes:
+                    if shape is None:
+                        shape = tuple(row["shape"])
+                        if not (len(shape) == 3 and all(1 <= side <= LONGEST for side in shape)):
+                            raise ValueError(f"a volume file has three axes of 1 to {LONGEST} voxels, not {shape}")
+                        f.write(nifti_head(shape[::-1], self.kind, self.spacing[::-1]))
+                    if row["plane"] != n or tuple(row["shape"]) != shape or len(row["values"]) != shape[1] * shape[2]:
+                        raise ValueError(f"plane {n} of {at} is missing, repeated or of another size")
                     x = np.asarray(row["values"], np.float64)
                     f.write((np.rint(x) if self.kind.kind in "iu" else x).astype(self.kind.newbyteorder("<")).tobytes())
                     n += 1
-            if n == self.shape[0]:
-                files.move(beside, at)
-            elif n:
-                raise ValueError(f"{self.path} has {n} planes, not {self.shape[0]}")
+            if n != shape[0]:
+                raise ValueError(f"{at} has {n} planes, not {shape[0]}")
+            files.move(beside, at)
         finally:
             if files.get_file_info(beside).type == afs.FileType.File:
                 files.delete_file(beside)
-        return _Written(n)
 
     def commit(self, messages):
-        if sum(m.n for m in messages if m) != self.shape[0]:
-            raise ValueError(f"{self.path} was not written: it needs {self.shape[0]} planes")
+        if sum(m.n for m in messages if m) < self.least:
+            raise ValueError(f"no planes for a volume in {self.path}")
 
 
-class VolumeSink(DataSource):
-    """Writes rows of ``plane, values`` (cuts of z, row by row) as one NIfTI file, compressed if it ends with .gz."""
+class VolumesSink(DataSource):
+    """Writes rows of ``name, plane, shape, values`` (cuts of z, row by row) as NIfTI files below ``path``, compressed if a name ends with .gz."""
 
     @classmethod
     def name(cls):
-        return "volume_file"
+        return "volume_files"
 
     def schema(self):
-        return "plane int, values array<double>"
+        return "name string, plane int, shape array<int>, values array<double>"
 
     def writer(self, schema, overwrite):
-        return _VolumeWriter(self.options)
+        return _VolumesWriter(self.options)
 
 
-def write_volume(planes: DataFrame, path: str, shape: tuple[int, int, int], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), kind: str = "f4") -> None:
-    """One NIfTI file of the planes of a volume, whose shape and spacing are given in the order z, y, x.
+def write_volumes(planes: DataFrame, path: str, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), kind: str = "f4", least: int = 0) -> None:
+    """A NIfTI file below ``path`` for each ``name`` of ``name, plane, shape, values``; shapes and spacing are given in the order z, y, x.
 
-    A file is written from its beginning to its end, so one task writes it; the sort before it spills, and the task holds a
-    plane at a time.  The file appears whole, by renaming; missing or repeated planes are an error and leave none.
-    Read it back with the axes ``kji``.
+    A file is written from its beginning to its end, so one task writes it: the sort before it spills, and the task holds a
+    plane at a time; different files are written side by side.  A file appears whole, by renaming; missing or repeated
+    planes, other sizes and sides of more than LONGEST voxels are errors and leave none.  Read back with the axes ``kji``.
     """
-    planes.sparkSession.dataSource.register(VolumeSink)
-    laid = planes.select(F.col("plane").cast("int").alias("plane"), F.col("values").cast("array<double>").alias("values"))
-    one = laid.repartition(1).sortWithinPartitions("plane")
-    one.write.format("volume_file").options(shape=",".join(map(str, shape)), spacing=",".join(map(repr, map(float, spacing))), kind=kind).mode("append").save(path)
+    planes.sparkSession.dataSource.register(VolumesSink)
+    laid = planes.select("name", F.col("plane").cast("int").alias("plane"), F.col("shape").cast("array<int>").alias("shape"), F.col("values").cast("array<double>").alias("values"))
+    sorted_ = laid.repartition("name").sortWithinPartitions("name", "plane")
+    sorted_.write.format("volume_files").options(spacing=",".join(map(repr, map(float, spacing))), kind=kind, least=str(least)).mode("append").save(path)
+
+
+def write_volume(planes: DataFrame, path: str, shape: tuple[int, int, int], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), kind: str = "f4") -> None:
+    """One file of the ``plane, values`` of a volume; see :func:`write_volumes`."""
+    folder, name = path.rsplit("/", 1) if "/" in path else (".", path)
+    named = planes.select(F.lit(name).alias("name"), "plane", F.array(*map(F.lit, shape)).alias("shape"), "values")
+    write_volumes(named, folder, spacing, kind, 1)
