@@ -1,3 +1,5 @@
+import functools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +34,16 @@ def test_resize(shape, to):
     assert np.array_equal(encoders.resize(x[None], *to)[0], down)
 
 
+def test_sums_on_a_half_are_added_in_order():
+    x = np.random.default_rng(3).integers(0, 256, (20_000, 4, 16)).astype(np.uint8)
+    x[:, 3] = np.clip(x[:, 1].astype(int) + x[:, 2] - x[:, 0], 0, 255)  # the middle row of three: sums on a half, if odd
+    across = np.stack([functools.reduce(np.add, (x[..., i] * w for i, w in enumerate(line))) for line in encoders.bicubic(16, 12)], 2)
+    across = np.clip(np.floor(across + 0.5), 0, 255)
+    down = np.stack([functools.reduce(np.add, (across[:, i] * w for i, w in enumerate(line))) for line in encoders.bicubic(4, 3)], 1)
+    want = np.clip(np.floor(down + 0.5), 0, 255)
+    assert np.array_equal(encoders.resize(x, 3, 12), want) and np.array_equal(encoders.resize(x[7:8], 3, 12), want[7:8])
+
+
 def test_preprocess_cuts_the_middle_and_normalises():
     wide, tall, colour = np.full((4, 10), 0.5), np.full((10, 4), 128, np.uint8), np.zeros((6, 6, 3))
     colour[..., 1] = 1.0
