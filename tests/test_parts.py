@@ -90,6 +90,20 @@ def test_running_topk(spark, monkeypatch, views):
     assert topk.vector_topk(asked.limit(0), patches, 9).count() == 0 and topk.vector_topk(asked, patches.limit(0), 9).count() == 0
 
 
+def test_many_views_are_answered_by_tasks_of_bounded_size(spark, monkeypatch):
+    for name, value in (("BROADCAST_BEST", 100), ("VIEWS", 16), ("PATCHES", 150), ("ANSWERS", 300), ("FIRST", 10), ("SCORES", 500)):
+        monkeypatch.setattr(topk, name, value, raising=False)
+    x = np.random.default_rng(6).integers(-2, 3, (400, 3)).astype(float)
+    patches = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "patch_id long, emb array<double>")
+    asked = spark.createDataFrame([(i, w, (x[i] * (w + 1)).tolist()) for i in range(0, 400, 10) for w in range(2)], "query_id long, view_idx int, emb array<double>")
+    got = topk.vector_topk(asked, patches, 9)
+    assert got.rdd.getNumPartitions() == -(-80 * 9 * 3 // 300)  # 80 views, 9 best from each of 3 blocks of patches, 300 in a task
+    found = {}
+    for r in got.collect():
+        found.setdefault((r.query_id, r.view_idx), {})[r.view_rank] = r.patch_id
+    assert {i: [ranks[r] for r in sorted(ranks)] for i, ranks in found.items()} == {(i, w): _brute(x, x[i], i, 9) for i in range(0, 400, 10) for w in range(2)}
+
+
 def test_keys_of_earlier_batches_stay_out(spark, tmp_path):
     schema = "eval_sig string, row_idx long, source string, rank long, patch_id long"
     for rows in ([("s", 1, "a", 1, 5), ("s", 1, "a", 2, 6), ("s", 1, "a", 2, 7)], [("s", 1, "a", 2, 9), ("s", 2, "a", 1, 8)], [("s", 2, "a", 1, 8)]):

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from voxelrank.session import written
 
-#: Doubles of query views that may be broadcast (128 MB), and views; more are dealt out in a grid.
-BROADCAST_DOUBLES, BROADCAST_VIEWS = 16_000_000, 50_000
-#: Rows of a block of patches or views in the grid.
+#: Doubles of query views that may be broadcast (128 MB), views, and best patches that each task may hold for them; more are dealt out in a grid.
+BROADCAST_DOUBLES, BROADCAST_VIEWS, BROADCAST_BEST = 16_000_000, 50_000, 1 << 18
+#: Views and patches of a block of the grid; answers of blocks that a task ranks (in expectation).
+VIEWS, PATCHES, ANSWERS = 8192, 32_768, 1 << 18
+#: Scores that a task computes in one go; first patches whose k-th best score bounds that of a whole block from below.
+SCORES, FIRST = 1 << 22, 2048
+#: Rows of a block of patches or views of a cell.
 BLOCK = 4096
 FLAT_TO, GRAPH_TO = 200_000, 2_000_000
 KINDS = ("auto", "flat", "graph", "ivf", "ivfpq")
@@ -35,13 +39,15 @@ def _cut(view: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[
 
 
 def _block(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, skip_own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """:func:`_cut` of a block of patches for all views, 256 views at a time."""
-    m, out = min(k, len(ids)), []
-    for lo in range(0, len(q), 256):
-        s = q[lo : lo + 256] @ x.T
+    """:func:`_cut` of a block of patches for all views, SCORES at a time."""
+    m, out, many = min(k, len(ids)), [], max(1, SCORES // len(ids))
+    few = max(m, min(FIRST, len(ids)))
+    for lo in range(0, len(q), many):
+        s = q[lo : lo + many] @ x.T
         if skip_own:
-            s[own[lo : lo + 256, None] == ids] = -np.inf
-        row, col = np.nonzero((s >= np.partition(s, len(ids) - m, axis=1)[:, [len(ids) - m]]) & (s > -np.inf))
+            s[own[lo : lo + many, None] == ids] = -np.inf
+        bound = np.partition(s[:, :few], few - m, axis=1)[:, [few - m]]
+        row, col = np.nonzero(s >= np.maximum(bound, np.finfo(float).min))
         out.append(_cut(row + lo, ids[col], s[row, col], k))
     return tuple(np.concatenate(c) for c in zip(*out))
 
@@ -55,15 +61,15 @@ def vector_topk(views: DataFrame, patches: DataFrame, k: int, skip_own: bool = T
     """``query_id, view_idx, patch_id, score, view_rank``: the k patches of largest inner product for each view.
 
     ``views`` has query_id, view_idx, emb; ``patches`` has patch_id, emb.  With ``skip_own`` a view
-    never meets the patch of its own query id.  Views are broadcast if they, and the k best that a
-    task holds for each, are within BROADCAST_DOUBLES; then a partition of patches keeps its running
+    never meets the patch of its own query id.  Views are broadcast if they are within BROADCAST_DOUBLES, and
+    the k best that a task holds for each within BROADCAST_BEST; then a partition of patches keeps its running
     k best over all of its batches and answers once, and no patch is shuffled.  More views meet the
-    patches in a grid of blocks.
+    patches in a grid of blocks, whose answers are ranked by query in tasks of bounded size.
     """
     spark, out = views.sparkSession, "query_id long, view_idx int, patch_id long, score double"
     slim = views.select(F.col("query_id").cast("long"), F.col("view_idx").cast("int"), F.col("emb").cast("array<double>"))
     rows = patches.select(F.col("patch_id").cast("long"), F.col("emb").cast("array<double>"))
-    most = min(BROADCAST_VIEWS, BROADCAST_DOUBLES // (3 * k))
+    most = min(BROADCAST_VIEWS, BROADCAST_BEST // k)
     size = slim.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("emb")), F.lit(0)).alias("doubles")).first()
     if size.n <= most and size.doubles <= BROADCAST_DOUBLES:
         held = slim.toPandas()
@@ -83,7 +89,8 @@ def vector_topk(views: DataFrame, patches: DataFrame, k: int, skip_own: bool = T
     else:
         slim, rows = written(slim), written(rows)  # counted and dealt out: evaluated once
         salt = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
-        pb, qb = (max(1, -(-df.count() // BLOCK)) for df in (rows, slim))
+        pb, qb = (max(1, -(-df.count() // most)) for df, most in ((rows, PATCHES), (slim, VIEWS)))
+        tasks = min(2 * pb * qb, 4096)
         left = rows.withColumn("pb", salt("patch_id", pb)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
         right = slim.withColumn("qb", F.pmod(F.xxhash64("query_id", "view_idx"), F.lit(qb)).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(pb - 1))))
 
@@ -92,7 +99,8 @@ def vector_topk(views: DataFrame, patches: DataFrame, k: int, skip_own: bool = T
                 return pd.DataFrame({"query_id": [], "view_idx": [], "patch_id": [], "score": []})
             return _named(_block(np.stack(v["emb"]), v["query_id"].to_numpy(), np.stack(p["emb"]), p["patch_id"].to_numpy(), k, skip_own), v)
 
-        near = left.groupBy("pb", "qb").cogroup(right.groupBy("pb", "qb")).applyInPandas(meet, out)
+        met = left.repartition(tasks, "pb", "qb").groupBy("pb", "qb").cogroup(right.repartition(tasks, "pb", "qb").groupBy("pb", "qb")).applyInPandas(meet, out)
+        near = met.repartition(max(1, -(-size.n * k * pb // ANSWERS)), "query_id")
     order = Window.partitionBy("query_id", "view_idx").orderBy(F.desc("score"), "patch_id")
     return near.withColumn("view_rank", F.row_number().over(order)).filter(F.col("view_rank") <= k)
 
