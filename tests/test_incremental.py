@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxelrank import cli
+from voxelrank import catalog, cli
+from voxelrank.session import written
 from voxelrank.sources import tables
 from voxelrank.streaming import averages, incremental
 
@@ -109,3 +110,17 @@ def test_running_averages_over_batches_and_restarts(spark, tmp_path):
 def test_averages_of_nothing(spark):
     got = averages.averages(spark.createDataFrame([], averages.FIRST)).first()
     assert got.n_rows == 0 and got.avg_top1 is None and got.avg_dist1 is None
+
+
+@pytest.mark.parametrize("name,step", [("visible_hits", "_log"), ("pending_marked", "_log"), ("stream_averages", "_first_hits"), ("compare_runs", "_hits")])
+def test_queries_find_their_hits_once(spark, monkeypatch, name, step):
+    hits = written(getattr(catalog, step)(spark, "/root/testdata/sf0.001"))
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    monkeypatch.setattr(catalog, step, lambda *_: hits.mapInPandas(count, hits.schema))
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() and read.value == hits.count()

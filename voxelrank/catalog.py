@@ -330,8 +330,8 @@ def report_pivot(spark, sf):
 a2 AS (SELECT 'ALL' AS grp, s AS source, avg(g1) AS a FROM (SELECT g1, unnest(['ALL', source]) AS s FROM per2) GROUP BY ALL)
 SELECT coalesce(x.grp, y.grp) AS "group", coalesce(x.source, y.source) AS source, round(x.a, 6) AS base, round(y.a, 6) AS other, round(y.a - x.a, 6) AS delta_other FROM (SELECT grp, source, a FROM agg) x FULL OUTER JOIN a2 y ON x.grp = y.grp AND x.source = y.source""")
 def compare_runs(spark, sf):
-    hits = _labelled(spark, sf)
-    second = _hits(spark, sf).filter("rank = 2").withColumn("rank", F.lit(1).cast("long"))
+    hits = written(_labelled(spark, sf).select("row_idx", "source", "rank", "dist", "q_is_crop", "search_mode"))  # both runs read them
+    second = hits.drop("q_is_crop", "search_mode").filter("rank = 2").withColumn("rank", F.lit(1).cast("long"))
     runs = {"base": metrics.report_metrics(hits, THRESHOLDS), "other": metrics.report_metrics(second, THRESHOLDS)}
     both = metrics.compare_runs({n: r.filter("metric = 'Geom@1 mean'") for n, r in runs.items()})
     return both.select("group", "source", *(_r(c).alias(c) for c in ("base", "other", "delta_other")))
@@ -436,7 +436,7 @@ def stream_append_hits(spark, sf):
 @_query(f"{_LOG} SELECT vec_id AS row_idx FROM embeddings WHERE vec_id NOT IN (SELECT row_idx FROM cnt WHERE source = 'allen') AND NOT (vec_id % 10 = 1)")
 def pending_marked(spark, sf):
     """What is left to do after a run that was marked, short lists and rows without hits included, and one that broke before its markers."""
-    path, hits = scratch(spark), _log(spark, sf)
+    path, hits = scratch(spark), written(_log(spark, sf))
     rows = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("row_idx"))
     asked = hits.filter("source = 'allen'").select("row_idx", "source").unionByName(rows.filter("row_idx % 10 = 1").withColumn("source", F.lit("allen")))
     incremental.append_marked(hits.filter("source = 'allen'"), asked, path, "sig1")
@@ -447,7 +447,7 @@ def pending_marked(spark, sf):
 @_query(f"{_LOG} SELECT row_idx, source, rank, patch_id FROM log WHERE source = 'allen'")
 def visible_hits(spark, sf):
     """Hits of marked runs; those of a run that broke are not seen."""
-    path, hits = scratch(spark), _log(spark, sf)
+    path, hits = scratch(spark), written(_log(spark, sf))
     allen = hits.filter("source = 'allen'")
     incremental.append_marked(allen, allen, path, "sig1")
     hits.withColumn("run", F.lit("broken")).write.mode("append").partitionBy("run").parquet(path)
@@ -479,7 +479,7 @@ def batch_averages(spark, sf):
 @_query(_FIRST)
 def stream_averages(spark, sf):
     """The same averages kept over a stream whose rows come apart over batches, some twice, with a restart."""
-    path, first = scratch(spark), _first_hits(spark, sf)
+    path, first = scratch(spark), written(_first_hits(spark, sf))
     for source in ("allen", "real", "allen"):
         first.filter(F.col("source") == source).coalesce(2).write.mode("append").parquet(f"{path}/in")
         stream = spark.readStream.schema(averages.FIRST).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
