@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -47,6 +48,17 @@ def test_planner_and_cells():
     assert [cells.cell_count(n) for n in (0, 3, 500, 1_000_000, 10**9)] == [1, 1, 125, 16_000, 65_536]
 
 
+def test_nearest_centres_take_bounded_memory():
+    rng = np.random.default_rng(4)
+    x, centres = rng.standard_normal((10_000, 8)), rng.standard_normal((5000, 8))
+    tracemalloc.start()
+    got = cells.nearest(x, centres)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32e6  # all distances at once are 400 MB
+    assert np.array_equal(got[:500], ((x[:500, None] - centres) ** 2).sum(2).argmin(1))
+
+
 def test_inverted_lists_are_kept_and_prune(spark, vectors, views, exact):
     path = scratch(spark)
     built = vector_index.build_index(vectors, path, "ivf")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from voxelrank.session import written
 
+#: Distances to centres that are held at once.
+HELD = 1 << 20
 #: Cells at most; vectors for each cell that fit them at most; rounds of fitting at most.
 CELLS, FITTED, ROUNDS = 65_536, 64, 8
 
@@ -20,6 +22,20 @@ def cell_count(n: int) -> int:
     return max(1, min(n // 4, int(16 * math.sqrt(n)), CELLS))
 
 
+def _nearness(x: np.ndarray, centres: np.ndarray):
+    """Nearness of rows to centres, by slices of ``x``: HELD numbers at a time, however many rows and centres there are."""
+    half, many = 0.5 * (centres**2).sum(1), max(1, HELD // max(len(centres), 1))
+    for lo in range(0, len(x), many):
+        s = x[lo : lo + many] @ centres.T
+        s -= half
+        yield s
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row."""
+    return np.concatenate([s.argmax(1) for s in _nearness(x, centres)]) if len(x) else np.empty(0, np.int64)
+
+
 def fit_cells(vectors: DataFrame, cells: int, fitted: int = FITTED, rounds: int = ROUNDS, seed: int = 42) -> np.ndarray:
     """Centres of k-means over at most ``fitted`` vectors for each cell.
 
@@ -41,7 +57,7 @@ def fit_cells(vectors: DataFrame, cells: int, fitted: int = FITTED, rounds: int
             for b in batches:
                 if len(b):
                     x = np.stack(b["emb"])
-                    near = (x @ c.T - 0.5 * (c**2).sum(1)).argmax(1)
+                    near = nearest(x, c)
                     np.add.at(total, near, x)
                     n += np.bincount(near, minlength=len(c))
             some = np.flatnonzero(n)
@@ -75,8 +91,7 @@ def nearest_cells(vectors: DataFrame, centres: np.ndarray, many: int, emb: str =
     @F.pandas_udf("array<int>")
     def near(x: pd.Series) -> pd.Series:
         c, out = shared.value, []
-        for lo in range(0, len(x), 1024):
-            s = np.stack(x.iloc[lo : lo + 1024]) @ c.T - 0.5 * (c**2).sum(1)
+        for s in _nearness(np.stack(x), c) if len(x) else ():
             at = np.argpartition(-s, many - 1, axis=1)[:, :many] if many < len(c) else np.tile(np.arange(len(c)), (len(s), 1))
             order = np.argsort(-np.take_along_axis(s, at, 1), axis=1, kind="stable")
             out += list(np.take_along_axis(at, order, 1).astype(np.int32))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelrank.functions.vectors import dot
-from voxelrank.operators.cells import fit_cells, nearest_cells
+from voxelrank.operators.cells import fit_cells, nearest, nearest_cells
 from voxelrank.operators.topk import ranked
 
 #: Codes, and views, that meet in one task at most (in expectation); longer lists are dealt out.
@@ -68,8 +68,7 @@ def fit_books(vectors: DataFrame, centres: np.ndarray, parts: int = 16, bits: in
         raise ValueError("no vectors to train on")
     if x.shape[1] % parts or not 1 <= bits <= 8:
         raise ValueError("parts must divide the dimension, bits lie within 1 to 8")
-    near = np.concatenate([(part @ centres.T - 0.5 * (centres**2).sum(1)).argmax(1) for part in np.array_split(x, -(-len(x) // 4096))])
-    left = (x - centres[near]).reshape(len(x), parts, -1)
+    left = (x - centres[nearest(x, centres)]).reshape(len(x), parts, -1)
     rng = np.random.default_rng(seed)
     return np.stack([_means(left[:, m], 1 << bits, rounds, rng) for m in range(parts)])
 
