@@ -142,6 +142,16 @@ def test_graph_links_near_neighbours_and_is_searched(spark, vectors, views, exac
     assert recall(got, exact) >= 0.9 and asked == 20 and scored < 0.6 * asked * n
 
 
+def test_graph_begins_in_near_cells(vectors, monkeypatch):
+    monkeypatch.setattr(graph, "CELL", 100, raising=False)
+    rows = sorted(vectors.collect())
+    s = np.array([r.emb for r in rows]) @ np.array([r.emb for r in rows]).T
+    np.fill_diagonal(s, -np.inf)
+    near = np.argsort(-s, axis=1)[:, :16]
+    links = {r.patch_id: r.links for r in graph.neighbour_graph(vectors, rounds=1).collect()}
+    assert np.mean([len(set(near[i]) & set(links[i])) / 16 for i in range(len(rows))]) > 0.95
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 5])
 @pytest.mark.parametrize("kind", ["flat", "ivf", "graph"])
 def test_tiny_tables(spark, vectors, views, n, kind):

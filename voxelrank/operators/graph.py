@@ -1,7 +1,7 @@
-"""A graph of near neighbours, grown by neighbour descent, and searched with a bounded beam.
+"""A graph of near neighbours, begun in cells, grown by neighbour descent, and searched with a bounded beam.
 
-The graph is a table ``patch_id, links``.  A round of descent lets the linked neighbours of each patch
-meet each other: whoever finds a better neighbour that way links to it.  A search moves a beam of
+The graph is a table ``patch_id, links``.  Patches first meet those of the cells that are nearest to them.  A round
+of descent lets the linked neighbours of each patch meet each other: whoever finds a better neighbour that way links to it.  A search moves a beam of
 patches for all views at once: each hop follows the links of the best that were not followed yet.
 """
 
@@ -14,23 +14,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelrank.functions.vectors import dot
+from voxelrank.operators.cells import fit_cells, nearest_cells
+from voxelrank.operators.topk import list_topk
 from voxelrank.session import written
 
 #: Links of a patch; rounds of descent at most; share of changed links at which it ends.
 DEGREE, ROUNDS, SETTLED = 16, 12, 0.002
+#: Patches of a cell on average, cells that a patch meets, and times the average that are met in a cell (its others may be found by descent).
+CELL, CELLS, PART = 1024, 8, 4
 #: Patches in a view's beam; of these followed in one hop; hops at most; entry points.
 BEAM, STEP, HOPS, ENTRIES = 64, 8, 40, 32
 
 
-def _numbered(vectors: DataFrame) -> DataFrame:
-    """``patch_id, emb, no``: numbered from 0 without gaps; only counts of partitions meet."""
-    placed = written(vectors.select(F.col("patch_id").cast("long").alias("patch_id"), F.col("emb").cast("array<double>").alias("emb")).withColumns({"at": F.monotonically_increasing_id()}))
-    part = F.shiftright("at", 33).alias("part")
-    counts = placed.groupBy(part).agg(F.count("*").alias("n"))
-    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return placed.withColumn("part", F.shiftright("at", 33)).join(before, "part").select("patch_id", "emb", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("no"))
-
-
 def _best(edges: DataFrame, by: str, n: int) -> DataFrame:
     order = Window.partitionBy(by).orderBy(F.desc("score"), F.xxhash64("src", "dst"))
     return edges.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_r")
@@ -42,54 +37,75 @@ def _score(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.join(a, "src").join(b, "dst").withColumn("score", dot(F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
-def _meet(degree: int):
-    """The members around a patch meet: each goes away with its ``degree`` best of the others, if one of the two is new."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("member")
-        ids, fresh, x = part["member"].to_numpy(), part["fresh"].to_numpy(), np.stack(part["emb"])
-        s = x @ x.T
-        s[~(fresh[:, None] | fresh[None, :])] = -np.inf
-        np.fill_diagonal(s, -np.inf)
-        m = min(degree, len(ids) - 1)
-        if m <= 0:
-            return pd.DataFrame({"src": [], "dst": [], "score": []})
-        at = np.argpartition(-s, m - 1, axis=1)[:, :m]
-        score = np.take_along_axis(s, at, 1).ravel()
-        src, dst, some = np.repeat(ids, m), ids[at].ravel(), score > -np.inf
-        return pd.DataFrame({"src": src[some], "dst": dst[some], "score": score[some]})
-
-    return run
+def _in_cells(asked: DataFrame, rows: DataFrame, n: int, degree: int) -> DataFrame:
+    """``src, dst, score``: the ``degree`` best that ``asked`` find in each of their nearest cells; cells far above the average are met in parts."""
+    centres = fit_cells(rows, max(1, n // CELL))
+    held = written(nearest_cells(rows, centres, 1).select("patch_id", "emb", F.element_at("near", 1).cast("long").alias("cell")))
+    sizes = F.broadcast(held.groupBy("cell").agg(F.ceil(F.count("*") / (PART * CELL)).alias("parts")))  # one row a cell
+    part = lambda df, by: df.join(sizes, "cell").withColumn("cell", F.col("cell") * (1 << 32) + F.pmod(F.xxhash64(by), "parts")).drop("parts")
+    views = nearest_cells(asked, centres, min(CELLS, len(centres))).select(F.col("patch_id").alias("query_id"), F.lit(0).alias("view_idx"), "emb", F.explode(F.col("near").cast("array<long>")).alias("cell"))
+    return list_topk(part(views, "query_id"), part(held, "patch_id"), degree).select(F.col("query_id").alias("src"), F.col("patch_id").alias("dst"), "score")
+
+
+def _meet(batches):
+    """The members around a patch meet: each goes away with the others that are better than its worst link, if one of the two is new."""
+
+    def met(part: pd.DataFrame) -> pd.DataFrame:
+        _, group, size = np.unique(part["centre"].to_numpy(), return_inverse=True, return_counts=True)
+        place = np.arange(len(part)) - np.repeat(np.cumsum(size) - size, size)
+        shape, emb = (len(size), size.max()), np.stack(part["emb"])
+        x, there = np.zeros((*shape, emb.shape[1])), np.zeros(shape, bool)
+        ids, fresh, least = np.zeros(shape, np.int64), np.zeros(shape, bool), np.zeros(shape)
+        for to, values in ((x, emb), (there, True), (ids, part["member"]), (fresh, part["fresh"]), (least, part["least"])):
+            to[group, place] = values
+        s = x @ x.transpose(0, 2, 1)
+        pair = there[:, :, None] & there[:, None] & (fresh[:, :, None] | fresh[:, None]) & (ids[:, :, None] != ids[:, None]) & (s > least[:, :, None])
+        g, i, j = np.nonzero(pair)
+        return pd.DataFrame({"src": ids[g, i], "dst": ids[g, j], "score": s[g, i, j]}).drop_duplicates(["src", "dst"])
+
+    rest = None
+    for b in batches:
+        b = b if rest is None else pd.concat([rest, b])
+        if len(b):
+            cut = b["centre"].searchsorted(b["centre"].iloc[-1])  # the last patch's may go on in the next batch
+            rest = b.iloc[cut:]
+            if cut:
+                yield met(b.iloc[:cut])
+    if rest is not None and len(rest):
+        yield met(rest)
 
 
 def neighbour_graph(vectors: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, settled: float = SETTLED, start: DataFrame | None = None) -> DataFrame:
     """``patch_id, links array<long>``: links to near neighbours by inner product, nearest first, and to some that link here.
 
-    Descent starts from drawn links, or for patches that ``start`` (patch_id, links) knows from those.  A
+    Descent starts from links within near cells, or for patches that ``start`` (patch_id, links) knows from those.  A
     patch meets at most ``2 * degree`` others in a round - its own links and the best of those that
-    link to it - so no task holds a group that grows with the table.  Each round is written.
+    link to it - so no task holds a group that grows with the table.  Patches around which nothing is new are left out.  Each round is written.
     """
-    rows = written(_numbered(vectors))
+    rows = written(vectors.select(F.col("patch_id").cast("long").alias("patch_id"), F.col("emb").cast("array<double>").alias("emb")))
     n = rows.count()
     degree = min(degree, max(n - 1, 1))
-    drawn = rows.select(F.col("patch_id").alias("src"), "no", F.explode(F.sequence(F.lit(1), F.lit(degree))).alias("j"))
-    drawn = drawn.withColumn("to", F.pmod(F.xxhash64("src", "j"), F.lit(n))).join(rows.select(F.col("patch_id").alias("dst"), F.col("no").alias("to")), "to").select("src", "dst")
-    if start is not None:
-        old = start.select(F.col("patch_id").alias("src"), F.explode("links").alias("dst"))
-        new = drawn.join(start.select(F.col("patch_id").alias("src")), "src", "left_anti")
-        drawn = old.unionByName(new).unionByName(new.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    edges = written(_best(_score(drawn.filter("src <> dst").distinct(), rows), "src", degree).withColumn("fresh", F.lit(True)))
+    if start is None:
+        edges = _in_cells(rows, rows, n, degree)
+    else:
+        old = _score(start.select(F.col("patch_id").alias("src"), F.explode("links").alias("dst")), rows)
+        new = written(_in_cells(rows.join(start, "patch_id", "left_anti"), rows, n, degree))
+        edges = old.unionByName(new).unionByName(new.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score"))
+        edges = edges.groupBy("src", "dst").agg(F.max("score").alias("score"))
+    edges = written(_best(edges, "src", degree).withColumn("fresh", F.lit(True)))
     for _ in range(rounds):
         back = _best(edges, "dst", degree).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "fresh")
-        around = edges.select("src", "dst", "fresh").unionByName(back).groupBy("src", "dst").agg(F.max("fresh").alias("fresh"))
-        around = around.select(F.col("src").alias("centre"), F.col("dst").alias("member"), "fresh").join(rows.select(F.col("patch_id").alias("member"), "emb"), "member")
-        met = around.groupBy("centre").applyInPandas(_meet(degree), "src long, dst long, score double").groupBy("src", "dst").agg(F.max("score").alias("score"))
+        around = edges.select("src", "dst", "fresh").unionByName(back).groupBy(F.col("src").alias("centre"), F.col("dst").alias("member")).agg(F.max("fresh").alias("fresh"))
+        around = around.withColumn("some", F.max("fresh").over(Window.partitionBy("centre"))).filter("some").drop("some")
+        worst = edges.groupBy(F.col("src").alias("member")).agg(F.when(F.count("*") >= degree, F.min("score")).otherwise(float("-inf")).alias("least"))
+        known = rows.select(F.col("patch_id").alias("member"), "emb").join(worst, "member", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        met = around.join(known, "member").repartition("centre").sortWithinPartitions("centre").mapInPandas(_meet, "src long, dst long, score double")
         both = edges.select("src", "dst", "score", F.lit(True).alias("had")).unionByName(met.withColumn("had", F.lit(False)))
         edges = written(_best(both.groupBy("src", "dst").agg(F.max("score").alias("score"), (~F.bool_or("had")).alias("fresh")), "src", degree))
         if edges.filter("fresh").count() <= settled * n * degree:
             break
     back = _best(edges, "dst", degree).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score")
-    linked = edges.select("src", "dst", "score").unionByName(back).distinct()
+    linked = edges.select("src", "dst", "score").unionByName(back).groupBy("src", "dst").agg(F.max("score").alias("score"))
     found = linked.groupBy(F.col("src").alias("patch_id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "dst"))).alias("l"))
     alone = rows.select("patch_id").join(found, "patch_id", "left")  # a table of one patch has no links
     return alone.select("patch_id", F.coalesce(F.transform("l", lambda x: x["dst"]), F.array().cast("array<bigint>")).alias("links"))
