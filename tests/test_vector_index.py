@@ -77,6 +77,43 @@ def test_inverted_lists_are_kept_and_prune(spark, vectors, views, exact):
     assert held <= 8 * 8 and held < every / 5
 
 
+def test_views_go_to_shards_not_to_each_of_their_cells(spark, vectors, views, monkeypatch):
+    monkeypatch.setattr(vector_index, "FEW_SHARDS", 4)
+    index = vector_index.build_index(vectors, scratch(spark), "ivf")
+    asked, rows = written(vector_index.probed(index, views, 30)), written(index.vectors(spark))
+    assert asked.count() <= 20 * 4  # 20 views have 30 cells each
+    cells_of = {}
+    for r in asked.collect():
+        cells_of.setdefault(r.query_id, []).extend(r.cells)
+    assert all(len(set(c)) == len(c) == 30 for c in cells_of.values()) and asked.filter("first").count() == 20
+    x = {r.patch_id: np.array(r.emb) for r in rows.collect()}
+    held = [(r.cell, r.patch_id) for r in rows.collect()]
+    want = {}
+    for q, mine in cells_of.items():
+        near = sorted((-round(float(x[q] @ x[p]), 9), p) for p in {p for c, p in held if c in mine and p != q})[:5]
+        want |= {(q, p): -s for s, p in near}
+    assert pairs(vector_index.search_index(index, views, 5, 30)) == pytest.approx(want)
+    for blocks in ((32_768, 8192), (40, 7)):  # each shard once, or many blocks of it
+        assert pairs(topk.ranked(topk.shard_topk(asked, rows, 5, blocks=blocks), 5)) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("held", [1 << 20, 1, 60])
+def test_best_of_a_shard_with_ties_and_copies(monkeypatch, held):
+    monkeypatch.setattr(topk, "HELD", held)
+    rng = np.random.default_rng(5)
+    x, ids, cell = rng.integers(-2, 3, (90, 3)).astype(float), rng.permutation(90) * 7, rng.integers(0, 9, 90)
+    x, ids, cell = (np.concatenate([a, a[:30]]) for a in (x, ids, cell))
+    cell[90:] = (cell[90:] + 1) % 9  # 30 of them lie in two cells
+    q, own = rng.integers(-2, 3, (25, 3)).astype(float), np.arange(25) * 7
+    asked = [np.sort(rng.permutation(11)[: i % 10 + 1]) for i in range(25)]  # some cells hold nothing
+    got = {}
+    for v, i, s in zip(*topk._in_shard(q, own, asked, x, ids, cell, 6, True)):
+        got.setdefault(int(v), []).append((-s, int(i)))
+    for v in range(25):
+        every = {int(i): -float(q[v] @ e) for i, e, c in zip(ids, x, cell) if c in asked[v] and i != own[v]}
+        assert got.get(v, []) == sorted((s, i) for i, s in every.items())[:6]
+
+
 def test_appends_go_to_cells_and_earlier_versions_stay(spark, vectors, views, exact):
     path = scratch(spark)
     half = F.col("patch_id") < 250

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from voxelrank.session import written
 
-#: Distances to centres that are held at once.
-HELD = 1 << 20
+#: Distances to centres that are held at once; rows of views and shards that are handed on together.
+HELD, ROWS = 1 << 20, 1 << 13
 #: Cells at most; vectors for each cell that fit them at most; rounds of fitting at most.
 CELLS, FITTED, ROUNDS = 65_536, 64, 8
 
@@ -84,17 +84,47 @@ def fit_cells(vectors: DataFrame, cells: int, fitted: int = FITTED, rounds: int
     return centres
 
 
+def _best(s: np.ndarray, many: int) -> np.ndarray:
+    """The ``many`` nearest cells of each row, in no order."""
+    return np.argpartition(-s, many - 1, axis=1)[:, :many] if many < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(s), 1))
+
+
 def nearest_cells(vectors: DataFrame, centres: np.ndarray, many: int, emb: str = "emb") -> DataFrame:
     """Adds ``near array<int>``: the ``many`` nearest cells, nearest first; no shuffle."""
     shared = vectors.sparkSession.sparkContext.broadcast(centres)
 
     @F.pandas_udf("array<int>")
     def near(x: pd.Series) -> pd.Series:
-        c, out = shared.value, []
-        for s in _nearness(np.stack(x), c) if len(x) else ():
-            at = np.argpartition(-s, many - 1, axis=1)[:, :many] if many < len(c) else np.tile(np.arange(len(c)), (len(s), 1))
+        out = []
+        for s in _nearness(np.stack(x), shared.value) if len(x) else ():
+            at = _best(s, many)
             order = np.argsort(-np.take_along_axis(s, at, 1), axis=1, kind="stable")
             out += list(np.take_along_axis(at, order, 1).astype(np.int32))
         return pd.Series(out)
 
     return vectors.withColumn("near", near(F.col(emb).cast("array<double>")))
+
+
+def nearest_by_shard(views: DataFrame, centres: np.ndarray, many: int, per_shard: int) -> DataFrame:
+    """``query_id, view_idx, emb, shard, cells, first``: each view once for each shard (run of ``per_shard`` cells) with some of its ``many`` nearest cells.
+
+    A vector goes where its cells are, not once for each of them; ``first`` marks one of a view's rows.  No shuffle.
+    """
+    shared = views.sparkSession.sparkContext.broadcast(centres)
+    slim = views.select(F.col("query_id").cast("long"), F.col("view_idx").cast("int"), F.col("emb").cast("array<double>"))
+    many = min(many, len(centres))
+    step = max(1, ROWS // min(many, -(-len(centres) // per_shard)))
+
+    def split(batches):
+        for b in batches:
+            for lo in range(0, len(b), step):
+                part = b.iloc[lo : lo + step]
+                near = np.concatenate([_best(s, many).astype(np.int32) for s in _nearness(np.stack(part["emb"]), shared.value)])
+                near.sort(axis=1)
+                shard = near // per_shard
+                new = np.ones(near.shape, bool)
+                new[:, 1:] = shard[:, 1:] != shard[:, :-1]
+                row, col = np.nonzero(new)
+                yield part.iloc[row].assign(shard=shard[row, col], cells=np.split(near.ravel(), np.flatnonzero(new)[1:]), first=col == 0)
+
+    return slim.mapInPandas(split, "query_id long, view_idx int, emb array<double>, shard int, cells array<int>, first boolean")

@@ -6,15 +6,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelrank.functions.vectors import dot
-from voxelrank.operators.cells import fit_cells, nearest, nearest_cells
-from voxelrank.operators.topk import ranked
+from voxelrank.operators.cells import fit_cells, nearest, nearest_by_shard, nearest_cells
+from voxelrank.operators.topk import VIEWS, ranked, shard_topk
+from voxelrank.session import written
 
-#: Codes, and views, that meet in one task at most (in expectation); longer lists are dealt out.
-BLOCK = 8192
+#: Codes of a shard that meet views in one go at most (in expectation); more are dealt out. Shards of lists that are not kept.
+BLOCK, SHARDS = 1 << 15, 64
 #: Vectors that fit the codebooks at most.
 SAMPLE = 50_000
 
@@ -40,13 +41,9 @@ class Quantiser:
         left = (x - self.centres[cell]).reshape(len(x), len(self.books), -1)
         return np.stack([(left[:, m] @ b.T - 0.5 * (b**2).sum(1)).argmax(1) for m, b in enumerate(self.books)], 1).astype(np.uint8)
 
-    def scores(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Approximate inner products (queries, codes) of one list by lookup tables."""
-        tables = np.einsum("qmd,mkd->qmk", q.reshape(len(q), len(self.books), -1), self.books)
-        total = np.repeat((q @ self.centres[cell])[:, None], len(codes), 1)
-        for m in range(len(self.books)):
-            total += tables[:, m][:, codes[:, m]]
-        return total
+    def decode(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for; their inner products are the sums of lookup tables."""
+        return self.centres[cell] + np.concatenate([b[codes[:, m]] for m, b in enumerate(self.books)], 1)
 
 
 def _means(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
@@ -99,47 +96,22 @@ def encode_patches(patches: DataFrame, model: Quantiser) -> DataFrame:
 def ivfpq_search(asked: DataFrame, rows: DataFrame, model: Quantiser, k: int, refine: int = 4, skip_own: bool = True) -> DataFrame:
     """``query_id, view_idx, patch_id, score, view_rank``: approximate top-k with exact scores.
 
-    ``asked`` has the lists that each view looks into (query_id, view_idx, emb, cell), ``rows`` the
-    coded vectors (patch_id, emb, cell, code).  Codes give the ``refine * k`` best of each view by lookup
-    tables; these are scored on their vectors.  A long list meets its views in a grid of blocks, so no
-    task holds a whole one; a patch that several lists hold counts once.
+    ``asked`` has the lists that each view looks into (query_id, view_idx, emb, shard, cells, first), ``rows`` the
+    coded vectors (patch_id, emb, cell, shard, code).  Codes give the ``refine * k`` best of each view; these are
+    scored on their vectors.  Lists and views meet in blocks of a shard, so no task holds a
+    whole long one; a patch that several lists hold counts once.
     """
     shared = asked.sparkSession.sparkContext.broadcast(model)
-    blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    sizes = F.broadcast(blocks(rows, "cb").join(blocks(asked, "vb"), "cell"))  # at most one row a list, 65536 lists
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    part = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
-    left = rows.join(sizes, "cell").select("cell", part("cb", "patch_id").alias("ci"), every("vb").alias("vi"), "patch_id", "code")
-    right = asked.join(sizes, "cell").select("cell", every("cb").alias("ci"), part("vb", "query_id", "view_idx").alias("vi"), "query_id", "view_idx", "emb")
-    want = refine * k
-
-    def meet(key, c: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(c) and len(v):
-            ids, raw = c["patch_id"].to_numpy(), np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c), -1)
-            for lo in range(0, len(v), 64):
-                some = v.iloc[lo : lo + 64]
-                s = shared.value.scores(np.stack(some["emb"]), key[0], raw)
-                if skip_own:
-                    s[some["query_id"].to_numpy()[:, None] == ids[None]] = -np.inf
-                for row, q, w in zip(s, some["query_id"], some["view_idx"]):
-                    best = np.argsort(-row, kind="stable")[:want]
-                    best = best[row[best] > -np.inf]
-                    out.append(pd.DataFrame({"query_id": q, "view_idx": w, "patch_id": ids[best], "near": row[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "view_idx": [], "patch_id": [], "near": []})
-
-    keys = ("cell", "ci", "vi")
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, view_idx int, patch_id long, near double")
-    view = Window.partitionBy("query_id", "view_idx")
-    once = near.groupBy("query_id", "view_idx", "patch_id").agg(F.max("near").alias("near"))
-    kept = once.withColumn("_r", F.row_number().over(view.orderBy(F.desc("near"), "patch_id"))).filter(F.col("_r") <= want).select("query_id", "view_idx", "patch_id")
+    decode = lambda cell, code: shared.value.decode(cell, np.frombuffer(b"".join(code), np.uint8).reshape(len(code), -1))
+    near = shard_topk(asked, rows, refine * k, skip_own, (BLOCK, min(BLOCK, VIEWS)), decode)
+    kept = ranked(near, refine * k).select("query_id", "view_idx", "patch_id")
     vectors = rows.select("patch_id", F.col("emb").cast("array<double>").alias("p"))
-    exact = kept.join(vectors, "patch_id").join(asked.groupBy("query_id", "view_idx").agg(F.any_value("emb").alias("q")), ["query_id", "view_idx"])
+    exact = kept.join(vectors, "patch_id").join(asked.filter("first").select("query_id", "view_idx", F.col("emb").alias("q")), ["query_id", "view_idx"])
     return ranked(exact.select("query_id", "view_idx", "patch_id", dot(F.col("q"), F.col("p")).alias("score")), k)
 
 
 def ivfpq_topk(views: DataFrame, codes: DataFrame, model: Quantiser, k: int, probes: int = 8, refine: int = 4) -> DataFrame:
     """:func:`ivfpq_search` of views (query_id, view_idx, emb) in their ``probes`` nearest lists; none meets the patch of its own query id."""
-    near = nearest_cells(views, model.centres, min(probes, len(model.centres)))
-    asked = near.select(F.col("query_id").cast("long").alias("query_id"), F.col("view_idx").cast("int").alias("view_idx"), F.col("emb").cast("array<double>").alias("emb"), F.explode("near").alias("cell"))
-    return ivfpq_search(asked, codes, model, k, refine)
+    per_shard = -(-len(model.centres) // SHARDS)
+    asked = written(nearest_by_shard(views, model.centres, probes, per_shard))
+    return ivfpq_search(asked, codes.withColumn("shard", F.floor(F.col("cell") / per_shard).cast("int")), model, k, refine)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,6 +17,8 @@ BROADCAST_DOUBLES, BROADCAST_VIEWS, BROADCAST_BEST = 16_000_000, 50_000, 1 << 18
 VIEWS, PATCHES, ANSWERS = 8192, 32_768, 1 << 18
 #: Scores that a task computes in one go; first patches whose k-th best score bounds that of a whole block from below.
 SCORES, FIRST = 1 << 22, 2048
+#: Scores of cells that are held before only the best stay.
+HELD = 1 << 20
 #: Rows of a block of patches or views of a cell.
 BLOCK = 4096
 FLAT_TO, GRAPH_TO = 200_000, 2_000_000
@@ -126,6 +130,74 @@ def list_topk(asked: DataFrame, rows: DataFrame, k: int, skip_own: bool = True)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, view_idx int, patch_id long, score double")
 
 
+def _in_shard(q: np.ndarray, own: np.ndarray, asked: list[np.ndarray], x: np.ndarray, ids: np.ndarray, cell: np.ndarray, k: int, skip_own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (view, id, score) of each view among the vectors of the cells it asks for; an id in several cells counts once.
+
+    A cell meets its views as a product of matrices; of its scores those stay that may be among the best, SCORES at a time.
+    """
+    order = np.argsort(cell, kind="stable")
+    x, ids, (cells, lo) = x[order], ids[order], np.unique(cell[order], return_index=True)
+    hi = np.append(lo[1:], len(ids))
+    wanted, view = np.concatenate(asked), np.repeat(np.arange(len(asked)), [len(a) for a in asked])
+    order = np.argsort(wanted, kind="stable")
+    wanted, view = wanted[order], view[order]
+    most = k * np.unique(ids, return_counts=True)[1].max()
+    best, fresh, size = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)), [], 0
+    least = np.full(len(q), np.finfo(float).min)
+    for c, a, b in zip(cells, lo, hi):
+        some = view[np.searchsorted(wanted, c) : np.searchsorted(wanted, c, "right")]
+        many = max(1, SCORES // (b - a))
+        for at in range(0, len(some), many):
+            v = some[at : at + many]
+            s = q[v] @ x[a:b].T
+            if skip_own:
+                s[own[v, None] == ids[a:b]] = -np.inf
+            row, col = np.nonzero(s >= least[v, None])
+            fresh.append((v[row], ids[a + col], s[row, col]))
+            size += len(row)
+            if size > HELD:
+                best, fresh, size = _cut(*map(np.concatenate, zip(best, *fresh)), most), [], 0
+                full = np.flatnonzero(np.bincount(best[0], minlength=len(q)) == most)
+                least[full] = best[2][np.searchsorted(best[0], full, "right") - 1]
+    view, ids, score = map(np.concatenate, zip(best, *fresh))
+    order = np.lexsort((-score, ids, view))
+    view, ids, score = view[order], ids[order], score[order]
+    once = np.ones(len(view), bool)
+    once[1:] = (view[1:] != view[:-1]) | (ids[1:] != ids[:-1])
+    return _cut(view[once], ids[once], score[once], k)
+
+
+def shard_topk(asked: DataFrame, rows: DataFrame, k: int, skip_own: bool = True, blocks: tuple[int, int] = (PATCHES, VIEWS), decode: Callable[[np.ndarray, pd.Series], np.ndarray] | None = None) -> DataFrame:
+    """``query_id, view_idx, patch_id, score``: the k best of each view in each block of a shard, among the cells that it asks for there; by query.
+
+    ``asked`` has query_id, view_idx, emb, shard, cells; ``rows`` has shard, cell, patch_id and emb, or a code that
+    ``decode`` (cells, codes) makes vectors of.  Vectors and views of a shard meet in ``blocks`` of at most so many each (in
+    expectation), so that what is moved grows with views and shards, not with the cells that views ask for.
+    """
+    name = "code" if decode else "emb"
+    counts = lambda df, n: df.groupBy("shard").agg(F.count("*").alias(n))
+    met = counts(rows, "c").join(counts(asked, "v"), "shard").collect()  # one row a shard
+    dealt = [(r.shard, -(-r.c // blocks[0]), -(-r.v // blocks[1])) for r in met]
+    sizes = F.broadcast(asked.sparkSession.createDataFrame(dealt, "shard int, cb int, vb int"))
+    tasks = max(1, min(2 * sum(cb * vb for _, cb, vb in dealt), 4096))
+    answers = max(1, sum(cb * r.v * k for r, (_, cb, _) in zip(met, dealt)) // ANSWERS)
+    part = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.join(sizes, "shard").select("shard", part("cb", "patch_id").alias("ci"), every("vb").alias("vi"), "cell", "patch_id", name)
+    right = asked.join(sizes, "shard").select("shard", every("cb").alias("ci"), part("vb", "query_id", "view_idx").alias("vi"), "query_id", "view_idx", "emb", "cells")
+    keys = ("shard", "ci", "vi")
+
+    def meet(p: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(v):
+            return pd.DataFrame({"query_id": [], "view_idx": [], "patch_id": [], "score": []})
+        cell = p["cell"].to_numpy()
+        x = decode(cell, p["code"]) if decode else np.stack(p["emb"])
+        return _named(_in_shard(np.stack(v["emb"]), v["query_id"].to_numpy(), list(v["cells"]), x, p["patch_id"].to_numpy(), cell, k, skip_own), v)
+
+    near = left.repartition(tasks, *keys).groupBy(*keys).cogroup(right.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(meet, "query_id long, view_idx int, patch_id long, score double")
+    return near.repartition(answers, "query_id")
+
+
 def ranked(found: DataFrame, k: int) -> DataFrame:
     """The k best of what lists have found; a patch that several lists hold counts once."""
     once = found.groupBy("query_id", "view_idx", "patch_id").agg(F.max("score").alias("score"))

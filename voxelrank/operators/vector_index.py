@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelrank.operators import graph, quantise
-from voxelrank.operators.cells import cell_count, fit_cells, nearest_cells
-from voxelrank.operators.topk import choose_index, list_topk, ranked, vector_topk
+from voxelrank.operators.cells import cell_count, fit_cells, nearest_by_shard, nearest_cells
+from voxelrank.operators.topk import choose_index, ranked, shard_topk, vector_topk
 from voxelrank.session import written
 
 #: Folders of cells at least (if there are so many cells) and at most, vectors for each of more; cells that hold a vector; share of the cells that a search probes.
@@ -147,15 +147,14 @@ def append_vectors(index: Index, vectors: DataFrame) -> Index:
 
 
 def probed(index: Index, views: DataFrame, probes: int | None = None) -> DataFrame:
-    """``query_id, view_idx, emb, cell``: the cells that each view looks into."""
-    spark = views.sparkSession
-    many = min(index.cells, probes or max(1, math.ceil(index.cells * PROBED)))
-    return nearest_cells(views, _centres(spark, index), many).select(F.col("query_id").cast("long").alias("query_id"), F.col("view_idx").cast("int").alias("view_idx"), F.col("emb").cast("array<double>").alias("emb"), F.explode("near").alias("cell"))
+    """``query_id, view_idx, emb, shard, cells, first``: the cells that each view looks into, by shard."""
+    many = probes or max(1, math.ceil(index.cells * PROBED))
+    return nearest_by_shard(views, _centres(views.sparkSession, index), many, index.per_shard)
 
 
 def pruned(index: Index, asked: DataFrame) -> DataFrame:
     """The index's vectors in the shards of the cells asked for; other folders are not read."""
-    shards = [r[0] for r in asked.select(F.floor(F.col("cell") / index.per_shard).cast("int")).distinct().collect()]  # SHARDS at most
+    shards = [r[0] for r in asked.select("shard").distinct().collect()]  # SHARDS at most
     return index.vectors(asked.sparkSession).filter(F.col("shard").isin(shards))
 
 
@@ -175,4 +174,4 @@ def search_index(index: Index, views: DataFrame, k: int, probes: int | None = No
     rows = pruned(index, asked)
     if index.kind == "ivfpq":
         return quantise.ivfpq_search(asked, rows, _quantiser(spark, index), k, refine, skip_own)
-    return ranked(list_topk(asked, rows.select("cell", "patch_id", "emb"), k, skip_own), k)
+    return ranked(shard_topk(asked, rows, k, skip_own), k)
