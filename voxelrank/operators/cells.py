@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,12 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([s.argmax(1) for s in _nearness(x, centres)]) if len(x) else np.empty(0, np.int64)
 
 
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors of one length as rows of a matrix, without a Python number for each entry."""
+    flat = column.combine_chunks()
+    return np.array(flat.flatten(), float).reshape(len(flat), -1) if len(flat) else np.empty((0, 0))
+
+
 def fit_cells(vectors: DataFrame, cells: int, fitted: int = FITTED, rounds: int = ROUNDS, seed: int = 42) -> np.ndarray:
     """Centres of k-means over at most ``fitted`` vectors for each cell.
 
@@ -45,7 +52,7 @@ def fit_cells(vectors: DataFrame, cells: int, fitted: int = FITTED, rounds: int
     slim = vectors.select(F.col("emb").cast("array<double>").alias("emb"), F.xxhash64(F.lit(seed), "patch_id").alias("h"))
     share = cells * fitted / max(vectors.count(), 1)
     sample = written(slim if share >= 1 else slim.filter(F.pmod(F.col("h"), F.lit(1_000_000)) < int(share * 1_000_000)))
-    centres = np.array([r.emb for r in sample.orderBy("h").limit(cells).select("emb").collect()], float)
+    centres = matrix(sample.orderBy("h").limit(cells).select("emb").toArrow()["emb"])
     if not len(centres):
         raise ValueError("no vectors to fit cells on")
     for _ in range(rounds):
@@ -73,10 +80,10 @@ def fit_cells(vectors: DataFrame, cells: int, fitted: int = FITTED, rounds: int
                 np.add.at(total, at, np.stack(part["total"]))
                 yield pd.DataFrame({"cell": cell, "centre": list(total / n[:, None])})
 
-        moved = sample.select("emb").mapInPandas(sums, "cell int, n long, total array<double>").repartition("cell").mapInPandas(meet, "cell int, centre array<double>").collect()
+        moved = sample.select("emb").mapInPandas(sums, "cell int, n long, total array<double>").repartition("cell").mapInPandas(meet, "cell int, centre array<double>").toArrow()
         new = centres.copy()
-        for r in moved:
-            new[r.cell] = r.centre
+        if len(moved):
+            new[moved["cell"].to_numpy()] = matrix(moved["centre"])
         shared.unpersist()
         if np.abs(new - centres).max(initial=0) < 1e-9:
             break

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelrank.functions.vectors import dot
-from voxelrank.operators.cells import fit_cells, nearest, nearest_by_shard, nearest_cells
+from voxelrank.operators.cells import fit_cells, matrix, nearest, nearest_by_shard, nearest_cells
 from voxelrank.operators.topk import VIEWS, ranked, shard_topk
 from voxelrank.session import written
 
@@ -39,7 +39,7 @@ class Quantiser:
 
     def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         left = (x - self.centres[cell]).reshape(len(x), len(self.books), -1)
-        return np.stack([(left[:, m] @ b.T - 0.5 * (b**2).sum(1)).argmax(1) for m, b in enumerate(self.books)], 1).astype(np.uint8)
+        return np.stack([nearest(left[:, m], b) for m, b in enumerate(self.books)], 1).astype(np.uint8)
 
     def decode(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """The vectors that codes stand for; their inner products are the sums of lookup tables."""
@@ -49,7 +49,7 @@ class Quantiser:
 def _means(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
-        near = (x @ c.T - 0.5 * (c**2).sum(1)).argmax(1)
+        near = nearest(x, c)
         total, n = np.zeros_like(c), np.bincount(near, minlength=len(c))
         np.add.at(total, near, x)
         c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
@@ -59,8 +59,8 @@ def _means(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
 def fit_books(vectors: DataFrame, centres: np.ndarray, parts: int = 16, bits: int = 8, sample: int = SAMPLE, rounds: int = 8, seed: int = 42) -> np.ndarray:
     """Codebooks of the residuals of ``patch_id, emb``, fitted on at most ``sample`` vectors; all are coded later."""
     total = max(vectors.count(), 1)
-    few = vectors.filter(F.pmod(F.xxhash64(F.lit(seed), "patch_id"), F.lit(total)) < sample).limit(sample).select(F.col("emb").cast("array<double>")).collect()
-    x = np.array([r[0] for r in few], float)
+    few = vectors.filter(F.pmod(F.xxhash64(F.lit(seed), "patch_id"), F.lit(total)) < sample).limit(sample).select(F.col("emb").cast("array<double>").alias("emb")).toArrow()
+    x = matrix(few["emb"])
     if not len(x):
         raise ValueError("no vectors to train on")
     if x.shape[1] % parts or not 1 <= bits <= 8:

@@ -18,7 +18,7 @@ VIEWS, PATCHES, ANSWERS = 8192, 32_768, 1 << 18
 #: Scores that a task computes in one go; first patches whose k-th best score bounds that of a whole block from below.
 SCORES, FIRST = 1 << 22, 2048
 #: Scores of cells that are held before only the best stay.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Rows of a block of patches or views of a cell.
 BLOCK = 4096
 FLAT_TO, GRAPH_TO = 200_000, 2_000_000
@@ -130,6 +130,19 @@ def list_topk(asked: DataFrame, rows: DataFrame, k: int, skip_own: bool = True)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, view_idx int, patch_id long, score double")
 
 
+def _trim(found: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, views: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """What is as good as the k-th best of its view, and that score (the least number where there are fewer); :func:`_cut` without order, but for many ties."""
+    view, ids, score = found
+    order = np.argsort(-score)
+    order = order[np.argsort(view[order].astype(np.uint16 if views <= 1 << 16 else np.int64), kind="stable")]  # few bits are sorted by counting
+    n = np.bincount(view, minlength=views)
+    full, least = n >= k, np.full(views, np.finfo(float).min)
+    least[full] = score[order[(np.cumsum(n) - n)[full] + k - 1]]
+    keep = score >= least[view]
+    kept = view[keep], ids[keep], score[keep]
+    return (_cut(*kept, k) if len(kept[0]) > 2 * k * views else kept), least
+
+
 def _in_shard(q: np.ndarray, own: np.ndarray, asked: list[np.ndarray], x: np.ndarray, ids: np.ndarray, cell: np.ndarray, k: int, skip_own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best (view, id, score) of each view among the vectors of the cells it asks for; an id in several cells counts once.
 
@@ -156,10 +169,9 @@ def _in_shard(q: np.ndarray, own: np.ndarray, asked: list[np.ndarray], x: np.nda
             fresh.append((v[row], ids[a + col], s[row, col]))
             size += len(row)
             if size > HELD:
-                best, fresh, size = _cut(*map(np.concatenate, zip(best, *fresh)), most), [], 0
-                full = np.flatnonzero(np.bincount(best[0], minlength=len(q)) == most)
-                least[full] = best[2][np.searchsorted(best[0], full, "right") - 1]
-    view, ids, score = map(np.concatenate, zip(best, *fresh))
+                best, least = _trim(tuple(map(np.concatenate, zip(best, *fresh))), most, len(q))
+                fresh, size = [], 0
+    view, ids, score = _trim(tuple(map(np.concatenate, zip(best, *fresh))), most, len(q))[0]
     order = np.lexsort((-score, ids, view))
     view, ids, score = view[order], ids[order], score[order]
     once = np.ones(len(view), bool)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelrank.operators import graph, quantise
-from voxelrank.operators.cells import cell_count, fit_cells, nearest_by_shard, nearest_cells
+from voxelrank.operators.cells import cell_count, fit_cells, matrix, nearest_by_shard, nearest_cells
 from voxelrank.operators.topk import choose_index, ranked, shard_topk, vector_topk
 from voxelrank.session import written
 
@@ -93,7 +93,7 @@ def _write(index: Index, vectors: DataFrame, centres: np.ndarray | None, batch:
 
 
 def _centres(spark: SparkSession, index: Index) -> np.ndarray:
-    return np.array([r.centre for r in spark.read.parquet(f"{index.path}/cells").orderBy("cell").collect()])
+    return matrix(spark.read.parquet(f"{index.path}/cells").orderBy("cell").toArrow()["centre"])
 
 
 def _quantiser(spark: SparkSession, index: Index) -> quantise.Quantiser:
